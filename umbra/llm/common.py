@@ -163,3 +163,13 @@ def texts_of(batch: pa.RecordBatch, column: str = "text", lower: bool = False) -
     """The texts of a batch as bytes, null as empty."""
     out = [t or b"" for t in batch.column(column).cast(pa.binary()).to_pylist()]
     return [t.lower() for t in out] if lower else out
+
+
+def word_array(text: Column) -> Column:
+    """The words of a text column, as an array."""
+    return F.array_remove(F.split(text, WORD_BREAK), "")
+
+
+def small_or_shuffled(df: DataFrame, rows: int) -> DataFrame:
+    """df with a broadcast hint if it is counted to have at most so many rows; else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .near_dedup import near_duplicates
+from .quality_rules import quality_rules
+from .sharding import grown, shard_rows, topology
+from .url_filter import judge_urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,8 +18,22 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op7_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaves = topology(16)
+    return shard_rows(_table(spark, sf_dir, "documents"), leaves, grown(leaves))
+
+
+def op8_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(_table(spark, sf_dir, "pages"))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_minhash_near_dedup,)}
+    return {f.__name__: f for f in (op3_minhash_near_dedup, op7_hash_tree_sharding, op8_url_trees, op9_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
