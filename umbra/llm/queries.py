@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .decontaminate import contained_items
 from .near_dedup import near_duplicates
+from .packing import packed
 from .quality_rules import quality_rules
 from .sharding import grown, shard_rows, topology
 from .url_filter import judge_urls
@@ -14,6 +17,21 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packed(_table(spark, sf_dir, "documents"), tokenizer_path())
+    return pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+def op10_minhash_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -33,7 +51,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_minhash_near_dedup, op7_hash_tree_sharding, op8_url_trees, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_sum_of_squares_packing, op10_minhash_containment, op3_minhash_near_dedup, op7_hash_tree_sharding, op8_url_trees, op9_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
