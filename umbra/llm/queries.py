@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import contained_items
+from .extract import main_texts
 from .near_dedup import near_duplicates
 from .packing import packed
 from .quality_rules import quality_rules
@@ -32,6 +33,10 @@ def op10_minhash_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op2_consensus_host_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_texts(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars", "path")
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -51,7 +56,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sum_of_squares_packing, op10_minhash_containment, op3_minhash_near_dedup, op7_hash_tree_sharding, op8_url_trees, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_sum_of_squares_packing, op2_consensus_host_paths, op10_minhash_containment, op3_minhash_near_dedup, op7_hash_tree_sharding, op8_url_trees, op9_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
