@@ -10,6 +10,7 @@ from .decontaminate import contained_items
 from .extract import main_texts
 from .near_dedup import near_duplicates
 from .packing import packed
+from .ppm import likelihoods
 from .quality_model import quality_scores
 from .quality_rules import quality_rules
 from .sharding import grown, shard_rows, topology
@@ -48,6 +49,10 @@ def op4_additive_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def op6_partial_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return likelihoods(_table(spark, sf_dir, "documents"), held_out(F.col("doc_id"), 10))
+
+
 def op7_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     leaves = topology(16)
     return shard_rows(_table(spark, sf_dir, "documents"), leaves, grown(leaves))
@@ -63,7 +68,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sum_of_squares_packing, op2_consensus_host_paths, op10_minhash_containment, op3_minhash_near_dedup, op4_additive_quality_model, op7_hash_tree_sharding, op8_url_trees, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_sum_of_squares_packing, op2_consensus_host_paths, op10_minhash_containment, op3_minhash_near_dedup, op4_additive_quality_model, op6_partial_matching, op7_hash_tree_sharding, op8_url_trees, op9_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
