@@ -14,6 +14,7 @@ from .ppm import likelihoods
 from .quality_model import quality_scores
 from .quality_rules import quality_rules
 from .sharding import grown, shard_rows, topology
+from .substring_dedup import without_repeats
 from .url_filter import judge_urls
 
 
@@ -49,6 +50,11 @@ def op4_additive_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def op5_fm_index_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return without_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op6_partial_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     return likelihoods(_table(spark, sf_dir, "documents"), held_out(F.col("doc_id"), 10))
 
@@ -68,7 +74,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sum_of_squares_packing, op2_consensus_host_paths, op10_minhash_containment, op3_minhash_near_dedup, op4_additive_quality_model, op6_partial_matching, op7_hash_tree_sharding, op8_url_trees, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_sum_of_squares_packing, op2_consensus_host_paths, op10_minhash_containment, op3_minhash_near_dedup, op4_additive_quality_model, op5_fm_index_substrings, op6_partial_matching, op7_hash_tree_sharding, op8_url_trees, op9_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
