@@ -33,14 +33,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, fixed_binary, list_array, mix, shingle_sets, spans, texts_of, written
+from .common import Words, fixed_binary, list_array, mix, shingle_sets, small_or_shuffled, spans, texts_of, written
 from .components import components
 
 PERMUTATIONS, ROWS = 36, 3
 BANDS = 2 * PERMUTATIONS // ROWS
 BLOCK = 1024  # classes of one block
 BLOCK_SHINGLES = 400_000
-TASK_ROWS = 20_000  # rows of small groups that share a task
+FAMILY_ROWS = 2_000_000  # members of families up to this count are broadcast (16 bytes each); beyond, texts are shuffled
+TASK_ROWS = 5_000  # rows of small groups that share a task
 
 _rng = np.random.default_rng(77)
 _A = _rng.integers(1, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -195,10 +196,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     ties = in_blocks(met, "bucket", "blocks", "node", rows // TASK_ROWS + 1).groupBy("task").applyInPandas(_tie, "u long, v long")
     families = written(components(ties).select("node", F.col("component").alias("family")))
 
-    sized = docs.join(families, docs.doc_id == families.node).select("node", "family", "text").mapInArrow(_sets, "node long, family long, n long, shingles binary")
+    sized = docs.join(small_or_shuffled(families, FAMILY_ROWS), F.col("doc_id") == F.col("node")).select("node", "family", "text").mapInArrow(_sets, "node long, family long, n long, shingles binary")
     sized = written(sized.dropDuplicates(["node", "n", "shingles"]))
     total = sized.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
-    links = in_blocks(sized.join(total, "family"), "family", "blocks", "node", families.count() // TASK_ROWS * 10 + 1).groupBy("task").applyInPandas(_link(percent), "u long, v long")
+    links = in_blocks(sized.join(total, "family"), "family", "blocks", "node", families.count() * BANDS // TASK_ROWS + 1).groupBy("task").applyInPandas(_link(percent), "u long, v long")
     linked = components(links)
 
     # Only classes of several copies or with links need a look-up; all others stand for themselves.
