@@ -44,7 +44,7 @@ def n_grams(words: Column) -> Column:
     return F.concat(F.transform(words, lambda w: bucket(w)), F.coalesce(pairs, F.array().cast("array<int>")))
 
 
-def repeated_words(words: Column, windows: Column) -> Column:
+def repeated_words(windows: Column) -> Column:
     """Words covered by windows whose hash occurs twice or more; windows: one hash for each start."""
     n = F.size(windows)
     placed = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("p"))))
@@ -58,21 +58,28 @@ def repeated_words(words: Column, windows: Column) -> Column:
     return F.when(n > F.size(F.array_distinct(windows)), covered).otherwise(F.lit(0).cast("long"))
 
 
+def _settled(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that later expressions refer to by value: a filter on a result isn't rewritten to compute them once per use."""
+    for name, column in columns.items():
+        df = df.select("*", F.explode(F.array(column)).alias(name))
+    return df
+
+
 def surface(docs: DataFrame) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and the helper column _words."""
     text = blank(F.col("text"))
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, _BREAKS, "")) > 0)
     at = lambda i, k: F.get(F.col("_words"), i + k)
     windows = F.when(F.col("n_words") >= WINDOW, F.transform(F.sequence(F.lit(0), F.size("_words") - WINDOW), lambda i: F.xxhash64(*(at(i, k) for k in range(WINDOW)))))
-    out = docs.withColumns({"_words": word_array(text), "_lines": lines})
+    out = _settled(docs.drop("_words", "_lines"), _words=word_array(text), _lines=lines)
     out = out.withColumns({
         "n_words": F.size("_words").cast("long"),
         "word_chars": F.length(F.translate(text, _BREAKS, "")).cast("long"),
         "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
     })
-    out = out.withColumn("_windows", F.coalesce(windows, F.array().cast("array<long>")))
-    out = out.withColumn("n_repeat_words", repeated_words(F.col("_words"), F.col("_windows")))
+    out = _settled(out, _windows=F.coalesce(windows, F.array().cast("array<long>")))
+    out = _settled(out.drop("n_repeat_words"), n_repeat_words=repeated_words(F.col("_windows")))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return out.withColumn("base_failed", failed).drop("_lines", "_windows")
 
@@ -96,7 +103,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs with the surface counts, llr double and kept boolean."""
     ratios = [r for _, r in sorted(log_ratios(docs, labels).select("bucket", "ratio").collect())]  # always 2**16 values
     table = F.from_json(F.lit(json.dumps(ratios)), "array<double>")  # a constant: parsed once
-    out = surface(docs).withColumn("_grams", n_grams(F.col("_words")))
+    out = _settled(surface(docs.drop("llr", "kept")), _grams=n_grams(F.col("_words")))
     total = F.aggregate("_grams", F.lit(0.0), lambda a, b: a + F.get(table, b))
-    out = out.withColumn("llr", F.when(F.col("n_words") > 0, total / F.size("_grams")).otherwise(0.0))
+    out = _settled(out, llr=F.when(F.col("n_words") > 0, total / F.size("_grams")).otherwise(0.0))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= THRESHOLD)).drop("_words", "_grams")
