@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from umbra.llm.common import written
+from umbra.llm.common import small_or_shuffled, written
 from umbra.llm.decontaminate import contained_items
 from umbra.llm.near_dedup import near_duplicates
 from umbra.llm.packing import packed
@@ -18,9 +18,13 @@ from umbra.llm.queries import tokenizer_path
 from umbra.llm.substring_dedup import without_repeats
 
 
+ID_ROWS = 2_000_000  # dropped ids up to this count are broadcast (16 MB)
+
+
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """docs less the rows with one of the given doc_ids; rows with a null id stay."""
-    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    ids = small_or_shuffled(written(ids.select("doc_id").where("doc_id is not null").distinct()), ID_ROWS)
+    return docs.join(ids, "doc_id", "left_anti").select(*docs.columns)
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
