@@ -30,24 +30,19 @@ THRESHOLD = -0.18
 WINDOW = 5
 LABEL_ROWS = 2_000_000  # labels up to this count are broadcast (about 16 MB)
 
-SYMBOLS = "#*$%&|<>"
-_BREAKS = " \t\n\x0b\x0c\r"
+SYMBOLS = "[#*$%&|<>]"
 
 
-def n_grams(words: Column) -> Column:
-    """Buckets of the words and word pairs of an array."""
+def n_grams(hashes: Column) -> Column:
+    """Buckets of the words and word pairs of an array of word hashes."""
+    bucket = lambda h: F.shiftrightunsigned(h, 64 - BUCKET_BITS).cast("int")
+    pairs = F.when(F.size(hashes) > 1, F.transform(F.sequence(F.lit(0), F.size(hashes) - 2), lambda i: bucket(F.xxhash64(F.get(hashes, i), F.get(hashes, i + 1)))))
+    return F.concat(F.transform(hashes, bucket), F.coalesce(pairs, F.array().cast("array<int>")))
 
-    def bucket(*parts: Column) -> Column:
-        return F.shiftrightunsigned(F.xxhash64(*parts), 64 - BUCKET_BITS).cast("int")
 
-    pairs = F.when(F.size(words) > 1, F.transform(F.sequence(F.lit(0), F.size(words) - 2), lambda i: bucket(F.get(words, i), F.get(words, i + 1))))
-    return F.concat(F.transform(words, lambda w: bucket(w)), F.coalesce(pairs, F.array().cast("array<int>")))
-
-
-def repeated_words(windows: Column) -> Column:
-    """Words covered by windows whose hash occurs twice or more; windows: one hash for each start."""
-    n = F.size(windows)
-    placed = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("p"))))
+def repeated_words(placed: Column) -> Column:
+    """Words covered by windows that occur twice or more; placed: sorted (hash, start) of every window."""
+    n = F.size(placed)
     none = F.array(F.lit(None).cast("struct<h:bigint,p:int>"))
     before, after = F.concat(none, F.slice(placed, F.lit(1), n - 1)), F.concat(F.slice(placed, F.lit(2), n - 1), none)
     beside = F.arrays_zip(placed.alias("own"), before.alias("before"), after.alias("after"))
@@ -55,7 +50,7 @@ def repeated_words(windows: Column) -> Column:
     starts = F.sort_array(F.transform(twice, lambda x: x["own"]["p"]))
     zero = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(-WINDOW).alias("last"))
     covered = F.aggregate(starts, zero, lambda a, p: F.struct((a["sum"] + F.least(F.lit(WINDOW), p - a["last"])).alias("sum"), p.alias("last")), lambda a: a["sum"])
-    return F.when(n > F.size(F.array_distinct(windows)), covered).otherwise(F.lit(0).cast("long"))
+    return F.coalesce(covered, F.lit(0).cast("long"))
 
 
 def _settled(df: DataFrame, **columns: Column) -> DataFrame:
@@ -65,23 +60,31 @@ def _settled(df: DataFrame, **columns: Column) -> DataFrame:
     return df
 
 
+def word_hashes(text: Column) -> Column:
+    return F.transform(word_array(text), lambda w: F.xxhash64(w))
+
+
 def surface(docs: DataFrame) -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and the helper column _words."""
+    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and the helper column _hashes (of the words)."""
     text = blank(F.col("text"))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, _BREAKS, "")) > 0)
-    at = lambda i, k: F.get(F.col("_words"), i + k)
-    windows = F.when(F.col("n_words") >= WINDOW, F.transform(F.sequence(F.lit(0), F.size("_words") - WINDOW), lambda i: F.xxhash64(*(at(i, k) for k in range(WINDOW)))))
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
+    at = lambda i, k: F.get(F.col("_hashes"), i + k)
+    windows = F.when(F.size("_hashes") >= WINDOW, F.transform(F.sequence(F.lit(0), F.size("_hashes") - WINDOW), lambda i: F.xxhash64(*(at(i, k) for k in range(WINDOW)))))
     out = _settled(docs.drop("_words", "_lines"), _words=word_array(text), _lines=lines)
     out = out.withColumns({
         "n_words": F.size("_words").cast("long"),
-        "word_chars": F.length(F.translate(text, _BREAKS, "")).cast("long"),
-        "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
+        "word_chars": F.length(F.array_join("_words", "")).cast("long"),
+        "n_symbols": F.regexp_count(text, F.lit(SYMBOLS)).cast("long"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
     })
-    out = _settled(out, _windows=F.coalesce(windows, F.array().cast("array<long>")))
-    out = _settled(out.drop("n_repeat_words"), n_repeat_words=repeated_words(F.col("_windows")))
+    out = _settled(out.drop("_hashes"), _hashes=F.transform("_words", lambda w: F.xxhash64(w))).drop("_words", "_lines")
+    out = _settled(out, _windows=windows)
+    repeated = F.size("_windows") > F.size(F.array_distinct("_windows"))
+    placed = F.when(repeated, F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("p")))))
+    out = _settled(out, _placed=placed)
+    out = _settled(out.drop("n_repeat_words"), n_repeat_words=repeated_words(F.col("_placed")))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return out.withColumn("base_failed", failed).drop("_lines", "_windows")
+    return out.withColumn("base_failed", failed).drop("_windows", "_placed")
 
 
 def log_ratios(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -89,8 +92,8 @@ def log_ratios(docs: DataFrame, labels: DataFrame) -> DataFrame:
     trusted = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("_trusted")).distinct()
     trusted = small_or_shuffled(trusted, LABEL_ROWS)
     own = docs.select("doc_id", blank(F.col("text")).alias("text")).join(trusted, F.col("doc_id") == F.col("_trusted"), "left")
-    own = own.select(F.col("_trusted").isNotNull().cast("long").alias("good"), word_array(F.col("text")).alias("words"))
-    counts = own.select("good", F.explode(n_grams(F.col("words"))).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("good").alias("target"))
+    own = _settled(own.select(F.col("_trusted").isNotNull().cast("long").alias("good"), "text"), hashes=word_hashes(F.col("text")))
+    counts = own.select("good", F.explode(n_grams(F.col("hashes"))).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("good").alias("target"))
     size = 1 << BUCKET_BITS
     every = docs.sparkSession.range(size).select(F.col("id").cast("int").alias("bucket"))
     filled = every.join(counts, "bucket", "left").fillna(0, ["raw", "target"])
@@ -103,7 +106,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs with the surface counts, llr double and kept boolean."""
     ratios = [r for _, r in sorted(log_ratios(docs, labels).select("bucket", "ratio").collect())]  # always 2**16 values
     table = F.from_json(F.lit(json.dumps(ratios)), "array<double>")  # a constant: parsed once
-    out = _settled(surface(docs.drop("llr", "kept")), _grams=n_grams(F.col("_words")))
+    out = _settled(surface(docs.drop("llr", "kept")), _grams=n_grams(F.col("_hashes")))
     total = F.aggregate("_grams", F.lit(0.0), lambda a, b: a + F.get(table, b))
     out = _settled(out, llr=F.when(F.col("n_words") > 0, total / F.size("_grams")).otherwise(0.0))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= THRESHOLD)).drop("_words", "_grams")
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= THRESHOLD)).drop("_hashes", "_grams")
