@@ -37,7 +37,7 @@ ORDER = 5
 BITS = 9
 END, BEGIN = 256, 257
 SYMBOLS = 257
-TABLE = 1 << 20
+TABLE = 1 << 19
 HELD = 1_500_000  # entries that a task sums up before it passes them on
 _END_WORD = -1  # the end token's key
 
@@ -111,7 +111,7 @@ class Lookup:
     """An open-addressed table from 64-bit keys to values, probed for whole arrays."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        bits = max(4, int(4 * max(1, len(keys)) - 1).bit_length())
+        bits = max(4, int(2 * max(1, len(keys)) - 1).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
         self.keys, self.values, self.used = np.zeros(1 << bits, np.int64), np.zeros(1 << bits), np.zeros(1 << bits, bool)
         slot, left = self._slot(keys), np.arange(len(keys))
