@@ -221,10 +221,26 @@ def string_scores(counts: DataFrame, order: int = ORDER) -> DataFrame:
     return met.unionByName(left.select("key", "every", F.coalesce("value", floor).alias("value")))
 
 
+def _blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            pair = [np.ascontiguousarray(batch.column(k).to_numpy()).tobytes() for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in pair], names=["keys", "values"])
+
+
 def _frequent(df: DataFrame) -> Lookup:
-    """The TABLE most frequent rows of df (key, every, value)."""
-    rows = df.orderBy(F.desc("every"), "key").limit(TABLE).select("key", "value").toPandas()
-    return Lookup(rows["key"].to_numpy(np.int64), rows["value"].to_numpy(float))
+    """The most frequent rows of df (key, every, value), at most TABLE of them: whole quarter octaves of frequency."""
+    octave = F.floor(F.log2("every") * 4)
+    sizes = sorted(df.groupBy(octave.alias("o")).count().collect(), reverse=True)  # at most 256 rows
+    least, held = 1 << 20, 0
+    for o, n in sizes:
+        held += n
+        if held > TABLE:
+            break
+        least = o
+    rows = df.where(octave >= least).select("key", "value").mapInArrow(_blobs, "keys binary, values binary").toLocalIterator()
+    keys, values = zip(*rows) if (rows := list(rows)) else ((), ())
+    return Lookup(np.frombuffer(b"".join(map(bytes, keys)), np.int64), np.frombuffer(b"".join(map(bytes, values)), np.float64))
 
 
 def likelihoods(docs: DataFrame, held_out: Column) -> DataFrame:
