@@ -3,14 +3,15 @@
 The model is a trie of byte contexts of 0 to ORDER bytes with the counts of what followed
 them in the training texts, over 256 bytes and an end mark; texts are padded with begin
 marks. A symbol is predicted from the longest context met in training: there it has
-n / (t + d), t being the context's count and d the number of different symbols met, or the
-escape d / (t + d) is paid and the next shorter context is asked, without the symbols that
-the longer context had offered (symbol exclusion). Below the empty context the symbols
+(2n - 1) / 2t, t being the context's count and d the number of different symbols met, or
+the escape d / 2t is paid and the next shorter context is asked, without the symbols that
+the longer context had offered (symbol exclusion). Shorter contexts count a symbol once for
+each different longer context that it followed. Below the empty context the symbols
 never met share what is left. ORDER bytes of context make a symbol's probability a
 function of ORDER + 1 bytes, so it is worked out once per distinct string of that length:
 
 1. One pass counts strings of ORDER + 1 symbols and words, summed in each task first.
-2. Strings met in training take n / (t + d) from their context. Strings of other texts go
+2. Strings met in training take their value from their context. Strings of other texts go
    down the orders by joins with the tables of nodes and contexts.
 3. A second pass sums each document's values. The TABLE most frequent strings and words
    are broadcast (a fixed number of rows); what a document has of the rest is joined.
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import Words, list_array, spans, texts_of, written
 
-ORDER = 5
+ORDER = 6
 BITS = 9
 END, BEGIN = 256, 257
 SYMBOLS = 257
@@ -187,12 +188,12 @@ def string_scores(counts: DataFrame, order: int = ORDER) -> DataFrame:
     """(key, every, value): log10 of the model's probability for each counted string (key, trained, every)."""
     nodes = {order: counts.where("trained > 0").select(F.col("key").alias("code"), F.col("trained").alias("n"))}
     for k in range(order - 1, -1, -1):
-        nodes[k] = written(nodes[k + 1].groupBy(prefix(F.col("code"), k).alias("code")).agg(F.sum("n").alias("n")))
+        nodes[k] = written(nodes[k + 1].groupBy(prefix(F.col("code"), k).alias("code")).agg(F.count("*").alias("n")))
     contexts = {k: nodes[k].groupBy(context(F.col("code")).alias("c")).agg(F.sum("n").alias("t"), F.count("*").alias("d")) for k in nodes}
     contexts[order] = written(contexts[order])
 
     top = counts.where("trained > 0").join(contexts[order], context(F.col("key")) == F.col("c"))
-    met = top.select("key", "every", F.log10(F.col("trained") / (F.col("t") + F.col("d"))).alias("value"))
+    met = top.select("key", "every", F.log10((2 * F.col("trained") - 1) / (2 * F.col("t"))).alias("value"))
 
     # Strings that training did not meet: down the orders. paid: escapes so far; above_*: what the longer context offered.
     no = F.lit(None).cast("long")
@@ -213,8 +214,8 @@ def string_scores(counts: DataFrame, order: int = ORDER) -> DataFrame:
             at = at.withColumn("next_t", no)
         seen, open_ = F.col("t").isNotNull(), F.col("value").isNull()
         different = F.col("d") - F.col("above_d")
-        whole = (F.col("t") - F.col("above_t") + different).cast("double")
-        value = F.when(open_ & seen & F.col("n").isNotNull(), F.col("paid") + F.log10(F.col("n") / whole)).otherwise(F.col("value"))
+        whole = (2 * (F.col("t") - F.col("above_t"))).cast("double")
+        value = F.when(open_ & seen & F.col("n").isNotNull(), F.col("paid") + F.log10((2 * F.col("n") - 1) / whole)).otherwise(F.col("value"))
         paid = F.when(open_ & seen & (different > 0), F.col("paid") + F.log10(different / whole)).otherwise(F.col("paid"))
         left = written(at.select("key", "every", paid.alias("paid"), value.alias("value"), F.when(seen, F.col("d")).otherwise(F.col("above_d")).alias("above_d"), F.coalesce("next_t", F.lit(0)).cast("long").alias("above_t")))
     floor = F.col("paid") - F.log10((SYMBOLS - F.col("above_d")).cast("double"))
