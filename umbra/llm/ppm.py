@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import Words, list_array, spans, texts_of, written
 
-ORDER = 6
+ORDER = 5
 BITS = 9
 END, BEGIN = 256, 257
 SYMBOLS = 257
