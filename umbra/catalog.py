@@ -2,5 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from .plans import columns, dialogue, governance, ingestion, media, privacy, retrieval
+
+_PARTS = (privacy, governance, columns, retrieval, ingestion, dialogue, media)
+
+QUERIES: dict = {k: f for part in _PARTS for k, f in part.QUERIES.items()}
+ORACLES: dict[str, str] = {k: q for part in _PARTS for k, q in part.ORACLES.items()}
