@@ -22,7 +22,7 @@ def duck():
 def plain(x):
     if x is None or (isinstance(x, float) and math.isnan(x)):
         return "null"
-    return f"{float(x):.6f}" if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)
+    return f"{float(x):.9g}" if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)
 
 
 def rows(names, values):

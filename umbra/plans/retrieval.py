@@ -38,7 +38,7 @@ _PAIRS = "select q.vec_id as q_id, c.vec_id as id, round(list_cosine_similarity(
 _TOP = lambda rows, score, k: f"select * from (select *, row_number() over (partition by q_id order by {score} desc, id) as rank from ({rows})) where rank <= {k}"
 _WORDS = "with w as (select doc_id as id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) as word from documents), q as (select doc_id as q_id, regexp_extract(lower(text), '[\\p{L}\\p{N}_]+') as word from documents where doc_id % 100 = 0)"
 _MATCH = f"{_WORDS} select q_id, id, count(*) as n_hits from w join q using (word) group by 1, 2"
-_HYBRID = f"""select q_id, id, round(coalesce(similarity, 0) * 0.7 + coalesce(text_rank, 0) * 0.3, 6) as score from ({_TOP(_PAIRS, 'similarity', 20)[:-len(' where rank <= 20')]} where rank <= 20) v
+_HYBRID = f"""select q_id, id, round(coalesce(similarity, 0) * 0.7 + coalesce(text_rank, 0) * 0.3, 8) as score from ({_TOP(_PAIRS, 'similarity', 20)[:-len(' where rank <= 20')]} where rank <= 20) v
     full outer join ({_TOP(f"select q_id, id, n_hits * 0.1::double as text_rank from ({_MATCH})", 'text_rank', 10)}) t using (q_id, id)"""
 
 ORACLES = {
