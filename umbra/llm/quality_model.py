@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, grams, spans, texts_of, written
+from .common import Words, grams, lowest, spans, texts_of, written
 
 TRAIN_ROWS = 20_000
 BINS, PAIR_BINS, PAIRS = 32, 8, 8
@@ -198,7 +198,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, held_out: Column) -> Data
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     table = written(rows.mapInArrow(_features, f"doc_id {kind}, " + ", ".join(f"{f} double" for f in FEATURES)).withColumn("held_out", held_out))
     marks = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("_quality"))
-    known = table.where("not held_out").join(marks, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", *FEATURES).limit(TRAIN_ROWS).toPandas()
+    known = table.where("not held_out").join(marks, "doc_id")
+    known = lowest(known.withColumn("_hash", F.xxhash64("doc_id")), TRAIN_ROWS).orderBy("_hash", "doc_id", *FEATURES).limit(TRAIN_ROWS).toPandas()
     model = fit(known[list(FEATURES)].to_numpy(float), (known["_quality"].to_numpy() > 0).astype(float))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
