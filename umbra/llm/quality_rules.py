@@ -33,11 +33,14 @@ LABEL_ROWS = 2_000_000  # labels up to this count are broadcast (about 16 MB)
 SYMBOLS = "[#*$%&|<>]"
 
 
-def n_grams(hashes: Column) -> Column:
-    """Buckets of the words and word pairs of an array of word hashes."""
-    bucket = lambda h: F.shiftrightunsigned(h, 64 - BUCKET_BITS).cast("int")
-    pairs = F.when(F.size(hashes) > 1, F.transform(F.sequence(F.lit(0), F.size(hashes) - 2), lambda i: bucket(F.xxhash64(F.get(hashes, i), F.get(hashes, i + 1)))))
-    return F.concat(F.transform(hashes, bucket), F.coalesce(pairs, F.array().cast("array<int>")))
+def bucket(h: Column) -> Column:
+    return F.shiftrightunsigned(h, 64 - BUCKET_BITS).cast("int")
+
+
+def mean_ratio(words: Column, pairs: Column, table: Column) -> Column:
+    """Mean of the table's entries for arrays of hashes of words and word pairs (null: none)."""
+    total = lambda hashes: F.aggregate(hashes, F.lit(0.0), lambda a, h: a + F.get(table, bucket(h)))
+    return (total(words) + F.coalesce(total(pairs), F.lit(0.0))) / (2 * F.size(words) - 1)
 
 
 def repeated_words(placed: Column) -> Column:
@@ -60,16 +63,13 @@ def _settled(df: DataFrame, **columns: Column) -> DataFrame:
     return df
 
 
-def word_hashes(text: Column) -> Column:
-    return F.transform(word_array(text), lambda w: F.xxhash64(w))
-
-
 def surface(docs: DataFrame) -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and the helper column _hashes (of the words)."""
+    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and the helper columns _hashes and _pairs (of words and word pairs)."""
     text = blank(F.col("text"))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
-    at = lambda i, k: F.get(F.col("_hashes"), i + k)
-    windows = F.when(F.size("_hashes") >= WINDOW, F.transform(F.sequence(F.lit(0), F.size("_hashes") - WINDOW), lambda i: F.xxhash64(*(at(i, k) for k in range(WINDOW)))))
+    n = F.size("_hashes")
+    pairs = F.when(n > 1, F.transform(F.slice("_hashes", F.lit(1), n - 1), lambda h, i: F.xxhash64(h, F.get("_hashes", i + 1))))
+    windows = F.when(n >= WINDOW, F.transform(F.slice("_pairs", F.lit(1), n - WINDOW + 1), lambda h, i: F.xxhash64(h, F.get("_pairs", i + 2), F.get("_hashes", i + WINDOW - 1))))
     out = _settled(docs.drop("_words", "_lines"), _words=word_array(text), _lines=lines)
     out = out.withColumns({
         "n_words": F.size("_words").cast("long"),
@@ -78,6 +78,7 @@ def surface(docs: DataFrame) -> DataFrame:
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
     })
     out = _settled(out.drop("_hashes"), _hashes=F.transform("_words", lambda w: F.xxhash64(w))).drop("_words", "_lines")
+    out = _settled(out.drop("_pairs"), _pairs=pairs)
     out = _settled(out, _windows=windows)
     repeated = F.size("_windows") > F.size(F.array_distinct("_windows"))
     placed = F.when(repeated, F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("p")))))
@@ -92,8 +93,12 @@ def log_ratios(docs: DataFrame, labels: DataFrame) -> DataFrame:
     trusted = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("_trusted")).distinct()
     trusted = small_or_shuffled(trusted, LABEL_ROWS)
     own = docs.select("doc_id", blank(F.col("text")).alias("text")).join(trusted, F.col("doc_id") == F.col("_trusted"), "left")
-    own = _settled(own.select(F.col("_trusted").isNotNull().cast("long").alias("good"), "text"), hashes=word_hashes(F.col("text")))
-    counts = own.select("good", F.explode(n_grams(F.col("hashes"))).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("good").alias("target"))
+    own = _settled(own.select(F.col("_trusted").isNotNull().cast("long").alias("good"), "text"), words=word_array(F.col("text")))
+    placed = own.select("good", "words", F.posexplode("words").alias("at", "word"))
+    word, after = F.xxhash64("word"), F.get("words", F.col("at") + 1)
+    pair = F.when(after.isNotNull(), F.xxhash64(word, F.xxhash64(after)))
+    grams = placed.select("good", F.explode(F.array(bucket(word), bucket(pair))).alias("bucket")).where("bucket is not null")
+    counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("good").alias("target"))
     size = 1 << BUCKET_BITS
     every = docs.sparkSession.range(size).select(F.col("id").cast("int").alias("bucket"))
     filled = every.join(counts, "bucket", "left").fillna(0, ["raw", "target"])
@@ -106,7 +111,6 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs with the surface counts, llr double and kept boolean."""
     ratios = [r for _, r in sorted(log_ratios(docs, labels).select("bucket", "ratio").collect())]  # always 2**16 values
     table = F.from_json(F.lit(json.dumps(ratios)), "array<double>")  # a constant: parsed once
-    out = _settled(surface(docs.drop("llr", "kept")), _grams=n_grams(F.col("_hashes")))
-    total = F.aggregate("_grams", F.lit(0.0), lambda a, b: a + F.get(table, b))
-    out = _settled(out, llr=F.when(F.col("n_words") > 0, total / F.size("_grams")).otherwise(0.0))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= THRESHOLD)).drop("_hashes", "_grams")
+    out = surface(docs.drop("llr", "kept"))
+    out = _settled(out, llr=F.when(F.col("n_words") > 0, mean_ratio(F.col("_hashes"), F.col("_pairs"), table)).otherwise(0.0))
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= THRESHOLD)).drop("_hashes", "_pairs")
