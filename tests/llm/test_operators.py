@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 from math import log10
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -262,3 +263,16 @@ def test_pipeline(spark):
         own = shingles((r.text or "").encode())
         assert not any(x and 100 * len(x & own) >= 75 * len(x) for x in bench.values())
     assert {r.doc_id for r in corpus_pipeline.run(spark, FOLDER).select("doc_id").distinct().collect()} == {r.doc_id for r in kept.select("doc_id").collect()}
+
+
+@pytest.mark.parametrize("name", sorted(Q.oracle_sql()))
+def test_same_as_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"create view {t} as select * from '{FOLDER}/{t}.parquet'")
+    want = con.execute(Q.oracle_sql()[name])
+    names = [c[0] for c in want.description]
+    got = Q.queries()[name](spark, FOLDER)
+    assert sorted(got.columns) == sorted(names)
+    found = [tuple(r) for r in got.select(*names).collect()]
+    assert sorted(found) == sorted(want.fetchall()) and found

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import sql
 from .common import held_out
 from .decontaminate import contained_items
 from .extract import main_texts
@@ -78,4 +79,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    leaves = topology(16)
+    return {"op10_minhash_containment": sql.CONTAINMENT, "op3_minhash_near_dedup": sql.NEAR_DEDUP, "op5_fm_index_substrings": sql.SUBSTRINGS, "op7_hash_tree_sharding": sql.sharding(leaves, grown(leaves))}
