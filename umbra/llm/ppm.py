@@ -25,6 +25,7 @@ repeated doc_id are scored one by one. Further columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -196,13 +197,15 @@ def string_scores(counts: DataFrame, order: int = ORDER) -> DataFrame:
     met = top.select("key", "every", F.log10((2 * F.col("trained") - 1) / (2 * F.col("t"))).alias("value"))
 
     # Strings that training did not meet: down the orders. paid: escapes so far; above_*: what the longer context offered.
+    # A string is let go at the order that knows its last symbol, so fewer go on to each next one.
     no = F.lit(None).cast("long")
-    left = counts.where("trained = 0").select("key", "every", F.lit(0.0).alias("paid"), no.cast("double").alias("value"), F.lit(0).cast("long").alias("above_d"), F.lit(0).cast("long").alias("above_t"))
-    left = written(left)
+    left = counts.where("trained = 0").select("key", "every", F.lit(0.0).alias("paid"), F.lit(0).cast("long").alias("above_d"), F.lit(0).cast("long").alias("above_t"))
+    done = [met]
     for k in range(order, -1, -1):
         own = nodes[k].select(F.col("code").alias("_code"), "n")
         wanted = left.withColumns({"_own": prefix(F.col("key"), k), "_c": context(prefix(F.col("key"), k))})
-        at = wanted.join(contexts[k], F.col("_c") == F.col("c"), "left").join(own, F.col("_own") == F.col("_code"), "left")
+        at = wanted.join(contexts[k], F.col("_c") == F.col("c"), "left")
+        at = at.join(own, F.col("_own") == F.col("_code"), "left") if k < order else at.withColumn("n", no)
         if k:
             # What each context's symbols count in the next shorter context, for contexts that are asked for.
             asked = left.select(context(prefix(F.col("key"), k)).alias("c")).distinct()
@@ -212,14 +215,16 @@ def string_scores(counts: DataFrame, order: int = ORDER) -> DataFrame:
             at = at.join(offered, F.col("_c") == F.col("_x"), "left")
         else:
             at = at.withColumn("next_t", no)
-        seen, open_ = F.col("t").isNotNull(), F.col("value").isNull()
+        seen, known = F.col("t").isNotNull(), F.col("n").isNotNull()
         different = F.col("d") - F.col("above_d")
         whole = (2 * (F.col("t") - F.col("above_t"))).cast("double")
-        value = F.when(open_ & seen & F.col("n").isNotNull(), F.col("paid") + F.log10((2 * F.col("n") - 1) / whole)).otherwise(F.col("value"))
-        paid = F.when(open_ & seen & (different > 0), F.col("paid") + F.log10(different / whole)).otherwise(F.col("paid"))
-        left = written(at.select("key", "every", paid.alias("paid"), value.alias("value"), F.when(seen, F.col("d")).otherwise(F.col("above_d")).alias("above_d"), F.coalesce("next_t", F.lit(0)).cast("long").alias("above_t")))
+        paid = F.when(known, F.col("paid") + F.log10((2 * F.col("n") - 1) / whole)).when(seen & (different > 0), F.col("paid") + F.log10(different / whole)).otherwise(F.col("paid"))
+        here = written(at.select("key", "every", paid.alias("paid"), F.when(seen, F.col("d")).otherwise(F.col("above_d")).alias("above_d"), F.coalesce("next_t", F.lit(0)).cast("long").alias("above_t"), known.alias("known")))
+        done.append(here.where("known").select("key", "every", F.col("paid").alias("value")))
+        left = here.where("not known").drop("known")
     floor = F.col("paid") - F.log10((SYMBOLS - F.col("above_d")).cast("double"))
-    return met.unionByName(left.select("key", "every", F.coalesce("value", floor).alias("value")))
+    done.append(left.select("key", "every", floor.alias("value")))
+    return reduce(DataFrame.unionByName, done)
 
 
 def _blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
