@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import Words, list_array, spans, texts_of, written
 
-ORDER = 5
+ORDER = 6
 BITS = 9
 END, BEGIN = 256, 257
 SYMBOLS = 257
