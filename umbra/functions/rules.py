@@ -65,3 +65,33 @@ STRUCTURE = r"^제\s*[0-9]+\s*조(\s*의\s*[0-9]+)?(?![\p{L}\p{N}_])|^제\s*[0-9
 ARTICLE = r"^제\s*[0-9]+\s*조(\s*의\s*[0-9]+)?"
 SENTENCE_END = r"[.!?」’)\]}]$|[다함됨임]\.$"
 TOP_SHARE, BOTTOM_SHARE, REPEAT_SHARE = 0.08, 0.92, 0.35
+
+# Account numbers: bank codes, digits of the accounts of a bank, leading digits of accounts.
+BANK_CODES = "001 002 003 004 005 006 007 010 011 012 020 021 022 023 024 025 026 027 031 032 034 035 037 039 045 048 050 054 055 057 060 064 071 081 083 088 089 090 092 209 218 230 240 243 247 261 262 263 264 265 266 267 269 270 278 279 280 287 290 291 292".split()
+ACCOUNT_DIGITS = {
+    "003": (11, 14), "004": (10, 11, 12, 14), "007": (11, 12, 14), "010": (11, 12, 13), "011": (13,), "012": (13,), "020": (13,), "023": (11,), "027": (12,), "031": (12,), "032": (13,),
+    "034": (13,), "035": (10, 12), "037": (13,), "039": (13,), "071": (14,), "081": (14,), "088": (11, 12), "089": (12,), "090": (13,), "092": (13, 14),
+}
+ACCOUNT_PREFIXES = "3333 1000 1002 1005 1006 100 110 140 150 230 223 301 302 312 351 352 356 9 5 01 3".split()
+SPECIAL_ACCOUNT = "^9[0-9]{10}$"
+STRICT_MOBILE = "^01[016789]-?[0-9]{3,4}-?[0-9]{4}$"
+
+# Names by context.
+NAME_LABELS = ("성명", "한글성명", "이름")
+NOT_NAMES = ("성명", "생년월일", "주소", "연락처", "이메일", "학점", "지원분야", "경력여부")
+NAME_AFTER_LABEL = r"(?:이름|성명|성함)[은는이가\s]*[:\s]\s*([가-힣]{2,4})(?=[이가은는을를]|\s|[.,]|$)"
+NAME_AFTER_NAME = r"Name\s*[:]\s*([가-힣a-zA-Z]{2,20})"
+NAME_STOPS = "이가은는을를의에와과로도만씨님군양장"
+
+# Column dictionaries.
+DICTIONARY_HEADERS = ("영문약어", "한글명", "영문풀네임", "설명", "PI여부")
+
+# Answer checks: codes of the issues are the library's own.
+INCOMPLETE = r"(?i)\.\.\.$|^\.\.\.|죄송.*?답변.*?없|정보.*?없.*?제공"
+INCOMPLETE_ALLOWED = ("자료 없음", "찾을 수 없")
+ERRORS, ERROR_ALLOWED = "(?i)error|오류|exception|실패|failed", ("오류 없", "error.*?없")
+ANSWER_LENGTHS = (10, 5000)
+
+# Chunks of a fixed length.
+CHUNK, CHUNK_REACH, CHUNK_OVERLAP, CHUNK_LEAST = 800, 100, 150, 50
+CHUNK_ENDS = ".。\n!?"

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions import rules
+
 MOBILE_PREFIXES = ("010", "011", "016", "017", "018", "019", "050")
 
 
@@ -64,3 +66,29 @@ def n_grams(v: Column, wanted: tuple[str, ...]) -> dict[str, Column]:
     every = lambda n: F.when(F.length(v) >= n, F.transform(F.sequence(F.lit(1), F.length(v) - n + 1), lambda i: F.substring(v, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
     count = lambda g: F.size(F.filter(every(len(g)), lambda x: x == F.lit(g))).cast("long")
     return {f"gram_{g}": count(g) for g in wanted}
+
+
+def accounts(v: Column) -> dict[str, Column]:
+    """Whether a value looks like an account number of a bank, or like a phone number."""
+    bare = F.replace(v, F.lit("-"), F.lit(""))
+    head, n = F.substring(bare, 1, 3), F.length(bare)
+    numeric = bare.rlike("^[0-9]{3}")
+    bank, mobile = numeric & head.isin(*rules.BANK_CODES), numeric & head.isin(*MOBILE_PREFIXES)
+    usual = F.lit(False)
+    for code, digits in rules.ACCOUNT_DIGITS.items():
+        usual = usual | ((head == code) & n.isin(*digits))
+    special = bare.rlike(rules.SPECIAL_ACCOUNT)
+    prefixed = bare.rlike("^(" + "|".join(rules.ACCOUNT_PREFIXES) + ")")
+    return {
+        "starts_with_bank_code": _flag(bank | special),
+        "is_suspicious_01X": F.when(bank & mobile, F.when(n >= 12, -1.0).otherwise(1.0)).otherwise(0.0),
+        "bank_structure_score": F.when(numeric & usual, 1.0).when(numeric & head.isin(*rules.ACCOUNT_DIGITS), 0.5).when(bank, 0.8).otherwise(0.0),
+        "starts_with_acct_prefix": _flag(numeric & prefixed), "is_special_acct_pattern": _flag(special),
+    }
+
+
+def hyphens(v: Column) -> dict[str, Column]:
+    """Digits between hyphens of three-part numbers."""
+    three = v.rlike("^[0-9]+-[0-9]+-[0-9]+$")
+    part = lambda k: F.when(three, F.length(F.get(F.split(v, "-"), F.lit(k)))).otherwise(0).cast("double")
+    return {"is_strict_mobile_format": _flag(v.rlike(rules.STRICT_MOBILE)), "no_letters_in_acn": _flag(v.rlike("^[0-9-]+$"))} | {f"hyphen_structure_{k + 1}": part(k) for k in range(3)}

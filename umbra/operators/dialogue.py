@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.text import words
+from ..functions.text import strip, words
 
 
 def last_messages(turns: DataFrame, n: int = rules.MESSAGES) -> DataFrame:
@@ -79,3 +82,40 @@ def counter(left: Column, right: Column) -> Column:
 def merged_memory(left: Column, right: Column) -> Column:
     """Values of both maps by key, without repeats, ordered."""
     return F.map_zip_with(left, right, lambda _, a, b: F.array_sort(F.array_union(F.coalesce(a, F.array().cast("array<string>")), F.coalesce(b, F.array().cast("array<string>")))))
+
+
+def plain_text(answer: Column) -> Column:
+    """An answer without marks of emphasis, code, headings, links and strike-through."""
+    for pattern, kept in (
+        (r"\*\*(.+?)\*\*", "$1"), (r"__(.+?)__", "$1"), (r"(?<!\*)\*(?!\*)(.+?)(?<!\*)\*(?!\*)", "$1"), (r"(?<!_)_(?!_)(.+?)(?<!_)_(?!_)", "$1"),
+        (r"`(.+?)`", "$1"), (r"(?m)^#+\s+", ""), (r"\[(.+?)\]\(.+?\)", "$1"), (r"~~(.+?)~~", "$1"),
+    ):
+        answer = F.regexp_replace(answer, pattern, kept)
+    return strip(answer)
+
+
+def answer_issues(question: Column, answer: Column) -> Column:
+    """Codes of what is wrong with an answer, in order; none for an empty one."""
+    n, (least, most) = F.length(strip(answer)), rules.ANSWER_LENGTHS
+    allowed = lambda text, parts: reduce(or_, (text.contains(p) for p in parts))
+    sentences = F.split(answer, "[.]", -1)
+    distinct = F.array_distinct(F.filter(F.transform(sentences, lambda x: F.lower(strip(x))), lambda x: x != ""))
+    checks = (
+        ("too_short", n < least), ("too_long", n > most), ("incomplete", answer.rlike(rules.INCOMPLETE) & ~allowed(answer, rules.INCOMPLETE_ALLOWED)),
+        ("error", answer.rlike(rules.ERRORS) & ~allowed(F.lower(answer), rules.ERROR_ALLOWED)), ("repeats", F.size(sentences) > 1.5 * F.size(distinct)),
+        ("off_topic", (F.size(words(question)) > 0) & (overlap(question, answer) < 0.2)),
+    )
+    found = F.filter(F.array(*(F.when(test, code) for code, test in checks)), lambda x: x.isNotNull())
+    return F.when(answer != "", found).otherwise(F.array().cast("array<string>"))
+
+
+def result_note(result: Column) -> Column:
+    """What a query result's text is followed by: its lines and numbers; results under ten characters have no note."""
+    lines = F.size(F.filter(F.split(strip(result), "\n"), lambda x: strip(x) != ""))
+    numbers = F.regexp_count(result, F.lit("[0-9]+"))
+    rows = F.when(lines == 1, F.format_string("[단일 결과: %d개 행]", lines)).otherwise(F.format_string("[조회 결과: %d개 행]", lines))
+    return F.when(F.length(strip(result)) >= 10, F.concat(rows, F.when(numbers > 0, F.format_string(" [수치 데이터 포함: %d개 숫자]", numbers)).otherwise("")))
+
+
+def overall_confidence(accuracy: Column, completeness: Column, certainty: Column) -> Column:
+    return 0.4 * accuracy + 0.3 * completeness + 0.3 * certainty

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import rules
 from ..operators import columns as C
 from ..sources.derived import as_sql, view
 
@@ -36,8 +37,16 @@ QUERIES = {
     "col_features_pattern": _features(C.patterns),
     "col_features_shape": _features(lambda v: {k: F.round(c, 6) if k == "hyphen_position_ratio" else c for k, c in C.names_and_shapes(v).items()}),
     "col_features_ngrams": _features(lambda v: C.n_grams(v, _GRAMS)),
+    "col_features_bank": _features(C.accounts),
+    "col_features_hyphen": _features(C.hyphens),
 }
 
+_HEAD, _IN = "substr(replace(v, '-', ''), 1, 3)", lambda values: "(" + ", ".join(f"'{x}'" for x in values) + ")"
+_NUMERIC = "regexp_matches(replace(v, '-', ''), '^[0-9]{3}')"
+_BANK, _SPECIAL = f"({_NUMERIC} and {_HEAD} in {_IN(rules.BANK_CODES)})", f"regexp_matches(replace(v, '-', ''), '{rules.SPECIAL_ACCOUNT}')"
+_USUAL = "(" + " or ".join(f"({_HEAD} = '{k}' and {_BARE} in ({', '.join(map(str, x))}))" for k, x in rules.ACCOUNT_DIGITS.items()) + ")"
+_PART = lambda k: f"case when regexp_matches(v, '^[0-9]+-[0-9]+-[0-9]+$') then len(split_part(v, '-', {k})) else 0 end::double"
+
 ORACLES = {
     "col_features_basic": _sql({"length": "cast(len(v) as bigint)", "num_digits": _N("[0-9]"), "num_letters": _N("[a-zA-Z가-힣]"), "num_special": _N("[^a-zA-Z0-9가-힣\\s]"), "num_spaces": _N("\\s"), "num_hyphens": _N("-"), "num_dots": _N("\\."), "num_at": _N("@"), "num_colons": _N(":")}),
     "col_features_ratio": _sql({f"{k}_ratio": f"round({_N(p)} / greatest(len(v), 1)::double, 6)" for k, p in (("digit", "[0-9]"), ("letter", "[a-zA-Z가-힣]"), ("special", "[^a-zA-Z0-9가-힣\\s]"))}),
@@ -54,5 +63,11 @@ ORACLES = {
         "starts_with_digit": _IF("^[0-9]"), "ends_with_digit": _IF("[0-9]$"), "starts_with_letter": _IF("^\\p{L}"), "hyphen_position_ratio": "case when contains(v, '-') then round((strpos(v, '-') - 1) / greatest(len(v), 1)::double, 6) else 0.0::double end",
         "has_multiple_hyphens": _WHEN(f"{_N('-')} >= 2"), "starts_with_mobile_prefix": _WHEN("substr(v, 1, 3) in ('010', '011', '016', '017', '018', '019', '050')"), "max_consecutive_digits": _LONGEST("[0-9]+"), "max_consecutive_letters": _LONGEST("[a-zA-Z가-힣]+"),
     }),
+    "col_features_bank": _sql({
+        "starts_with_bank_code": _WHEN(f"{_BANK} or {_SPECIAL}"), "is_suspicious_01X": f"case when {_BANK} and {_HEAD} in {_IN(C.MOBILE_PREFIXES)} then case when {_BARE} >= 12 then -1.0 else 1.0 end else 0.0 end::double",
+        "bank_structure_score": f"case when {_NUMERIC} and {_USUAL} then 1.0 when {_NUMERIC} and {_HEAD} in {_IN(rules.ACCOUNT_DIGITS)} then 0.5 when {_BANK} then 0.8 else 0.0 end::double",
+        "starts_with_acct_prefix": _WHEN(_NUMERIC + " and (" + " or ".join(f"starts_with(replace(v, '-', ''), '{p}')" for p in rules.ACCOUNT_PREFIXES) + ")"), "is_special_acct_pattern": _WHEN(_SPECIAL),
+    }),
+    "col_features_hyphen": _sql({"is_strict_mobile_format": _IF(rules.STRICT_MOBILE), "no_letters_in_acn": _IF("^[0-9-]+$")} | {f"hyphen_structure_{k}": _PART(k) for k in (1, 2, 3)}),
     "col_features_ngrams": _sql({f"gram_{g}": f"cast(len(list_filter(range(1, len(v) - {len(g)} + 2), lambda i: substr(v, i, {len(g)}) = '{g}')) as bigint)" for g in _GRAMS}),
 }

@@ -8,6 +8,7 @@ from ..operators import dialogue as C
 from ..sources.derived import view
 
 _QUESTIONS = ("DB 말고 파일서버 이슈", "파일 말고 DB서버 현황", "어떤 법령을 위반하는지 파일 기준으로", "어떤 규정이 있나요", "제15조 내용", "65조는?", "파일서버 이슈 개수", "db서버 관련 규정", "개인정보 보호 지침", "매출 통계", "count rows", "안녕하세요")
+_MARKED = ("**굵게** 와 *기울임*", "# 제목\n본문 `코드`", "[이름](http://x) ~~지움~~ __둘__ _하나_", "그대로 2 * 3", "")
 _REPLIES = ("관련성 점수: 0.85", "관련성 여부: 예", "총평\n점수: 7\n점수: 0.1", "점수: 없음", "")
 
 
@@ -32,10 +33,15 @@ QUERIES = {
     "score_parse": lambda s, d: s.sql(f"select * from {_values(_REPLIES)}").select("id", C.score_of(F.col("txt")).alias("score")),
     "routes": lambda s, d: _states(s, d).select("o_orderkey", C.after_question(F.col("kind")).alias("after_question"), C.after_relevance(F.col("flag"), F.col("score"), F.col("retries")).alias("after_relevance"), C.after_grounding(F.col("flag"), F.col("score"), F.col("retries")).alias("after_grounding")),
     "counter_reducer": lambda s, d: view(s, d, "orders").selectExpr("o_orderkey", "cast(o_orderkey % 4 as int) as l", "cast(o_custkey % 3 as int) as r").select("o_orderkey", C.counter(F.col("l"), F.col("r")).alias("n")),
+    "markdown_plain": lambda s, d: s.sql(f"select * from {_values(_MARKED)}").select("id", C.plain_text(F.col("txt")).alias("txt")),
+    "output_issues": lambda s, d: C.answers(view(s, d, "conversations")).select("conv_id", "turn", F.array_join(C.answer_issues(F.col("question"), F.col("answer")), ",").alias("issues")),
+    "result_note": lambda s, d: view(s, d, "conversations").select("conv_id", "turn", C.result_note(F.col("text")).alias("note")),
+    "overall_confidence": lambda s, d: view(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(C.overall_confidence(F.col("l_discount"), F.col("l_tax"), F.col("l_quantity") / 50), 6).alias("confidence")),
     "week_context": lambda s, d: view(s, d, "orders").select(F.to_date("o_orderdate").alias("day")).distinct().select("day", F.to_date(F.date_trunc("week", "day")).alias("monday"), F.date_add(F.to_date(F.date_trunc("week", "day")), 6).alias("sunday")),
 }
 
 _SENTENCES = "list_filter(list_transform(string_split_regex(text, '[.!?\\n]'), lambda x: trim(x)), lambda x: x <> '')"
+_STRIPPED = "regexp_replace(text, '^\\s+|\\s+$', '', 'g')"
 _Q = "list_distinct(regexp_extract_all(lower(q), '[\\p{L}\\p{N}_]+'))"
 
 ORACLES = {
@@ -50,5 +56,16 @@ ORACLES = {
         case when flag and score >= 0.6 then 'rerank' when retries < 3 then 'vector_search' else 'generate_answer' end as after_relevance,
         case when flag and score >= 0.7 then 'multi_aspect_evaluation' when retries < 2 then 'generate_answer' else 'multi_aspect_evaluation' end as after_grounding from ({_STATES.format(c=_KIND)} orders)""",
     "counter_reducer": "select o_orderkey, cast(case when o_custkey % 3 = 0 then 0 when o_orderkey % 4 = 0 then o_custkey % 3 else greatest(o_orderkey % 4, o_custkey % 3) end as int) as n from orders",
+    "markdown_plain": "select * from (values (0, '굵게 와 기울임'), (1, '제목' || chr(10) || '본문 코드'), (2, '이름 지움 둘 하나'), (3, '그대로 2 * 3'), (4, '')) as t(id, txt)",
+    "output_issues": f"""with a as (select * from (select *, lag(text) over w as q, lag(role) over w as b from conversations window w as (partition by conv_id order by turn)) where role = 'assistant' and b = 'user'),
+        m as (select *, len({_STRIPPED}) as n, len(string_split(text, '.')) as parts, len(list_distinct(list_filter(list_transform(string_split(text, '.'), lambda x: lower(regexp_replace(x, '^\\s+|\\s+$', '', 'g'))), lambda x: x <> ''))) as own,
+            len(list_intersect({_Q}, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'))) / greatest(len({_Q}), 1)::double as o, len({_Q}) as nq from a)
+        select conv_id, turn, case when text = '' then '' else array_to_string(list_filter([case when n < 10 then 'too_short' end, case when n > 5000 then 'too_long' end,
+            case when (text like '%...' or text like '...%' or regexp_matches(text, '죄송.*?답변.*?없|정보.*?없.*?제공')) and not (contains(text, '자료 없음') or contains(text, '찾을 수 없')) then 'incomplete' end,
+            case when regexp_matches(lower(text), 'error|오류|exception|실패|failed') and not contains(text, '오류 없') then 'error' end,
+            case when parts > 1.5 * own then 'repeats' end, case when nq > 0 and o < 0.2 then 'off_topic' end], lambda x: x is not null), ',') end as issues from m""",
+    "result_note": f"""select conv_id, turn, case when len({_STRIPPED}) >= 10 then case when n = 1 then '[단일 결과: 1개 행]' else '[조회 결과: ' || n || '개 행]' end || case when k > 0 then ' [수치 데이터 포함: ' || k || '개 숫자]' else '' end end as note
+        from (select *, len(list_filter(string_split({_STRIPPED}, chr(10)), lambda x: regexp_matches(x, '\\S'))) as n, len(regexp_extract_all(text, '[0-9]+')) as k from conversations)""",
+    "overall_confidence": "select l_orderkey, l_linenumber, round(0.4 * l_discount + 0.3 * l_tax + 0.3 * (l_quantity / 50), 6) as confidence from lineitem",
     "week_context": "select distinct cast(o_orderdate as date) as day, cast(date_trunc('week', cast(o_orderdate as date)) as date) as monday, cast(date_trunc('week', cast(o_orderdate as date)) as date) + 6 as sunday from orders",
 }
