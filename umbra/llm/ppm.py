@@ -3,8 +3,8 @@
 The model is a trie of byte contexts of 0 to ORDER bytes with the counts of what followed
 them in the training texts, over 256 bytes and an end mark; texts are padded with begin
 marks. A symbol is predicted from the longest context met in training: there it has
-(2n - 1) / 2t, t being the context's count and d the number of different symbols met, or
-the escape d / 2t is paid and the next shorter context is asked, without the symbols that
+(n - g) / t, t being the context's count and d the number of different symbols met, or
+the escape gd / t is paid and the next shorter context is asked (GIVEN: g of the longest and of shorter contexts), without the symbols that
 the longer context had offered (symbol exclusion). Shorter contexts count a symbol once for
 each different longer context that it followed. Below the empty context the symbols
 never met share what is left. ORDER bytes of context make a symbol's probability a
@@ -35,8 +35,9 @@ from pyspark.sql import functions as F
 
 from .common import Words, list_array, spans, texts_of, written
 
-ORDER = 6
+ORDER = 5
 BITS = 9
+GIVEN = (0.25, 0.35)
 END, BEGIN = 256, 257
 SYMBOLS = 257
 TABLE = 1 << 19
@@ -194,7 +195,7 @@ def string_scores(counts: DataFrame, order: int = ORDER) -> DataFrame:
     contexts[order] = written(contexts[order])
 
     top = counts.where("trained > 0").join(contexts[order], context(F.col("key")) == F.col("c"))
-    met = top.select("key", "every", F.log10((2 * F.col("trained") - 1) / (2 * F.col("t"))).alias("value"))
+    met = top.select("key", "every", F.log10((F.col("trained") - GIVEN[0]) / F.col("t")).alias("value"))
 
     # Strings that training did not meet: down the orders. paid: escapes so far; above_*: what the longer context offered.
     # A string is let go at the order that knows its last symbol, so fewer go on to each next one.
@@ -217,8 +218,8 @@ def string_scores(counts: DataFrame, order: int = ORDER) -> DataFrame:
             at = at.withColumn("next_t", no)
         seen, known = F.col("t").isNotNull(), F.col("n").isNotNull()
         different = F.col("d") - F.col("above_d")
-        whole = (2 * (F.col("t") - F.col("above_t"))).cast("double")
-        paid = F.when(known, F.col("paid") + F.log10((2 * F.col("n") - 1) / whole)).when(seen & (different > 0), F.col("paid") + F.log10(different / whole)).otherwise(F.col("paid"))
+        whole, given = F.col("t") - F.col("above_t"), GIVEN[k < order]
+        paid = F.when(known, F.col("paid") + F.log10((F.col("n") - given) / whole)).when(seen & (different > 0), F.col("paid") + F.log10(given * different / whole)).otherwise(F.col("paid"))
         here = written(at.select("key", "every", paid.alias("paid"), F.when(seen, F.col("d")).otherwise(F.col("above_d")).alias("above_d"), F.coalesce("next_t", F.lit(0)).cast("long").alias("above_t"), known.alias("known")))
         done.append(here.where("known").select("key", "every", F.col("paid").alias("value")))
         left = here.where("not known").drop("known")
