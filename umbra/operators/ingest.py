@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+from operator import and_
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -68,3 +73,68 @@ def article_chunks(lines: DataFrame, doc: str = "doc") -> DataFrame:
     head = F.regexp_extract("line", rules.ARTICLE, 0)
     rows = lines.withColumn("_a", F.when(head != "", F.regexp_replace(head, r"\s", ""))).withColumn("chunk", F.count("_a").over(by)).where("chunk > 0")
     return rows.groupBy(doc, "chunk").agg(F.max("_a").alias("article"), F.count("*").alias("n_lines"), joined_in_order(F.col("ord"), F.col("line")).alias("text"))
+
+
+def _cut(text: str) -> list[tuple[int, str]]:
+    """(start, chunk): pieces of CHUNK characters, drawn out to the next sentence end near by, that overlap; short ones are left out."""
+    out, start, n = [], 0, len(text)
+    while start < n:
+        end = min(start + rules.CHUNK, n)
+        if end < n:
+            reach = text[end : end + rules.CHUNK_REACH]
+            end += next((k + 1 for k, c in enumerate(reach) if c in rules.CHUNK_ENDS), 0)
+        piece = text[start:end].strip()
+        if len(piece) < rules.CHUNK_LEAST:
+            start += rules.CHUNK
+            continue
+        out.append((start, piece))
+        start = end - rules.CHUNK_OVERLAP if end - rules.CHUNK_OVERLAP > start else end
+    return out
+
+
+def _cut_all(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for f in frames:
+        rows = [(doc, k + 1, start, chunk) for doc, text in zip(f["doc_id"], f["text"]) for k, (start, chunk) in enumerate(_cut(text))]
+        yield pd.DataFrame(rows, columns=["doc_id", "chunk", "start", "text"])
+
+
+def fixed_chunks(pages: DataFrame) -> DataFrame:
+    """(doc_id, chunk, start, page, text) of the joined pages (doc_id, page, text) of each document.
+
+    A chunk's page is the last one that begins at or before its start; pages are placed before blanks at the ends of the whole text are cut.
+    """
+    by = W.partitionBy("doc_id").orderBy("page")
+    places = pages.select("doc_id", "page", (F.sum(F.length("text") + 2).over(by) - F.length("text") - 2).alias("_from"))
+    whole = pages.groupBy("doc_id").agg(strip(joined_in_order(F.col("page"), F.col("text"), "\n\n")).alias("text"))
+    chunks = whole.mapInPandas(_cut_all, f"doc_id {pages.schema['doc_id'].dataType.simpleString()}, chunk int, start int, text string")
+    at = chunks.join(places, "doc_id").where("_from <= start").groupBy("doc_id", "chunk", "start", "text").agg(F.max("page").alias("page"))
+    return at.select("doc_id", "chunk", "start", "page", "text")
+
+
+def dictionary_entries(lines: DataFrame) -> DataFrame:
+    """(doc, block, abbr, korean, english, description, text): five-line records of column dictionaries; lines: doc, ord, line.
+
+    A block begins with five lines that hold all headers and ends before the next header or a line like `3.1`. Records
+    begin at an abbreviation that no abbreviation follows; what fits nowhere is skipped line by line.
+    """
+    by = W.partitionBy("doc").orderBy("ord")
+    n = len(rules.DICTIONARY_HEADERS)
+    near = F.collect_list("line").over(by.rowsBetween(0, n - 1))
+    holds = lambda h: F.exists(near, lambda x: x.contains(h))
+    header = reduce(and_, map(holds, rules.DICTIONARY_HEADERS)) & (F.size(near) == n)
+    rows = lines.withColumns({"_at": F.row_number().over(by), "_head": header})
+    rows = rows.withColumns({"block": F.count_if("_head").over(by), "_from": F.max(F.when(F.col("_head"), F.col("_at"))).over(by)}).where(F.col("_at") >= F.col("_from") + n)
+    section = F.max(F.col("line").rlike(r"^[0-9]+\.[0-9]+").cast("int")).over(W.partitionBy("doc", "block").orderBy("ord"))
+    rows = rows.withColumn("_gone", section).where("_gone = 0").groupBy("doc", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "line"))), lambda x: x["line"]).alias("l"))
+    abbr = lambda i: F.get("l", i).rlike("^[A-Z]{1,10}$")
+    zero = F.struct(F.lit(0).alias("next"), F.array().cast("array<int>").alias("picks"))
+
+    def step(done: Column, i: Column) -> Column:
+        pick = (i >= done["next"]) & abbr(i) & ~abbr(i + 1)
+        return F.struct(F.when(pick, i + n).otherwise(done["next"]).alias("next"), F.when(pick, F.concat(done["picks"], F.array(i))).otherwise(done["picks"]).alias("picks"))
+
+    picks = F.aggregate(F.sequence(F.lit(0), F.size("l") - n), zero, step, lambda x: x["picks"])
+    found = rows.where(F.size("l") >= n).select("doc", "block", "l", F.explode(picks).alias("i"))
+    field = {k: F.get("l", F.col("i") + j).alias(k) for j, k in enumerate(("abbr", "korean", "english", "description"))}
+    out = found.select("doc", "block", *field.values())
+    return out.withColumn("text", F.format_string("%s(%s)은 %s을 의미한다. 데이터베이스 표준 약어는 %s이다.", "korean", "english", "description", "abbr"))

@@ -23,6 +23,8 @@ QUERIES = {
     "header_footer": lambda s, d: I.without_margins(_blocks(s, d), _HEIGHT).select("doc_id", "ord"),
     "repeat_noise_removal": lambda s, d: I.without_repeated(_blocks(s, d)).groupBy("doc_id").agg(F.count("*").alias("n")),
     "soft_linebreak": lambda s, d: I.soft_breaks(_lines(s, d)),
+    "fixed_chunks": lambda s, d: I.fixed_chunks(I.page_texts(_blocks(s, d))),
+    "dictionary_entries": lambda s, d: I.dictionary_entries(view(s, d, "dict_lines")),
     "article_chunks": lambda s, d: I.article_chunks(view(s, d, "law_lines")),
 }
 
@@ -32,6 +34,8 @@ _TRIM = lambda x: f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
 _STRUCTURE = "^제\\s*[0-9]+\\s*조|^제\\s*[0-9]+\\s*항|^[①-⑩]|^\\(?[0-9]+\\)?[.)]\\s+\\S+|^(부칙|별표|별지)"
 _NORM = f"trim(lower(regexp_replace(regexp_replace(regexp_replace({_TRIM('text')}, '\\s+', ' ', 'g'), '^\\s*[-–—]?\\s*[0-9]+\\s*[-–—]?\\s*$', ''), '^(page\\s*)?[0-9]+\\s*(of\\s*[0-9]+)?$', '', 'i')))"
 
+_ENDS = "[.。\n!?]"
+
 ORACLES = {
     "page_text": f"select doc_id, page, string_agg(text, chr(10) order by ord) as text from {_BLOCKS} group by 1, 2",
     "header_footer": f"select doc_id, cast(ord as int) as ord from {_BLOCKS} where y1 > 0.08 * 22 and y0 < 0.92 * 22",
@@ -42,6 +46,21 @@ ORACLES = {
         f as (select *, before is null or line = '' or before = '' or regexp_matches(line, '{_STRUCTURE}') or regexp_matches(before, '[.!?」’)\\]}}]$') as fresh from b),
         g as (select *, sum(fresh::int) over (partition by doc_id order by ord) as part, case when not fresh and regexp_matches(before, '[A-Za-z0-9가-힣]$') and regexp_matches(line, '^[A-Za-z0-9가-힣]') then ' ' || line else line end as t from f)
         select doc_id, cast(part as bigint) as part, string_agg(t, '' order by ord) as text from g group by 1, 2""",
+    "fixed_chunks": f"""with recursive p as (select doc_id, page, string_agg(text, chr(10) order by ord) as text from {_BLOCKS} group by 1, 2),
+        places as (select doc_id, page, sum(len(text) + 2) over (partition by doc_id order by page) - len(text) - 2 as f from p),
+        t as materialized (select doc_id, regexp_replace(string_agg(text, chr(10) || chr(10) order by page), '^\\s+|\\s+$', '', 'g') as t from p group by 1),
+        r as (select doc_id, t, 0 as start, case when len(t) > 800 then 800 + case when regexp_matches(substr(t, 801, 100), '{_ENDS}') then len(regexp_extract(substr(t, 801, 100), '^[^.。\n!?]*')) + 1 else 0 end else len(t) end as stop from t where t <> '' union all
+            select doc_id, t, nxt, case when len(t) > nxt + 800 then nxt + 800 + case when regexp_matches(substr(t, nxt + 801, 100), '{_ENDS}') then len(regexp_extract(substr(t, nxt + 801, 100), '^[^.。\n!?]*')) + 1 else 0 end else len(t) end
+            from (select doc_id, t, cast(case when len({_TRIM("substr(t, start + 1, stop - start)")}) < 50 then start + 800 when stop - 150 > start then stop - 150 else stop end as int) as nxt from r) where nxt < len(t)),
+        c as (select doc_id, start, {_TRIM("substr(t, start + 1, stop - start)")} as text from r), k as (select *, row_number() over (partition by doc_id order by start) as chunk from c where len(text) >= 50)
+        select doc_id, cast(chunk as int) as chunk, start, (select max(page) from places x where x.doc_id = k.doc_id and f <= start) as page, text from k""",
+    "dictionary_entries": f"""with recursive l as (select *, row_number() over (partition by doc order by ord) as a from {as_sql('dict_lines')}),
+        cut as (select doc, coalesce(min(case when regexp_matches(line, '^[0-9]+\\.[0-9]+') then a end), 1000000) as least from l where a > 5 group by 1),
+        b as materialized (select doc, a - 6 as i, line, count(*) over (partition by doc) as n from l join cut using (doc) where a > 5 and a < least),
+        pick as materialized (select x.doc, x.i, x.n, regexp_matches(x.line, '^[A-Z]{{1,10}}$') and not regexp_matches(y.line, '^[A-Z]{{1,10}}$') as ok from b x join b y on x.doc = y.doc and y.i = x.i + 1 where x.i + 4 < x.n),
+        r as (select doc, i, ok from pick where i = 0 union all select p.doc, p.i, p.ok from r join pick p on p.doc = r.doc and p.i = r.i + case when r.ok then 5 else 1 end)
+        select doc, 1 as block, a.line as abbr, k.line as korean, e.line as english, d.line as description, k.line || '(' || e.line || ')은 ' || d.line || '을 의미한다. 데이터베이스 표준 약어는 ' || a.line || '이다.' as text
+        from r join b a using (doc, i) join b k on k.doc = r.doc and k.i = r.i + 1 join b e on e.doc = r.doc and e.i = r.i + 2 join b d on d.doc = r.doc and d.i = r.i + 3 where ok""",
     "article_chunks": f"""with c as (select *, count(case when p then 1 end) over (partition by doc order by ord) as chunk from (select *, regexp_matches(line, '^제[0-9]+조') as p from {as_sql('law_lines')}))
         select doc, chunk, max(case when p then regexp_extract(line, '^제[0-9]+조') end) as article, count(*) as n_lines, string_agg(line, chr(10) order by ord) as text from c where chunk > 0 group by 1, 2""",
 }

@@ -34,6 +34,7 @@ VIEWS = {
     "file_pii_issues": "select o_orderkey as id, o_orderkey % 1200 as file_id, o_custkey % 30 as file_server_connection_id, case when o_orderstatus = 'F' then 'ACTIVE' else 'RESOLVED' end as issue_status from {orders}",
     "frame_boxes": "select event_id as id, user_id % 20 as video, event_type as label, cast(event_id % 300 + 1 as int) as frame, cast(user_id % 50 as int) - 2 as x, cast(user_id % 31 as int) as y, cast(10 + floor(value) % 40 as int) as w, cast(floor(value) % 25 as int) as h, (event_id % 100) / 100.0 as confidence from {events}",
     "word_times": "select user_id as audio, event_id as ord, event_type as word, cast(event_id % 5000 as double) / 10 as start_time, cast(event_id % 5000 as double) / 10 + floor(value) / 100 as end_time from {events}",
+    "dict_lines": "select n_regionkey as doc, n_nationkey * 10 + k as ord, case k when 0 then substr(regexp_replace(upper(n_name), '[^A-Z]+', ''), 1, 10) when 1 then concat('항목', cast(n_nationkey as string)) when 2 then n_name when 3 then concat('설명 ', cast(n_nationkey % 3 as string)) when 4 then 'Y' when 5 then '비고' else case when n_nationkey = 17 then '3.1 끝' else 'ABC' end end as line from {nation} cross join (select 0 as k union all select 1 union all select 2 union all select 3 union all select 4 union all select 5 union all select 6) as ks where k < 5 or (k = 5 and n_nationkey % 4 = 0) or (k = 6 and n_nationkey % 5 = 2) union all select r_regionkey, k - 10, case k when 1 then '영문약어' when 2 then '한글명' when 3 then '영문풀네임' when 4 then '설명' else 'PI여부' end from {region} cross join (select 1 as k union all select 2 union all select 3 union all select 4 union all select 5) as hs",
     "law_lines": "select p_brand as doc, p_partkey as ord, case p_partkey % 7 when 0 then concat('제', cast(p_partkey % 40 as string), '조(', p_type, ')') when 1 then concat('① ', p_name) when 2 then '제1항' when 3 then concat('1. ', p_name) when 4 then concat('가. ', p_name) when 5 then concat(p_name, '.') else p_name end as line from {part}",
 }
 
