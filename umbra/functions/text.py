@@ -13,12 +13,13 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
-def spans(text: Column, pattern: str) -> Column:
+def spans(text: Column, pattern: str | Column) -> Column:
     """All matches of a pattern, in order, with half-open code-point offsets; null text has none.
 
     The pieces between the matches give the offsets, so they count code points, not UTF-16 units.
     """
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pattern = F.lit(pattern)
+    hits = F.regexp_extract_all(text, pattern, F.lit(0))
     pairs = F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits)).alias("gap"), hits.alias("hit"))
 
     def step(done: Column, x: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.text import joined_in_order, masked, spans, strip
+from ..functions.text import SPANS, joined_in_order, masked, spans, strip
 
 
 def _digits(text: Column) -> Column:
@@ -141,3 +141,55 @@ def media_of(path: Column) -> Column:
     """Media kind by lower-cased extension; null for others."""
     suffix = F.lower(F.regexp_extract(path, r"[^./](\.[^./]*)$", 1))
     return F.coalesce(*(F.when(suffix.isin(*x), k) for k, x in rules.MEDIA.items()))
+
+
+def names_by_context(text: Column) -> Column:
+    """Array of (start, end, text): names after a label, with the offsets of the name alone."""
+
+    def own(pattern: str, name: str) -> Column:
+        n = lambda x: F.length(F.regexp_extract(x["text"], f"({name})$", 1))
+        cut = lambda x: F.struct((x["end"] - n(x)).alias("start"), x["end"].alias("end"), F.right(x["text"], n(x)).alias("text"))
+        return F.transform(spans(text, pattern), cut)
+
+    return F.concat(own(rules.NAME_AFTER_LABEL, "[가-힣]{2,4}"), own(rules.NAME_AFTER_NAME, "[가-힣a-zA-Z]{2,20}"))
+
+
+def lengthened(text: Column, names: Column) -> Column:
+    """Names of two characters with the Hangul character after them, unless it is a particle or title."""
+
+    def one(x: Column) -> Column:
+        after = F.substring(text, x["end"] + 1, F.lit(1))
+        longer = (F.length(strip(x["text"])) == 2) & after.rlike("^[가-힣]$") & ~after.rlike(f"[{rules.NAME_STOPS}]")
+        end = F.when(longer, x["end"] + 1).otherwise(x["end"])
+        return F.struct(x["start"].alias("start"), end.alias("end"), F.concat(x["text"], F.when(longer, after).otherwise("")).alias("text"))
+
+    return F.transform(names, one)
+
+
+def names_repeated(text: Column, names: Column) -> Column:
+    """Further places of known names: the last two characters of longer ones, names of two as they are; places that overlap known or earlier ones are left out."""
+    term = F.transform(names, lambda x: strip(x["text"]))
+    terms = F.array_sort(F.array_distinct(F.transform(F.filter(term, lambda x: F.length(x) >= 2), lambda x: F.right(x, F.lit(2)))))
+    places = F.flatten(F.transform(terms, lambda t: spans(text, t)))  # letters only: a term is its own pattern
+
+    def step(kept: Column, x: Column) -> Column:
+        clash = F.exists(F.concat(names, kept), lambda y: F.greatest(x["start"], y["start"]) < F.least(x["end"], y["end"]))
+        return F.when(clash, kept).otherwise(F.concat(kept, F.array(x)))
+
+    return F.aggregate(places, F.array().cast(SPANS), step)
+
+
+def names_after_label_blocks(units: DataFrame) -> DataFrame:
+    """(doc_id, ord, text): units that are a Hangul name of two to four characters right after a short unit that holds a name label."""
+    bare = F.replace(F.col("text"), F.lit(" "), F.lit(""))
+    label = (F.length(bare) < 20) & bare.rlike("|".join(rules.NAME_LABELS))
+    rows = units.withColumn("_label", F.lag(label).over(W.partitionBy("doc_id").orderBy("ord")))
+    return rows.where(F.col("_label") & bare.rlike("^[가-힣]{2,4}$") & ~bare.rlike("|".join(rules.NOT_NAMES))).select("doc_id", "ord", "text")
+
+
+def greedy_spans(spans_: DataFrame) -> DataFrame:
+    """(unit, s, e): by start, spans that overlap none kept before."""
+    ordered = spans_.groupBy("unit").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("x"))  # spans of one unit
+    clash = lambda kept, x: F.exists(kept, lambda y: (x["e"] > y["s"]) & (y["e"] > x["s"]))
+    kept = F.aggregate("x", F.array().cast("array<struct<s:int,e:int>>"), lambda a, x: F.when(clash(a, x), a).otherwise(F.concat(a, F.array(x))))
+    return ordered.select("unit", F.inline(kept))

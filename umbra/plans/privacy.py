@@ -61,6 +61,19 @@ def _masked_documents(spark, d):
 
 _STARRED = f"select doc_id, array_to_string(list_transform(list_zip(string_split_regex(text, '{rules.EMAIL}'), regexp_extract_all(text, '{rules.EMAIL}')), lambda x: concat(x[1], repeat('*', coalesce(len(x[2]), 0)))), '') as text from documents"
 
+_NAMED = ("이름: 철수민 그리고 수민", "성명: 박철\n박철이 왔다 철수", "Name: Kim 은 im", "주소: 서울", "이름은 김영희, 영희 영희")
+
+
+def _names(spark, make):
+    text, rows = F.col("txt"), spark.createDataFrame(list(enumerate(_NAMED)), "id long, txt string")
+    return rows.select("id", F.array_join(F.transform(make(text), lambda x: F.concat_ws(":", x["start"], x["end"], x["text"])), " ").alias("found"))
+
+
+def _form_lines(spark, d):
+    pieces = F.posexplode(F.split(F.regexp_replace("text", ": ", "\n"), "\n")).alias("ord", "text")
+    return view(spark, d, "kr_form").select("doc_id", pieces)
+
+
 QUERIES = {
     "flagship_file_scan": _flagship,
     "pii_free_text_counts": _by_code("documents", _FREE),
@@ -75,6 +88,11 @@ QUERIES = {
     "slot_masked_counts": lambda s, d: D.slots(view(s, d, "kr_form")).where(D.is_masked(F.col("value"))).groupBy("code").agg(F.count("*").alias("n")),
     "mask_documents": _masked_documents,
     "mask_lines": lambda s, d: D.mask_lines(view(s, d, "kr_form"), ("p_em", "p_rrn")),
+    "names_by_context": lambda s, d: view(s, d, "kr_form").select("doc_id", F.explode(D.names_by_context(F.col("text"))).alias("x")).select("doc_id", F.col("x.start").alias("at"), F.col("x.text").alias("name")),
+    "names_lengthened": lambda s, d: _names(s, lambda t: D.lengthened(t, D.names_by_context(t))),
+    "names_repeated": lambda s, d: _names(s, lambda t: D.names_repeated(t, D.names_by_context(t))),
+    "names_after_label_blocks": lambda s, d: D.names_after_label_blocks(_form_lines(s, d)),
+    "greedy_spans": lambda s, d: D.greedy_spans(view(s, d, "spans_regex")),
     "confidence_filter": lambda s, d: D.confident(view(s, d, "spans_ner")).select("unit", "ord", "label"),
     "overlap_anti_join": lambda s, d: D.not_overlapping(view(s, d, "spans_ner").select("unit", "ord", "s", "e"), view(s, d, "spans_regex")),
     "bio_spans": lambda s, d: D.bio_spans(view(s, d, "tokens")).withColumn("confidence", F.round("confidence", 6)),
@@ -94,6 +112,16 @@ ORACLES = {
     "slot_masked_counts": f"select code, count(*) as n from ({_slot_sql()}) where {_MASKED} group by 1",
     "mask_documents": _STARRED,
     "mask_lines": f"select doc_id, regexp_replace(regexp_replace(text, '[0-9]{{6}}-[1-4][0-9]{{6}}', '**************'), 'user[0-9]+@example\\.com', repeat('*', len(regexp_extract(text, 'user[0-9]+@example\\.com')))) as text from {as_sql('kr_form')}",
+    "names_by_context": f"select doc_id, cast(strpos(text, n) - 1 as int) as at, n as name from (select doc_id, text, unnest(regexp_extract_all(text, '(?:이름|성명|성함)[은는이가\\s]*[:\\s]\\s*([가-힣]{{2,4}})(?:[이가은는을를]|\\s|[.,]|$)', 1)) as n from {as_sql('kr_form')})",
+    "names_lengthened": "select * from (values (0, '4:7:철수민'), (1, '4:6:박철'), (2, '6:9:Kim'), (3, ''), (4, '4:7:김영희')) as t(id, found)",
+    "names_repeated": "select * from (values (0, '12:14:수민'), (1, '7:9:박철'), (2, '12:14:im'), (3, ''), (4, '9:11:영희 12:14:영희')) as t(id, found)",
+    "names_after_label_blocks": f"""with u as (select doc_id, unnest(range(len(l))) as ord, unnest(l) as text from (select doc_id, string_split(replace(text, ': ', chr(10)), chr(10)) as l from {as_sql('kr_form')})),
+        b as (select *, lag(text) over (partition by doc_id order by ord) as b from u)
+        select doc_id, cast(ord as int) as ord, text from b where len(b) < 20 and regexp_matches(b, '성명|이름') and regexp_matches(text, '^[가-힣]{{2,4}}$') and not regexp_matches(text, '성명|생년월일|주소|연락처|이메일|학점|지원분야|경력여부')""",
+    "greedy_spans": f"""with recursive x as materialized (select unit, s, e, row_number() over (partition by unit order by s, e) as k from {as_sql('spans_regex')}),
+        r as (select unit, k, s, e, [struct_pack(s := s, e := e)] as kept from x where k = 1 union all
+            select x.unit, x.k, x.s, x.e, case when len(list_filter(kept, lambda y: x.e > y.s and y.e > x.s)) > 0 then kept else list_append(kept, struct_pack(s := x.s, e := x.e)) end from r join x on x.unit = r.unit and x.k = r.k + 1),
+        z as (select unit, unnest(max_by(kept, k)) as y from r group by unit) select unit, y.s as s, y.e as e from z""",
     "confidence_filter": f"select unit, ord, label from {as_sql('spans_ner')} where confidence >= case label when 'p_nm' then 0.70 when 'p_add' then 0.70 else 0.75 end",
     "overlap_anti_join": f"select unit, ord, s, e from {as_sql('spans_ner')} a where not exists (select 1 from {as_sql('spans_regex')} b where a.unit = b.unit and not (a.e <= b.s or b.e <= a.s))",
     "bio_spans": f"""with t as (select *, substr(tag, 3) as label, lag(tag) over (partition by unit order by ord) as b from {as_sql('tokens')}),
