@@ -95,3 +95,6 @@ ANSWER_LENGTHS = (10, 5000)
 # Chunks of a fixed length.
 CHUNK, CHUNK_REACH, CHUNK_OVERLAP, CHUNK_LEAST = 800, 100, 150, 50
 CHUNK_ENDS = ".。\n!?"
+
+# Kinds of questions, in the order in which replies are searched for them.
+KINDS = ("db_query", "vector_search", "both", "general")

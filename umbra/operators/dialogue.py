@@ -119,3 +119,26 @@ def result_note(result: Column) -> Column:
 
 def overall_confidence(accuracy: Column, completeness: Column, certainty: Column) -> Column:
     return 0.4 * accuracy + 0.3 * completeness + 0.3 * certainty
+
+
+def kind_named(reply: Column) -> Column:
+    """The first question kind that a model's reply names as a word, else the first in order that it holds; null if none."""
+    low = F.lower(reply)
+    word = F.regexp_extract(low, r"(?U)\b(" + "|".join(rules.KINDS) + r")\b", 1)
+    return F.when(word != "", word).otherwise(F.coalesce(*(F.when(low.contains(k), k) for k in rules.KINDS)))
+
+
+def column_labels(reply: Column) -> Column:
+    """Array of (tableName, columnName, piiType) from a model's reply: a fenced JSON block, else the widest brackets; items without all three keys are left out."""
+    fenced = F.regexp_extract(reply, r"(?s)```json\s*(.*?)\s*```", 1)
+    text = F.when(reply.contains("```json") & (fenced != ""), fenced).otherwise(F.regexp_extract(reply, r"(?s)\[.*\]", 0))
+    items = F.when(text.startswith("["), F.from_json(text, "array<struct<tableName:string,columnName:string,piiType:string>>"))
+    whole = F.filter(items, lambda x: x["tableName"].isNotNull() & x["columnName"].isNotNull() & x["piiType"].isNotNull())
+    return F.coalesce(whole, F.array().cast("array<struct<tableName:string,columnName:string,piiType:string>>"))
+
+
+def merged_messages(left: Column, right: Column, most: int = rules.MESSAGES) -> Column:
+    """Messages of a dialogue's state after an update: a short update replaces, a long state is replaced, else both are joined and the last ones kept."""
+    joined = F.concat(left, right)
+    kept = F.slice(joined, F.greatest(F.size(joined) - 2 * most + 1, F.lit(1)), F.lit(2 * most))
+    return F.when(F.size(left) == 0, right).when(F.size(right) == 0, left).when((F.size(right) <= most) | (F.size(left) > 10 * most), right).otherwise(kept)

@@ -77,3 +77,9 @@ def _tracks(group: pd.DataFrame) -> pd.DataFrame:
 def tracks(boxes: DataFrame) -> DataFrame:
     """(video, label, id, track): boxes joined to the first track whose last box is near in time and place; state for each video and label."""
     return boxes.where("w > 0 and h > 0").groupBy("video", "label").applyInPandas(_tracks, "video long, label string, id long, track long")
+
+
+def times_within(start: Column, end: Column, first: Column, last: Column, length: Column) -> tuple[Column, Column]:
+    """Start and end time of the characters first to last of a word of a length that is spoken from start to end."""
+    share = lambda n, empty: F.when(length > 0, n / length).otherwise(empty)
+    return start + (end - start) * share(first, 0.0), start + (end - start) * share(last, 1.0)

@@ -9,6 +9,8 @@ from ..sources.derived import view
 
 _QUESTIONS = ("DB 말고 파일서버 이슈", "파일 말고 DB서버 현황", "어떤 법령을 위반하는지 파일 기준으로", "어떤 규정이 있나요", "제15조 내용", "65조는?", "파일서버 이슈 개수", "db서버 관련 규정", "개인정보 보호 지침", "매출 통계", "count rows", "안녕하세요")
 _MARKED = ("**굵게** 와 *기울임*", "# 제목\n본문 `코드`", "[이름](http://x) ~~지움~~ __둘__ _하나_", "그대로 2 * 3", "")
+_KINDS = ("Vector_Search 입니다", "type: db_query.", "both_or general", "xdb_queryx", "모름")
+_LABELS = ("결과: ```json [{\"tableName\": \"t\", \"columnName\": \"c\", \"piiType\": \"NM\"}] ```", "[{\"tableName\": \"a\", \"columnName\": \"b\"}, {\"tableName\": \"u\", \"columnName\": \"d\", \"piiType\": \"PH\"}] 끝", "없음", "[깨짐")
 _REPLIES = ("관련성 점수: 0.85", "관련성 여부: 예", "총평\n점수: 7\n점수: 0.1", "점수: 없음", "")
 
 
@@ -24,6 +26,11 @@ def _states(s, d):
     return view(s, d, "orders").selectExpr("o_orderkey", f"{_KIND} as kind", "o_orderkey % 2 = 0 as flag", "cast(o_custkey % 100 as double) / 100 as score", "cast(o_orderkey % 5 as int) as retries")
 
 
+def _message_states(s, d):
+    upto = lambda n, at: f"case when {n} > 0 then transform(sequence(1, {n}), x -> cast(x + {at} as string)) else cast(array() as array<string>) end"
+    return view(s, d, "orders").selectExpr("o_orderkey", f"{upto('cast(o_orderkey % 24 as int)', 0)} as l", f"{upto('cast(o_custkey % 6 as int)', 100)} as r")
+
+
 QUERIES = {
     "conv_last_n": lambda s, d: C.last_messages(view(s, d, "conversations")).select("conv_id", "turn", "role"),
     "conv_keyword_overlap": lambda s, d: C.answers(view(s, d, "conversations")).select("conv_id", "turn", F.round(C.overlap(F.col("question"), F.col("answer")), 6).alias("overlap")),
@@ -37,6 +44,9 @@ QUERIES = {
     "output_issues": lambda s, d: C.answers(view(s, d, "conversations")).select("conv_id", "turn", F.array_join(C.answer_issues(F.col("question"), F.col("answer")), ",").alias("issues")),
     "result_note": lambda s, d: view(s, d, "conversations").select("conv_id", "turn", C.result_note(F.col("text")).alias("note")),
     "overall_confidence": lambda s, d: view(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(C.overall_confidence(F.col("l_discount"), F.col("l_tax"), F.col("l_quantity") / 50), 6).alias("confidence")),
+    "kind_named": lambda s, d: s.sql(f"select * from {_values(_KINDS)}").select("id", C.kind_named(F.col("txt")).alias("kind")),
+    "column_labels": lambda s, d: s.sql(f"select * from {_values(_LABELS)}").select("id", F.explode(C.column_labels(F.col("txt"))).alias("x")).select("id", F.col("x.tableName").alias("tab"), F.col("x.columnName").alias("col"), F.col("x.piiType").alias("pii")),
+    "merged_messages": lambda s, d: _message_states(s, d).select("o_orderkey", F.array_join(C.merged_messages(F.col("l"), F.col("r")), ",").alias("ids")),
     "week_context": lambda s, d: view(s, d, "orders").select(F.to_date("o_orderdate").alias("day")).distinct().select("day", F.to_date(F.date_trunc("week", "day")).alias("monday"), F.date_add(F.to_date(F.date_trunc("week", "day")), 6).alias("sunday")),
 }
 
@@ -67,5 +77,9 @@ ORACLES = {
     "result_note": f"""select conv_id, turn, case when len({_STRIPPED}) >= 10 then case when n = 1 then '[단일 결과: 1개 행]' else '[조회 결과: ' || n || '개 행]' end || case when k > 0 then ' [수치 데이터 포함: ' || k || '개 숫자]' else '' end end as note
         from (select *, len(list_filter(string_split({_STRIPPED}, chr(10)), lambda x: regexp_matches(x, '\\S'))) as n, len(regexp_extract_all(text, '[0-9]+')) as k from conversations)""",
     "overall_confidence": "select l_orderkey, l_linenumber, round(0.4 * l_discount + 0.3 * l_tax + 0.3 * (l_quantity / 50), 6) as confidence from lineitem",
+    "kind_named": "select * from (values (0, 'vector_search'), (1, 'db_query'), (2, 'general'), (3, 'db_query'), (4, null)) as t(id, kind)",
+    "column_labels": "select * from (values (0, 't', 'c', 'NM'), (1, 'u', 'd', 'PH')) as t(id, tab, col, pii)",
+    "merged_messages": """with m as (select o_orderkey, [cast(x as varchar) for x in range(1, o_orderkey % 24 + 1)] as l, [cast(x + 100 as varchar) for x in range(1, o_custkey % 6 + 1)] as r from orders)
+        select o_orderkey, array_to_string(case when len(l) = 0 then r when len(r) = 0 then l when len(r) <= 2 or len(l) > 20 then r else list_concat(l, r)[-4:] end, ',') as ids from m""",
     "week_context": "select distinct cast(o_orderdate as date) as day, cast(date_trunc('week', cast(o_orderdate as date)) as date) as monday, cast(date_trunc('week', cast(o_orderdate as date)) as date) + 6 as sunday from orders",
 }

@@ -9,12 +9,18 @@ from ..sources.derived import as_sql, view
 
 _B, _LENGTH = as_sql("frame_boxes"), 400_000
 
+def _word_parts(words):
+    first, last = M.times_within(F.col("start_time"), F.col("end_time"), F.col("ord") % 3, 3 + F.col("ord") % 2, F.length("word"))
+    return words.select("audio", "ord", F.round(first, 6).alias("first"), F.round(last, 6).alias("last"))
+
+
 QUERIES = {
     "frame_sampling": lambda s, d: M.clipped(view(s, d, "frame_boxes"), 40, 30).select("id", "x", "y", "w", "h"),
     "image_conf_gate": lambda s, d: M.confident_pictures(view(s, d, "frame_boxes")).select("id"),
     "text_region_expand": lambda s, d: M.regions_by_frame(view(s, d, "frame_boxes")).groupBy("video", "frame").agg(F.count("*").alias("n")),
     "iou_pairs": lambda s, d: M.iou_with_last(view(s, d, "frame_boxes")).withColumn("iou", F.round("iou", 6)),
     "audio_intervals": lambda s, d: M.intervals(view(s, d, "word_times"), _LENGTH),
+    "word_time_interp": lambda s, d: _word_parts(view(s, d, "word_times")),
     "track_dedup": lambda s, d: M.tracks(view(s, d, "frame_boxes").withColumn("video", F.col("video").cast("long"))).groupBy("video", "label").agg(F.count_distinct("track").alias("n_tracks")),
 }
 
@@ -25,6 +31,7 @@ ORACLES = {
     "iou_pairs": f"""with p as (select *, lag(x) over w1 as x2, lag(y) over w1 as y2, lag(w) over w1 as w2, lag(h) over w1 as h2 from {_B} window w1 as (partition by video, label order by frame, x, id)),
         o as (select *, greatest(least(x + w, x2 + w2) - greatest(x, x2), 0) * greatest(least(y + h, y2 + h2) - greatest(y, y2), 0) as i from p where x2 is not null)
         select id, case when w * h + w2 * h2 - i > 0 then round(i / (w * h + w2 * h2 - i)::double, 6) else 0.0 end as iou from o union all select id, 0.0 from p where x2 is null""",
+    "word_time_interp": f"select audio, ord, round(start_time + (end_time - start_time) * ((ord % 3) / len(word)::double), 6) as first, round(start_time + (end_time - start_time) * ((3 + ord % 2) / len(word)::double), 6) as last from {as_sql('word_times')}",
     "audio_intervals": f"""with a as (select audio, ord, start_time, cast(trunc(start_time * 1000) as int) as a, cast(trunc(end_time * 1000) as int) as b from {as_sql('word_times')}),
         c as (select *, greatest(0, a - 25) as s, least(b + 25, {_LENGTH}) as e from a where a < b), g as (select audio, ord, start_time, case when e - s < 50 then a else s end as s, case when e - s < 50 then b else e end as e from c),
         h as (select audio, ord, start_time, greatest(0, least(s, {_LENGTH})) as start_ms, greatest(greatest(0, least(s, {_LENGTH})) + 50, least(e, {_LENGTH})) as end_ms from g)
