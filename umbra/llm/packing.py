@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import os
 import re
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,27 +40,6 @@ _INNER_SPACE = re.compile(r"\s \s|\s $")
 _LINE_SPACE = re.compile(r"\s\n|\n\s|\n$|^\n")
 
 
-class Memory:
-    """Ids of up to 2 * MEMORY words: those met since the last turn, and those met before it."""
-
-    def __init__(self):
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def recall(self, words: set[str]) -> tuple[dict[str, bytes], list[str]]:
-        """What is known, to be added to, and the words that aren't."""
-        new = words.difference(self.young)
-        again = new.intersection(self.old)
-        self.young.update((w, self.old[w]) for w in again)
-        return self.young, list(new - again)
-
-    def settle(self) -> None:
-        """Forgets what was not met for a turn, and very long words."""
-        if len(self.young) > MEMORY:
-            self.old = {w: b for w, b in self.young.items() if len(w) < 64}
-            self.young = {}
-
-
 class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes, by a tokenizer of the byte-level kind."""
 
@@ -72,8 +50,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.line = self.direct(["\n"])[0]
-        self.memories = {"": Memory(), " ": Memory()}  # of words without and with a space before them
+        self.known: dict[str, bytes] = {}
 
     @classmethod
     def at(cls, path: str) -> "Encoder":
@@ -82,34 +59,41 @@ class Encoder:
         return cls._open[path]
 
     def direct(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     @staticmethod
-    def lines(text: str) -> list[list[str]] | None:
-        """The lines' words, between which the tokenizer's rule always cuts; None if it may not."""
+    def chunks(text: str) -> list[str]:
+        """Pieces of a text between which the tokenizer's rule always cuts."""
         if _INNER_SPACE.search(text):
-            return None
-        return [x.split(" ") for x in ([text] if _LINE_SPACE.search(text) else text.split("\n"))]
-
-    def learn(self, lead: str, words: set[str]) -> dict[str, bytes]:
-        """Ids of words with lead before each."""
-        known, new = self.memories[lead].recall(words)
-        for a in range(0, len(new), 5000):
-            own = new[a : a + 5000]
-            known.update(zip(own, self.direct([lead + w for w in own])))
-        return known
+            return [text]
+        if _LINE_SPACE.search(text):
+            lines = [text]
+        else:
+            lines = text.split("\n")
+        out: list[str] = []
+        for i, line in enumerate(lines):
+            if i:
+                out.append("\n")
+            first, *rest = line.split(" ")
+            if first:
+                out.append(first)
+            out += [" " + w for w in rest]
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.lines(t) for t in texts]
-        lines = [x for c in cut if c for x in c]
-        bare = self.learn("", {x[0] for x in lines})
-        spaced = self.learn(" ", set().union(*(x[1:] for x in lines)))
-        out = [b"" if c is None else self.line.join([bare[x[0]] + b"".join(map(spaced.__getitem__, x[1:])) for x in c]) for c in cut]
-        whole = [i for i, c in enumerate(cut) if c is None]
-        for i, blob in zip(whole, self.direct([texts[i] for i in whole])):
-            out[i] = blob
-        for memory in self.memories.values():
-            memory.settle()
+        known = self.known
+        if len(known) > MEMORY:
+            known.clear()
+        cut = [self.chunks(t) for t in texts]
+        new = list({w for c in cut for w in c if w not in known})
+        own = dict(zip(new, self.direct(new)))
+        known.update((w, b) for w, b in own.items() if len(w) < 64)
+        out = []
+        for c in cut:
+            try:
+                out.append(b"".join([known[w] for w in c]))
+            except KeyError:
+                out.append(b"".join([known[w] if w in known else own[w] for w in c]))
         return out
 
 
