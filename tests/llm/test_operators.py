@@ -122,6 +122,21 @@ def test_quality_rules_keep_good_documents(docs, labels):
     assert share[1] > 0.95 and share.get(0, 0.0) < 0.5
 
 
+def test_quality_rules_whatever_the_labels(spark):
+    """Clean rows without a label stay with all, few and no labels; without labels every score is 0."""
+    folder = "/root/testdata/sf0.01"
+    rows, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    marked = F.size(F.filter(F.split("text", r"\s+"), lambda w: w.rlike(r"[#*$%&|<>]{2}|!!$")))
+    for given, share in ((labels, 0.9), (labels.where("doc_id % 10 = 3"), 0.95), (labels.limit(0), 1.0)):
+        out = quality_rules(rows, given).join(labels.select("doc_id"), "doc_id", "left_anti").where("not base_failed and n_words >= 20").withColumn("marked", marked)
+        clean = out.where("marked = 0").toPandas()
+        assert len(clean) > 300 and clean.kept.mean() >= share and abs(clean.llr.median()) < 0.1
+        if share == 1.0:
+            assert (clean.llr == 0).all()
+        elif given is labels:
+            assert out.where(F.col("marked") > F.col("n_words") / 2).agg(F.avg(F.col("kept").cast("double"))).first()[0] < 0.2
+
+
 def test_sharding(docs, texts):
     leaves = topology(16)
     rows = shard_rows(docs, leaves, grown(leaves)).collect()

@@ -2,6 +2,9 @@
 
 The ratio compares two smoothed multinomials over 2**16 hashed unigrams and bigrams of
 words: a trusted target (documents labelled as good) and the raw corpus (all documents).
+The target is smoothed towards the raw corpus, with PRIOR n-grams drawn like it: ordinary
+text scores about 0 whatever the size of the corpus and the share of labels. Few labels
+leave all scores near 0, so that little is rejected; without labels all are exactly 0.
 A document's score is the mean of log p_target - log p_raw over its n-grams, so its
 length does not count; a document below the fixed threshold is rejected.
 
@@ -26,7 +29,8 @@ from .common import blank, small_or_shuffled, word_array
 
 BUCKET_BITS = 16
 SMOOTHING = 5.0
-THRESHOLD = -0.18
+PRIOR = 80_000.0  # set, with the threshold, on labels left out of the target
+THRESHOLD = -0.25
 WINDOW = 5
 LABEL_ROWS = 2_000_000  # labels up to this count are broadcast (about 16 MB)
 
@@ -103,8 +107,9 @@ def log_ratios(docs: DataFrame, labels: DataFrame) -> DataFrame:
     every = docs.sparkSession.range(size).select(F.col("id").cast("int").alias("bucket"))
     filled = every.join(counts, "bucket", "left").fillna(0, ["raw", "target"])
     sums = filled.agg(F.sum("raw").alias("raw_sum"), F.sum("target").alias("target_sum"))
-    p = lambda n, of: F.log((F.col(n) + SMOOTHING) / (F.col(of) + SMOOTHING * size))
-    return filled.join(F.broadcast(sums)).withColumn("ratio", p("target", "target_sum") - p("raw", "raw_sum"))  # one row of sums
+    p_raw = (F.col("raw") + SMOOTHING) / (F.col("raw_sum") + SMOOTHING * size)
+    ratio = F.log((F.col("target") / p_raw + PRIOR) / (F.col("target_sum") + PRIOR))  # of (target + PRIOR * p_raw) / (target_sum + PRIOR) to p_raw
+    return filled.join(F.broadcast(sums)).withColumn("ratio", ratio)  # one row of sums
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
