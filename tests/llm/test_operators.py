@@ -231,6 +231,24 @@ def test_contained_items(spark, docs, texts):
     assert contained_items(empty(docs), bench).count() == 0 and contained_items(docs, empty(bench)).count() == 0
 
 
+def test_contained_items_in_parts(spark):
+    """Halves of an item far apart, with another item and filler between them; items in many parts, and ones that repeat themselves."""
+    say = lambda p, n: [f"{p}{i}" for i in range(n)]
+    a, b, c = say("a", 40), say("b", 60), say("c", 300)
+    bench = [(1, a), (2, b), (3, c), (4, say("r", 12) * 8 + say("s", 30)), (5, say("t", 5))]
+    parts = [x for i in range(0, 300, 60) for x in (*c[i : i + 60], *say(f"f{i}_", 700))]
+    rows = [
+        (1, [*a[:20], *say("x", 130), *a[20:]]), (2, [*a[20:], *b, *say("y", 5000), *b, *a[:20]]), (3, parts), (4, [*say("s", 30), *say("z", 900), *say("r", 12) * 2]),
+        (5, [*a[:12], *say("x", 130), *a[30:]]), (6, [*say("q", 300), *say("t", 5), *say("q", 30)]),
+    ]
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string")
+    items = spark.createDataFrame([(i, " ".join(w)) for i, w in bench], "item_id long, text string")
+    sets = [{k: shingles(" ".join(w).encode()) for k, w in x} for x in (rows, bench)]
+    want = {(d, i, len(x), len(x & s)) for d, s in sets[0].items() for i, x in sets[1].items() if 100 * len(x & s) >= 75 * len(x)}
+    assert {(r.doc_id, r.item_id, r.n_shingles, r.n_shared) for r in contained_items(docs, items).collect()} == want
+    assert {(1, 1), (2, 1), (2, 2), (3, 3), (4, 4), (6, 5)} == {x[:2] for x in want}
+
+
 def test_quality_scores(spark, docs, labels):
     rows = quality_scores(docs, labels, held_out(F.col("doc_id"), 5))
     assert rows.count() == docs.count() and rows.where("score is null or score < 0 or score > 1").count() == 0

@@ -11,6 +11,11 @@ A block whose shingles include too few of the benchmark's shingles for any item
 class cannot contain one and gets no signature; this is decided with a bit table of fixed
 size, whatever the benchmark's, and never rejects a true block.
 
+Blocks find passages, not items whose parts lie apart. For those, each item also has a
+sketch: all but (least number to be found) - 1 of its shingles, those that the fewest items
+share. A document that holds enough of an item, wherever, holds one of its sketch, so the
+sketch shingles among a document's hits are candidates' keys as the minima are: none is missed.
+
 Candidates are verified exactly: the share of an item's distinct five-word shingles that
 occur anywhere in the document, against the threshold. Only the document's shingles with
 a bit set travel, not its text. Documents with equal texts are verified once.
@@ -72,8 +77,17 @@ def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _sketches(items: DataFrame, percent: int) -> DataFrame:
+    """(item_id, key): for each item the shingles of which a document that contains it must hold one."""
+    own = items.select("item_id", F.xxhash64("shingles").alias("set"), F.size("shingles").alias("n"), F.explode("shingles").alias("key"))
+    ranked = own.join(own.groupBy("key").agg(F.count("*").alias("met")), "key").groupBy("item_id", "set", "n").agg(F.sort_array(F.collect_list(F.struct("met", "key"))).alias("ranked"))  # one item's shingles
+    least = F.greatest(F.ceil(F.lit(percent) * F.col("n") / 100).cast("int"), F.lit(1))
+    return ranked.select("item_id", F.explode(F.slice("ranked", F.lit(1), F.greatest(F.col("n") - least + 1, F.lit(0)))).alias("r")).select("item_id", "r.key")
+
+
 def _search(table: np.ndarray, classes: list[tuple[int, int]]):
-    """classes: (L, least number of an item's shingles that must be found)."""
+    """table: 1 for a shingle of an item, 2 for one of a sketch; classes: (L, least number of an item's shingles that must be found)."""
+    fewest = min((least for _, least in classes), default=0)
     shift = np.uint64(64 - TABLE_BITS)
 
     def blocks(g: np.ndarray, hit: np.ndarray) -> Iterator[np.ndarray]:
@@ -93,14 +107,18 @@ def _search(table: np.ndarray, classes: list[tuple[int, int]]):
                 rows, marks, hits, names = [], [], [], []
                 for i, (s, e) in enumerate(zip(words.first[:-1], words.first[1:])):
                     g = every[s : e - SHINGLE + 1] if e - s >= SHINGLE else shingle_sets(Words(texts[a + i : a + i + 1]))[0]
-                    hit = table[(g >> shift).astype(np.int64)]
+                    level = table[(g >> shift).astype(np.int64)]
+                    hit = level > 0
                     if not hit.any():
                         continue
                     own = list(blocks(g, hit))
-                    if own:
+                    found = np.unique(g[hit])
+                    if len(found) >= fewest:
+                        own.append(np.unique(g[level > 1]))
+                    if sum(map(len, own)):
                         rows.append(a + i)
                         marks.append(np.unique(np.concatenate(own)))
-                        hits.append(np.unique(g[hit]))
+                        hits.append(found)
                         w = words.hash[s:e]
                         names.append(mix((w * mix(np.arange(1, e - s + 1, dtype=np.uint64))).sum(keepdims=True))[0])
                 if rows:
@@ -115,9 +133,11 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, percent: int = 75) ->
     spark = docs.sparkSession
     items = benchmark.select("item_id", F.col("text").cast("string").alias("text")).mapInArrow(_items, f"item_id {benchmark.schema['item_id'].dataType.simpleString()}, size long, shingles array<long>, keys array<long>")
     items = written(items.dropDuplicates(["item_id", "shingles"]))
-    table = np.zeros(1 << TABLE_BITS, dtype=bool)
-    bits = items.select(F.explode("shingles").alias("s")).select(F.shiftrightunsigned("s", 64 - TABLE_BITS).alias("b")).distinct().toPandas()  # at most 2**22 values
-    table[bits["b"].to_numpy(dtype=np.int64)] = True
+    table = np.zeros(1 << TABLE_BITS, dtype=np.uint8)
+    sketches = written(_sketches(items, percent))
+    for level, shingles in ((1, items.select(F.explode("shingles").alias("s"))), (2, sketches.select(F.col("key").alias("s")))):
+        bits = shingles.select(F.shiftrightunsigned("s", 64 - TABLE_BITS).alias("b")).distinct().toPandas()  # at most 2**22 values
+        table[bits["b"].to_numpy(dtype=np.int64)] = level
     sizes = items.groupBy("size").agg(F.min(F.size("shingles"))).collect()  # one row for each doubling of size
     classes = sorted((int(s), -(-percent * int(n) // 100)) for s, n in sizes)
     shared = spark.sparkContext.broadcast((table, classes))
@@ -128,7 +148,7 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, percent: int = 75) ->
     id_type = docs.schema["doc_id"].dataType.simpleString()
     met = written(docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(search, f"doc_id {id_type}, text_hash long, hits array<long>, keys array<long>"))
     texts = met.dropDuplicates(["text_hash"])
-    marks = items.select("item_id", F.explode("keys").alias("key"))
+    marks = items.select("item_id", F.explode("keys").alias("key")).union(sketches)
     candidates = texts.select("text_hash", F.explode("keys").alias("key")).join(marks, "key").select("text_hash", "item_id").distinct()
     both = candidates.join(texts.select("text_hash", "hits"), "text_hash").join(items.select("item_id", "shingles"), "item_id")
     counted = both.select("text_hash", "item_id", F.size("shingles").cast("long").alias("n_shingles"), F.size(F.array_intersect("hits", "shingles")).cast("long").alias("n_shared"))
