@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from umbra.llm import queries as Q
+from umbra.llm import queries as Q, url_filter
 from umbra.llm.common import held_out
 from umbra.llm.decontaminate import contained_items
 from umbra.llm.extract import main_texts
@@ -275,6 +275,26 @@ def test_urls(spark):
     assert judge_urls(empty(rows)).count() == 0
 
 
+def test_urls_suffixes_of_all_rows(spark, monkeypatch):
+    """The trees are fitted to a sample; the shares of suffixes come from all rows that a rule decides."""
+    shares, fit = [], url_filter.GBTClassifier.fit
+    rows = spark.range(400).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h.s"), (F.col("id") % 40).cast("string"), F.lit(".x/"), F.when(F.col("id") % 40 < 30, "b").otherwise("a"), F.lit("/"), F.col("id").cast("string")).alias("url"))
+    rules = [(v, f"s{i}.x", f"/{v[0]}/") for i in range(40) for v in ("allow", "block")]
+    index = url_filter.FEATURES.index("suffix_2")
+
+    def fitted(self, data, *args):
+        shares.extend((r._y, r._x[index]) for r in data.collect())
+        return fit(self, data, *args)
+
+    monkeypatch.setattr(url_filter.GBTClassifier, "fit", fitted)
+    monkeypatch.setattr(url_filter, "TRAIN_ROWS", 60)
+    out = judge_urls(rows, rules).collect()
+    assert len(shares) == 60 and len(out) == 400
+    assert {(y, round(x, 6)) for y, x in shares} == {(1.0, round((10 + 0.75 * 5) / 15, 6)), (0.0, round(0.75 * 5 / 15, 6))}
+    monkeypatch.setattr(url_filter, "TRAIN_ROWS", 1)
+    assert {r.verdict for r in judge_urls(rows, rules).collect()} == {"allow", "block"}
+
+
 def test_main_texts(spark):
     page = "<html><body><nav><a href='/'>Home</a></nav><div class='post-{i}'><h1>Title &amp; {i}</h1><p>First  text of the\n article, long enough to count.</p><p>Second one, too, with more words in it.</p></div><div class='comments'><p>Nice!</p></div><footer>Foot</footer><script>x()</script></body></html>"
     rows = [(i, f"http://h.example/{i}", page.replace("{i}", str(i))) for i in range(5)] + [(10, None, None), (11, "http://h.example/x", ""), (12, "http://o.example/", "plain only")]

@@ -6,7 +6,7 @@ lowest by hash of page id and url) and judge the URLs that no rule fits.
 
 Features: lengths, depth, digit ratio, character entropy, parameter and separator counts
 of host, path and query, and suffix statistics: for the last label and the last two labels
-of the host, the smoothed share of blocked examples in the sample.
+of the host, the smoothed share of blocked examples among all URLs that a rule decides.
 
 A null url, or one without `://`, has empty host and path; it is judged by the trees like
 any other. Equal urls get equal verdicts. Without examples of both verdicts, every URL
@@ -22,7 +22,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blank, small_or_shuffled
+from .common import blank, small_or_shuffled, written
 
 TRAIN_ROWS = 20_000
 SUFFIX_ROWS = 200_000
@@ -76,15 +76,17 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES)
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     rows = lexical(urls.withColumns({"rule": rule, "_ruled": verdict}))
 
-    sample = rows.where("_ruled is not null").withColumn("_y", (F.col("_ruled") == "block").cast("double"))
-    sample = sample.orderBy(F.xxhash64("page_id", "url")).limit(TRAIN_ROWS)
-    mean, seen = sample.agg(F.avg("_y"), F.count_distinct("_y")).first()
-    if seen < 2:
+    ruled = rows.where("_ruled is not null").withColumn("_y", (F.col("_ruled") == "block").cast("double"))
+    suffixes = written(ruled.groupBy("_suffix_1", "_suffix_2").agg(F.sum("_y").alias("_blocks"), F.count("*").alias("_urls")))
+    blocks, n = suffixes.agg(F.sum("_blocks"), F.sum("_urls")).first()
+    if not n or blocks in (0, n):
         return rows.select("page_id", "host", "path", "rule", F.coalesce("_ruled", F.lit("allow")).alias("verdict"))
+    mean = blocks / n
+    sample = ruled.orderBy(F.xxhash64("page_id", "url")).limit(TRAIN_ROWS)
 
     def with_suffixes(df: DataFrame) -> DataFrame:
         for k in (1, 2):
-            share = sample.groupBy(f"_suffix_{k}").agg(((F.sum("_y") + mean * 5) / (F.count("*") + 5)).alias(f"suffix_{k}"))  # at most TRAIN_ROWS rows
+            share = suffixes.groupBy(f"_suffix_{k}").agg(((F.sum("_blocks") + mean * 5) / (F.sum("_urls") + 5)).alias(f"suffix_{k}"))
             df = df.join(small_or_shuffled(share, SUFFIX_ROWS), f"_suffix_{k}", "left").fillna(mean, [f"suffix_{k}"])
         return df
 
