@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -60,14 +60,19 @@ def arrow_map(df: DataFrame, schema: str, f: Callable[[list[pa.RecordBatch]], It
 
 def spans(texts: list[bytes], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Index ranges of texts holding about limit bytes each; one long text is a range of its own."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > limit:
-            yield start, i
-            start, size = i, 0
-        size += len(t) + 1
-    if start < len(texts):
-        yield start, len(texts)
+    return spans_of(map(len, texts), limit)
+
+
+def spans_of(sizes: Iterable[int], limit: int) -> Iterator[tuple[int, int]]:
+    """Index ranges of texts of the given sizes, as spans."""
+    start = size = i = 0
+    for i, n in enumerate(sizes, 1):
+        if size and size + n > limit:
+            yield start, i - 1
+            start, size = i - 1, 0
+        size += n + 1
+    if start < i:
+        yield start, i
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -12,8 +12,8 @@ A document is its ids, then the end id. A document longer than a sequence is cut
 only the first piece is shorter. Null text is empty: one end id. Rows with a null or
 repeated doc_id are packed like others. Further columns are ignored.
 
-Ids come from the tokenizer; the ids of a word that was met before come from a bounded
-memory of each worker. Words are cut only where the tokenizer's own rule cuts, too.
+Ids come from the tokenizer, once for each different word of some MB of text, and are laid
+out by array operations. Words are cut only where the tokenizer's own rule cuts, too.
 """
 
 from __future__ import annotations
@@ -24,24 +24,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts_of
+from .common import spans_of
 
 LENGTH = 1024
 END_ID = 2
 LOT, LOT_IDS = 16_384, 8_000_000
-MEMORY = 250_000  # words
 
-#: White space that holds a space which is not its first or last character, or that meets a line end: such text isn't cut there.
-_INNER_SPACE = re.compile(r"\s \s|\s $")
-_LINE_SPACE = re.compile(r"\s\n|\n\s|\n$|^\n")
+_SPACE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
+#: White space that holds a space which is not its first or last character, or a NUL (the line mark below): such text isn't cut.
+_UNCUT = rf"{_SPACE} {_SPACE}|{_SPACE} $|\x00"
+#: White space beside a line end: such text isn't cut at line ends.
+_LINE_SPACE = rf"{_SPACE}\n|\n{_SPACE}|\n$|^\n"
+_PLAIN = re.compile(r" ?\S+")
+TOGETHER = 8  # words encoded as lines of one text
+LOT_CHARS = 16 << 20  # text whose distinct words are encoded at once
 
 
 class Encoder:
-    """Ids of whole texts as little-endian unsigned 32-bit bytes, by a tokenizer of the byte-level kind."""
+    """Ids of whole texts, by a tokenizer of the byte-level kind whose ids of a text without a cut word are known to be its words' ids end to end."""
 
     _open: dict[str, "Encoder"] = {}
 
@@ -50,7 +55,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        line = self.direct(["\n"])[0]
+        self.line = line[0] if len(line) == 1 else None  # tokenizers whose line end is one id of its own
 
     @classmethod
     def at(cls, path: str) -> "Encoder":
@@ -58,43 +64,65 @@ class Encoder:
             cls._open[path] = cls(path)
         return cls._open[path]
 
-    def direct(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    @staticmethod
-    def chunks(text: str) -> list[str]:
-        """Pieces of a text between which the tokenizer's rule always cuts."""
-        if _INNER_SPACE.search(text):
-            return [text]
-        if _LINE_SPACE.search(text):
-            lines = [text]
-        else:
-            lines = text.split("\n")
-        out: list[str] = []
-        for i, line in enumerate(lines):
-            if i:
-                out.append("\n")
-            first, *rest = line.split(" ")
-            if first:
-                out.append(first)
-            out += [" " + w for w in rest]
-        return out
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        known = self.known
-        if len(known) > MEMORY:
-            known.clear()
-        cut = [self.chunks(t) for t in texts]
-        new = list({w for c in cut for w in c if w not in known})
-        own = dict(zip(new, self.direct(new)))
-        known.update((w, b) for w, b in own.items() if len(w) < 64)
-        out = []
-        for c in cut:
-            try:
-                out.append(b"".join([known[w] for w in c]))
-            except KeyError:
-                out.append(b"".join([known[w] if w in known else own[w] for w in c]))
-        return out
+    def direct(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words end to end, and how many each has. Plain words are encoded a few at a time, as lines of one text."""
+        plain = [self.line is not None and _PLAIN.fullmatch(w) is not None for w in words]
+        lined = [w for w, p in zip(words, plain) if p]
+        counts = np.zeros(len(words), np.int64)
+        parts = []
+        for a in range(0, len(lined), TOGETHER * 250):
+            rows = ["\n".join(lined[b : b + TOGETHER]) + "\n" for b in range(a, min(a + TOGETHER * 250, len(lined)), TOGETHER)]
+            parts += self.direct(rows)
+        flat = np.concatenate(parts) if parts else np.zeros(0, "<u4")
+        ends = np.flatnonzero(flat == self.line)
+        plain = np.array(plain, bool)
+        counts[plain] = np.diff(ends, prepend=-1) - 1
+        flat = np.delete(flat, ends)
+        odd = np.flatnonzero(~plain)
+        if len(odd):
+            own = self.direct([words[i] for i in odd])
+            counts[odd] = [len(x) for x in own]
+            before = np.cumsum(counts * plain)[odd]
+            flat = np.insert(flat, np.repeat(before, counts[odd]), np.concatenate(own))
+        return flat, counts
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (string, no nulls) end to end, each with end_id after it, and where each text's begin."""
+        n = len(texts)
+        uncut = pc.match_substring_regex(texts, _UNCUT)
+        lines = pc.if_else(pc.match_substring_regex(texts, _LINE_SPACE), texts, pc.replace_substring(texts, "\n", " \0 "))
+        cut = pc.split_pattern(pc.if_else(uncut, "", lines), " ")
+        first = np.asarray(cut.offsets).astype(np.int64)
+        coded = cut.values.dictionary_encode()
+        known = coded.dictionary.to_pylist()
+        code = np.asarray(coded.indices).astype(np.int64)
+        mark = known.index("\0") if "\0" in known else -1
+        leads = np.zeros(len(code), bool)  # words without a space before them
+        leads[first[:-1]] = True
+        leads[1:] |= code[:-1] == mark
+        leads |= code == mark
+        key = 2 * code + leads
+        used = np.zeros(2 * len(known), bool)
+        used[key] = True
+        at = np.flatnonzero(used)
+        place = np.cumsum(used) - 1
+        word = ["\n" if i >> 1 == mark else known[i >> 1] if i & 1 else " " + known[i >> 1] for i in at.tolist()]
+        whole = np.flatnonzero(np.asarray(uncut))
+        flat, counts = self.words(word)
+        own = self.direct(texts.take(pa.array(whole)).to_pylist()) if len(whole) else []
+        flat = np.concatenate([flat, *own, np.array([end_id], "<u4")])
+        counts = np.concatenate([counts, [len(x) for x in own], [1]]).astype(np.int64)
+        code = place[key]
+        code[first[:-1][whole]] = len(word) + np.arange(len(whole))
+        code = np.insert(code, first[1:], len(counts) - 1)
+        size = counts[code]
+        total = np.concatenate(([0], np.cumsum(size)))
+        begin = (np.cumsum(counts) - counts)[code]
+        ids = flat[np.repeat(begin - total[:-1], size) + np.arange(total[-1])]
+        return ids, total[np.concatenate((first[:-1] + np.arange(n), [len(code)]))]
 
 
 def pack(sizes: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
@@ -127,8 +155,6 @@ def pack(sizes: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarra
 
 
 def _packed(path: str, length: int, end_id: int):
-    end = np.array([end_id], dtype="<u4").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, next_bin = Encoder.at(path), TaskContext.get().partitionId() << 36
         ids, pieces, starts, blobs, held = [], [], [], [], 0
@@ -150,18 +176,18 @@ def _packed(path: str, length: int, end_id: int):
         kind = pa.int64()
         for batch in batches:
             kind = batch.schema.field("doc_id").type
-            texts, names = [t.decode("utf-8", "replace") for t in texts_of(batch)], batch.column("doc_id").to_pylist()
-            for a in range(0, len(texts), 200):
-                for name, blob in zip(names[a : a + 200], encoder.encode(texts[a : a + 200])):
-                    blob += end
-                    n = len(blob) // 4
-                    first = n % length or length
-                    for p, s in enumerate([0, *range(first, n, length)]):
-                        e = first if p == 0 else s + length
+            texts, names = pc.fill_null(batch.column("text"), ""), batch.column("doc_id").to_pylist()
+            for a, b in spans_of(np.asarray(pc.binary_length(texts)), LOT_CHARS):
+                every, first = encoder.encode(texts.slice(a, b - a), end_id)
+                for name, x, y in zip(names[a:b], first[:-1].tolist(), first[1:].tolist()):
+                    n = y - x
+                    head = n % length or length
+                    for p, s in enumerate([0, *range(head, n, length)]):
+                        e = head if p == 0 else s + length
                         ids.append(name)
                         pieces.append(p)
                         starts.append(s)
-                        blobs.append(blob[4 * s : 4 * e])
+                        blobs.append(every[x + s : x + e].tobytes())
                     held += n
                     if len(blobs) >= LOT or held >= LOT_IDS:
                         yield lot()
