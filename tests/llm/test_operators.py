@@ -8,14 +8,16 @@ from math import log10
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from umbra.llm import queries as Q, url_filter
+from umbra.llm import queries as Q, substring_dedup, url_filter
 from umbra.llm.common import held_out
 from umbra.llm.decontaminate import contained_items
 from umbra.llm.extract import main_texts
+from umbra.llm.fm_index import FmIndex
 from umbra.llm.near_dedup import near_duplicates
 from umbra.llm.packing import pack, packed
 from umbra.llm.ppm import likelihoods
@@ -98,6 +100,69 @@ def test_substrings(docs, texts):
     assert without_repeats(empty(docs)).count() == 0
 
 
+def removed(rows):
+    """(doc_id, text): words and removed words of each, by the contract, in order of (doc_id, start)."""
+    first, out = {}, []
+    split = [(d, WORD.findall((t or "").encode())) for d, t in rows]
+    for d, w in split:
+        for i in range(len(w) - 19) if d is not None else ():
+            key = tuple(w[i : i + 20])
+            first[key] = min(first.get(key, (d, i)), (d, i))
+    for d, w in split:
+        gone = set()
+        for i in range(len(w) - 19) if d is not None else ():
+            if first[tuple(w[i : i + 20])] < (d, i):
+                gone |= set(range(i, i + 20))
+        out.append((d, len(w), len(gone), b" ".join(x for i, x in enumerate(w) if i not in gone).decode()))
+    return Counter(out)
+
+
+def test_substrings_odd_rows(spark, monkeypatch):
+    shared = " ".join(f"p{i}" for i in range(60))
+    rows = [(None, shared), (None, None), (3, "x " + shared), (2, shared + " y"), (2, "z " + shared), (2, shared + " y"), (7, "q r " + shared + " s " + shared), (8, LONG), (9, LONG * 40), (10, "ab " * 500)]
+    rows += [(100 + i, f"{i} " + shared + f" {i * i}") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    names = ("_id", "_m", "_found", "_mark", "_words", "row", "found", "mark", "kept_text", "n_words", "start", "content")
+    df = df.withColumns({n: F.lit(f"own {n}") for n in names})
+    want = removed(rows)
+    for least in (20_000, 2):  # the second: almost all names are hot
+        monkeypatch.setattr(substring_dedup, "HOT_LEAST", least)
+        got = without_repeats(df).collect()
+        assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got) == want
+        assert all(r[n] == f"own {n}" for r in got for n in names if n not in ("kept_text", "n_words"))
+
+
+def test_fm_index():
+    rng = np.random.default_rng(1)
+    for _ in range(60):
+        sigma, depth = int(rng.integers(1, 5)), int(rng.integers(1, 7))
+        held = [rng.integers(1, sigma + 1, int(rng.integers(0, 12))) for _ in range(int(rng.integers(0, 8)))]
+        text = np.concatenate([np.zeros(0, np.int64), *(np.append(s, 0) for s in held)]).astype(np.int64)
+        index = FmIndex(text, depth)
+        patterns = [rng.integers(0, sigma + 3, int(rng.integers(0, 15))) for _ in range(5)] + held
+        ends = np.cumsum([len(p) for p in patterns])
+        starts = ends - [len(p) for p in patterns]
+        length, low, high = index.statistics(np.concatenate(patterns).astype(np.int64), starts, ends)
+        places = lambda p: [i for i in range(len(text) - len(p) + 1) if (text[i : i + len(p)] == p).all()]
+        for p, a in zip(patterns, starts):
+            for i in range(len(p)):
+                most = max(n for n in range(min(depth, len(p) - i) + 1) if not n or ((p[i : i + n] > 0).all() and places(p[i : i + n])))
+                assert length[a + i] == most
+                if most:
+                    at = places(p[i : i + most])
+                    assert high[a + i] - low[a + i] == len(at) == index.count(p[i : i + most])
+                    if most == depth and len(at) > 1:
+                        assert index.first_place(low[a + i : a + i + 1])[0] == min(at)
+
+
+def test_substrings_come_from_the_search(monkeypatch):
+    words = " ".join(f"w{i}" for i in range(30)).encode()
+    shard = pd.DataFrame({"route": [1, 1], "content": [1, 2], "doc_id": [5, 6], "mark": [0, 0], "start": [0, 3], "windows": [11, 12], "copies": [1, 1], "words": [words, b"new " + words]})
+    assert list(substring_dedup._search(shard)["bits"]) == [(1 << 12) - 2]
+    monkeypatch.setattr(FmIndex, "statistics", lambda self, text, a, b: (np.zeros(len(text), np.int64),) * 3)
+    assert not len(substring_dedup._search(shard))
+
+
 def test_quality_rules(docs, texts, labels):
     out = {r.doc_id: r for r in quality_rules(docs, labels).collect()}
     for d, t in texts.items():

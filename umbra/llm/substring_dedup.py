@@ -7,14 +7,17 @@ earlier: in a document with a smaller doc_id, or earlier in the same document.
    with equal words have equal names, and a run of windows with one name is a passage of
    at most 35 words. Names are counted over the corpus; those met twice or more are set in
    a bit table of at most 2**27 bits (a false bit only sends a passage on in vain).
-2. Passages with a set name go to the shard of their name, equal passages summed up before
-   they are sent: a passage in a third of all documents is one row per task. Names that
-   are met very often are refined by the window's second smallest hash.
+2. Passages with a set name go to the shard of their name. Each task sends one row for all
+   copies of a passage within LOT_BYTES of text; passages whose names are met very often are
+   added up by content before they go to a shard, and their names are refined by the window's
+   second smallest hash. Windows with equal words always meet in one shard.
 3. Each shard builds a compressed FM-index of its distinct passages, about SHARD_WORDS
-   words, and streams them through it: backward search over the wavelet matrix gives, for
-   every window, the group of its occurrences (its matching statistic reaches the
-   threshold if there is another), and the group's earliest place.
-4. Covered spans return to their documents, grouped by doc_id.
+   words, and streams them through it: backward search over the wavelet matrix gives every
+   window's matching statistic and the interval of its occurrences. A statistic at the
+   threshold with an interval of two or more is a repeat; the index knows the interval's
+   first place.
+4. What was found goes back to the passages' places by content, then to the documents: one
+   shuffle of keys and places, one of the texts.
 
 Words are kept as they are. Null text has no words. Rows with a null doc_id are returned
 untouched and are no earlier place for others. Rows that repeat a doc_id are told apart by
@@ -31,15 +34,17 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import Words, _power_tables, grams, mix, spans, texts_of, written
+from .common import Words, _power_tables, forget, grams, mix, spans, texts_of, written
 from .fm_index import FmIndex
 
 WINDOW, GRAM = 20, 5
 RUN = 16  # windows of a passage
 TABLE_BITS = 27
 SHARD_WORDS = 500_000
-HOT_LEAST, HOT_MOST = 20_000, 100_000  # a name is hot beyond so many windows' runs; at most so many names are
+LOT_BYTES = 32 << 20  # text whose equal passages a task adds up
+HOT_LEAST, HOT_MOST = 20_000, 1_000_000  # a name is hot beyond so many windows' runs; at most so many names are
 
 
 class Passages:
@@ -104,59 +109,88 @@ def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n.astype(np.int64))], names=["name", "n"])
 
 
-def _suspects(shared):
+def _suspects(shared, hot_only: bool | None):
+    """Passages whose name is in the table. hot_only: those of hot names, or of others, once for each LOT_BYTES of text, with their words and number; None: every place, without words."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, hot = shared.value
         bits, shift = np.frombuffer(table, np.uint8), np.uint64(64 - TABLE_BITS)
+        held: list[tuple[Words, dict[str, np.ndarray]]] = []
+        size = 0
+
+        def lot() -> pa.RecordBatch:
+            nonlocal size
+            every = {k: np.concatenate([f[k] for _, f in held]) for k in held[0][1]}
+            part = np.repeat(np.arange(len(held)), [len(f["route"]) for _, f in held])
+            copies = np.ones(len(part), np.int64)
+            if hot_only is not None:
+                order = np.lexsort((every["mark"], every["start"], every["doc_id"], every["content"], every["route"]))
+                r, c = every["route"][order], every["content"][order]
+                edge = np.flatnonzero(np.concatenate(([True], (r[1:] != r[:-1]) | (c[1:] != c[:-1]))))
+                copies, keep = np.diff(np.append(edge, len(order))), order[edge]
+                every, part = {k: v[keep] for k, v in every.items()}, part[keep]
+            names = ["route", "content", "doc_id", "mark", "start", "windows"]
+            arrays = [pa.array(every["route"].view(np.int64)), pa.array(every["content"].view(np.int64)), pa.array(every["doc_id"]), pa.array(every["mark"]), pa.array(every["start"] - every["zero"]), pa.array(every["windows"])]
+            if hot_only is not None:
+                words = [held[p][0] for p in part.tolist()]
+                blobs = [w.data[w.start[a] : w.end[b]] for w, a, b in zip(words, every["start"].tolist(), (every["start"] + every["windows"] + WINDOW - 2).tolist())]
+                arrays, names = [*arrays, pa.array(copies), pa.array(blobs, pa.binary())], [*names, "copies", "words"]
+            held.clear()
+            size = 0
+            return pa.RecordBatch.from_arrays(arrays, names=names)
+
         for batch in batches:
             texts = texts_of(batch)
-            ids, marks = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("mark").to_numpy(zero_copy_only=False)
+            ids, marks = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("doc_id", "mark"))
             for a, b in spans(texts):
                 p = Passages(texts[a:b], hot)
                 slot = (p.name >> shift).astype(np.int64)
-                keep = np.flatnonzero(bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
+                met = (bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
+                if hot_only is not None:
+                    met &= (p.route != p.name) == hot_only
+                keep = np.flatnonzero(met)
                 if not len(keep):
                     continue
-                w, start, count, text = p.words, p.start[keep], p.count[keep], p.text[keep]
-                blobs = [w.data[x:y] for x, y in zip(w.start[start], w.end[start + count + WINDOW - 2])]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(p.route[keep].view(np.int64)), pa.array(p.content()[keep].view(np.int64)), pa.array(ids[a + text].astype(np.int64)), pa.array(marks[a + text].astype(np.int32)), pa.array((start - w.first[text]).astype(np.int64)), pa.array(count.astype(np.int32)), pa.array(blobs, pa.binary())],
-                    names=["route", "content", "doc_id", "mark", "start", "windows", "words"],
-                )
+                text = p.text[keep]
+                held.append((p.words, {"route": p.route[keep], "content": p.content()[keep], "doc_id": ids[a + text].astype(np.int64), "mark": marks[a + text].astype(np.int32), "start": p.start[keep], "windows": p.count[keep].astype(np.int32), "zero": p.words.first[text]}))
+                size += len(p.words.data)
+                if size >= (LOT_BYTES if hot_only is not None else 1 << 20):
+                    yield lot()
+        if held:
+            yield lot()
 
     return run
 
 
 def _search(shard: pd.DataFrame) -> pd.DataFrame:
-    """For each passage, bits of its windows that are met at an earlier place."""
-    shard = shard.sort_values(["doc_id", "start", "mark"]).reset_index(drop=True)
+    """For each distinct passage its first place, its copies, and bits of its windows that are met at an earlier place; none for passages without a repeat."""
+    shard = shard.sort_values(["route", "content", "doc_id", "start", "mark"])
+    key = ["route", "content"]
+    copies = shard.groupby(key, sort=False)["copies"].sum().to_numpy()
+    shard = shard.drop_duplicates(key).assign(copies=copies).sort_values(["doc_id", "start", "mark"]).reset_index(drop=True)
     w = Words(list(shard["words"]))
     _, symbol = np.unique(w.hash, return_inverse=True)
     starts = w.first[:-1] + np.arange(len(shard))
     text = np.insert(symbol + 1, w.first[1:], 0)
     index = FmIndex(text, WINDOW)
-    ends = starts + w.count()
-    group = index.window_groups(starts, ends)
-    # Places in order of (doc_id, start): a window's place in the index's text tells which comes first.
-    order = index.group
-    edge = np.flatnonzero(np.concatenate(([True], order[1:] != order[:-1])))
-    earliest = np.minimum.reduceat(index.suffixes, edge)
+    length, low, high = index.statistics(text, starts, starts + w.count())
+
     passage = np.repeat(np.arange(len(shard)), w.count() + 1)
     doc, at = shard["doc_id"].to_numpy()[passage], shard["start"].to_numpy()[passage] + np.arange(len(text)) - starts[passage]
-    n = shard["windows"].to_numpy()
-    inside = np.arange(len(text)) - starts[passage] < n[passage]
-    own = np.flatnonzero(inside)
-    before = earliest[group[own]]
-    met = (doc[before] < doc[own]) | ((doc[before] == doc[own]) & (at[before] < at[own]))
+    repeated = np.flatnonzero((length >= WINDOW) & (high - low > 1))
+    # Places in order of (doc_id, start): the first of an interval is the one that comes first.
+    before = index.first_place(low[repeated])
+    earlier = (doc[before] < doc[repeated]) | ((doc[before] == doc[repeated]) & (at[before] < at[repeated]))
+    own = repeated[earlier]
     bits = np.zeros(len(shard), np.int64)
-    np.bitwise_or.at(bits, passage[own[met]], np.int64(1) << (own[met] - starts[passage[own[met]]]))
-    return shard[["route", "content", "doc_id", "mark", "start"]].assign(bits=bits)
+    np.bitwise_or.at(bits, passage[own], np.int64(1) << (own - starts[passage[own]]))
+    return shard[["route", "content", "doc_id", "start"]].assign(bits=bits)[(bits != 0) | (shard["copies"].to_numpy() > 1)]
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n_words, n_removed, kept = [], [], []
-        for text, found in zip(texts_of(batch), batch.column("_found").to_pylist()):
+        for text, found in zip(texts_of(batch), batch.column("found").to_pylist()):
             words = text.split()
             away = 0
             if found:
@@ -172,10 +206,9 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n_words.append(len(words))
             n_removed.append(away)
             kept.append(b" ".join(rest))
-        own = [c for c in batch.schema.names if not c.startswith("_")]
         yield pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in own), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())],
-            names=[*own, "n_words", "n_removed", "kept_text"],
+            [batch.column("row"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())],
+            names=["row", "n_words", "n_removed", "kept_text"],
         )
 
 
@@ -198,16 +231,20 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     hot = np.sort(np.array([r[0] for r in names.where(F.col("n") > often).select("name").collect()], np.int64).view(np.uint64))  # fewer than HOT_MOST names
     shared = spark.sparkContext.broadcast((bytes(table), hot))
 
-    suspects = known.mapInArrow(_suspects(shared), "route long, content long, doc_id long, mark int, start long, windows int, words binary")
-    suspects = written(suspects)
-    place = F.struct("doc_id", "start", "mark")
-    passages = suspects.groupBy("route", "content").agg(F.min(place).alias("p"), F.count("*").alias("copies"), F.any_value("windows").alias("windows"), F.any_value("words").alias("words"))
+    forget(names)
+
+    columns = "route long, content long, doc_id long, mark int, start long, windows int"
     shards = int(total) * (WINDOW + RUN // 2) // SHARD_WORDS + 1
-    rows = passages.select("route", "content", "p.*", "windows", "words", F.pmod(F.xxhash64("route"), F.lit(shards)).alias("shard"))
-    searched = written(rows.groupBy("shard").applyInPandas(_search, "route long, content long, doc_id long, mark int, start long, bits long"))
+    rows = known.mapInArrow(_suspects(shared, False), f"{columns}, copies long, words binary")
+    if len(hot):
+        often_met = known.mapInArrow(_suspects(shared, True), f"{columns}, copies long, words binary").groupBy("route", "content")
+        summed = often_met.agg(F.min(F.struct("doc_id", "start", "mark")).alias("p"), F.sum("copies").alias("copies"), F.any_value("windows").alias("windows"), F.any_value("words").alias("words"))
+        rows = rows.unionByName(summed.select("route", "content", "p.*", "copies", "windows", "words"))
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("route"), F.lit(shards)))
+    firsts = rows.groupBy("shard").applyInPandas(_search, "route long, content long, doc_id long, start long, bits long")
 
-    firsts = searched.select("route", "content", F.col("doc_id").alias("_doc"), F.col("start").alias("_start"), "bits")
-    met = suspects.select("route", "content", "doc_id", "mark", "start", "windows").join(firsts, ["route", "content"])
+    firsts = firsts.select("route", "content", F.col("doc_id").alias("_doc"), F.col("start").alias("_start"), "bits")
+    met = known.mapInArrow(_suspects(shared, None), columns).join(firsts, ["route", "content"])
     first = (F.col("doc_id") == F.col("_doc")) & (F.col("start") == F.col("_start"))
     every = F.expr("shiftleft(1L, windows) - 1")
     met = met.select("doc_id", "mark", "start", F.when(first, F.col("bits")).otherwise(every).alias("bits")).where("bits != 0")
@@ -217,9 +254,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs with n_words, n_removed and kept_text (the kept words joined by one space)."""
     own = docs.drop("n_words", "n_removed", "kept_text")
-    marked = own.withColumn("_mark", F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF).cast("long")).cast("int"))
-    found = repeated_spans(marked.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_mark").alias("mark"), F.col("text").cast("string").alias("text")))
-    found = found.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_m"), F.col("found").alias("_found"))
-    joined = marked.join(found, (F.col("doc_id") == F.col("_id")) & (F.col("_mark") == F.col("_m")), "left").select(*own.columns, "_found")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema)
-    return joined.mapInArrow(_kept, f"{schema}, n_words long, n_removed long, kept_text string")
+    text = F.col("text").cast("string")
+    known = own.select(F.struct(*own.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).bitwiseAND(F.lit(0x7FFFFFFF).cast("long")).cast("int").alias("mark"))
+    found = repeated_spans(known.select("doc_id", "mark", "text"))
+    joined = known.join(found, ["doc_id", "mark"], "left").select("row", "text", "found")
+    kinds = T.StructType([joined.schema["row"], *(T.StructField(n, k) for n, k in (("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_text", T.StringType())))])
+    return joined.mapInArrow(_kept, kinds).select("row.*", "n_words", "n_removed", "kept_text")
