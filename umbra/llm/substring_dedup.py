@@ -115,7 +115,7 @@ def _suspects(shared, hot_only: bool | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, hot = shared.value
         bits, shift = np.frombuffer(table, np.uint8), np.uint64(64 - TABLE_BITS)
-        held: list[tuple[Words, dict[str, np.ndarray]]] = []
+        held: list[tuple[tuple[bytes, np.ndarray, np.ndarray], dict[str, np.ndarray]]] = []
         size = 0
 
         def lot() -> pa.RecordBatch:
@@ -133,7 +133,7 @@ def _suspects(shared, hot_only: bool | None):
             arrays = [pa.array(every["route"].view(np.int64)), pa.array(every["content"].view(np.int64)), pa.array(every["doc_id"]), pa.array(every["mark"]), pa.array(every["start"] - every["zero"]), pa.array(every["windows"])]
             if hot_only is not None:
                 words = [held[p][0] for p in part.tolist()]
-                blobs = [w.data[w.start[a] : w.end[b]] for w, a, b in zip(words, every["start"].tolist(), (every["start"] + every["windows"] + WINDOW - 2).tolist())]
+                blobs = [data[start[a] : end[b]] for (data, start, end), a, b in zip(words, every["start"].tolist(), (every["start"] + every["windows"] + WINDOW - 2).tolist())]
                 arrays, names = [*arrays, pa.array(copies), pa.array(blobs, pa.binary())], [*names, "copies", "words"]
             held.clear()
             size = 0
@@ -152,7 +152,7 @@ def _suspects(shared, hot_only: bool | None):
                 if not len(keep):
                     continue
                 text = p.text[keep]
-                held.append((p.words, {"route": p.route[keep], "content": p.content()[keep], "doc_id": ids[a + text].astype(np.int64), "mark": marks[a + text].astype(np.int32), "start": p.start[keep], "windows": p.count[keep].astype(np.int32), "zero": p.words.first[text]}))
+                held.append(((p.words.data, p.words.start.astype(np.int32), p.words.end.astype(np.int32)) if hot_only is not None and len(p.words.data) < 1 << 31 else (p.words.data, p.words.start, p.words.end), {"route": p.route[keep], "content": p.content()[keep], "doc_id": ids[a + text].astype(np.int64), "mark": marks[a + text].astype(np.int32), "start": p.start[keep], "windows": p.count[keep].astype(np.int32), "zero": p.words.first[text]}))
                 size += len(p.words.data)
                 if size >= (LOT_BYTES if hot_only is not None else 1 << 20):
                     yield lot()
@@ -240,7 +240,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         often_met = known.mapInArrow(_suspects(shared, True), f"{columns}, copies long, words binary").groupBy("route", "content")
         summed = often_met.agg(F.min(F.struct("doc_id", "start", "mark")).alias("p"), F.sum("copies").alias("copies"), F.any_value("windows").alias("windows"), F.any_value("words").alias("words"))
         rows = rows.unionByName(summed.select("route", "content", "p.*", "copies", "windows", "words"))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("route"), F.lit(shards)))
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("route"), F.lit(shards))).repartition(shards // 4 + 1, "shard")
     firsts = rows.groupBy("shard").applyInPandas(_search, "route long, content long, doc_id long, start long, bits long")
 
     firsts = firsts.select("route", "content", F.col("doc_id").alias("_doc"), F.col("start").alias("_start"), "bits")
