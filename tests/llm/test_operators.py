@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from umbra.llm import queries as Q, substring_dedup, url_filter
+from umbra.llm import ppm, queries as Q, substring_dedup, url_filter
 from umbra.llm.common import held_out
 from umbra.llm.decontaminate import contained_items
 from umbra.llm.extract import main_texts
@@ -228,15 +228,61 @@ def test_likelihoods(docs, texts):
     assert likelihoods(empty(docs), held_out(F.col("doc_id"), 10)).count() == 0
 
 
-def test_likelihoods_sum_to_one(spark):
-    """Probabilities of all symbols after one context, of which some were met in training."""
-    train = [(i, t) for i, t in enumerate(["abracadabra", "abra", "cadabra", "bracket"])]
-    ask = [(100 + b, "abr" + chr(b)) for b in range(128)]
-    rows = spark.createDataFrame(train + ask + [(99, "abr")], "doc_id long, text string")
-    out = {r.doc_id: r.score for r in likelihoods(rows, F.col("doc_id") >= 99).collect()}
-    # Texts that go on after "abr" with a byte, then end; the sum over next symbols is bounded by one.
-    assert all(s < 0 for s in out.values())
-    assert out[100 + ord("a")] > out[100 + ord("q")]
+def trie(texts, order):
+    """Counts of what followed each context of 0 to order symbols; shorter ones count once for each longer one."""
+    table = [{} for _ in range(order + 1)]
+    for t in texts:
+        t = [257] * order + list(t) + [256]
+        for i in range(order, len(t)):
+            own = table[order].setdefault(tuple(t[i - order : i]), Counter())
+            own[t[i]] += 1
+    for k in range(order - 1, -1, -1):
+        for context, own in table[k + 1].items():
+            for x in own:
+                table[k].setdefault(context[1:], Counter())[x] += 1
+    return table
+
+
+def chance(table, context, symbol):
+    p, away, order = 1.0, set(), len(table) - 1
+    for k in range(order, -1, -1):
+        own = table[k].get(tuple(context[order - k :]))
+        if own is None:
+            continue
+        rest = {x: n for x, n in own.items() if x not in away}
+        g = ppm.GIVEN[k < order]
+        if symbol in rest:
+            return p * (rest[symbol] - g) / sum(rest.values())
+        if rest:
+            p *= g * len(rest) / sum(rest.values())
+        away |= set(own)
+    return p / (257 - len(away))
+
+
+def test_likelihoods_by_brute_force(spark, monkeypatch):
+    train = ["abracadabra", "abra", "", "cadabra brackets", "bracket " * 30, "Ünïcödé \U0001f600", LONG[:3000]]
+    ask = [None, "", "abr", "abrz", "ABRACADABRA", "\x00\x01", "bracket cadabra", "é", LONG[500:2500] + "!", "zq" * 500]
+    rows = spark.createDataFrame([*((i, t) for i, t in enumerate(train)), *((100 + i, t) for i, t in enumerate(ask)), (None, "abr"), (102, "abr")], "doc_id long, text string")
+    low = [(t or "").encode().translate(LOWER) for t in train + ask]
+    table, order = trie(low[: len(train)], ppm.ORDER), ppm.ORDER
+
+    def score(t):
+        t = [257] * order + list(t) + [256]
+        return sum(log10(chance(table, t[i - order : i], t[i])) for i in range(order, len(t)))
+
+    want = dict(zip([*range(len(train)), *range(100, 100 + len(ask))], map(score, low))) | {None: score(b"abr")}
+    for size in (ppm.TABLE, 16):  # the second: almost nothing is broadcast
+        monkeypatch.setattr(ppm, "TABLE", size)
+        if size == 16:  # many buckets, each salted
+            monkeypatch.setattr(ppm, "BUCKET_BYTES", 50)
+            monkeypatch.setattr(ppm, "MOST_BUCKETS", 5)
+        got = likelihoods(rows, F.coalesce(F.col("doc_id") >= 100, F.lit(True))).collect()
+        assert len(got) == len(train) + len(ask) + 2
+        assert all(r.score == pytest.approx(want[r.doc_id], rel=1e-9) for r in got)
+    for context in ([257] * 6, list(b"xxabra"), list(b"zzzzzz"), list(b"racket"), list(b"q brac")):
+        assert sum(chance(table, context, x) for x in range(257)) == pytest.approx(1)
+    alone = likelihoods(rows, F.lit(True)).collect()
+    assert all(r.score == pytest.approx(-log10(257) * r.n) for r in [type("R", (), {"score": x.score, "n": len(dict(zip([*range(len(train)), *range(100, 100 + len(ask))], low)).get(x.doc_id, b"abr")) + 1}) for x in alone])
 
 
 def test_packing(docs, texts):
