@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from umbra.llm import ppm, queries as Q, substring_dedup, url_filter
+from umbra.llm import components as components_module, ppm, queries as Q, substring_dedup, url_filter
 from umbra.llm.common import held_out
 from umbra.llm.decontaminate import contained_items
 from umbra.llm.extract import main_texts
@@ -181,6 +181,45 @@ def test_quality_rules(docs, texts, labels):
     assert quality_rules(empty(docs), empty(labels)).count() == 0
 
 
+def test_quality_rules_odd_rows(spark, labels):
+    """Null and repeated ids, repeated rows, and columns named as helpers pass through; a text of some MB is counted whole."""
+    rows = [(None, "a b c"), (None, None), (1, "x y " * 20), (1, "x y " * 20), (1, "other words"), (2, LONG * 100)]
+    names = ("_windows", "_placed", "_words", "_lines", "_hashes", "_pairs", "_trusted", "c0", "bucket", "llr", "kept")
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({n: F.lit(f"own {n}") for n in names})
+    out = quality_rules(df, labels).collect()
+    assert Counter((r.doc_id, r.text) for r in out) == Counter(rows)
+    assert all(r[n] == f"own {n}" for r in out for n in names if n not in ("llr", "kept"))
+    assert {r.n_words for r in out if r.doc_id == 2} == {len((LONG * 100).split())}
+
+
+def test_near_duplicates_of_a_hub(spark, monkeypatch):
+    """Minima of nodes with many neighbours are broadcast, the rest shuffled."""
+    monkeypatch.setattr(components_module, "SMALL", 0)
+    monkeypatch.setattr(components_module, "HUB", 5)
+    edges = [(0, i) for i in range(1, 60)] + [(i, i + 1) for i in range(100, 130)] + [(200, 200), (None, 3), (131, 100)]
+    got = {r.node: r.component for r in components_module.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {i: 0 for i in range(60)} | {i: 100 for i in range(100, 132)}
+    assert components_module.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+@pytest.mark.parametrize("apply", [lambda df: near_duplicates(df), lambda df: packed(df, Q.tokenizer_path()), lambda df: shard_rows(df, topology(16), grown(topology(16))), lambda df: likelihoods(df, held_out(F.col("doc_id"), 10))], ids=["near", "packing", "sharding", "scoring"])
+def test_null_and_repeated_ids(spark, apply):
+    """Every row comes back, null and repeated ids too; a text of some MB is no trouble."""
+    rows = [(None, "one two three four five six"), (None, None), (4, "same words in the same order"), (4, "same words in the same order"), (4, "else"), (5, LONG * 60)]
+    out = apply(spark.createDataFrame(rows, "doc_id long, text string").withColumns({n: F.lit("own") for n in ("_id", "node", "lot", "key", "_n")})).collect()
+    got = Counter(r.doc_id for r in out if getattr(r, "piece", 0) == 0)
+    assert got == {None: 2, 4: 3, 5: 1}
+
+
+def test_contaminated_rows_without_an_id(spark, tmp_path):
+    item = " ".join(f"i{k}" for k in range(30))
+    spark.createDataFrame([(1, item), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, "x " + item), (7, item), (7, "clean text"), (None, "clean text"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"key": F.lit(1), "row": F.lit(2), "_gone": F.lit(3)})
+    out = corpus_pipeline.drop_contaminated(spark, df, str(tmp_path))
+    assert out.columns == df.columns and Counter((r.doc_id, r.text) for r in out.collect()) == {(7, "clean text"): 1, (None, "clean text"): 1, (None, None): 1}
+
+
 def test_quality_rules_keep_good_documents(docs, labels):
     kept = quality_rules(docs, labels).join(labels.drop("n_words"), "doc_id").where("not base_failed").groupBy("quality").agg(F.avg(F.col("kept").cast("double")).alias("share"))
     share = {r.quality: r.share for r in kept.collect()}

@@ -2,8 +2,9 @@
 
 Each round makes every node point to the smallest node it sees (large star), then
 links the smaller neighbours among themselves (small star).  Rounds grow with the
-logarithm of the longest path; no node list is gathered anywhere: a node with very
-many neighbours is a skewed join key, which adaptive execution splits.
+logarithm of the longest path; no node list is gathered anywhere. Minima are taken in each
+task first. They go back to the edges by a broadcast where the edges are counted to be few;
+else only those of nodes with very many neighbours (HUB or more) do, and the rest is shuffled.
 """
 
 from __future__ import annotations
@@ -11,7 +12,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import forget, written
+
+
+SMALL = 1_000_000  # edges whose nodes' minima are broadcast (16 bytes each)
+HUB = 10_000  # least neighbours of a node that isn't shuffled; at most edges / HUB nodes, 100,000 at most
+
+
+def _beside(rows: DataFrame, least: DataFrame, edges: int) -> DataFrame:
+    """rows with the minimum m of their u; least: (u, m, n), n being the neighbours of u."""
+    if edges <= SMALL:
+        return rows.join(F.broadcast(least.drop("n")), "u")
+    hubs = F.broadcast(least.where(F.col("n") >= max(HUB, edges // 50_000)).drop("n"))
+    others = rows.join(hubs.select("u"), "u", "left_anti").join(least.drop("n"), "u")
+    return rows.join(hubs, "u").unionByName(others)
 
 
 def _digest(edges: DataFrame) -> tuple:
@@ -30,12 +44,13 @@ def components(edges: DataFrame) -> DataFrame:
         return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+        large = _beside(both, least, seen[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u > v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        e = written(small.where("u > v").distinct())
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = _beside(large, least, seen[0]).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        before, e = e, written(small.where("u > v").distinct())
+        forget(before)
         now = _digest(e)
         if now == seen:
             break

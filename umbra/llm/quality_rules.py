@@ -35,6 +35,7 @@ WINDOW = 5
 LABEL_ROWS = 2_000_000  # labels up to this count are broadcast (about 16 MB)
 
 SYMBOLS = "[#*$%&|<>]"
+RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept")
 
 
 def bucket(h: Column) -> Column:
@@ -67,27 +68,27 @@ def _settled(df: DataFrame, **columns: Column) -> DataFrame:
     return df
 
 
-def surface(docs: DataFrame) -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and the helper columns _hashes and _pairs (of words and word pairs)."""
-    text = blank(F.col("text"))
+def surface(docs: DataFrame, text: Column) -> DataFrame:
+    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and the helper columns _hashes and _pairs (of words and word pairs); no column of docs may be named so."""
+    text = blank(text)
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     n = F.size("_hashes")
     pairs = F.when(n > 1, F.transform(F.slice("_hashes", F.lit(1), n - 1), lambda h, i: F.xxhash64(h, F.get("_hashes", i + 1))))
     windows = F.when(n >= WINDOW, F.transform(F.slice("_pairs", F.lit(1), n - WINDOW + 1), lambda h, i: F.xxhash64(h, F.get("_pairs", i + 2), F.get("_hashes", i + WINDOW - 1))))
-    out = _settled(docs.drop("_words", "_lines"), _words=word_array(text), _lines=lines)
+    out = _settled(docs, _words=word_array(text), _lines=lines)
     out = out.withColumns({
         "n_words": F.size("_words").cast("long"),
         "word_chars": F.length(F.array_join("_words", "")).cast("long"),
         "n_symbols": F.regexp_count(text, F.lit(SYMBOLS)).cast("long"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
     })
-    out = _settled(out.drop("_hashes"), _hashes=F.transform("_words", lambda w: F.xxhash64(w))).drop("_words", "_lines")
-    out = _settled(out.drop("_pairs"), _pairs=pairs)
+    out = _settled(out, _hashes=F.transform("_words", lambda w: F.xxhash64(w))).drop("_words", "_lines")
+    out = _settled(out, _pairs=pairs)
     out = _settled(out, _windows=windows)
     repeated = F.size("_windows") > F.size(F.array_distinct("_windows"))
     placed = F.when(repeated, F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("p")))))
     out = _settled(out, _placed=placed)
-    out = _settled(out.drop("n_repeat_words"), n_repeat_words=repeated_words(F.col("_placed")))
+    out = _settled(out, n_repeat_words=repeated_words(F.col("_placed")))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return out.withColumn("base_failed", failed).drop("_windows", "_placed")
 
@@ -116,6 +117,9 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs with the surface counts, llr double and kept boolean."""
     ratios = [r for _, r in sorted(log_ratios(docs, labels).select("bucket", "ratio").collect())]  # always 2**16 values
     table = F.from_json(F.lit(json.dumps(ratios)), "array<double>")  # a constant: parsed once
-    out = surface(docs.drop("llr", "kept"))
+    own = docs.drop(*RESULTS)
+    plain = [f"c{i}" for i in range(len(own.columns))]  # no name of docs meets a helper's
+    out = surface(own.toDF(*plain), F.col(plain[own.columns.index("text")]))
     out = _settled(out, llr=F.when(F.col("n_words") > 0, mean_ratio(F.col("_hashes"), F.col("_pairs"), table)).otherwise(0.0))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= THRESHOLD)).drop("_hashes", "_pairs")
+    out = out.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= THRESHOLD))
+    return out.select(*(F.col(p).alias(c) for p, c in zip(plain, own.columns)), *RESULTS)

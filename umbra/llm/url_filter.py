@@ -22,7 +22,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blank, small_or_shuffled, written
+from .common import blank, lowest, small_or_shuffled, written
 
 TRAIN_ROWS = 20_000
 SUFFIX_ROWS = 200_000
@@ -82,7 +82,6 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES)
     if not n or blocks in (0, n):
         return rows.select("page_id", "host", "path", "rule", F.coalesce("_ruled", F.lit("allow")).alias("verdict"))
     mean = blocks / n
-    sample = ruled.orderBy(F.xxhash64("page_id", "url")).limit(TRAIN_ROWS)
 
     def with_suffixes(df: DataFrame) -> DataFrame:
         for k in (1, 2):
@@ -90,9 +89,11 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES)
             df = df.join(small_or_shuffled(share, SUFFIX_ROWS), f"_suffix_{k}", "left").fillna(mean, [f"suffix_{k}"])
         return df
 
+    sample = lowest(ruled.withColumn("_hash", F.xxhash64("page_id", "url")), TRAIN_ROWS).orderBy("_hash").limit(TRAIN_ROWS)
+    sample = written(with_suffixes(sample).select(*FEATURES, "_y"))
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="_x")
     trainer = GBTClassifier(featuresCol="_x", labelCol="_y", predictionCol="_blocked", maxIter=TREES, maxDepth=DEPTH, seed=7)
-    model = trainer.fit(vectors.transform(with_suffixes(sample)).select("_x", "_y"))
+    model = trainer.fit(vectors.transform(sample).select("_x", "_y"))
     judged = model.transform(vectors.transform(with_suffixes(rows)))
     own = F.when(F.col("_blocked") == 1.0, "block").otherwise("allow")
     return judged.select("page_id", "host", "path", "rule", F.coalesce("_ruled", own).alias("verdict"))
