@@ -6,7 +6,7 @@ and read again as the next stage's docs. All but the last return the columns of
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from umbra.llm.common import small_or_shuffled, written
@@ -18,13 +18,15 @@ from umbra.llm.queries import tokenizer_path
 from umbra.llm.substring_dedup import without_repeats
 
 
-ID_ROWS = 2_000_000  # dropped ids up to this count are broadcast (16 MB)
+ID_ROWS = 2_000_000  # dropped keys up to this count are broadcast (16 MB)
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs less the rows with one of the given doc_ids; rows with a null id stay."""
-    ids = small_or_shuffled(written(ids.select("doc_id").where("doc_id is not null").distinct()), ID_ROWS)
-    return docs.join(ids, "doc_id", "left_anti").select(*docs.columns)
+def _without(docs: DataFrame, keys: DataFrame, key: Column) -> DataFrame:
+    """docs less the rows whose key is among those of a one-column table; rows with a null key stay."""
+    gone = keys.toDF("_gone").where("_gone is not null").distinct()
+    gone = small_or_shuffled(written(gone), ID_ROWS)
+    own = docs.select(F.struct(*docs.columns).alias("row"), key.alias("key"))
+    return own.join(gone, F.col("key") == F.col("_gone"), "left_anti").select("row.*")
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +37,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of near copies."""
-    return _without(docs, near_duplicates(docs).where("not kept"))
+    return _without(docs, near_duplicates(docs).where("not kept").select("doc_id"), F.col("doc_id"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,8 +53,10 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    return _without(docs, contained_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+    """Documents that hold no benchmark item; told apart by their texts, so that null and repeated ids do no harm."""
+    text = F.xxhash64("text")
+    found = contained_items(docs.select(text.alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _without(docs, found.select("doc_id"), text)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
