@@ -7,6 +7,8 @@ DEFAULT_THRESHOLD = 0.75
 
 # Entity patterns.
 EMAIL = r"[a-zA-Z0-9][a-zA-Z0-9._+-]*@[a-zA-Z0-9][a-zA-Z0-9.-]*\.[a-zA-Z]{2,}"
+OCR_EMAIL = r"[a-zA-Z0-9][a-zA-Z0-9._+-]*@[a-zA-Z0-9]+(?:com|net|org|co\.?kr|kr|jp|cn|edu|gov)"
+OCR_SUFFIXES = ("com", "net", "org", "co.kr", "kr", "jp", "cn", "edu", "gov", "info")
 PHONES = (r"01[016789]-[0-9]{3,4}-[0-9]{4}", r"0(?:2|3[1-3]|4[1-4]|5[1-5]|6[1-4])-[0-9]{3,4}-[0-9]{4}", r"0[0-9]{1,2}-[0-9]{3,4}-[0-9]{4}", r"01[016789][0-9]{7,8}")
 RRN_HYPHEN = r"[0-9]{6}-[1-4][0-9]{6}"
 RRN_PLAIN = r"(?<![0-9])[0-9]{6}[1-4][0-9]{6}(?![0-9])"
@@ -14,11 +16,26 @@ IP = r"(?<![0-9.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?![0-9.])"
 PASSPORT = r"[a-zA-Z][0-9]{3}[a-zA-Z0-9][0-9]{4}"
 ADDRESSES = (
     r"[가-힣]{2,}(?:특별시|광역시|도)\s+[가-힣]{2,}(?:시|군|구)\s+[가-힣]{2,}(?:로|길)\s+[0-9]+[가-힣0-9\s-]*",
+    r"[가-힣]{2,}\s+[가-힣]{2,}(?:시|군|구)\s+[가-힣]{2,}(?:로|길)?\s*[0-9]*[가-힣0-9\s-]*",
     r"[가-힣]{2,}(?:시|군|구)\s+[가-힣]{2,}(?:로|길)\s+[0-9]+[가-힣0-9\s-]*",
-    r"[가-힣]{2,}(?:시|구)\s+[가-힣]{2,}동(?:\s*[0-9]+)?",
+    r"[가-힣]{2,}구\s+[가-힣]{2,}(?:로|길)\s+[0-9]+[가-힣0-9\s-]*",
+    r"[가-힣]{2,}(?:시|구)\s+[가-힣]{2,}동(?:\s+[0-9]+)?",
 )
 ADDRESS_AREA, ADDRESS_PLACE = "[도시군구]", "[로길동]"
 
+# Parts of buildings after an address, labels before a value, particles after an address, and characters that no name holds.
+ADDRESS_PARTS = r"^(?:[\s,]*(?:[가-힣a-zA-Z0-9]+(?:타운|빌라|맨션|아파트|오피스텔)|[가-힣0-9]+(?:동|호|층)|[0-9-]+(?:동|호|층)?))+"
+VALUE_LABELS = (
+    r"(?i)^(?:주\s*소|거\s*주\s*지|Address|Addr)\s*[:.]?\s*",
+    r"(?i)^(?:성\s*명|이\s*름|Name)\s*[:.]?\s*",
+    r"(?i)^(?:연\s*락\s*처|Phone|Mobile|Tel)\s*[:.]?\s*",
+    r"(?i)^(?:이\s*메\s*일|E-?mail)\s*[:.]?\s*",
+    r"(?i)^(?:생\s*년\s*월\s*일|Birth)\s*[:.]?\s*",
+    r"(?i)^(?:주\s*민\s*번\s*호|RRN)\s*[:.]?\s*",
+)
+ADDRESS_PARTICLE, ADDRESS_ROAD_PARTICLE = r"(?<=[0-9가-힣])(에|에서|로|으로)(\s.*)?$", r"(동|호|층|번지|[0-9])$"
+NO_NAME = r"""[0-9!@#$%^&*()_+\-=\[\]{};':"\\|,.<>/?]"""
+
 # Form fields by code, in order, and the shapes of masked values.
 FIELDS = {
     "NM": ("이름", "성명", "이름(한글)", "한글성명"),
@@ -98,3 +115,8 @@ CHUNK_ENDS = ".。\n!?"
 
 # Kinds of questions, in the order in which replies are searched for them.
 KINDS = ("db_query", "vector_search", "both", "general")
+
+# Stored connections: defaults, the standing schema, databases that can be reached, and how sampled columns are judged.
+FILE_PORT, FILE_SERVER, PUBLIC = 9000, "WebDAV", "public"
+DBMS = {"postgresql": "PostgreSQL", "mysql": "MySQL", "oracle": "Oracle"}
+UNKNOWN, NOT_ENCRYPTED, ENCRYPTED = "판단불가", "안되어있음", "되어있음"

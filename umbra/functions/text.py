@@ -30,7 +30,7 @@ def spans(text: Column, pattern: str | Column) -> Column:
 
     zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("found"))
     found = F.aggregate(pairs, zero, step, lambda x: x["found"])
-    return F.when(F.size(hits) > 0, found).otherwise(F.array().cast(SPANS))
+    return F.when(F.regexp_like(text, pattern), found).otherwise(F.array().cast(SPANS))
 
 
 def masked(text: Column, found: Column) -> Column:

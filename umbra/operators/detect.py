@@ -16,8 +16,35 @@ def _digits(text: Column) -> Column:
 
 def phones(text: Column) -> Column:
     """Phone numbers by pattern, then place; a number met before in the text (by its digits) is left out."""
-    found = F.filter(F.concat(*(spans(text, p) for p in rules.PHONES)), lambda x: F.length(_digits(x["text"])).between(9, 11))
-    return F.filter(found, lambda x, i: F.array_position(F.transform(found, lambda y: _digits(y["text"])), _digits(x["text"])) == i + 1)
+    found = F.concat(*(spans(text, p) for p in rules.PHONES))
+
+    def step(done: Column, x: Column) -> Column:
+        digits = _digits(x["text"])
+        new = F.length(digits).between(9, 11) & ~F.array_contains(done["digits"], digits)
+        return F.when(new, F.struct(F.array_append(done["digits"], digits).alias("digits"), F.array_append(done["found"], x).alias("found"))).otherwise(done)
+
+    zero = F.struct(F.array().cast("array<string>").alias("digits"), F.array().cast(SPANS).alias("found"))
+    return F.aggregate(found, zero, step, lambda done: done["found"])
+
+
+def emails(text: Column) -> Column:
+    """Mail addresses, then those that lost the dot before a known suffix: the dot is put back, so their text is one longer than the span. With confidence and method."""
+    whole = spans(text, rules.EMAIL)
+    domain = lambda x: F.get(F.split(x["text"], "@"), F.lit(1))
+
+    def mended(x: Column) -> Column:
+        d = domain(x)
+        ways = [F.when(d.endswith(k) & (F.length(d) - len(k) >= 2), F.concat(F.substring(x["text"], F.lit(1), F.length(x["text"]) - len(k)), F.lit(f".{k}"))) for k in rules.OCR_SUFFIXES]
+        return F.coalesce(*ways)
+
+    starts = F.transform(whole, lambda x: x["start"])
+    lost = F.filter(spans(text, rules.OCR_EMAIL), lambda x: ~F.array_contains(starts, x["start"]) & ~domain(x).contains(".") & mended(x).isNotNull())
+    lost = F.transform(lost, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), mended(x).alias("text"), F.lit(0.95).alias("confidence"), F.lit("regex").alias("method")))
+    return F.concat(_sure(whole, "regex-standard"), F.when(text.rlike(rules.OCR_EMAIL), lost).otherwise(F.slice(lost, 1, 0)))
+
+
+def _sure(found: Column, method: str = "regex") -> Column:
+    return F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["text"].alias("text"), F.lit(1.0).alias("confidence"), F.lit(method).alias("method")))
 
 
 def addresses(text: Column) -> Column:
@@ -30,7 +57,8 @@ def addresses(text: Column) -> Column:
         return (F.length(a) >= 8) & a.rlike(rules.ADDRESS_AREA) & a.rlike(rules.ADDRESS_PLACE) & (share >= 0.6) & ~a.rlike("[구시]$")
 
     every = F.concat(*(spans(text, p) for p in rules.ADDRESSES))
-    return F.filter(F.transform(every, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), strip(x["text"]).alias("text"))), valid)
+    stripped = F.filter(F.transform(every, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), strip(x["text"]).alias("text"))), valid)
+    return F.when(text.rlike("[가-힣]{2}"), stripped).otherwise(F.array().cast(SPANS))
 
 
 def ips(text: Column) -> Column:
@@ -38,19 +66,69 @@ def ips(text: Column) -> Column:
 
 
 DETECTORS = {
-    "p_rrn": lambda t: F.concat(spans(t, rules.RRN_HYPHEN), spans(t, rules.RRN_PLAIN)),
-    "p_ph": phones,
-    "p_em": lambda t: spans(t, rules.EMAIL),
-    "p_add": addresses,
-    "p_ip": ips,
-    "p_pp": lambda t: spans(t, rules.PASSPORT),
+    "p_rrn": lambda t: _sure(F.concat(spans(t, rules.RRN_HYPHEN), spans(t, rules.RRN_PLAIN))),
+    "p_ph": lambda t: _sure(phones(t)),
+    "p_em": emails,
+    "p_add": lambda t: _sure(addresses(t)),
+    "p_ip": lambda t: _sure(ips(t)),
+    "p_pp": lambda t: _sure(spans(t, rules.PASSPORT)),
 }
 
 
 def found_in(text: Column, labels: tuple[str, ...] = tuple(DETECTORS)) -> Column:
-    """Array of (label, start, end, text) of all detectors, without repeats."""
-    tagged = lambda label: F.transform(DETECTORS[label](text), lambda x: F.struct(F.lit(label).alias("label"), x["start"].alias("start"), x["end"].alias("end"), x["text"].alias("text")))
-    return F.array_distinct(F.concat(*(tagged(x) for x in labels)))
+    """Array of (label, start, end, text, confidence, method) of all detectors by start, then detector; one for each label and span. Null text: empty."""
+    tagged = lambda label: F.transform(DETECTORS[label](text), lambda x: F.struct(F.lit(label).alias("label"), x["start"].alias("start"), x["end"].alias("end"), x["text"].alias("text"), x["confidence"].alias("confidence"), x["method"].alias("method")))
+    every = F.transform(F.concat(*(tagged(x) for x in labels)), lambda x, i: F.struct(x["start"].alias("start"), i.alias("place"), x.alias("entity")))
+    return F.array_distinct(F.transform(F.array_sort(every), lambda x: x["entity"]))
+
+
+def addresses_extended(text: Column, found: Column) -> Column:
+    """found with addresses going on over the parts of buildings that follow them; a changed address has its whole span as text."""
+
+    def one(x: Column) -> Column:
+        more = F.length(F.regexp_extract(F.substring(text, x["end"] + 1, F.length(text)), rules.ADDRESS_PARTS, 0))
+        longer = (x["label"] == "p_add") & (more > 0)
+        end = F.when(longer, x["end"] + more).otherwise(x["end"])
+        return x.withField("end", end).withField("text", F.when(longer, F.substring(text, x["start"] + 1, end - x["start"])).otherwise(x["text"]))
+
+    return F.transform(found, one)
+
+
+def refined(found: Column) -> Column:
+    """found without labels before values and particles after addresses; blank ones, and names that are short or hold digits or punctuation, are left out."""
+
+    def one(x: Column) -> Column:
+        label = F.coalesce(*(F.when(x["text"].rlike(p), F.regexp_extract(x["text"], p, 0)) for p in rules.VALUE_LABELS), F.lit(""))
+        bare = F.substring(x["text"], F.length(label) + 1, F.length(x["text"]))
+        tail = F.when(x["label"] == "p_add", F.regexp_extract(bare, rules.ADDRESS_PARTICLE, 0)).otherwise("")
+        before = F.substring(bare, F.lit(1), F.length(bare) - F.length(tail))
+        cut = tail.startswith("에") | tail.startswith("으로") | (tail.startswith("로") & before.rlike(rules.ADDRESS_ROAD_PARTICLE))
+        return x.withField("start", x["start"] + F.length(label)).withField("end", F.when(cut, x["end"] - F.length(tail)).otherwise(x["end"])).withField("text", F.when(cut, before).otherwise(bare))
+
+    def kept(x: Column) -> Column:
+        bare = strip(x["text"])
+        return (bare != "") & ~((x["label"] == "p_nm") & ((F.length(bare) <= 1) | bare.rlike(rules.NO_NAME)))
+
+    return F.filter(F.transform(found, one), kept)
+
+
+def united(found: Column, names: Column) -> Column:
+    """found, and names by context that overlap none of them."""
+    clear = F.filter(names, lambda n: ~F.exists(found, lambda x: (n["start"] < x["end"]) & (x["start"] < n["end"])))
+    return F.concat(found, F.transform(clear, lambda n: F.struct(F.lit("p_nm").alias("label"), n["start"].alias("start"), n["end"].alias("end"), n["text"].alias("text"), F.lit(1.0).alias("confidence"), F.lit("context").alias("method"))))
+
+
+def detected(text: Column) -> Column:
+    """The whole chain without a model: patterns, names by context, longer names and addresses, known names elsewhere, refinement."""
+    names = lengthened(text, names_by_context(text))
+    every = F.concat(names, names_repeated(text, names))
+    return refined(addresses_extended(text, united(found_in(text), every)))
+
+
+def known_before(units: DataFrame) -> DataFrame:
+    """units (doc_id, ord, names array) with the names of all earlier units of the document, in order and once each, as known."""
+    earlier = W.partitionBy("doc_id").orderBy("ord").rowsBetween(W.unboundedPreceding, -1)
+    return units.withColumn("known", F.array_sort(F.array_distinct(F.flatten(F.collect_list("names").over(earlier)))))
 
 
 def entities(units: DataFrame, text: str = "text", labels: tuple[str, ...] = tuple(DETECTORS)) -> DataFrame:

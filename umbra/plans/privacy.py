@@ -13,7 +13,7 @@ _FREE = ("p_em", "p_ip", "p_pp")
 _DOUBLED = "regexp_replace({0}, '([^0-9.])', '\\1\\1', 'g')"
 _IPS = f"list_filter(regexp_extract_all({_DOUBLED.format('text')}, '(?:^|[^0-9.])([0-9]{{1,3}}\\.[0-9]{{1,3}}\\.[0-9]{{1,3}}\\.[0-9]{{1,3}})(?:$|[^0-9.])', 1), lambda x: len(list_filter(string_split(x, '.'), lambda o: cast(o as int) > 255)) = 0)"
 _FOUND = {
-    "EM": f"regexp_extract_all(text, '{rules.EMAIL}')",
+    "EM": f"regexp_extract_all(text, '[a-zA-Z0-9][a-zA-Z0-9._+-]*@[a-zA-Z0-9][a-zA-Z0-9.-]*\\.[a-zA-Z]{{2,}}')",
     "IP": _IPS,
     "PP": f"regexp_extract_all(text, '{rules.PASSPORT}')",
     "PH": "list_distinct(list_filter(list_transform(flatten([" + ", ".join(f"regexp_extract_all(text, '{p}')" for p in rules.PHONES) + "]), lambda x: regexp_replace(x, '[^0-9]', '', 'g')), lambda x: len(x) between 9 and 11))",
@@ -74,7 +74,51 @@ def _form_lines(spark, d):
     return view(spark, d, "kr_form").select("doc_id", pieces)
 
 
+def _mixed(spark, d, column, found, *more):
+    rows = view(spark, d, "mixed_form").select("doc_id", F.explode(found(F.col(column))).alias("x"))
+    return rows.select("doc_id", F.col("x.start").alias("s"), F.col("x.end").alias("e"), F.col("x.text").alias("found"), *(F.col(f"x.{m}").alias(m) for m in more))
+
+
+def _chained(spark, d, step):
+    rows = view(spark, d, "mixed_form").withColumn("txt", F.concat_ws("\n", "mail", "place"))
+    return rows.select("doc_id", F.explode(step(F.col("txt"))).alias("x")).select("doc_id", F.col("x.label").alias("label"), F.col("x.start").alias("s"), F.col("x.end").alias("e"), F.col("x.text").alias("found"))
+
+
+def _known_names(spark, d):
+    units = view(spark, d, "kr_form").select(F.floor(F.col("doc_id") / 10).alias("doc_id"), (F.col("doc_id") % 10).alias("ord"), F.transform(D.names_by_context(F.col("text")), lambda x: x["text"]).alias("names"))
+    return D.known_before(units).select("doc_id", "ord", F.concat_ws(",", "known").alias("known"))
+
+
+# Written out here, apart from the rules of the operators.
+_MAIL = "[a-zA-Z0-9][a-zA-Z0-9._+-]*@[a-zA-Z0-9][a-zA-Z0-9.-]*\\.[a-zA-Z]{2,}"
+_LOST = "[a-zA-Z0-9][a-zA-Z0-9._+-]*@[a-zA-Z0-9]+(?:com|net|org|co\\.?kr|kr|jp|cn|edu|gov)"
+_MAILS = f"""with t as (select doc_id, mail, regexp_extract(mail, '{_MAIL}') as m, regexp_extract(mail, '{_LOST}') as o from {as_sql('mixed_form')}),
+    u as (select *, string_split(o, '@')[2] as d from t where m = '' and o <> ''), v as (select *, case when d like '%com' then 3 when d like '%net' then 3 when d like '%org' then 3 when d like '%co.kr' then 5 when d like '%kr' then 2 else 3 end as n from u where not contains(d, '.'))
+    select doc_id, cast(strpos(mail, m) - 1 as int) as s, cast(strpos(mail, m) - 1 + len(m) as int) as e, m as found, 1.0::double as confidence, 'regex-standard' as method from t where m <> ''
+    union all select doc_id, cast(strpos(mail, o) - 1 as int), cast(strpos(mail, o) - 1 + len(o) as int), concat(left(o, len(o) - n), '.', right(o, n)), 0.95::double, 'regex' from v where len(d) - n >= 2"""
+_FORMS = ("[가-힣]{2,}(?:특별시|광역시|도)\\s+[가-힣]{2,}(?:시|군|구)\\s+[가-힣]{2,}(?:로|길)\\s+\\d+[가-힣0-9\\s-]*", "[가-힣]{2,}\\s+[가-힣]{2,}(?:시|군|구)\\s+[가-힣]{2,}(?:로|길)?\\s*\\d*[가-힣0-9\\s-]*", "[가-힣]{2,}(?:시|군|구)\\s+[가-힣]{2,}(?:로|길)\\s+\\d+[가-힣0-9\\s-]*", "[가-힣]{2,}구\\s+[가-힣]{2,}(?:로|길)\\s+\\d+[가-힣0-9\\s-]*", "[가-힣]{2,}(?:시|구)\\s+[가-힣]{2,}동(?:\\s+\\d+)?")
+_HITS = " union all ".join(f"select doc_id, place, unnest(regexp_extract_all(place, '{p}')) as m from {as_sql('mixed_form')}" for p in _FORMS)
+_PLACES = f"""select distinct doc_id, cast(strpos(place, m) - 1 as int) as s, cast(strpos(place, m) - 1 + len(m) as int) as e, trim(m) as found, place from ({_HITS})
+    where len(trim(m)) >= 8 and regexp_matches(trim(m), '[도시군구]') and regexp_matches(trim(m), '[로길동]') and not regexp_matches(trim(m), '[구시]$')
+    and len(regexp_replace(m, '[^가-힣]', '', 'g')) >= 0.6 * len(regexp_replace(m, '\\s', '', 'g'))"""
+_PARTS = "^(?:[\\s,]*(?:[가-힣a-zA-Z0-9]+(?:타운|빌라|맨션|아파트|오피스텔)|[가-힣0-9]+(?:동|호|층)|[0-9-]+(?:동|호|층)?))+"
+_LONGER = f"""select doc_id, s, cast(e + n as int) as e, case when n > 0 then substr(place, s + 1, e + n - s) else found end as found from (select *, len(regexp_extract(substr(place, e + 1), '{_PARTS}')) as n from ({_PLACES}))"""
+_TAIL = "(?:[0-9가-힣])((?:에|에서|로|으로)(?:\\s.*)?)$"
+_REFINED = f"""with x as (select *, regexp_extract(found, '^(?:주\\s*소)\\s*[:.]?\\s*') as l from ({_LONGER})), y as (select doc_id, cast(s + len(l) as int) as s, e, substr(found, len(l) + 1) as f from x),
+    z as (select *, regexp_extract(f, '{_TAIL}', 1) as t from y), c as (select *, (t like '에%' or t like '으로%' or (t like '로%' and regexp_matches(left(f, len(f) - len(t)), '(동|호|층|번지|[0-9])$'))) as cut from z)
+    select doc_id, s, cast(case when cut then e - len(t) else e end as int) as e, case when cut then left(f, len(f) - len(t)) else f end as found from c where trim(f) <> ''"""
+
+_TAGGED = lambda found: F.transform(found, lambda x: F.struct(F.lit("p_add").alias("label"), x["start"].alias("start"), x["end"].alias("end"), x["text"].alias("text")))
+_DISTINCT_ADDRESSES = lambda t: F.array_distinct(_TAGGED(D.addresses(t)))
+
 QUERIES = {
+    "pii_email_entities": lambda s, d: _mixed(s, d, "mail", D.emails, "confidence", "method"),
+    "pii_address_entities": lambda s, d: _mixed(s, d, "place", _DISTINCT_ADDRESSES),
+    "addresses_extended": lambda s, d: _mixed(s, d, "place", lambda t: D.addresses_extended(t, _DISTINCT_ADDRESSES(t))),
+    "entities_refined": lambda s, d: _mixed(s, d, "place", lambda t: D.refined(D.addresses_extended(t, _DISTINCT_ADDRESSES(t)))),
+    "pii_detect_all": lambda s, d: _chained(s, d, D.found_in),
+    "pii_chain": lambda s, d: _chained(s, d, D.detected),
+    "names_known_before": _known_names,
     "flagship_file_scan": _flagship,
     "pii_free_text_counts": _by_code("documents", _FREE),
     "pii_phone_counts": _by_code("kr_form", ("p_ph",)),
@@ -99,7 +143,20 @@ QUERIES = {
     "stats_by_label_method": lambda s, d: D.span_stats(view(s, d, "spans_ner")).withColumn("avg_confidence", F.round("avg_confidence", 6)),
 }
 
+def _both(places: str) -> str:
+    mails = f"select doc_id, 'p_em' as label, s, e, found from ({_MAILS})"
+    return f"{mails} union all select doc_id, 'p_add', cast(s + len(mail) + 1 as int), cast(e + len(mail) + 1 as int), found from ({places}) join (select doc_id as d, mail from {as_sql('mixed_form')}) on doc_id = d"
+
+
 ORACLES = {
+    "pii_email_entities": _MAILS,
+    "pii_address_entities": f"select doc_id, s, e, found from ({_PLACES})",
+    "addresses_extended": _LONGER,
+    "entities_refined": _REFINED,
+    "pii_detect_all": _both(_PLACES),
+    "pii_chain": _both(_REFINED),
+    "names_known_before": f"""with n as (select doc_id // 10 as doc_id, doc_id % 10 as ord, case doc_id % 5 when 2 then '김철수' when 3 then '이영희' when 4 then '박민수' end as name from {as_sql('kr_form')})
+        select a.doc_id, a.ord, coalesce((select string_agg(distinct b.name, ',' order by b.name) from n b where b.doc_id = a.doc_id and b.ord < a.ord), '') as known from n a""",
     "pii_free_text_counts": _counts(("EM", "IP", "PP"), "documents"),
     "pii_phone_counts": _counts(("PH",), "kr_form"),
     "pii_rrn_counts": _counts(("RRN",), "kr_form"),

@@ -21,6 +21,11 @@ VIEWS = {
         when 3 then concat('004', lpad(cast(c_custkey as string), 9, '0')) when 4 then concat('M', lpad(cast(c_custkey as string), 8, '0'))
         when 5 then concat('10.0.', cast(c_custkey % 256 as string), '.7') when 6 then concat('2024-', lpad(cast(1 + c_custkey % 12 as string), 2, '0'), '-15')
         when 7 then case when c_custkey % 2 = 0 then '김*수' else '김철수' end else md5(cast(c_custkey as string)) end as value from {{customer}}""",
+    "mixed_form": """select c_custkey as doc_id, concat(case c_custkey % 6 when 0 then '메일 ' when 1 then 'E-mail: ' else '' end,
+        case c_custkey % 8 when 0 then concat('user', c_custkey, '@example.com') when 1 then concat('a.b', c_custkey, '@examplecom') when 2 then concat('kim', c_custkey, '@naverco.kr')
+        when 3 then concat('u', c_custkey, '@com') when 4 then concat('u_', c_custkey, '@hostnet') when 5 then concat('v', c_custkey, '@siteorg, x') when 6 then concat('w', c_custkey, '@mailkr') else 'none @ all' end) as mail,
+        concat('주소: ', case c_custkey % 7 when 0 then concat('서울특별시 강남구 테헤란로 ', c_custkey % 90 + 1) when 1 then concat('서울 강남구 테헤란로 ', c_custkey % 90 + 1, ', 행복아파트 3동 401호에서 만남')
+        when 2 then concat('수원시 권선길 ', c_custkey % 90 + 1, ' 2층') when 3 then '강남구 역삼동 12, 오피스텔' when 4 then '강남구 역삼동12' when 5 then concat('경기도 성남시 분당로 ', c_custkey % 90 + 1, '로 가다') else '서울 강남구' end) as place from {customer}""",
     "spans_regex": "select l_orderkey as unit, l_linenumber as ord, cast(l_partkey % 100 as int) as s, cast(l_partkey % 100 + 1 + floor(l_quantity) % 9 as int) as e from {lineitem} where l_linenumber % 2 = 0",
     "spans_ner": "select l_orderkey as unit, l_linenumber as ord, cast(l_partkey % 100 as int) as s, cast(l_partkey % 100 + 1 + floor(l_quantity) % 9 as int) as e, case l_linenumber % 3 when 0 then 'p_nm' when 1 then 'p_add' else 'p_other' end as label, 0.6 + l_discount * 4 as confidence, case when l_linenumber % 5 = 1 then null else 'koelectra' end as method from {lineitem} where l_linenumber % 2 = 1",
     "tokens": "select l_orderkey as unit, l_linenumber * 10000000000 + l_partkey * 100 + cast(floor(l_quantity) as bigint) as ord, l_linenumber * 4 as s, l_linenumber * 4 + 3 as e, case when l_linenumber % 4 = 0 then 'O' when l_linenumber % 4 = 1 then 'B-p_nm' when floor(l_quantity) % 3 = 0 then 'I-p_add' else 'I-p_nm' end as tag, 0.5 + l_discount as prob from {lineitem}",
@@ -32,6 +37,12 @@ VIEWS = {
     "files": "select doc_id as id, concat('f', cast(doc_id as string), case doc_id % 6 when 0 then '.pdf' when 1 then '.TXT' when 2 then '.png' when 3 then '.mp3' when 4 then '.mp4' else '' end) as name, lang as file_type from {documents}",
     "file_pii": "select doc_id as id, doc_id as file_id, n_chars % 17 as total_piis_count, n_chars % 5 as masked_piis_count from {documents}",
     "file_pii_issues": "select o_orderkey as id, o_orderkey % 1200 as file_id, o_custkey % 30 as file_server_connection_id, case when o_orderstatus = 'F' then 'ACTIVE' else 'RESOLVED' end as issue_status from {orders}",
+    "table_constraints": "select case n_regionkey % 2 when 0 then 'public' else 'app' end as table_schema, concat('t', n_nationkey) as table_name, concat('c', n_nationkey) as constraint_name, case n_nationkey % 4 when 3 then 'FOREIGN KEY' else 'PRIMARY KEY' end as constraint_type from {nation}",
+    "key_column_usage": "select case n_regionkey % 2 when 0 then 'public' else 'app' end as table_schema, concat('t', n_nationkey) as table_name, concat('c', n_nationkey) as constraint_name, concat('k', 4 - k) as column_name, k as ordinal_position from {nation} cross join (select 1 as k union all select 2 union all select 3) as ks where k <= 1 + n_nationkey % 3",
+    "catalog_columns": "select case n_regionkey % 2 when 0 then 'public' else 'app' end as table_schema, concat('t', n_nationkey) as table_name, concat('v', k) as column_name, (k * 3 + n_nationkey) % 7 as ordinal_position from {nation} cross join (select 1 as k union all select 2 union all select 3 union all select 4) as ks where n_nationkey % 12 <> 11",
+    "requested_tables": "select n_nationkey as id, case n_nationkey % 3 when 0 then concat(' app . ', lower(n_name), '.x') when 1 then concat('public.', lower(n_name)) else concat(' ', lower(n_name), ' ') end as name, case n_nationkey % 4 when 0 then 'MySQL 8' when 1 then 'ORACLE' when 2 then 'PostgreSQL' end as dbms, case when n_regionkey > 0 then concat('db', n_regionkey) end as db_name, concat('owner', n_regionkey) as username from {nation}",
+    "file_connections": "select n_nationkey as id, case n_nationkey % 5 when 0 then concat(' HTTP://h', n_nationkey, '/') when 1 then concat('a', n_nationkey, '.ngrok.io') when 2 then '' else concat('files', n_nationkey, '.example.com') end as host, case n_nationkey % 4 when 0 then 0 when 1 then 80 when 2 then 443 end as port, case n_nationkey % 3 when 0 then ' /data/x// ' when 1 then '' end as default_path, n_nationkey % 7 as server_type_id, case n_nationkey % 2 when 0 then ' /a/b.txt' else '' end as path from {nation}",
+    "server_types": "select r_regionkey as id, case r_regionkey when 2 then '' else concat('type ', r_name) end as name from {region}",
     "frame_boxes": "select event_id as id, user_id % 20 as video, event_type as label, cast(event_id % 300 + 1 as int) as frame, cast(user_id % 50 as int) - 2 as x, cast(user_id % 31 as int) as y, cast(10 + floor(value) % 40 as int) as w, cast(floor(value) % 25 as int) as h, (event_id % 100) / 100.0 as confidence from {events}",
     "word_times": "select user_id as audio, event_id as ord, event_type as word, cast(event_id % 5000 as double) / 10 as start_time, cast(event_id % 5000 as double) / 10 + floor(value) / 100 as end_time from {events}",
     "dict_lines": "select n_regionkey as doc, n_nationkey * 10 + k as ord, case k when 0 then substr(regexp_replace(upper(n_name), '[^A-Z]+', ''), 1, 10) when 1 then concat('항목', cast(n_nationkey as string)) when 2 then n_name when 3 then concat('설명 ', cast(n_nationkey % 3 as string)) when 4 then 'Y' when 5 then '비고' else case when n_nationkey = 17 then '3.1 끝' else 'ABC' end end as line from {nation} cross join (select 0 as k union all select 1 union all select 2 union all select 3 union all select 4 union all select 5 union all select 6) as ks where k < 5 or (k = 5 and n_nationkey % 4 = 0) or (k = 6 and n_nationkey % 5 = 2) union all select r_regionkey, k - 10, case k when 1 then '영문약어' when 2 then '한글명' when 3 then '영문풀네임' when 4 then '설명' else 'PI여부' end from {region} cross join (select 1 as k union all select 2 union all select 3 union all select 4 union all select 5) as hs",
