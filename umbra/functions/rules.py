@@ -120,3 +120,31 @@ KINDS = ("db_query", "vector_search", "both", "general")
 FILE_PORT, FILE_SERVER, PUBLIC = 9000, "WebDAV", "public"
 DBMS = {"postgresql": "PostgreSQL", "mysql": "MySQL", "oracle": "Oracle"}
 UNKNOWN, NOT_ENCRYPTED, ENCRYPTED = "판단불가", "안되어있음", "되어있음"
+
+# Replies of models: marks of a turn, lines that are read, lines of a failed parse that are skipped and kept.
+TURN_MARK, TURN_END = "<|start_header_id|>assistant<|end_header_id|>", "<|eot_id|>"
+ASPECTS = {"accuracy": ("정확성", "accuracy"), "completeness": ("완전성", "completeness"), "confidence": ("신뢰도", "confidence")}
+ASPECT_DEFAULT = 0.5
+STOPPED = "agent stopped due to iteration limit or time limit"
+PARSE_FAILED = ("could not parse", "parsing error")
+SKIPPED_LINES = ("error", "parsing", "could not", "output parsing", "troubleshooting", "visit:", "http", "langchain")
+DATA_LINE, LINE_MARKS = r"(?i)[0-9]+|ID|Status|Detected|Issue|Count|Name|Type", r"^\*\*|\*\*$|^#+\s*|^-+\s*"
+ASKED_SECRETS = ("비밀번호", "password", "pwd", "passwd", "secret", "credential", "token", "api_key", "encrypted_password")
+ASKED_TABLES = ("users 테이블", "users table", "user 정보", "사용자 정보", "사용자 목록", "user list")
+CONTEXT_DOCS, CONTEXT_CHARS, CONTEXT_BREAK, NO_CONTEXT = 5, 800, "\n\n---\n\n", "참고 문서 없음"
+RERANK_INPUT, RERANK_KEPT = 40, 5
+
+# Legal texts: kinds of lines, names of laws, dates.
+LAW_LINES = {
+    "article": r"^(제\s*[0-9]+\s*조(?:\s*의\s*[0-9]+)?)",
+    "paragraph": r"^(제\s*[0-9]+\s*항|[①②③④⑤⑥⑦⑧⑨⑩])",
+    "item": r"^([0-9]+(?:의[0-9]+)?)\.",
+    "subitem": r"^([가-힣])\.",
+}
+CIRCLES = "①②③④⑤⑥⑦⑧⑨⑩"
+LAW_NAME, LAW_NAME_LENGTHS, LAW_HEAD_LINES = r"^([가-힣\s]+(?:법|규정|규칙|지침|지시|규정서))", (3, 50), 15
+DATE = r"([0-9]{4})[.\s]([0-9]{1,2})[.\s]([0-9]{1,2})"
+DATE_WORDS = ("시행", "개정", "공포")
+
+# What a video scan reports.
+VIDEO_FOUND, VIDEO_CLEAN = "개인정보가 탐지되었습니다. (얼굴: %d개, 오디오: %d개, 화면 텍스트 PII: %d개)", "개인정보가 탐지되지 않았습니다."

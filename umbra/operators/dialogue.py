@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.text import strip, words
+from ..functions.text import joined_in_order, strip, words
 
 
 def last_messages(turns: DataFrame, n: int = rules.MESSAGES) -> DataFrame:
@@ -142,3 +142,134 @@ def merged_messages(left: Column, right: Column, most: int = rules.MESSAGES) ->
     joined = F.concat(left, right)
     kept = F.slice(joined, F.greatest(F.size(joined) - 2 * most + 1, F.lit(1)), F.lit(2 * most))
     return F.when(F.size(left) == 0, right).when(F.size(right) == 0, left).when((F.size(right) <= most) | (F.size(left) > 10 * most), right).otherwise(kept)
+
+
+def assistant_text(reply: Column) -> Column:
+    """What follows the last mark of the assistant's turn, without end marks."""
+    parts = F.split(reply, rules.TURN_MARK.replace("|", r"\|"), -1)
+    own = F.when(F.size(parts) > 1, strip(F.element_at(parts, -1))).otherwise(reply)
+    return strip(F.replace(own, F.lit(rules.TURN_END), F.lit("")))
+
+
+def memory_of(reply: Column) -> Column:
+    """(entities, facts) of the widest braces of a reply; null where they hold no such object."""
+    text = F.regexp_extract(reply, r"(?s)\{.*\}", 0)
+    return F.from_json(F.when(text != "", text).otherwise(reply), "struct<entities:map<string,array<string>>,facts:array<string>>")
+
+
+def _number(line: Column) -> Column:
+    found = F.regexp_extract(line, r"[0-9]+\.?[0-9]*", 0).try_cast("double")
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), found))
+
+
+def relevance_of(reply: Column) -> Column:
+    """(score, relevant): the first line with a scored number or with a yes decides, the later ones are not read."""
+    scored = lambda x: x.contains("점수") & x.rlike("[0-9]")
+    yes = lambda x: x.contains("여부") & (F.lower(x).contains("yes") | x.contains("예") | x.contains("있"))
+    line = F.get(F.filter(F.split(reply, "\n"), lambda x: scored(x) | yes(x)), F.lit(0))
+    score = F.when(scored(line), _number(line)).otherwise(0.0)
+    relevant = F.coalesce((yes(line) & ~scored(line)) | (score >= rules.RELEVANCE), F.lit(False))
+    return F.struct(score.alias("score"), relevant.alias("relevant"))
+
+
+def aspects_of(reply: Column) -> Column:
+    """(accuracy, completeness, confidence): the number of the last line for each; a line counts for the first aspect it names."""
+    lines, out, before = F.split(reply, "\n"), [], []
+
+    def named(x: Column, name: str) -> Column:
+        korean, english = rules.ASPECTS[name]
+        return x.contains(korean) | F.lower(x).contains(english)
+
+    for name in rules.ASPECTS:
+        others = tuple(before)
+        own = F.filter(lines, lambda x: named(x, name) & ~reduce(or_, (named(x, o) for o in others), F.lit(False)) & x.rlike("[0-9]"))  # noqa: B023
+        out.append(F.coalesce(_number(F.get(own, F.size(own) - 1)), F.lit(rules.ASPECT_DEFAULT)).alias(name))
+        before.append(name)
+    return F.struct(*out)
+
+
+def asks_for_secrets(question: Column) -> Column:
+    low = F.lower(question)
+    return reduce(or_, (low.contains(k) for k in rules.ASKED_SECRETS + rules.ASKED_TABLES))
+
+
+def agent_stopped(output: Column) -> Column:
+    return F.lower(F.coalesce(output, F.lit(""))).contains(rules.STOPPED)
+
+
+def data_of(output: Column) -> Column:
+    """The lines with data of an output whose parsing failed, without marks; other outputs, and those without such lines, as they are; null for none."""
+    low = lambda x, parts: reduce(or_, (F.lower(x).contains(p) for p in parts))
+    lines = F.filter(F.split(output, "\n"), lambda x: ~low(x, rules.SKIPPED_LINES) & x.rlike(rules.DATA_LINE))
+    kept = F.filter(F.transform(lines, lambda x: strip(F.regexp_replace(x, rules.LINE_MARKS, ""))), lambda x: F.length(x) > 3)
+    return F.when(output == "", None).when(low(output, rules.PARSE_FAILED) & (F.size(kept) > 0), F.array_join(kept, "\n")).otherwise(output)
+
+
+def after_search_in_tables(kind: Column) -> Column:
+    """Where a dialogue goes after a query on tables: on to the law search if its kind was changed to that, else to the answer."""
+    return F.when(kind == "vector_search", "vector_search").otherwise("generate_answer")
+
+
+def after_search() -> Column:
+    return F.lit("check_relevance")
+
+
+def latest(left: Column, right: Column) -> Column:
+    return F.coalesce(right, left)
+
+
+def latest_text(left: Column, right: Column, default: str | None = "") -> Column:
+    """The newer text that is not empty, else the default."""
+    return F.when(right != "", right).when(left != "", left).otherwise(F.lit(default))
+
+
+def larger(left: Column, right: Column) -> Column:
+    return F.greatest(left, right)
+
+
+def replaced_list(left: Column, right: Column) -> Column:
+    """The newer list, an empty one too; else the older one, else an empty one."""
+    return F.coalesce(right, left, F.slice(F.coalesce(left, right), 1, 0))
+
+
+def joined_lists(left: Column, right: Column) -> Column:
+    """Both lists end to end; a missing one counts as empty, two missing ones give null."""
+    return F.when(left.isNull(), right).when(right.isNull(), left).otherwise(F.concat(left, right))
+
+
+def merged_map(left: Column, right: Column) -> Column:
+    """Entries of both maps; the newer one's win, null values too; two missing ones give null."""
+    both = F.map_zip_with(left, right, lambda k, a, b: F.when(F.array_contains(F.map_keys(right), k), b).otherwise(a))
+    return F.when(left.isNull(), right).when(right.isNull(), left).otherwise(both)
+
+
+def contexts(docs: DataFrame, most: int = rules.CONTEXT_DOCS, chars: int = rules.CONTEXT_CHARS) -> DataFrame:
+    """(q_id, context): the first documents by rank from docs (q_id, rank from 1, law, article, content), cut and joined."""
+    head = F.concat(F.lit("문서 "), F.col("rank").cast("string"), F.lit(" ("), F.coalesce("law", F.lit("")), F.lit(" "), F.coalesce("article", F.lit("")), F.lit("):\n"), F.substring("content", 1, chars))
+    return docs.where(F.col("rank") <= most).groupBy("q_id").agg(joined_in_order(F.col("rank"), head, rules.CONTEXT_BREAK).alias("context"))
+
+
+def prompt_columns(columns: DataFrame) -> DataFrame:
+    """(table_name, lines): `- table.column` for each column by position."""
+    line = F.concat(F.lit("- "), F.col("table_name"), F.lit("."), F.col("column_name"))
+    return columns.groupBy("table_name").agg(joined_in_order(F.col("ordinal_position"), line).alias("lines"))
+
+
+def instruction(task: str, query: Column) -> Column:
+    return F.concat(F.lit(f"Instruct: {task}\nQuery: "), query)
+
+
+def reranked(rows: DataFrame, score: Column | None = None) -> DataFrame:
+    """The best RERANK_KEPT of each question's first RERANK_INPUT rows (q_id, rank) by score, then rank; without scores the first ones. Adds place, from 1."""
+    first = rows.where(F.col("rank") <= rules.RERANK_INPUT)
+    order = [F.col("rank")] if score is None else [F.desc("_score"), F.col("rank")]
+    first = first.withColumn("_score", F.lit(None) if score is None else score)
+    return first.withColumn("place", F.row_number().over(W.partitionBy("q_id").orderBy(*order))).where(F.col("place") <= rules.RERANK_KEPT).drop("_score")
+
+
+def pooled(hidden: Column, mask: Column) -> Column:
+    """Mean of the vectors whose mask is set, scaled to length one; null where none is set."""
+    kept = F.filter(F.arrays_zip(hidden.alias("v"), mask.alias("m")), lambda x: x["m"] != 0)
+    total = F.aggregate(kept, F.transform(F.get(hidden, F.lit(0)), lambda _: F.lit(0.0)), lambda a, x: F.zip_with(a, x["v"], lambda p, q: p + q))
+    norm = F.sqrt(F.aggregate(total, F.lit(0.0), lambda a, x: a + x * x))
+    return F.when((F.size(kept) > 0) & (norm > 0), F.transform(total, lambda x: x / norm))

@@ -138,3 +138,39 @@ def dictionary_entries(lines: DataFrame) -> DataFrame:
     field = {k: F.get("l", F.col("i") + j).alias(k) for j, k in enumerate(("abbr", "korean", "english", "description"))}
     out = found.select("doc", "block", *field.values())
     return out.withColumn("text", F.format_string("%s(%s)은 %s을 의미한다. 데이터베이스 표준 약어는 %s이다.", "korean", "english", "description", "abbr"))
+
+
+def law_mark(line: Column) -> Column:
+    """(kind, mark) of a line of a law that begins an article, paragraph, item or subitem, in one spelling; nulls for other lines."""
+    found = {k: F.regexp_extract(line, p, 1) for k, p in rules.LAW_LINES.items()}
+    bare = {k: F.regexp_replace(x, r"\s+", "") for k, x in found.items()}
+    circle = F.array_position(F.array(*(F.lit(c) for c in rules.CIRCLES)), bare["paragraph"])
+    spelled = {
+        "article": bare["article"],
+        "paragraph": F.when(bare["paragraph"].startswith("제"), bare["paragraph"]).otherwise(F.concat(F.lit("제"), circle.cast("string"), F.lit("항"))),
+        "item": F.concat(F.lit("제"), bare["item"], F.lit("호")),
+        "subitem": F.concat(bare["subitem"], F.lit("목")),
+    }
+    return F.coalesce(*(F.when(found[k] != "", F.struct(F.lit(k).alias("kind"), spelled[k].alias("mark"))) for k in rules.LAW_LINES))
+
+
+def law_metadata(path: Column, text: Column) -> Column:
+    """(title, law_name, effective_date) of a law's file from its path and the text of its first page."""
+    name = F.regexp_extract(path, "([^/]*)$", 1)
+    title = F.when(path.rlike("^https?://"), path).otherwise(strip(F.replace(F.replace(name, F.lit(".pdf"), F.lit("")), F.lit(".PDF"), F.lit(""))))
+    lines = F.transform(F.slice(F.split(text, "\n"), 1, rules.LAW_HEAD_LINES), strip)
+    names = F.filter(F.transform(lines, lambda x: strip(F.regexp_extract(x, rules.LAW_NAME, 1))), lambda x: x != "")
+    least, most = rules.LAW_NAME_LENGTHS
+    fitting = F.filter(names, lambda x: F.length(x).between(least, most))
+    law = F.coalesce(F.get(fitting, F.lit(0)), F.get(names, F.size(names) - 1), title)
+    found = F.concat(*(F.regexp_extract_all(text, F.lit(f"{w}{rules.DATE}"), F.lit(0)) for w in (*(f"{w}.*?" for w in rules.DATE_WORDS), "")))
+    part = lambda x, i: F.regexp_extract(x, f"{rules.DATE}$", i)
+    valid = F.filter(found, lambda x: part(x, 1).cast("int").between(1900, 2100) & part(x, 2).cast("int").between(1, 12) & part(x, 3).cast("int").between(1, 31))
+    dates = F.transform(valid, lambda x: F.concat_ws("-", part(x, 1), F.lpad(part(x, 2), 2, "0"), F.lpad(part(x, 3), 2, "0")))
+    return F.struct(title.alias("title"), law.alias("law_name"), F.array_max(dates).alias("effective_date"))
+
+
+def text_lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, line_ord, text): stripped lines that are not blank, with their place among all lines."""
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_ord", "line"))
+    return lines.select("doc_id", "line_ord", strip(F.col("line")).alias("text")).where("text <> ''")

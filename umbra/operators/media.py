@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import rules
+from ..functions.text import strip
+
 LEAST_CONFIDENCE, REACH, BUFFER_MS, LEAST_MS = 0.3, 25, 25, 50
 TRACK_GAP, TRACK_IOU = 30, 0.25
+FACE_IOU, FACE_AGE = 0.3, 10
 
 
 def clipped(boxes: DataFrame, width: int, height: int) -> DataFrame:
@@ -83,3 +90,132 @@ def times_within(start: Column, end: Column, first: Column, last: Column, length
     """Start and end time of the characters first to last of a word of a length that is spoken from start to end."""
     share = lambda n, empty: F.when(length > 0, n / length).otherwise(empty)
     return start + (end - start) * share(first, 0.0), start + (end - start) * share(last, 1.0)
+
+
+def sampled_for_text(boxes: DataFrame, every: int = 20) -> DataFrame:
+    """Boxes of the frames in which text is looked for."""
+    return boxes.where(F.col("frame") % every == 0)
+
+
+def video_message(faces: Column, audio: Column, texts: Column) -> Column:
+    """(status, message) of a video's scan from what was counted."""
+    found = (faces > 0) | (audio > 0) | (texts > 0)
+    return F.struct(F.when(found, "detected").otherwise("no_pii").alias("status"), F.when(found, F.format_string(rules.VIDEO_FOUND, faces, audio, texts)).otherwise(rules.VIDEO_CLEAN).alias("message"))
+
+
+def media_rollup(*counts: DataFrame) -> DataFrame:
+    """(file, code, total_count, masked_count) over counts of documents, pictures, audio and video, each with these columns."""
+    rows = reduce(DataFrame.unionByName, (c.select("file", "code", "total_count", "masked_count") for c in counts))
+    return rows.groupBy("file", "code").agg(F.sum("total_count").alias("total_count"), F.sum("masked_count").alias("masked_count"))
+
+
+def file_stats(files: DataFrame, spans_: DataFrame) -> DataFrame:
+    """(file, n, avg_confidence, labels, methods) of every file: entities, their mean confidence (0 without any), and counts by label and by method, a missing one being the model's."""
+    method = F.coalesce("method", F.lit("koelectra"))
+    small = spans_.groupBy("file", "label", method.alias("method")).agg(F.count("*").alias("n"), F.sum("confidence").alias("c"))  # a few rows for each file
+
+    def counts(name: str) -> DataFrame:
+        by = small.groupBy("file", name).agg(F.sum("n").alias("n"))
+        return by.groupBy("file").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(name, "n")))).alias(f"{name}s"))
+
+    total = small.groupBy("file").agg(F.sum("n").alias("n"), (F.sum("c") / F.sum("n")).alias("avg_confidence"))
+    return files.join(total, "file", "left").join(counts("label"), "file", "left").join(counts("method"), "file", "left").fillna(0, ["n"]).fillna(0.0, ["avg_confidence"])
+
+
+def word_matches(words: DataFrame, wanted: DataFrame, most: int = 11) -> DataFrame:
+    """(audio, entity, start_time, end_time) of wanted texts (audio, entity, text) in transcripts (audio, ord, word, start_time, end_time).
+
+    First word that is the text; else the first that holds it, by its share of the word; else
+    the words from the transcript's start, most at most, whose joined text holds it. Texts
+    without a match, blank ones and empty times are left out. A tie goes to the lower ord.
+    """
+    said = words.select("audio", "ord", strip(F.col("word")).alias("w"), F.col("start_time").alias("a"), F.col("end_time").alias("b"))
+    asked = wanted.select("audio", "entity", strip(F.col("text")).alias("t")).where("t <> ''").distinct()
+    times = lambda first, last: F.struct(first.alias("start_time"), last.alias("end_time"))
+    by_order = lambda value: F.min_by(value, "ord")
+    exact = said.join(asked, (said["audio"] == asked["audio"]) & (said["w"] == asked["t"])).groupBy(asked["audio"], "entity", "t").agg(by_order(times(F.col("a"), F.col("b"))).alias("exact"))
+    inner = said.groupBy("audio", "w").agg(F.min("ord").alias("ord"), F.min_by("a", "ord").alias("a"), F.min_by("b", "ord").alias("b"))  # each word once
+    at = F.expr("instr(w, t)") - 1
+    share = lambda n: F.col("a") + (F.col("b") - F.col("a")) * n / F.length("w")
+    part = inner.join(asked, (inner["audio"] == asked["audio"]) & F.expr("instr(w, t) > 0")).groupBy(asked["audio"], "entity", "t").agg(by_order(times(share(at), share(at + F.length("t")))).alias("part"))
+    head = said.withColumn("r", F.row_number().over(W.partitionBy("audio").orderBy("ord"))).where(F.col("r") <= most)
+    upto = W.partitionBy("audio").orderBy("r")
+    head = head.select("audio", F.col("r").alias("ord"), F.replace(F.array_join(F.collect_list("w").over(upto), ""), F.lit(" "), F.lit("")).alias("said"), F.first("a").over(upto).alias("a"), "b")
+    joined = head.join(asked, (head["audio"] == asked["audio"]) & F.expr("instr(said, replace(t, ' ', '')) > 0")).groupBy(asked["audio"], "entity", "t").agg(by_order(times(F.col("a"), F.col("b"))).alias("joined"))
+    by = ["audio", "entity", "t"]
+    rows = asked.join(exact, by, "left").join(part, by, "left").join(joined, by, "left").select("audio", "entity", F.coalesce("exact", "part", "joined").alias("x"))
+    return rows.select("audio", "entity", "x.*").where("start_time < end_time")
+
+
+def _lines(page: pd.DataFrame) -> pd.DataFrame:
+    out: list[list] = []
+    for t in page.sort_values(["y1", "x1", "token"]).itertuples(index=False):
+        if out:
+            x1, y1, x2, y2, text, confidence = out[-1]
+            high = (y2 - y1 + t.y2 - t.y1) / 2
+            if abs((y1 + y2) / 2 - (t.y1 + t.y2) / 2) < 0.5 * high and t.x1 - x2 < 1.5 * high:
+                out[-1] = [min(x1, t.x1), min(y1, t.y1), max(x2, t.x2), max(y2, t.y2), f"{text} {t.text}", (confidence + t.confidence) / 2]
+                continue
+        out.append([t.x1, t.y1, t.x2, t.y2, t.text, t.confidence])
+    lines = pd.DataFrame(out, columns=["x1", "y1", "x2", "y2", "text", "confidence"])
+    return lines.assign(page=page["page"].iloc[0], line=range(len(lines)))
+
+
+def lines_of(tokens: DataFrame) -> DataFrame:
+    """(page, line, x1, y1, x2, y2, text, confidence): upright boxes of read text joined from the top left while they go on in their line; one page in a task."""
+    return tokens.groupBy("page").applyInPandas(_lines, "page long, line long, x1 double, y1 double, x2 double, y2 double, text string, confidence double")
+
+
+_MOVE = np.eye(8) + np.eye(8, k=4)
+_SEEN = np.eye(4, 8)
+
+
+class _Track:
+    """A face's centre and size with their speeds, by a Kalman filter."""
+
+    def __init__(self, seen: np.ndarray):
+        self.state, self.spread, self.age = np.concatenate((seen, np.zeros(4))), np.eye(8) * 0.1, 0
+
+    def predict(self) -> np.ndarray:
+        self.state, self.spread = _MOVE @ self.state, _MOVE @ self.spread @ _MOVE.T + np.eye(8) * 0.03
+        return self.state[:4]
+
+    def correct(self, seen: np.ndarray) -> None:
+        gain = self.spread @ _SEEN.T @ np.linalg.inv(_SEEN @ self.spread @ _SEEN.T + np.eye(4) * 0.5)
+        self.state, self.spread = self.state + gain @ (seen - _SEEN @ self.state), (np.eye(8) - gain @ _SEEN) @ self.spread
+        self.age = 0
+
+
+def _overlap(a: np.ndarray, b: np.ndarray) -> float:
+    sides = np.minimum(a[:2] + a[2:] / 2, b[:2] + b[2:] / 2) - np.maximum(a[:2] - a[2:] / 2, b[:2] - b[2:] / 2)
+    both = float(np.prod(np.maximum(sides, 0)))
+    union = a[2] * a[3] + b[2] * b[3] - both
+    return both / union if union > 0 else 0.0
+
+
+def _followed(video: pd.DataFrame) -> pd.DataFrame:
+    tracks: dict[int, _Track] = {}
+    ids, total = [], 0
+    video = video.sort_values(["frame", "x", "id"])
+    for frame, boxes in video.groupby("frame", sort=True):
+        guesses = {k: t.predict() for k, t in tracks.items()}
+        for x, y, w, h in boxes[["x", "y", "w", "h"]].itertuples(index=False):
+            seen = np.array([x + w / 2, y + h / 2, w, h], float)
+            best = max(guesses, key=lambda k: _overlap(guesses[k], seen), default=None)
+            if best is not None and _overlap(guesses[best], seen) >= FACE_IOU:
+                tracks[best].correct(seen)
+                del guesses[best]
+            else:
+                best, total = total, total + 1
+                tracks[best] = _Track(seen)
+            ids.append(best)
+        for k in guesses:
+            tracks[k].age += 1
+            if tracks[k].age > FACE_AGE:
+                del tracks[k]
+    return video[["video", "id"]].assign(track=ids)
+
+
+def faces_followed(boxes: DataFrame) -> DataFrame:
+    """(video, id, track): each box goes to the track whose predicted box overlaps it most, a new one below FACE_IOU; tracks that are not met in FACE_AGE further frames with boxes end. State for each video: frames follow each other."""
+    return boxes.where("w > 0 and h > 0").groupBy("video").applyInPandas(_followed, "video long, id long, track long")

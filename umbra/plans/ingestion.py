@@ -64,3 +64,23 @@ ORACLES = {
     "article_chunks": f"""with c as (select *, count(case when p then 1 end) over (partition by doc order by ord) as chunk from (select *, regexp_matches(line, '^제[0-9]+조') as p from {as_sql('law_lines')}))
         select doc, chunk, max(case when p then regexp_extract(line, '^제[0-9]+조') end) as article, count(*) as n_lines, string_agg(line, chr(10) order by ord) as text from c where chunk > 0 group by 1, 2""",
 }
+
+
+def _marks(s, d):
+    return view(s, d, "law_lines").select("doc", "ord", I.law_mark(F.col("line")).alias("m")).where("m is not null").select("doc", "ord", "m.kind", "m.mark")
+
+
+QUERIES |= {
+    "law_marks": _marks,
+    "law_metadata": lambda s, d: view(s, d, "law_pages").select("doc", I.law_metadata(F.col("path"), F.col("text")).alias("m")).select("doc", "m.*"),
+    "text_lines": lambda s, d: I.text_lines(view(s, d, "documents")),
+}
+_DATES = " union all ".join(f"select doc, unnest(regexp_extract_all(text, '{w}([0-9]{{4}}[.\\s][0-9]{{1,2}}[.\\s][0-9]{{1,2}})', 1)) as x from {as_sql('law_pages')}" for w in ("시행.*?", "개정.*?", "공포.*?", ""))
+ORACLES |= {
+    "law_marks": f"""select doc, ord, case when ord % 7 = 0 then 'article' when ord % 7 in (1, 2) then 'paragraph' when ord % 7 = 3 then 'item' else 'subitem' end as kind,
+        case ord % 7 when 0 then concat('제', ord % 40, '조') when 1 then '제1항' when 2 then '제1항' when 3 then '제1호' else '가목' end as mark from {as_sql('law_lines')} where ord % 7 < 5""",
+    "law_metadata": f"""with x as (select doc, string_split(regexp_replace(x, '\\s', '.', 'g'), '.') as p from ({_DATES})), v as (select doc, max(concat(p[1], '-', lpad(p[2], 2, '0'), '-', lpad(p[3], 2, '0'))) as e from x where cast(p[1] as int) between 1900 and 2100 and cast(p[2] as int) between 1 and 12 and cast(p[3] as int) between 1 and 31 group by 1),
+        t as (select doc, case when path like 'http%' then path else regexp_replace(regexp_extract(path, '([^/]*)$', 1), '\\.pdf|\\.PDF', '', 'g') end as title from {as_sql('law_pages')})
+        select doc, title, case doc % 4 when 0 then '개인정보 보호법' when 1 then '정보통신 규정' when 2 then title else '가법' end as law_name, e as effective_date from t left join v using (doc)""",
+    "text_lines": "select doc_id, cast(k as int) as line_ord, regexp_replace(l[k + 1], '^\\s+|\\s+$', '', 'g') as text from (select doc_id, string_split(text, chr(10)) as l, unnest(range(len(string_split(text, chr(10))))) as k from documents) where regexp_matches(l[k + 1], '\\S')",
+}

@@ -43,6 +43,15 @@ VIEWS = {
     "requested_tables": "select n_nationkey as id, case n_nationkey % 3 when 0 then concat(' app . ', lower(n_name), '.x') when 1 then concat('public.', lower(n_name)) else concat(' ', lower(n_name), ' ') end as name, case n_nationkey % 4 when 0 then 'MySQL 8' when 1 then 'ORACLE' when 2 then 'PostgreSQL' end as dbms, case when n_regionkey > 0 then concat('db', n_regionkey) end as db_name, concat('owner', n_regionkey) as username from {nation}",
     "file_connections": "select n_nationkey as id, case n_nationkey % 5 when 0 then concat(' HTTP://h', n_nationkey, '/') when 1 then concat('a', n_nationkey, '.ngrok.io') when 2 then '' else concat('files', n_nationkey, '.example.com') end as host, case n_nationkey % 4 when 0 then 0 when 1 then 80 when 2 then 443 end as port, case n_nationkey % 3 when 0 then ' /data/x// ' when 1 then '' end as default_path, n_nationkey % 7 as server_type_id, case n_nationkey % 2 when 0 then ' /a/b.txt' else '' end as path from {nation}",
     "server_types": "select r_regionkey as id, case r_regionkey when 2 then '' else concat('type ', r_name) end as name from {region}",
+    "replies": """select conv_id, turn, text, case (conv_id + turn) % 8 when 0 then concat('관련성 점수: 0.7', chr(10), '관련성 여부: no') when 1 then concat('관련성 여부: yes', chr(10), '점수: 0.1') when 2 then '점수: 1.75'
+        when 3 then concat('점수 없음', chr(10), '여부: 아니오', chr(10), '여부: 있다') when 4 then concat('정확성: 0.9', chr(10), 'Completeness 0.25', chr(10), 'confidence: 3', chr(10), 'accuracy of confidence 0.4')
+        when 5 then concat('x<|start_header_id|>assistant<|end_header_id|> ', text, '<|eot_id|>') when 6 then concat('so: {{"entities": {{"law": ["b", "a"]}}, "facts": ["f', turn, '"]}} end')
+        else concat('Could not parse LLM output: x', chr(10), '**ID: 5**', chr(10), '- Status ok', chr(10), 'visit: http://a', chr(10), '# Name b', chr(10), 'ab1', chr(10), 'plain words') end as reply from {conversations}""",
+    "law_pages": """select p_partkey as doc, case p_partkey % 3 when 0 then concat('https://law.example.com/', p_partkey, '.pdf') when 1 then concat('/data/개인정보 ', p_partkey, '.PDF') else concat('n', p_partkey, '.pdf') end as path,
+        concat(case p_partkey % 4 when 0 then '개인정보 보호법' when 1 then concat('안내', chr(10), ' 법', chr(10), '정보통신 규정 제1장') when 2 then 'none' else '가법' end, chr(10),
+        case p_partkey % 5 when 0 then concat('[시행 2023.', p_partkey % 12 + 1, '.', p_partkey % 28 + 1, '] 개정 2021 3 4') when 1 then '공포 2020.13.1, 1999.12.31' when 2 then concat('page ', p_partkey % 90 + 2000, '.1.2') else '' end) as text from {part}""",
+    "file_words": "select user_id as audio, event_id as ord, case event_id % 4 when 0 then concat(' ', event_type) when 1 then concat(event_type, 's') else event_type end as word, cast(event_id % 5000 as double) / 10 as start_time, cast(event_id % 5000 as double) / 10 + floor(value) / 100 as end_time from {events}",
+    "wanted_texts": "select c_custkey as audio, k as entity, case k when 1 then 'click' when 2 then 'licks' when 3 then ' purchase ' when 4 then 'view purchase' when 5 then '' else 'nothing' end as text from {customer} cross join (select 1 as k union all select 2 union all select 3 union all select 4 union all select 5 union all select 6) as ks",
     "frame_boxes": "select event_id as id, user_id % 20 as video, event_type as label, cast(event_id % 300 + 1 as int) as frame, cast(user_id % 50 as int) - 2 as x, cast(user_id % 31 as int) as y, cast(10 + floor(value) % 40 as int) as w, cast(floor(value) % 25 as int) as h, (event_id % 100) / 100.0 as confidence from {events}",
     "word_times": "select user_id as audio, event_id as ord, event_type as word, cast(event_id % 5000 as double) / 10 as start_time, cast(event_id % 5000 as double) / 10 + floor(value) / 100 as end_time from {events}",
     "dict_lines": "select n_regionkey as doc, n_nationkey * 10 + k as ord, case k when 0 then substr(regexp_replace(upper(n_name), '[^A-Z]+', ''), 1, 10) when 1 then concat('항목', cast(n_nationkey as string)) when 2 then n_name when 3 then concat('설명 ', cast(n_nationkey % 3 as string)) when 4 then 'Y' when 5 then '비고' else case when n_nationkey = 17 then '3.1 끝' else 'ABC' end end as line from {nation} cross join (select 0 as k union all select 1 union all select 2 union all select 3 union all select 4 union all select 5 union all select 6) as ks where k < 5 or (k = 5 and n_nationkey % 4 = 0) or (k = 6 and n_nationkey % 5 = 2) union all select r_regionkey, k - 10, case k when 1 then '영문약어' when 2 then '한글명' when 3 then '영문풀네임' when 4 then '설명' else 'PI여부' end from {region} cross join (select 1 as k union all select 2 union all select 3 union all select 4 union all select 5) as hs",
