@@ -10,6 +10,9 @@ from ..functions import rules
 from ..functions.text import SPANS, joined_in_order, masked, spans, strip
 
 
+SURE_SPANS = "array<struct<start:int,end:int,text:string,confidence:double,method:string>>"
+
+
 def _digits(text: Column) -> Column:
     return F.regexp_replace(text, "[^0-9]", "")
 
@@ -40,7 +43,8 @@ def emails(text: Column) -> Column:
     starts = F.transform(whole, lambda x: x["start"])
     lost = F.filter(spans(text, rules.OCR_EMAIL), lambda x: ~F.array_contains(starts, x["start"]) & ~domain(x).contains(".") & mended(x).isNotNull())
     lost = F.transform(lost, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), mended(x).alias("text"), F.lit(0.95).alias("confidence"), F.lit("regex").alias("method")))
-    return F.concat(_sure(whole, "regex-standard"), F.when(text.rlike(rules.OCR_EMAIL), lost).otherwise(F.slice(lost, 1, 0)))
+    every = F.concat(_sure(whole, "regex-standard"), F.when(text.rlike(rules.OCR_EMAIL), lost).otherwise(F.array().cast(SURE_SPANS)))
+    return F.when(text.contains("@"), every).otherwise(F.array().cast(SURE_SPANS))
 
 
 def _sure(found: Column, method: str = "regex") -> Column:
@@ -57,21 +61,25 @@ def addresses(text: Column) -> Column:
         return (F.length(a) >= 8) & a.rlike(rules.ADDRESS_AREA) & a.rlike(rules.ADDRESS_PLACE) & (share >= 0.6) & ~a.rlike("[구시]$")
 
     every = F.concat(*(spans(text, p) for p in rules.ADDRESSES))
-    stripped = F.filter(F.transform(every, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), strip(x["text"]).alias("text"))), valid)
-    return F.when(text.rlike("[가-힣]{2}"), stripped).otherwise(F.array().cast(SPANS))
+    return F.filter(F.transform(every, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), strip(x["text"]).alias("text"))), valid)
 
 
 def ips(text: Column) -> Column:
     return F.filter(spans(text, rules.IP), lambda x: F.forall(F.split(x["text"], r"\."), lambda o: o.cast("int") <= 255))
 
 
+def _where(text: Column, shape: str, find) -> Column:
+    """Spans with confidence of a detector, for texts that hold a plain shape without which it finds nothing."""
+    return F.when(text.rlike(shape), _sure(find(text))).otherwise(F.array().cast(SURE_SPANS))
+
+
 DETECTORS = {
-    "p_rrn": lambda t: _sure(F.concat(spans(t, rules.RRN_HYPHEN), spans(t, rules.RRN_PLAIN))),
-    "p_ph": lambda t: _sure(phones(t)),
+    "p_rrn": lambda t: _where(t, "[0-9]{6}", lambda x: F.concat(spans(x, rules.RRN_HYPHEN), spans(x, rules.RRN_PLAIN))),
+    "p_ph": lambda t: _where(t, "[0-9]{4}", phones),
     "p_em": emails,
-    "p_add": lambda t: _sure(addresses(t)),
-    "p_ip": lambda t: _sure(ips(t)),
-    "p_pp": lambda t: _sure(spans(t, rules.PASSPORT)),
+    "p_add": lambda t: _where(t, "[가-힣]{2}", addresses),
+    "p_ip": lambda t: _where(t, r"[0-9]\.[0-9]", ips),
+    "p_pp": lambda t: _where(t, "[0-9]{4}", lambda x: spans(x, rules.PASSPORT)),
 }
 
 
@@ -163,22 +171,23 @@ def mask_lines(units: DataFrame, labels: tuple[str, ...] = tuple(DETECTORS)) ->
 
 def slots(forms: DataFrame) -> DataFrame:
     """(doc_id, line_ord, code, value): labelled fields of form lines; the first keyword that fits a line decides."""
-    lines = forms.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_ord", "line"))
+    lines = forms.where(F.col("text").rlike("[가-힣]|e-mail")).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_ord", "line")).where(F.col("line").contains(":"))
     choices = []
     for field, keywords in rules.FIELDS.items():
         for k in keywords:
             rest = F.expr(f"substring(line, instr(line, '{k}') + {len(k)})")
             value = strip(F.regexp_replace(rest, "^[ :\t]+", ""))
             choices.append(F.when(F.col("line").contains(f"{k}:") | F.col("line").contains(f"{k} :"), F.struct(F.lit(field).alias("code"), value.alias("value"))))
-    return lines.withColumn("slot", F.coalesce(*choices)).where("slot is not null").select("doc_id", "line_ord", "slot.code", "slot.value")
+    slot = F.explode(F.array(F.coalesce(*choices))).alias("slot")  # worked out once, whatever is asked of it later
+    return lines.select("doc_id", "line_ord", slot).select("doc_id", "line_ord", "slot.code", "slot.value").where("code is not null")
 
 
 def is_masked(value: Column) -> Column:
-    """Blank values, and values of a masked shape in which no detector finds anything."""
+    """Blank values, and values of a masked shape in which no detector finds anything; of such shapes only phone numbers can be found."""
     shape = F.lit(False)
     for p in rules.MASKED_SHAPES:
         shape = shape | value.rlike(p)
-    return (value == "") | (shape & (F.size(found_in(value)) == 0))
+    return (value == "") | (shape & (F.size(found_in(value, ("p_ph",))) == 0))
 
 
 def scan_rollup(forms: DataFrame) -> DataFrame:

@@ -19,6 +19,12 @@ def _text(spark, d):
     return R.matching(rows.where("id % 100 = 0").select(F.col("id").alias("q_id"), first.alias("q_text")), rows)
 
 
+def _passages(spark, d):
+    """Whole benchmark texts as queries: documents that hold all of their words."""
+    queries = view(spark, d, "benchmark").select(F.col("item_id").alias("q_id"), F.col("text").alias("q_text"))
+    return R.matching(queries, view(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
+
+
 def _filtered(spark, d):
     rows = view(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
     queries = rows.where("id % 100 = 0").select(F.col("id").alias("q_id"), F.col("embedding").alias("q_embedding"))
@@ -29,6 +35,7 @@ QUERIES = {
     "knn_top3": lambda s, d: _knn(s, d, 3),
     "knn_filtered": _filtered,
     "fulltext_match": _text,
+    "fulltext_all_words": _passages,
     "hybrid_search": lambda s, d: R.hybrid(_knn(s, d, 10), _text(s, d), 5),
     "dict_context": lambda s, d: R.first_seen(_knn(s, d, 3), "id", "q_id", "rank").select("id", "q_id", "rank"),
     "citations_distinct": lambda s, d: view(s, d, "law_lines").select(F.concat_ws(" ", "doc", F.regexp_extract("line", "^제[0-9]+조", 0)).alias("citation")).where("citation like '%조'").distinct(),
@@ -42,6 +49,8 @@ _HYBRID = f"""select q_id, id, round(coalesce(similarity, 0) * 0.7 + coalesce(te
     full outer join ({_TOP(f"select q_id, id, n_hits * 0.1::double as text_rank from ({_MATCH})", 'text_rank', 10)}) t using (q_id, id)"""
 
 ORACLES = {
+    "fulltext_all_words": """with w as (select doc_id as id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') as a from documents), q as (select item_id as q_id, list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) as a from benchmark)
+        select q_id, id, cast(len(list_filter(w.a, lambda x: list_contains(q.a, x))) as bigint) as n_hits from w join q on list_has_all(w.a, q.a) where len(q.a) > 0""",
     "knn_top3": _TOP(_PAIRS, "similarity", 3),
     "knn_filtered": _TOP(_PAIRS + " and c.label = 1", "similarity", 3),
     "fulltext_match": _MATCH,
