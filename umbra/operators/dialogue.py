@@ -159,7 +159,7 @@ def memory_of(reply: Column) -> Column:
 
 def _number(line: Column) -> Column:
     found = F.regexp_extract(line, r"[0-9]+\.?[0-9]*", 0).try_cast("double")
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), found))
+    return F.when(found.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), found)))
 
 
 def relevance_of(reply: Column) -> Column:

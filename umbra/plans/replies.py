@@ -82,7 +82,7 @@ _SCORED, _YES = "(contains(x, '점수') and regexp_matches(x, '[0-9]'))", "(cont
 
 def _aspect(name: str, away: str) -> str:
     lines = f"list_filter(string_split(reply, chr(10)), lambda x: ({name}) and not ({away}) and regexp_matches(x, '[0-9]'))"
-    return f"coalesce(greatest(0, least(1, cast(regexp_extract(list_last({lines}), '[0-9]+\\.?[0-9]*') as double))), 0.5)"
+    return f"case when len({lines}) = 0 then 0.5 else greatest(0, least(1, cast(regexp_extract(list_last({lines}), '[0-9]+\\.?[0-9]*') as double))) end"
 
 
 _ACC, _COM, _CON = ("contains(x, '정확성') or contains(lower(x), 'accuracy')", "contains(x, '완전성') or contains(lower(x), 'completeness')", "contains(x, '신뢰도') or contains(lower(x), 'confidence')")
