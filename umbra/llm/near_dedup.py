@@ -15,6 +15,11 @@ of two in a million.
    intersections of a block pair exactly.  Links leave as a spanning forest again.
 4. Their components are the answer.
 
+Buckets and families of several blocks are compared in two turns: all blocks with the first
+one, then only the members that are not in the main component by then, with all blocks.
+Pairs inside one component need no comparison, so no link is lost, and a family of n near
+copies of one text costs n rows, not n * n / 1024.
+
 Sets are held as 64-bit hashes; two different shingles of a compared pair collide with
 a chance of about 1e-15.
 
@@ -25,12 +30,12 @@ doc_id are one node.  Further columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, fixed_binary, list_array, mix, shingle_sets, small_or_shuffled, spans, texts_of, written
@@ -41,6 +46,7 @@ BANDS = 2 * PERMUTATIONS // ROWS
 BLOCK = 1024  # classes of one block
 BLOCK_SHINGLES = 400_000
 FAMILY_ROWS = 2_000_000  # members of families up to this count are broadcast (16 bytes each); beyond, texts are shuffled
+GROUP_ROWS = 1_000_000  # large groups with several components up to this count are broadcast (24 bytes each)
 TASK_ROWS = 5_000  # rows of small groups that share a task
 
 _rng = np.random.default_rng(77)
@@ -166,20 +172,56 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("node"), part.column("family"), pa.array(np.diff(offsets).astype(np.int64)), pa.array(blobs, type=pa.binary())], names=["node", "family", "n", "shingles"])
 
 
-def in_blocks(rows: DataFrame, group: str, blocks: str, member: str, tasks: int) -> DataFrame:
-    """Adds column task: small groups share tasks, a group of several blocks is dealt out as block pairs.
+def _task(group: Column, i: Column, j: Column) -> Column:
+    return F.struct(group.cast("long").alias("g"), i.cast("long").alias("i"), j.cast("long").alias("j"))
+
+
+def _numbers(n: Column, first: int = 0) -> Column:
+    return F.explode(F.sequence(F.lit(first).cast("long"), n.cast("long") - 1))
+
+
+def first_turn(rows: DataFrame, group: str, tasks: int) -> DataFrame:
+    """Adds column task: small groups share tasks; of a group of several blocks each block meets the first one.
 
-    Every pair of a group's rows meets in some task; no task gets more than two blocks of a group.
+    rows has columns blocks (of its group) and node; no task gets more than two blocks of a group.
     """
-    block = F.pmod(F.xxhash64(member), F.col(blocks))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col(blocks).cast("long") - 1))
-    small = rows.where(F.col(blocks) <= 1)
-    large = rows.where(F.col(blocks) > 1).withColumn("_b", block).withColumn("_o", other)
-    small = small.withColumn("task", F.struct(F.pmod(F.xxhash64(group), F.lit(max(1, tasks))).alias("g"), F.lit(-1).cast("long").alias("i"), F.lit(-1).cast("long").alias("j")))
-    large = large.withColumn("task", F.struct(F.col(group).cast("long").alias("g"), F.least("_b", "_o").alias("i"), F.greatest("_b", "_o").alias("j"))).drop("_b", "_o")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    small = rows.where("blocks <= 1").withColumn("task", _task(F.pmod(F.xxhash64(group), F.lit(max(1, tasks))), F.lit(-1), F.lit(-1)))
+    large = rows.where("blocks > 1").withColumn("_b", block)
+    leaders = large.where("_b = 0").withColumn("_o", _numbers(F.col("blocks"), 1))
+    others = large.where("_b > 0").withColumn("_o", F.col("_b"))
+    large = leaders.unionByName(others).withColumn("task", _task(F.col(group), F.lit(0), F.col("_o"))).drop("_b", "_o")
     return small.unionByName(large)
 
 
+def second_turn(rows: DataFrame, group: str, found: DataFrame) -> DataFrame:
+    """Adds column task: the members of large groups outside of their group's main component meet all of the group's.
+
+    found: (node, component) after the first turn. Groups of one component give no rows.
+    """
+    large = rows.where("blocks > 1")
+    parts = large.select(group, "node").distinct().join(found, "node", "left").withColumn("part", F.coalesce("component", "node"))
+    sizes = parts.groupBy(group, "part").agg(F.count("*").alias("n"))
+    main = sizes.groupBy(group).agg(F.max_by("part", F.struct("n", "part")).alias("main"), (F.sum("n") - F.max("n")).alias("rest")).where("rest > 0")
+    main = written(main.withColumn("rests", F.ceil(F.col("rest") / BLOCK)))
+    parts = parts.join(small_or_shuffled(main, GROUP_ROWS), group).select(group, "node", "rests", (F.col("part") != F.col("main")).alias("out"))
+    open_rows = large.join(parts, [group, "node"])
+    every = open_rows.withColumn("_i", _numbers(F.col("rests"))).withColumn("_j", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    rest = open_rows.where("out").withColumn("_i", F.pmod(F.xxhash64("node", F.lit(1)), F.col("rests"))).withColumn("_j", _numbers(F.col("blocks")))
+    return every.unionByName(rest).withColumn("task", _task(F.col(group), F.col("_i"), F.col("_j"))).drop("rests", "out", "_i", "_j")
+
+
+def linked(rows: DataFrame, group: str, large: bool, tasks: int, link: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
+    """(node, component) by the links that a function finds among rows (node, blocks, ...) of equal group; large: some have several blocks."""
+    links = first_turn(rows, group, tasks).groupBy("task").applyInPandas(link, "u long, v long")
+    found = components(links)
+    if not large:
+        return found
+    found = written(found)
+    more = second_turn(rows, group, found).groupBy("task").applyInPandas(link, "u long, v long")
+    return components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): see the module's text. docs: doc_id long, text string."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -193,17 +235,15 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     rows = full.agg(F.sum("n")).first()[0] or 0
     met = banded.join(full, "bucket").join(classes.select("node", "sig"), "node")
     met = met.withColumn("blocks", F.ceil(F.col("n") / BLOCK))
-    ties = in_blocks(met, "bucket", "blocks", "node", rows // TASK_ROWS + 1).groupBy("task").applyInPandas(_tie, "u long, v long")
-    families = written(components(ties).select("node", F.col("component").alias("family")))
+    families = written(linked(met, "bucket", not full.where(F.col("n") > BLOCK).isEmpty(), rows // TASK_ROWS + 1, _tie).select("node", F.col("component").alias("family")))
 
     sized = docs.join(small_or_shuffled(families, FAMILY_ROWS), F.col("doc_id") == F.col("node")).select("node", "family", "text").mapInArrow(_sets, "node long, family long, n long, shingles binary")
     sized = written(sized.dropDuplicates(["node", "n", "shingles"]))
-    total = sized.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
-    links = in_blocks(sized.join(total, "family"), "family", "blocks", "node", families.count() * BANDS // TASK_ROWS + 1).groupBy("task").applyInPandas(_link(percent), "u long, v long")
-    linked = components(links)
+    total = written(sized.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks")))
+    same = linked(sized.join(total, "family"), "family", not total.where("blocks > 1").isEmpty(), families.count() * BANDS // TASK_ROWS + 1, _link(percent))
 
     # Only classes of several copies or with links need a look-up; all others stand for themselves.
-    named = classes.join(linked, "node", "left").where("copies > 1 or component is not null")
+    named = classes.join(same, "node", "left").where("copies > 1 or component is not null")
     named = named.select("n_shingles", "low", "high", F.coalesce("component", "node").alias("component"))
     out = sketch.select("doc_id", "n_shingles", "low", "high").join(named, ["n_shingles", "low", "high"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
