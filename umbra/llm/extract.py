@@ -3,12 +3,17 @@
 1. Every page is read once and its containers are scored: a text block counts in full for
    its parent, half for the grandparent, less its share of link text; elements that carry
    menus, headers, footers, notices, adverts, forms, comments and the like count nothing.
-2. The best containers of each page vote, by their share of the page's best score, for
-   their generalised path: tags with class names in which digits are levelled. Votes are
-   added up for each host in Spark; the path with most votes wins.
-3. Every page is read again and the blocks below the elements of its host's winning path
-   are its text. A page without such an element falls back to its own best container, a
-   page without containers has no text.
+   A class name or id that is such a word, or speaks of comments or adverts, is enough. One
+   that only contains such a word (`search-results-explained`) is not if the element holds
+   most of the page's prose, or has a name of content beside it and few links.
+2. The containers of each page vote, by their share of the page's best score, for their
+   generalised path: tags with up to three class names in which digits are levelled. Votes
+   are added up for each host in Spark; paths with 5 % of the host's votes win.
+3. Every page is read again. Of its host's winning paths the one with the best score on the
+   page is taken, with those beside it in the same container that got a fifth of its votes;
+   the blocks below their elements are the text. A page where that path is absent, or holds
+   less than a fifth of the best score, falls back to its own best container, a page without
+   containers has no text.
 
 Votes are pre-aggregated before the shuffle, so a host with a third of all pages is few
 rows. Winners are broadcast only when counted to be few, else joined by a shuffle.
@@ -32,8 +37,10 @@ from pyspark.sql import functions as F
 from .common import small_or_shuffled, written
 from .url_filter import parts
 
-HOST_ROWS = 200_000  # hosts up to this count are broadcast (about 20 MB)
-VOTES = 3
+HOST_ROWS = 20_000  # hosts up to this count are broadcast (20 paths each at most, about 40 MB)
+LEAST_VOTE = 0.1  # share of the page's best score that a container needs for a vote
+LEAST_WIN = 0.05  # share of the host's votes that a winning path needs
+BESIDE = 0.2  # of the winner's votes for a path beside it; of the page's best score for the winner
 
 _MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.S)
 _NAMED = re.compile(r"""([a-zA-Z-]+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -49,17 +56,21 @@ STOPS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}
 
 AWAY_TAGS = frozenset("nav footer aside form dialog button select option menu head object audio video canvas".split())
 AWAY_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
-AWAY_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|promo\w*|sponsor\w*|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscri\w*|signup|sign-up|share|sharing|social|related|recommend\w*|sidebar\w*|widgets?|menu\w*|nav\w*|breadcrumbs?|footer|site-?header|page-?header|masthead|comments?|commentlist|disqus|replies|reply|respond|pagination|pager|toolbar|login|search\w*|copyright|disclaimer)(?:$|[\s_-])"
-)
+_AWAY_WORDS = r"banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscri\w*|signup|sign-up|share|sharing|social|related|recommend\w*|sidebar\w*|widgets?|menu\w*|nav\w*|breadcrumbs?|footer|site-?header|page-?header|masthead|replies|reply|respond|pagination|pager|toolbar|login|search\w*|copyright|disclaimer"
+_ALWAYS_AWAY_WORDS = r"ads?|advert\w*|adsense|promo\w*|sponsor\w*|comments?|commentlist|disqus"
+AWAY_NAMES = re.compile(rf"(?:^|[\s_-])(?:{_AWAY_WORDS}|{_ALWAYS_AWAY_WORDS})(?:$|[\s_-])")
+ALWAYS_AWAY_NAMES = re.compile(rf"(?:^|\s)(?:header|{_AWAY_WORDS})(?:$|\s)|(?:^|[\s_-])(?:{_ALWAYS_AWAY_WORDS})(?:$|[\s_-])")
 GOOD_NAMES = re.compile(r"(?:^|[\s_-])(?:content|article\w*|post|entry|main|story|text|body)(?:$|[\s_-])")
 
 
+NO_DOUBT, DOUBT, SOME_DOUBT = 0, 1, 2  # some: a name that speaks for dropping beside one that speaks for content
+
+
 class Element:
-    __slots__ = ("tag", "path", "parent", "away", "weight", "score")
+    __slots__ = ("tag", "path", "parent", "away", "doubt", "weight", "score")
 
-    def __init__(self, tag: str, path: str, parent: "Element | None", away: bool, weight: float):
-        self.tag, self.path, self.parent, self.away, self.weight, self.score = tag, path, parent, away, weight, 0.0
+    def __init__(self, tag: str, path: str, parent: "Element | None", away: bool, weight: float, doubt: int = NO_DOUBT):
+        self.tag, self.path, self.parent, self.away, self.weight, self.score, self.doubt = tag, path, parent, away, weight, 0.0, doubt
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -67,7 +78,7 @@ def _attributes(raw: str) -> dict[str, str]:
 
 
 def _element(tag: str, raw: str, parent: Element | None) -> Element:
-    label, weight = tag, 1.5 if tag in ("article", "main") else 1.0
+    label, weight, doubt = tag, 1.5 if tag in ("article", "main") else 1.0, NO_DOUBT
     away = tag in AWAY_TAGS or bool(parent and parent.away)
     if raw.strip():
         a = _attributes(raw)
@@ -76,8 +87,11 @@ def _element(tag: str, raw: str, parent: Element | None) -> Element:
             label = ".".join([tag, *sorted(re.sub(r"\d+", "0", x) for x in names.split())[:3]])
         if not away and tag not in ("html", "body", "article", "main"):
             both = f"{names} {a.get('id', '').lower()}"
-            if AWAY_NAMES.search(both):
+            if ALWAYS_AWAY_NAMES.search(both):
                 away = True
+            elif AWAY_NAMES.search(both):
+                away = tag not in BLOCK
+                doubt = SOME_DOUBT if any(GOOD_NAMES.search(x) and not AWAY_NAMES.search(x) for x in both.split()) else DOUBT
             elif GOOD_NAMES.search(both):
                 weight = 1.25
         style = a.get("style", "").replace(" ", "").lower()
@@ -87,14 +101,30 @@ def _element(tag: str, raw: str, parent: Element | None) -> Element:
         while above and above.tag not in ("article", "main", "section"):
             above = above.parent
         away = away or above is None
-    return Element(tag, f"{parent.path}>{label}" if parent else label, parent, away, weight)
+    return Element(tag, f"{parent.path}>{label}" if parent else label, parent, away, weight, doubt)
+
+
+def _without_doubtful(blocks: list[tuple[str, int, Element]]) -> list[tuple[str, int, Element]]:
+    """blocks less those in elements of doubtful names, unless these hold most of the prose or look like content."""
+    page, held = 0, {}
+    doubtful = [[e for e in _chain(owner) if e.doubt] for _, _, owner in blocks]
+    for (text, links, _), above in zip(blocks, doubtful):
+        prose = max(0, len(text) - 2 * links)
+        page += prose
+        for e in above:
+            x = held.setdefault(e, [0, 0, 0])
+            x[0] += prose
+            x[1] += links
+            x[2] += len(text)
+    kept = {e for e, (prose, links, n) in held.items() if 2 * prose > page or (e.doubt == SOME_DOUBT and 5 * links <= n)}
+    return [b for b, above in zip(blocks, doubtful) if kept.issuperset(above)]
 
 
 def read(page: str) -> list[tuple[str, int, Element]]:
     """The page's blocks outside of dropped elements, in order: text, characters in links, innermost element."""
     root = Element("", "", None, False, 1.0)
     stack, blocks, text = [root], [], []
-    owner, links, in_link, at, n = root, 0, 0, 0, len(page)
+    owner, links, in_link, at, n, doubts = root, 0, 0, 0, len(page), False
 
     def close_block() -> None:
         nonlocal links
@@ -170,8 +200,9 @@ def read(page: str) -> list[tuple[str, int, Element]]:
             continue
         stack.append(_element(tag, m[3], stack[-1] if stack[-1] is not root else None) if tag in BLOCK or m[3] else Element(tag, stack[-1].path, stack[-1], stack[-1].away or tag in AWAY_TAGS, 1.0))
         in_link += tag == "a"
+        doubts = doubts or stack[-1].doubt
     close_block()
-    return blocks
+    return _without_doubtful(blocks) if doubts else blocks
 
 
 def _chain(e: Element | None) -> Iterator[Element]:
@@ -180,62 +211,69 @@ def _chain(e: Element | None) -> Iterator[Element]:
         e = e.parent
 
 
-def candidates(blocks: list[tuple[str, int, Element]]) -> list[tuple[str, float]]:
-    """The best containers' paths with their share of the best score; empty if there is no text."""
+def scores(blocks: list[tuple[str, int, Element]]) -> dict[str, float]:
+    """Scores of the page's containers, added up by path; empty if there is no text in containers."""
     scored: dict[int, Element] = {}
     for text, links, owner in blocks:
         value = max(0, len(text) - 2 * links)
         for share, e in zip((1.0, 0.5, 0.25), (e for e in _chain(owner) if e.tag in CONTAINER)):
             e.score += share * value * e.weight
             scored[id(e)] = e
-    if not scored:
-        return []
     paths: dict[str, float] = {}
     for e in scored.values():
         paths[e.path] = paths.get(e.path, 0.0) + e.score
-    best = sorted(paths.items(), key=lambda x: (-x[1], x[0]))[:VOTES]
-    return [(p, s / best[0][1] if best[0][1] else 0.0) for p, s in best]
+    return paths
+
+
+def _above(path: str) -> str:
+    return path.rpartition(">")[0]
 
 
-def text_of(blocks: list[tuple[str, int, Element]], path: str | None) -> str:
-    """The blocks below the elements of path, else below the page's own best container."""
-    kept = [t for t, _, owner in blocks if any(e.path == path for e in _chain(owner))] if path else []
-    if not kept and blocks:
-        own = candidates(blocks)
-        kept = [t for t, _, owner in blocks if any(e.path == own[0][0] for e in _chain(owner))] if own else [t for t, _, _ in blocks]
-    return "\n\n".join(kept)
+def text_of(blocks: list[tuple[str, int, Element]], votes: dict[str, int]) -> str:
+    """The blocks below the elements of the host's winning paths, else below the page's own best container."""
+    own = scores(blocks)
+    if not own:
+        return "\n\n".join(t for t, _, _ in blocks)
+    best = min(own, key=lambda p: (-own[p], p))
+    taken = min((p for p in votes if p in own), key=lambda p: (-own[p], -votes[p], p), default=None)
+    if taken is None or own[taken] < BESIDE * own[best]:
+        taken = best
+    chosen = {taken} | {p for p, v in votes.items() if _above(p) == _above(taken) and v >= BESIDE * votes.get(taken, v)}
+    return "\n\n".join(t for t, _, owner in blocks if any(e.path in chosen for e in _chain(owner)))
 
 
 def _votes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
-        tally: dict[tuple[str, str], list[float]] = {}
+        tally: dict[tuple[str, str], int] = {}
         for host, page in zip(f["host"], f["html"]):
-            for path, share in candidates(read(page or "")):
-                x = tally.setdefault((host, path), [0.0, 0])
-                x[0] += round(share * 1000)  # whole numbers: sums don't depend on their order
-                x[1] += 1
-        yield pd.DataFrame([(h, p, int(v), n) for (h, p), (v, n) in tally.items()], columns=["host", "path", "votes", "pages"])
+            own = scores(read(page or ""))
+            best = max(own.values(), default=0.0)
+            for path, score in own.items():
+                if best and score >= LEAST_VOTE * best:  # whole numbers: sums don't depend on their order
+                    tally[host, path] = tally.get((host, path), 0) + round(score / best * 1000)
+        yield pd.DataFrame([(h, p, v) for (h, p), v in tally.items()], columns=["host", "path", "votes"])
 
 
 def _texts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
-        f["text"] = [text_of(read(page or ""), path) for page, path in zip(f["html"], f["path"])]
-        yield f[["page_id", "url", "host", "path", "text"]]
+        won = [dict(zip(x["path"], x["votes"])) if x is not None else {} for x in f["won"]]
+        f["text"] = [text_of(read(page or ""), votes) for page, votes in zip(f["html"], won)]
+        yield f[["page_id", "url", "host", "text"]]
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """(host, path, votes, pages): the winning path of each host."""
-    votes = pages.mapInPandas(_votes, "host string, path string, votes long, pages long")
-    summed = votes.groupBy("host", "path").agg(F.sum("votes").alias("votes"), F.sum("pages").alias("pages"))
-    best = summed.groupBy("host").agg(F.max_by(F.struct("path", "votes", "pages"), F.struct("votes", "pages", "path")).alias("b"))
-    return best.select("host", "b.path", "b.votes", "b.pages")
+    """(host, path, votes): the winning paths of each host, twenty at most."""
+    votes = pages.mapInPandas(_votes, "host string, path string, votes long")
+    summed = written(votes.groupBy("host", "path").agg(F.sum("votes").alias("votes")))
+    every = summed.groupBy("host").agg(F.sum("votes").alias("every"))
+    return summed.join(every, "host").where(F.col("votes") >= LEAST_WIN * F.col("every")).select("host", "path", "votes")
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
-    """(page_id, url, host, path, text, n_chars) for every row of pages (page_id, url, html)."""
+    """(page_id, url, host, text, n_chars) for every row of pages (page_id, url, html)."""
     rows = pages.select("page_id", "url", parts(F.col("url"))["host"].alias("host"), F.col("html").cast("string").alias("html"))
-    winners = host_paths(rows.select("host", "html")).select("host", "path")
+    winners = host_paths(rows.select("host", "html")).groupBy("host").agg(F.struct(F.collect_list("path").alias("path"), F.collect_list("votes").alias("votes")).alias("won"))
     joined = rows.join(small_or_shuffled(written(winners), HOST_ROWS), "host", "left")
     kind = pages.schema["page_id"].dataType.simpleString()
-    out = joined.select("page_id", "url", "host", "html", "path").mapInPandas(_texts, f"page_id {kind}, url string, host string, path string, text string")
+    out = joined.select("page_id", "url", "host", "html", "won").mapInPandas(_texts, f"page_id {kind}, url string, host string, text string")
     return out.withColumn("n_chars", F.length("text").cast("long"))

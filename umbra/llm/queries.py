@@ -39,7 +39,7 @@ def op10_minhash_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_consensus_host_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return main_texts(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars", "path")
+    return main_texts(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
