@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter
+from html.parser import HTMLParser
 from math import log10
 
 import duckdb
@@ -13,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from umbra.llm import components as components_module, ppm, queries as Q, substring_dedup, url_filter
+from umbra.llm import components as components_module, near_dedup, ppm, queries as Q, substring_dedup, url_filter
 from umbra.llm.common import held_out
 from umbra.llm.decontaminate import contained_items
 from umbra.llm.extract import main_texts
@@ -192,6 +193,25 @@ def test_quality_rules_odd_rows(spark, labels):
     assert {r.n_words for r in out if r.doc_id == 2} == {len((LONG * 100).split())}
 
 
+def test_near_duplicates_in_two_turns(spark, monkeypatch):
+    """Groups of several blocks: chains, copies of one text, texts apart, repeated ids with other texts; no link is lost."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 3)
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(words[i : i + 60])) for i in range(0, 120, 4)]  # a chain: only neighbours are alike
+    rows += [(1000 + i, " ".join(words[200:280] + [f"x{i}"])) for i in range(20)]  # a star
+    rows += [(2000 + i, " ".join(words[290:330] + [f"y{i}-{k}" for k in range(8 + i)])) for i in range(12)]  # alike, many not enough
+    rows += [(1003, " ".join(words[300:360])), (2001, " ".join(words[300:360])), (5, "else " * 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = [(d, shingles(t.encode())) for d, t in rows]
+    least = {d: d for d, _ in rows}
+    for _ in rows:
+        for a, x in sets:
+            for b, y in sets:
+                if 100 * len(x & y) >= 75 * len(x | y):
+                    least[a] = least[b] = min(least[a], least[b])
+    assert {(r.doc_id, r.component_id) for r in near_duplicates(df).collect()} == set(least.items())
+
+
 def test_near_duplicates_of_a_hub(spark, monkeypatch):
     """Minima of nodes with many neighbours are broadcast, the rest shuffled."""
     monkeypatch.setattr(components_module, "SMALL", 0)
@@ -454,6 +474,54 @@ def test_main_texts(spark):
     assert got[10].text == "" and got[11].text == "" and len(got) == 8
 
 
+def test_main_texts_of_mixed_templates(spark):
+    """Two templates on a host (winning paths beside each other both count), an article in two containers, doubtful names inside of an article and around all of it."""
+    p = "<p>Plain words of an article, number {k}, that goes on for some time, so that it counts.</p>"
+    line = "Plain words of an article, number {k}, that goes on for some time, so that it counts."
+    body = {
+        "major": ("<div class='post'>" + p * 3 + "</div><div class='sidebar'>" + p * 4 + "</div>", [line] * 3),
+        "minor": ("<div class='post'><p>Hi.</p></div><div class='story'>" + p * 5 + "</div>", ["Hi."] + [line] * 5),
+        "split": ("<main><div class='intro'>" + p * 2 + "</div><div class='rest'>" + p * 3 + "</div><div class='site-footer'>Foot</div></main>", [line] * 5),
+        "named": ("<div class='post'>" + p + "<div class='text search-results-explained'>" + p + "</div><div class='related-posts'><p>More <a href='/'>of all the same</a></p></div></div>", [line] * 2),
+        "wrapped": ("<div class='has-sidebar'>" + p * 3 + "<div class='social-share'>Share</div></div><div class='comment-list'>" + p * 9 + "</div>", [line] * 3),
+        "broken": ("<div class='post'>" + p + "<p>A &lt; b &amp c <b>x<br>y<p" + " q" * 50_000, [line, "A < b & c x y"]),
+    }
+    rows = [(k * 10 + i, f"http://{name if name not in ('major', 'minor') else 'host'}.example/{i}", "<body>" + html.replace("{k}", str(k)) + "</body>") for k, (name, (html, _)) in enumerate(body.items()) for i in range(1 if name == "minor" else 5)]
+    rows += rows[:1] + [(None, None, rows[0][2])]
+    got = [(r.page_id, r.text) for r in main_texts(spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"won": F.lit(1), "votes": F.lit(2)})).collect()]
+    want = [(k * 10 + i, "\n\n".join(t).replace("{k}", str(k))) for k, (name, (_, t)) in enumerate(body.items()) for i in range(1 if name == "minor" else 5)]
+    assert Counter(got) == Counter(want + want[:1] + [(None, want[0][1])])
+    assert main_texts(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+class Article(HTMLParser):
+    """Blocks of the article element, by the standard library's parser."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.inside, self.blocks = False, [""]
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attributes):
+        self.inside = (self.inside or tag == "article") and tag != "footer"
+        self.blocks += [""] if tag in ("p", "h1") else []
+        self.handle_data(" " if tag == "br" else "")
+
+    def handle_endtag(self, tag):
+        self.inside = self.inside and tag != "article"
+        self.blocks += [""] if tag in ("p", "h1") else []
+
+    def handle_data(self, data):
+        self.blocks[-1] += data if self.inside else ""
+
+
+def test_main_texts_of_all_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    want = {r.page_id: "\n\n".join(x for x in (" ".join(b.split()) for b in Article(r.html or "").blocks) if x) for r in pages.collect()}
+    assert {r.page_id: r.text for r in main_texts(pages).collect()} == want
+
+
 def test_pipeline(spark):
     """Stages in order: rejected, copied and contaminated documents go, the rest is packed whole."""
     kept = spark.read.parquet(f"{FOLDER}/documents.parquet")

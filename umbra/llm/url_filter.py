@@ -74,8 +74,11 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES)
     urls = pages.select("page_id", F.col("url").cast("string").alias("url"))
     urls = urls.withColumns(parts(F.col("url")))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    rows = lexical(urls.withColumns({"rule": rule, "_ruled": verdict}))
+    return learned(lexical(urls.withColumns({"rule": rule, "_ruled": verdict})))
 
+
+def learned(rows: DataFrame) -> DataFrame:
+    """(page_id, host, path, rule, verdict) for rows with lexical features; those without a verdict in _ruled get the trees'."""
     ruled = rows.where("_ruled is not null").withColumn("_y", (F.col("_ruled") == "block").cast("double"))
     suffixes = written(ruled.groupBy("_suffix_1", "_suffix_2").agg(F.sum("_y").alias("_blocks"), F.count("*").alias("_urls")))
     blocks, n = suffixes.agg(F.sum("_blocks"), F.sum("_urls")).first()
