@@ -65,3 +65,10 @@ def test_search_of_nothing(spark):
     queries = spark.createDataFrame([(9, [2.0, 0.0])], "q_id long, q_embedding array<double>")
     assert [r.id for r in R.nearest(queries, vectors, 2).orderBy("rank").collect()] == [1, 2]
     assert R.nearest(queries.limit(0), vectors, 2).count() == 0
+
+
+def test_cover_density(spark):
+    docs = spark.createDataFrame([(1, "a b x a y y b"), (2, "b"), (3, "a a b"), (4, "a b c")], "id long, text string")
+    asked = spark.createDataFrame([(1, "A b"), (2, "a"), (3, "c b a"), (4, "")], "q_id long, q_text string")
+    got = {(r.q_id, r.id): (r.n_hits, round(r.text_rank, 6)) for r in R.ranked(asked, docs).collect()}
+    assert got == {(1, 1): (4, 0.183333), (1, 3): (3, 0.1), (1, 4): (2, 0.1), (2, 1): (2, 0.2), (2, 3): (2, 0.2), (2, 4): (1, 0.1), (3, 4): (3, 0.1)}
