@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from umbra.operators import connections as C
 from umbra.operators import detect as D
 from umbra.operators import dialogue as G
+from umbra.operators import ingest as I
 from umbra.operators import media as M
 from umbra.operators import retrieve as R
 
@@ -72,3 +73,12 @@ def test_cover_density(spark):
     asked = spark.createDataFrame([(1, "A b"), (2, "a"), (3, "c b a"), (4, "")], "q_id long, q_text string")
     got = {(r.q_id, r.id): (r.n_hits, round(r.text_rank, 6)) for r in R.ranked(asked, docs).collect()}
     assert got == {(1, 1): (4, 0.183333), (1, 3): (3, 0.1), (1, 4): (2, 0.1), (2, 1): (2, 0.2), (2, 3): (2, 0.2), (2, 4): (1, 0.1), (3, 4): (3, 0.1)}
+
+
+def test_laws_without_articles(spark):
+    rows = [(1, 1, "head\n 제 1 조 a\r\n①b\n1.\n가.  c"), (1, 2, "제 2 항\n\n plain"), (2, 1, None), (3, 1, ""), (4, 1, "나. only\nmore\n제2조"), (5, 1, "word " * 20), (5, 2, "제1조"), (5, 3, None), (6, 1, "no mark")]
+    pages = spark.createDataFrame(rows, "doc_id long, page int, text string")
+    got = sorted((r.doc_id, r.chunk, r.article, r.page, r.text) for r in I.law_chunks(pages).collect())
+    whole = ("word " * 20) + "\n\n제1조"
+    assert got == [(1, 1, "제1조", 1, "제1조 a\n① b\n1.\n가. c\n제 2 항\nplain"), (4, 1, None, 1, "나. only\nmore"), (4, 2, "제2조", 1, "제2조"), (5, 1, None, 1, whole)]
+    assert I.law_chunks(pages.limit(0)).count() == 0

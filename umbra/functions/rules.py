@@ -142,6 +142,7 @@ LAW_LINES = {
     "subitem": r"^([가-힣])\.",
 }
 CIRCLES = "①②③④⑤⑥⑦⑧⑨⑩"
+CHUNKS_A_PAGE = 0.5
 LAW_NAME, LAW_NAME_LENGTHS, LAW_HEAD_LINES = r"^([가-힣\s]+(?:법|규정|규칙|지침|지시|규정서))", (3, 50), 15
 DATE = r"([0-9]{4})[.\s]([0-9]{1,2})[.\s]([0-9]{1,2})"
 DATE_WORDS = ("시행", "개정", "공포")

@@ -154,6 +154,38 @@ def law_mark(line: Column) -> Column:
     return F.coalesce(*(F.when(found[k] != "", F.struct(F.lit(k).alias("kind"), spelled[k].alias("mark"))) for k in rules.LAW_LINES))
 
 
+def law_line(line: Column) -> Column:
+    """A line of a law with its mark in one spelling and one space behind it; lines of a mark alone, and others, stay."""
+    shown = line
+    for pattern in reversed(rules.LAW_LINES.values()):
+        mark = F.regexp_extract(line, pattern, 0)
+        rest = strip(F.substring(line, F.length(mark) + 1, F.length(line)))
+        shown = F.when((mark != "") & (rest != ""), F.concat(F.regexp_replace(mark, r"\s+", ""), F.lit(" "), rest)).when(mark != "", line).otherwise(shown)
+    return shown
+
+
+def law_chunks(pages: DataFrame, least: float = rules.CHUNKS_A_PAGE) -> DataFrame:
+    """(doc_id, chunk, article, page, text) of the pages (doc_id, page, text) of laws: one chunk for each article, from the page it begins on.
+
+    Marked lines before the first article, and what follows them, are a chunk without article; lines before any mark and blank
+    lines are dropped. Documents with fewer chunks than least for each page, null and empty ones among them, are cut by fixed_chunks instead.
+    Lines are numbered within a document; pages of equal number are read as one.
+    """
+    by = W.partitionBy("doc_id").orderBy("page", "_k")
+    lines = pages.select("doc_id", "page", F.posexplode(F.split("text", r"\R|[\x1c-\x1e]")).alias("_k", "line")).withColumn("line", strip(F.col("line"))).where("line <> ''")
+    mark = law_mark(F.col("line"))
+    rows = lines.withColumns({"_head": F.when(mark["kind"] == "article", mark["mark"]), "_mark": mark.isNotNull()})
+    rows = rows.withColumns({"_part": F.count("_head").over(by), "_begun": F.max("_mark").over(by)}).where("_begun")
+    shown = joined_in_order(F.struct("page", "_k"), law_line(F.col("line")))
+    chunks = rows.groupBy("doc_id", "_part").agg(F.max("_head").alias("article"), F.min("page").alias("page"), shown.alias("text"))
+    counts = pages.groupBy("doc_id").agg(F.count("*").alias("_pages")).join(chunks.groupBy("doc_id").agg(F.count("*").alias("_chunks")), "doc_id", "left")
+    thin = counts.where(F.coalesce("_chunks", F.lit(0)) < least * F.col("_pages")).select("doc_id")
+    number = F.row_number().over(W.partitionBy("doc_id").orderBy("_part"))
+    articles = chunks.join(thin, "doc_id", "left_anti").select("doc_id", number.alias("chunk"), "article", "page", "text")
+    fixed = fixed_chunks(pages.join(thin, "doc_id", "left_semi"))
+    return articles.unionByName(fixed.select("doc_id", "chunk", F.lit(None).cast("string").alias("article"), "page", "text"))
+
+
 def law_metadata(path: Column, text: Column) -> Column:
     """(title, law_name, effective_date) of a law's file from its path and the text of its first page."""
     name = F.regexp_extract(path, "([^/]*)$", 1)

@@ -36,6 +36,18 @@ _NORM = f"trim(lower(regexp_replace(regexp_replace(regexp_replace({_TRIM('text')
 
 _ENDS = "[.。\n!?]"
 
+
+def _fixed(pages: str) -> str:
+    return f"""with recursive p as ({pages}),
+        places as (select doc_id, page, sum(len(text) + 2) over (partition by doc_id order by page) - len(text) - 2 as f from p),
+        t as materialized (select doc_id, regexp_replace(string_agg(text, chr(10) || chr(10) order by page), '^\\s+|\\s+$', '', 'g') as t from p group by 1),
+        r as (select doc_id, t, 0 as start, case when len(t) > 800 then 800 + case when regexp_matches(substr(t, 801, 100), '{_ENDS}') then len(regexp_extract(substr(t, 801, 100), '^[^.。\n!?]*')) + 1 else 0 end else len(t) end as stop from t where t <> '' union all
+            select doc_id, t, nxt, case when len(t) > nxt + 800 then nxt + 800 + case when regexp_matches(substr(t, nxt + 801, 100), '{_ENDS}') then len(regexp_extract(substr(t, nxt + 801, 100), '^[^.。\n!?]*')) + 1 else 0 end else len(t) end
+            from (select doc_id, t, cast(case when len({_TRIM("substr(t, start + 1, stop - start)")}) < 50 then start + 800 when stop - 150 > start then stop - 150 else stop end as int) as nxt from r) where nxt < len(t)),
+        c as (select doc_id, start, {_TRIM("substr(t, start + 1, stop - start)")} as text from r), k as (select *, row_number() over (partition by doc_id order by start) as chunk from c where len(text) >= 50)
+        select doc_id, cast(chunk as int) as chunk, start, (select max(page) from places x where x.doc_id = k.doc_id and f <= start) as page, text from k"""
+
+
 ORACLES = {
     "page_text": f"select doc_id, page, string_agg(text, chr(10) order by ord) as text from {_BLOCKS} group by 1, 2",
     "header_footer": f"select doc_id, cast(ord as int) as ord from {_BLOCKS} where y1 > 0.08 * 22 and y0 < 0.92 * 22",
@@ -46,14 +58,7 @@ ORACLES = {
         f as (select *, before is null or line = '' or before = '' or regexp_matches(line, '{_STRUCTURE}') or regexp_matches(before, '[.!?」’)\\]}}]$') as fresh from b),
         g as (select *, sum(fresh::int) over (partition by doc_id order by ord) as part, case when not fresh and regexp_matches(before, '[A-Za-z0-9가-힣]$') and regexp_matches(line, '^[A-Za-z0-9가-힣]') then ' ' || line else line end as t from f)
         select doc_id, cast(part as bigint) as part, string_agg(t, '' order by ord) as text from g group by 1, 2""",
-    "fixed_chunks": f"""with recursive p as (select doc_id, page, string_agg(text, chr(10) order by ord) as text from {_BLOCKS} group by 1, 2),
-        places as (select doc_id, page, sum(len(text) + 2) over (partition by doc_id order by page) - len(text) - 2 as f from p),
-        t as materialized (select doc_id, regexp_replace(string_agg(text, chr(10) || chr(10) order by page), '^\\s+|\\s+$', '', 'g') as t from p group by 1),
-        r as (select doc_id, t, 0 as start, case when len(t) > 800 then 800 + case when regexp_matches(substr(t, 801, 100), '{_ENDS}') then len(regexp_extract(substr(t, 801, 100), '^[^.。\n!?]*')) + 1 else 0 end else len(t) end as stop from t where t <> '' union all
-            select doc_id, t, nxt, case when len(t) > nxt + 800 then nxt + 800 + case when regexp_matches(substr(t, nxt + 801, 100), '{_ENDS}') then len(regexp_extract(substr(t, nxt + 801, 100), '^[^.。\n!?]*')) + 1 else 0 end else len(t) end
-            from (select doc_id, t, cast(case when len({_TRIM("substr(t, start + 1, stop - start)")}) < 50 then start + 800 when stop - 150 > start then stop - 150 else stop end as int) as nxt from r) where nxt < len(t)),
-        c as (select doc_id, start, {_TRIM("substr(t, start + 1, stop - start)")} as text from r), k as (select *, row_number() over (partition by doc_id order by start) as chunk from c where len(text) >= 50)
-        select doc_id, cast(chunk as int) as chunk, start, (select max(page) from places x where x.doc_id = k.doc_id and f <= start) as page, text from k""",
+    "fixed_chunks": _fixed(f"select doc_id, page, string_agg(text, chr(10) order by ord) as text from {_BLOCKS} group by 1, 2"),
     "dictionary_entries": f"""with recursive l as (select *, row_number() over (partition by doc order by ord) as a from {as_sql('dict_lines')}),
         cut as (select doc, coalesce(min(case when regexp_matches(line, '^[0-9]+\\.[0-9]+') then a end), 1000000) as least from l where a > 5 group by 1),
         b as materialized (select doc, a - 6 as i, line, count(*) over (partition by doc) as n from l join cut using (doc) where a > 5 and a < least),
@@ -73,10 +78,20 @@ def _marks(s, d):
 QUERIES |= {
     "law_marks": _marks,
     "law_metadata": lambda s, d: view(s, d, "law_pages").select("doc", I.law_metadata(F.col("path"), F.col("text")).alias("m")).select("doc", "m.*"),
+    "law_chunks": lambda s, d: I.law_chunks(view(s, d, "law_sheets")),
     "text_lines": lambda s, d: I.text_lines(view(s, d, "documents")),
 }
 _DATES = " union all ".join(f"select doc, unnest(regexp_extract_all(text, '{w}([0-9]{{4}}[.\\s][0-9]{{1,2}}[.\\s][0-9]{{1,2}})', 1)) as x from {as_sql('law_pages')}" for w in ("시행.*?", "개정.*?", "공포.*?", ""))
+_SHEETS = as_sql("law_sheets")
+_THIN = "doc_id in (select doc_id from p left join (select doc_id, count(*) as n from g group by 1) using (doc_id) group by doc_id, n having coalesce(n, 0) < 0.5 * count(*))"
 ORACLES |= {
+    "law_chunks": f"""with p as materialized (select * from {_SHEETS}), l as (select doc_id, page, k, {_TRIM('a[k + 1]')} as line from (select doc_id, page, string_split(text, chr(10)) as a, unnest(range(len(string_split(text, chr(10))))) as k from p)),
+        m as (select *, regexp_extract(line, '^제\\s*[0-9]+\\s*조(\\s*의\\s*[0-9]+)?') as head, regexp_extract(line, '^(제\\s*[0-9]+\\s*항|[①-⑩]|[0-9]+(의[0-9]+)?\\.|[가-힣]\\.)') as sub from l where line <> ''),
+        c as (select *, case when head <> '' then head else sub end as mark, count(nullif(head, '')) over w as part, bool_or(head || sub <> '') over w as begun from m window w as (partition by doc_id order by page, k)),
+        t as (select *, {_TRIM('substr(line, len(mark) + 1)')} as rest from c where begun),
+        g as materialized (select doc_id, part, nullif(max(regexp_replace(head, '\\s', '', 'g')), '') as article, min(page) as page, string_agg(case when mark = '' or rest = '' then line else regexp_replace(mark, '\\s', '', 'g') || ' ' || rest end, chr(10) order by page, k) as text from t group by 1, 2)
+        select doc_id, cast(row_number() over (partition by doc_id order by part) as int) as chunk, article, page, text from g where not {_THIN}
+        union all select doc_id, chunk, null, page, text from ({_fixed(f"select doc_id, page, text from {_SHEETS}")}) where {_THIN}""",
     "law_marks": f"""select doc, ord, case when ord % 7 = 0 then 'article' when ord % 7 in (1, 2) then 'paragraph' when ord % 7 = 3 then 'item' else 'subitem' end as kind,
         case ord % 7 when 0 then concat('제', ord % 40, '조') when 1 then '제1항' when 2 then '제1항' when 3 then '제1호' else '가목' end as mark from {as_sql('law_lines')} where ord % 7 < 5""",
     "law_metadata": f"""with x as (select doc, string_split(regexp_replace(x, '\\s', '.', 'g'), '.') as p from ({_DATES})), v as (select doc, max(concat(p[1], '-', lpad(p[2], 2, '0'), '-', lpad(p[3], 2, '0'))) as e from x where cast(p[1] as int) between 1900 and 2100 and cast(p[2] as int) between 1 and 12 and cast(p[3] as int) between 1 and 31 group by 1),

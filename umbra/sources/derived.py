@@ -50,6 +50,9 @@ VIEWS = {
     "law_pages": """select p_partkey as doc, case p_partkey % 3 when 0 then concat('https://law.example.com/', p_partkey, '.pdf') when 1 then concat('/data/개인정보 ', p_partkey, '.PDF') else concat('n', p_partkey, '.pdf') end as path,
         concat(case p_partkey % 4 when 0 then '개인정보 보호법' when 1 then concat('안내', chr(10), ' 법', chr(10), '정보통신 규정 제1장') when 2 then 'none' else '가법' end, chr(10),
         case p_partkey % 5 when 0 then concat('[시행 2023.', p_partkey % 12 + 1, '.', p_partkey % 28 + 1, '] 개정 2021 3 4') when 1 then '공포 2020.13.1, 1999.12.31' when 2 then concat('page ', p_partkey % 90 + 2000, '.1.2') else '' end) as text from {part}""",
+    "law_sheets": """select p_partkey % 40 as doc_id, p_partkey as page, case when p_partkey % 40 % 5 = 0 then repeat(concat(p_name, ' words. '), 1 + p_partkey % 90) else case (p_partkey + cast(floor(p_partkey / 40) as bigint)) % 6
+        when 0 then concat('Preface', chr(10), '  제 ', p_size, ' 조 (', p_type, ')', chr(10), chr(10), '① ', p_name, chr(10), '1.', p_brand, chr(10), '2의3.  x', chr(10), '가.') when 1 then concat(p_name, chr(10), '②', p_type, chr(10), '제 2 항')
+        when 2 then concat('제', p_size, '조의 2', chr(10), 'body ', p_name, chr(10), '제 ', p_size, '조', chr(10), '나. ', p_type) when 3 then concat('제 3 항  the ', p_name, chr(10), ' ', chr(10), 'more') when 4 then p_name else '' end end as text from {part}""",
     "file_words": "select user_id as audio, event_id as ord, case event_id % 4 when 0 then concat(' ', event_type) when 1 then concat(event_type, 's') else event_type end as word, cast(event_id % 5000 as double) / 10 as start_time, cast(event_id % 5000 as double) / 10 + floor(value) / 100 as end_time from {events}",
     "wanted_texts": "select c_custkey as audio, k as entity, case k when 1 then 'click' when 2 then 'licks' when 3 then ' purchase ' when 4 then 'view purchase' when 5 then '' else 'nothing' end as text from {customer} cross join (select 1 as k union all select 2 union all select 3 union all select 4 union all select 5 union all select 6) as ks",
     "frame_boxes": "select event_id as id, user_id % 20 as video, event_type as label, cast(event_id % 300 + 1 as int) as frame, cast(user_id % 50 as int) - 2 as x, cast(user_id % 31 as int) as y, cast(10 + floor(value) % 40 as int) as w, cast(floor(value) % 25 as int) as h, (event_id % 100) / 100.0 as confidence from {events}",
