@@ -1,5 +1,7 @@
 """Core operators on nulls, empty texts, ties and empty tables."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from umbra.operators import connections as C
@@ -82,3 +84,26 @@ def test_laws_without_articles(spark):
     whole = ("word " * 20) + "\n\n제1조"
     assert got == [(1, 1, "제1조", 1, "제1조 a\n① b\n1.\n가. c\n제 2 항\nplain"), (4, 1, None, 1, "나. only\nmore"), (4, 2, "제2조", 1, "제2조"), (5, 1, None, 1, whole)]
     assert I.law_chunks(pages.limit(0)).count() == 0
+
+
+def test_tracks_over_gaps(spark):
+    """Numbers go on behind a gap, and equal those of one pass that remembers all tracks."""
+    rnd = random.Random(5)
+    rows = [(rnd.choice([1, 2, None]), rnd.choice("ab"), i, rnd.choice([0, 20, 60, 61, 130]) + rnd.randrange(12), rnd.randrange(30), rnd.randrange(30), rnd.randrange(0, 20), rnd.randrange(1, 20)) for i in range(400)]
+    df = spark.createDataFrame(rows, "video long, label string, id long, frame int, x int, y int, w int, h int")
+    want, seen = {}, {}
+    for v, c, i, f, x, y, w, h in sorted(rows, key=lambda r: (r[3], r[4], r[2])):
+        if not w:
+            continue
+        last = seen.setdefault((v, c), [])
+        for k, (f2, x2, y2, w2, h2) in enumerate(last):
+            both = max(0, min(x + w, x2 + w2) - max(x, x2)) * max(0, min(y + h, y2 + h2) - max(y, y2))
+            if 0 < f - f2 <= M.TRACK_GAP and both / (w * h + w2 * h2 - both) >= M.TRACK_IOU:
+                last[k] = (f, x, y, w, h)
+                break
+        else:
+            k = len(last)
+            last.append((f, x, y, w, h))
+        want[i] = k
+    assert {r.id: r.track for r in M.tracks(df).collect()} == want
+    assert M.tracks(df.limit(0)).count() == 0

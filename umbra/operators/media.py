@@ -64,26 +64,38 @@ def intervals(words: DataFrame, length_ms: int) -> DataFrame:
 
 
 def _tracks(group: pd.DataFrame) -> pd.DataFrame:
-    last: list[tuple[int, int, int, int, int]] = []
-    ids = []
+    last: dict[int, tuple[int, int, int, int, int]] = {}  # tracks that can go on
+    ids, total = [], 0
     group = group.sort_values(["frame", "x", "id"])
     for frame, x, y, w, h in group[["frame", "x", "y", "w", "h"]].itertuples(index=False):
-        for k, (f, x2, y2, w2, h2) in enumerate(last):
+        for k, (f, x2, y2, w2, h2) in list(last.items()):
+            if frame - f > TRACK_GAP:
+                del last[k]
+                continue
             both = max(0, min(x + w, x2 + w2) - max(x, x2)) * max(0, min(y + h, y2 + h2) - max(y, y2))
             union = w * h + w2 * h2 - both
-            if f != frame and frame - f <= TRACK_GAP and union > 0 and both / union >= TRACK_IOU:
-                last[k] = (frame, x, y, w, h)
-                ids.append(k)
+            if f != frame and union > 0 and both / union >= TRACK_IOU:
                 break
         else:
-            last.append((frame, x, y, w, h))
-            ids.append(len(last) - 1)
-    return group[["video", "label", "id"]].assign(track=ids)
+            k, total = total, total + 1
+        last[k] = (frame, x, y, w, h)
+        ids.append(k)
+    return group[["video", "label", "part", "id"]].assign(track=ids)
 
 
 def tracks(boxes: DataFrame) -> DataFrame:
-    """(video, label, id, track): boxes joined to the first track whose last box is near in time and place; state for each video and label."""
-    return boxes.where("w > 0 and h > 0").groupBy("video", "label").applyInPandas(_tracks, "video long, label string, id long, track long")
+    """(video, label, id, track): boxes joined to the first track whose last box is near in time and place.
+
+    A gap of more than TRACK_GAP frames ends all tracks: what lies between two gaps is a part of its own, and state is kept for
+    one part of a video and label. Tracks are numbered on from part to part.
+    """
+    by = W.partitionBy("video", "label").orderBy("frame")
+    gap = F.col("frame") - F.lag("frame").over(by) > TRACK_GAP
+    rows = boxes.where("w > 0 and h > 0").withColumn("part", F.coalesce(gap.cast("long"), F.lit(0)))
+    rows = rows.withColumn("part", F.sum("part").over(by))
+    found = rows.groupBy("video", "label", "part").applyInPandas(_tracks, "video long, label string, part long, id long, track long")
+    number = F.dense_rank().over(W.partitionBy("video", "label").orderBy("part", "track"))
+    return found.select("video", "label", "id", (number - 1).cast("long").alias("track"))
 
 
 def times_within(start: Column, end: Column, first: Column, last: Column, length: Column) -> tuple[Column, Column]:
