@@ -16,6 +16,7 @@ from .quality_model import quality_scores
 from .quality_rules import quality_rules
 from .sharding import grown, shard_rows, topology
 from .substring_dedup import without_repeats
+from .token_counts import token_counts
 from .url_filter import judge_urls
 
 
@@ -74,8 +75,12 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
 
 
+def op13_heap_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sum_of_squares_packing, op2_consensus_host_paths, op10_minhash_containment, op3_minhash_near_dedup, op4_additive_quality_model, op5_fm_index_substrings, op6_partial_matching, op7_hash_tree_sharding, op8_url_trees, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_sum_of_squares_packing, op2_consensus_host_paths, op10_minhash_containment, op3_minhash_near_dedup, op4_additive_quality_model, op5_fm_index_substrings, op6_partial_matching, op7_hash_tree_sharding, op8_url_trees, op9_quality_rules, op13_heap_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
