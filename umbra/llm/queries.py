@@ -18,6 +18,7 @@ from .sharding import grown, shard_rows, topology
 from .substring_dedup import without_repeats
 from .token_counts import token_counts
 from .url_filter import judge_urls
+from .whitening import whitened
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,12 +76,16 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
 
 
+def op11_exact_scatter_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_heap_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sum_of_squares_packing, op2_consensus_host_paths, op10_minhash_containment, op3_minhash_near_dedup, op4_additive_quality_model, op5_fm_index_substrings, op6_partial_matching, op7_hash_tree_sharding, op8_url_trees, op9_quality_rules, op13_heap_token_counts)}
+    return {f.__name__: f for f in (op1_sum_of_squares_packing, op2_consensus_host_paths, op10_minhash_containment, op3_minhash_near_dedup, op4_additive_quality_model, op5_fm_index_substrings, op6_partial_matching, op7_hash_tree_sharding, op8_url_trees, op9_quality_rules, op11_exact_scatter_whitening, op13_heap_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
