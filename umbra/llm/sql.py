@@ -55,6 +55,23 @@ select doc_id, item_id, n_shingles, n_shared, n_shared / n_shingles as containme
 from met join sizes using (item_id) where 100 * n_shared >= 75 * n_shingles"""
 
 
+def _terms(text: str) -> str:
+    return f"regexp_extract_all(translate(coalesce({text}, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+
+RANKED = f"""
+with texts as materialized (select doc_id, a, cast(len(a) as bigint) as n from (select doc_id, {_terms("text")} as a from documents) where len(a) > 0),
+totals as materialized (select count(*) as docs, cast(sum(n) as bigint) as words from texts),
+asked as materialized (select item_id, unnest(list_distinct({_terms("text")})) as term from benchmark),
+held as materialized (select doc_id, n, term, count(*) as tf from (select doc_id, n, unnest(a) as term from texts) semi join asked using (term) group by 1, 2, 3),
+weights as (select term, cast(floor(1000 * ln((2.0::double * docs + 2) / (2.0::double * count(*) + 1))) as bigint) as w from held, totals group by term, docs),
+scores as (
+    select item_id, doc_id, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // words)))) as bigint) as score
+    from asked join held using (term) join weights using (term), totals group by 1, 2)
+select item_id, cast(rank as integer) as rank, doc_id, score
+from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from scores where score > 0) where rank <= 10"""
+
+
 def _uniform(field: str, child: int) -> str:
     at = 1 + 8 * (child % 4)
     return f"(cast(concat('0x', substring(md5(concat(k, ':{field}:{child // 4}')), {at}, 8)) as bigint) + 0.5) / 4294967296.0"
