@@ -10,6 +10,7 @@ from umbra.operators import dialogue as G
 from umbra.operators import ingest as I
 from umbra.operators import media as M
 from umbra.operators import retrieve as R
+from umbra.operators.faces import faces_followed
 
 
 def test_detectors_without_text(spark):
@@ -39,10 +40,10 @@ def test_faces_keep_their_track(spark):
     gone = [(1, 99, 40, 10, 10, 40, 40)]
     df = spark.createDataFrame(moving + gone, "video long, id long, frame int, x int, y int, w int, h int")
     tracks = {}
-    for r in M.faces_followed(df).collect():
+    for r in faces_followed(df).collect():
         tracks.setdefault(r.track, set()).add(r.id)
     assert sorted(len(x) for x in tracks.values()) == [1, 8, 8]
-    assert M.faces_followed(df.limit(0)).count() == 0
+    assert faces_followed(df.limit(0)).count() == 0
 
 
 def test_replies_without_content(spark):

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -15,7 +14,6 @@ from ..functions.text import strip
 
 LEAST_CONFIDENCE, REACH, BUFFER_MS, LEAST_MS = 0.3, 25, 25, 50
 TRACK_GAP, TRACK_IOU = 30, 0.25
-FACE_IOU, FACE_AGE = 0.3, 10
 
 
 def clipped(boxes: DataFrame, width: int, height: int) -> DataFrame:
@@ -176,58 +174,3 @@ def _lines(page: pd.DataFrame) -> pd.DataFrame:
 def lines_of(tokens: DataFrame) -> DataFrame:
     """(page, line, x1, y1, x2, y2, text, confidence): upright boxes of read text joined from the top left while they go on in their line; one page in a task."""
     return tokens.groupBy("page").applyInPandas(_lines, "page long, line long, x1 double, y1 double, x2 double, y2 double, text string, confidence double")
-
-
-_MOVE = np.eye(8) + np.eye(8, k=4)
-_SEEN = np.eye(4, 8)
-
-
-class _Track:
-    """A face's centre and size with their speeds, by a Kalman filter."""
-
-    def __init__(self, seen: np.ndarray):
-        self.state, self.spread, self.age = np.concatenate((seen, np.zeros(4))), np.eye(8) * 0.1, 0
-
-    def predict(self) -> np.ndarray:
-        self.state, self.spread = _MOVE @ self.state, _MOVE @ self.spread @ _MOVE.T + np.eye(8) * 0.03
-        return self.state[:4]
-
-    def correct(self, seen: np.ndarray) -> None:
-        gain = self.spread @ _SEEN.T @ np.linalg.inv(_SEEN @ self.spread @ _SEEN.T + np.eye(4) * 0.5)
-        self.state, self.spread = self.state + gain @ (seen - _SEEN @ self.state), (np.eye(8) - gain @ _SEEN) @ self.spread
-        self.age = 0
-
-
-def _overlap(a: np.ndarray, b: np.ndarray) -> float:
-    sides = np.minimum(a[:2] + a[2:] / 2, b[:2] + b[2:] / 2) - np.maximum(a[:2] - a[2:] / 2, b[:2] - b[2:] / 2)
-    both = float(np.prod(np.maximum(sides, 0)))
-    union = a[2] * a[3] + b[2] * b[3] - both
-    return both / union if union > 0 else 0.0
-
-
-def _followed(video: pd.DataFrame) -> pd.DataFrame:
-    tracks: dict[int, _Track] = {}
-    ids, total = [], 0
-    video = video.sort_values(["frame", "x", "id"])
-    for frame, boxes in video.groupby("frame", sort=True):
-        guesses = {k: t.predict() for k, t in tracks.items()}
-        for x, y, w, h in boxes[["x", "y", "w", "h"]].itertuples(index=False):
-            seen = np.array([x + w / 2, y + h / 2, w, h], float)
-            best = max(guesses, key=lambda k: _overlap(guesses[k], seen), default=None)
-            if best is not None and _overlap(guesses[best], seen) >= FACE_IOU:
-                tracks[best].correct(seen)
-                del guesses[best]
-            else:
-                best, total = total, total + 1
-                tracks[best] = _Track(seen)
-            ids.append(best)
-        for k in guesses:
-            tracks[k].age += 1
-            if tracks[k].age > FACE_AGE:
-                del tracks[k]
-    return video[["video", "id"]].assign(track=ids)
-
-
-def faces_followed(boxes: DataFrame) -> DataFrame:
-    """(video, id, track): each box goes to the track whose predicted box overlaps it most, a new one below FACE_IOU; tracks that are not met in FACE_AGE further frames with boxes end. State for each video: frames follow each other."""
-    return boxes.where("w > 0 and h > 0").groupBy("video").applyInPandas(_followed, "video long, id long, track long")
