@@ -21,6 +21,42 @@ def test_detectors_without_text(spark):
     assert D.entities(df.limit(0)).count() == 0
 
 
+def test_addresses_of_machines_before_other_signs(spark):
+    texts = ["The server is 192.168.0.1.", "10.0.0.1.5", "1234.1.2.3.4.5.6.7", "x300.1.1.1 1.2.3.45678 1.2.3", "v1.2.3.4,9.8.7.6"]
+    got = [[x.text for x in r.f] for r in spark.createDataFrame(list(enumerate(texts)), "id long, text string").orderBy("id").select(D.found_in(F.col("text"), ("p_ip",)).alias("f")).collect()]
+    assert got == [["192.168.0.1"], ["10.0.0.1"], ["1.2.3.4"], [], ["1.2.3.4", "9.8.7.6"]]
+
+
+def test_places_of_names_in_one_pass():
+    assert D.places_in("가나다가나 나다", ["가나", "나다"], []) == [(0, 2, "가나"), (3, 5, "가나"), (6, 8, "나다")]
+    assert D.places_in("아아아아아", ["아아"], [(0, 1)]) == [(2, 4, "아아")]
+    assert D.places_in("", ["가나"], []) == []
+    rng = random.Random(2)
+    for _ in range(300):
+        text = "".join(rng.choices("가나다", k=rng.randrange(0, 40)))
+        terms = sorted({"".join(rng.choices("가나다", k=rng.choice([2, 2, 3]))) for _ in range(rng.randrange(1, 5))})
+        taken = [(a, a + rng.randrange(1, 4)) for a in rng.sample(range(40), 2)]
+        kept = []
+        for t in terms:
+            at = text.find(t)
+            while at >= 0:
+                if all(max(at, a) >= min(at + len(t), b) for a, b in [*taken, *((x, y) for x, y, _ in kept)]):
+                    kept.append((at, at + len(t), t))
+                at = text.find(t, at + len(t))
+        assert D.places_in(text, terms, taken) == kept
+
+
+def test_names_known_to_units(spark):
+    rows = [(1, 1, "성명: 김철수 님", None), (1, 2, "철수가 왔다", None), (1, 2, None, None), (2, 1, "철수가 왔다", None), (None, 1, "성명: 박민수", None), (None, 2, "민수", None), (1, 0, "철수", None), (3, 1, "남궁민은", [("p_nm", 0, 2, "남궁", 0.9), ("p_nm", 1, 3, "궁민", 0.9)])]
+    df = spark.createDataFrame(rows, "doc_id long, ord int, text string, m array<struct<label:string,start:int,end:int,text:string,confidence:double>>")
+    got = sorted(((r.doc_id or 0, r.ord, r.text or "", [(x.start, x.text, x.confidence, x.method) for x in r.found]) for r in D.detected_in_units(df, "m").collect()))
+    assert got == [
+        (0, 1, "성명: 박민수", [(4, "박민수", 0.85, "regex_context")]), (0, 2, "민수", []), (1, 0, "철수", []), (1, 1, "성명: 김철수 님", [(4, "김철수", 0.85, "regex_context")]),
+        (1, 2, "", []), (1, 2, "철수가 왔다", [(0, "철수", 0.9, None)]), (2, 1, "철수가 왔다", []), (3, 1, "남궁민은", [(0, "남궁민", 0.9, "koelectra")]),
+    ]
+    assert D.detected_in_units(df.limit(0)).count() == 0
+
+
 def test_addresses_of_the_wrong_form(spark):
     df = spark.createDataFrame([(1, "강남구 역삼동12"), (2, "서울 강남구 테헤란로 12"), (3, "주소 서울특별시 강남구 테헤란로 12에서")], "doc_id long, text string")
     got = {r.doc_id: [(x.start, x.text) for x in r.f] for r in df.select("doc_id", D.addresses(F.col("text")).alias("f")).collect()}

@@ -10,9 +10,10 @@ EMAIL = r"[a-zA-Z0-9][a-zA-Z0-9._+-]*@[a-zA-Z0-9][a-zA-Z0-9.-]*\.[a-zA-Z]{2,}"
 OCR_EMAIL = r"[a-zA-Z0-9][a-zA-Z0-9._+-]*@[a-zA-Z0-9]+(?:com|net|org|co\.?kr|kr|jp|cn|edu|gov)"
 OCR_SUFFIXES = ("com", "net", "org", "co.kr", "kr", "jp", "cn", "edu", "gov", "info")
 PHONES = (r"01[016789]-[0-9]{3,4}-[0-9]{4}", r"0(?:2|3[1-3]|4[1-4]|5[1-5]|6[1-4])-[0-9]{3,4}-[0-9]{4}", r"0[0-9]{1,2}-[0-9]{3,4}-[0-9]{4}", r"01[016789][0-9]{7,8}")
+PHONE_METHODS = ("regex-mobile", "regex-landline", "regex-general", "regex-mobile-no-hyphen")
 RRN_HYPHEN = r"[0-9]{6}-[1-4][0-9]{6}"
 RRN_PLAIN = r"(?<![0-9])[0-9]{6}[1-4][0-9]{6}(?![0-9])"
-IP = r"(?<![0-9.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?![0-9.])"
+IP = r"(?<![0-9])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?![0-9])"
 PASSPORT = r"[a-zA-Z][0-9]{3}[a-zA-Z0-9][0-9]{4}"
 ADDRESSES = (
     r"[가-힣]{2,}(?:특별시|광역시|도)\s+[가-힣]{2,}(?:시|군|구)\s+[가-힣]{2,}(?:로|길)\s+[0-9]+[가-힣0-9\s-]*",
@@ -98,6 +99,8 @@ NAME_LABELS = ("성명", "한글성명", "이름")
 NOT_NAMES = ("성명", "생년월일", "주소", "연락처", "이메일", "학점", "지원분야", "경력여부")
 NAME_AFTER_LABEL = r"(?:이름|성명|성함)[은는이가\s]*[:\s]\s*([가-힣]{2,4})(?=[이가은는을를]|\s|[.,]|$)"
 NAME_AFTER_NAME = r"Name\s*[:]\s*([가-힣a-zA-Z]{2,20})"
+CONTEXT_NAME, KNOWN_NAME = (0.85, "regex_context"), 0.90  # confidence and method
+MODEL = "koelectra"  # method of the model's spans
 NAME_STOPS = "이가은는을를의에와과로도만씨님군양장"
 
 # Column dictionaries.

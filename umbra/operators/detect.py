@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from ..functions import rules
 from ..functions.text import SPANS, joined_in_order, masked, spans, strip
@@ -18,16 +22,11 @@ def _digits(text: Column) -> Column:
 
 
 def phones(text: Column) -> Column:
-    """Phone numbers by pattern, then place; a number met before in the text (by its digits) is left out."""
-    found = F.concat(*(spans(text, p) for p in rules.PHONES))
-
-    def step(done: Column, x: Column) -> Column:
-        digits = _digits(x["text"])
-        new = F.length(digits).between(9, 11) & ~F.array_contains(done["digits"], digits)
-        return F.when(new, F.struct(F.array_append(done["digits"], digits).alias("digits"), F.array_append(done["found"], x).alias("found"))).otherwise(done)
-
-    zero = F.struct(F.array().cast("array<string>").alias("digits"), F.array().cast(SPANS).alias("found"))
-    return F.aggregate(found, zero, step, lambda done: done["found"])
+    """Phone numbers by pattern, then place; a number met before in the text (by its digits) is left out. With confidence and the pattern's method."""
+    found = F.concat(*(_sure(spans(text, p), method) for p, method in zip(rules.PHONES, rules.PHONE_METHODS)))
+    found = F.filter(found, lambda x: F.length(_digits(x["text"])).between(9, 11))
+    first = lambda x, i: F.array_position(F.transform(found, lambda y: _digits(y["text"])), _digits(x["text"])) == i + 1
+    return F.filter(found, first)
 
 
 def emails(text: Column) -> Column:
@@ -56,7 +55,7 @@ def addresses(text: Column) -> Column:
 
     def valid(x: Column) -> Column:
         a = x["text"]
-        dense = F.regexp_replace(a, r"\s", "")
+        dense = F.replace(a, F.lit(" "), F.lit(""))
         share = F.length(F.regexp_replace(dense, "[^가-힣]", "")) / F.greatest(F.length(dense), F.lit(1))
         return (F.length(a) >= 8) & a.rlike(rules.ADDRESS_AREA) & a.rlike(rules.ADDRESS_PLACE) & (share >= 0.6) & ~a.rlike("[구시]$")
 
@@ -68,14 +67,14 @@ def ips(text: Column) -> Column:
     return F.filter(spans(text, rules.IP), lambda x: F.forall(F.split(x["text"], r"\."), lambda o: o.cast("int") <= 255))
 
 
-def _where(text: Column, shape: str, find) -> Column:
+def _where(text: Column, shape: str, find, sure=_sure) -> Column:
     """Spans with confidence of a detector, for texts that hold a plain shape without which it finds nothing."""
-    return F.when(text.rlike(shape), _sure(find(text))).otherwise(F.array().cast(SURE_SPANS))
+    return F.when(text.rlike(shape), sure(find(text))).otherwise(F.array().cast(SURE_SPANS))
 
 
 DETECTORS = {
     "p_rrn": lambda t: _where(t, "[0-9]{6}", lambda x: F.concat(spans(x, rules.RRN_HYPHEN), spans(x, rules.RRN_PLAIN))),
-    "p_ph": lambda t: _where(t, "[0-9]{4}", phones),
+    "p_ph": lambda t: _where(t, "[0-9]{4}", phones, lambda found: found),
     "p_em": emails,
     "p_add": lambda t: _where(t, "[가-힣]{2}", addresses),
     "p_ip": lambda t: _where(t, r"[0-9]\.[0-9]", ips),
@@ -86,8 +85,7 @@ DETECTORS = {
 def found_in(text: Column, labels: tuple[str, ...] = tuple(DETECTORS)) -> Column:
     """Array of (label, start, end, text, confidence, method) of all detectors by start, then detector; one for each label and span. Null text: empty."""
     tagged = lambda label: F.transform(DETECTORS[label](text), lambda x: F.struct(F.lit(label).alias("label"), x["start"].alias("start"), x["end"].alias("end"), x["text"].alias("text"), x["confidence"].alias("confidence"), x["method"].alias("method")))
-    every = F.transform(F.concat(*(tagged(x) for x in labels)), lambda x, i: F.struct(x["start"].alias("start"), i.alias("place"), x.alias("entity")))
-    return F.array_distinct(F.transform(F.array_sort(every), lambda x: x["entity"]))
+    return F.array_distinct(_by_start(F.concat(*(tagged(x) for x in labels))))
 
 
 def addresses_extended(text: Column, found: Column) -> Column:
@@ -120,17 +118,61 @@ def refined(found: Column) -> Column:
     return F.filter(F.transform(found, one), kept)
 
 
-def united(found: Column, names: Column) -> Column:
-    """found, and names by context that overlap none of them."""
-    clear = F.filter(names, lambda n: ~F.exists(found, lambda x: (n["start"] < x["end"]) & (x["start"] < n["end"])))
-    return F.concat(found, F.transform(clear, lambda n: F.struct(F.lit("p_nm").alias("label"), n["start"].alias("start"), n["end"].alias("end"), n["text"].alias("text"), F.lit(1.0).alias("confidence"), F.lit("context").alias("method"))))
+ENTITIES = "array<struct<label:string,start:int,end:int,text:string,confidence:double,method:string>>"
+
+
+def _entity(label, x: Column, confidence, method) -> Column:
+    return F.struct(F.lit(label).alias("label"), x["start"].alias("start"), x["end"].alias("end"), x["text"].alias("text"), F.lit(confidence).cast("double").alias("confidence"), F.lit(method).cast("string").alias("method"))
+
+
+def _by_start(every: Column) -> Column:
+    """Entities by start; those that start together stay in their order."""
+    keyed = F.transform(every, lambda x, i: F.struct(x["start"].alias("start"), i.alias("place"), x.alias("entity")))
+    return F.transform(F.array_sort(keyed), lambda x: x["entity"])
+
+
+def united(found: Column, names: Column, model: Column | None = None) -> Column:
+    """Entities of patterns and names by context, all of them, and the model's spans (label, start, end, text, confidence) that overlap none of these nor a model's span before; by start."""
+    every = F.concat(found, F.transform(names, lambda n: _entity("p_nm", n, *rules.CONTEXT_NAME)))
+    if model is not None:
+        clash = lambda kept, m: F.exists(kept, lambda x: (m["start"] < x["end"]) & (x["start"] < m["end"]))
+        one = lambda m: F.array(F.struct(m["label"].alias("label"), m["start"].alias("start"), m["end"].alias("end"), m["text"].alias("text"), m["confidence"].alias("confidence"), F.lit(rules.MODEL).alias("method")))
+        every = F.aggregate(F.coalesce(model, F.slice(model, 1, 0), F.array()), every.cast(ENTITIES), lambda kept, m: F.when(clash(kept, m), kept).otherwise(F.concat(kept, one(m))))
+    return _by_start(every)
+
+
+def stretched(text: Column, patterns: Column, model: Column | None = None) -> Column:
+    """Entities of patterns united with names by context and the model's spans, short names and addresses made longer."""
+    return addresses_extended(text, lengthened(text, united(patterns, names_by_context(text), model)))
+
 
+def detected(rows: DataFrame, known: Column | None = None, model: Column | None = None) -> DataFrame:
+    """rows (text, ..) with found, the entities of the whole chain: patterns, names by context and the model's spans united; short names and addresses
+    made longer; further places of these names and of names known from elsewhere (an array of texts); refinement. Further places
+    come after the others. Null text: empty."""
+    text = F.col("text")
+    rows = rows.withColumn("_every", stretched(text, found_in(text), model))
+    names = F.transform(F.filter("_every", lambda x: x["label"] == "p_nm"), lambda x: x["text"])
+    rows = rows.withColumn("_terms", name_terms(names if known is None else F.concat(names, F.coalesce(known, F.array().cast("array<string>")))))
+    again = F.transform("_again", lambda x: _entity("p_nm", x, rules.KNOWN_NAME, None))
+    return with_places(rows).withColumn("found", refined(F.concat("_every", again))).drop("_every", "_terms", "_again")
 
-def detected(text: Column) -> Column:
-    """The whole chain without a model: patterns, names by context, longer names and addresses, known names elsewhere, refinement."""
-    names = lengthened(text, names_by_context(text))
-    every = F.concat(names, names_repeated(text, names))
-    return refined(addresses_extended(text, united(found_in(text), every)))
+
+def detected_in_units(units: DataFrame, model: str | None = None) -> DataFrame:
+    """units (doc_id, ord, text, ..) with found: entities of each unit, names of a document's earlier units being known to it.
+
+    What a unit adds to the known names doesn't depend on earlier units, as further places have the texts of known ones: names are
+    gathered at once, each with the first unit that has it, and join the units as one array for each document. model: a column of
+    model's spans. Units with the same ord don't know each other's names; a null doc_id or ord knows none.
+    """
+    spans_of = F.col(model) if model else None
+    patterns = found_in(F.col("text")) if model else F.array().cast(ENTITIES)  # without a model names don't depend on other entities
+    own = units.select("doc_id", "ord", F.explode(refined(stretched(F.col("text"), patterns, spans_of))).alias("_x")).where("_x.label = 'p_nm'")
+    first = own.groupBy("doc_id", F.col("_x.text").alias("name")).agg(F.min("ord").alias("since"))
+    names = first.groupBy("doc_id").agg(F.collect_list(F.struct("name", "since")).alias("_names"))
+    earlier = lambda x: x["since"] < F.col("ord")
+    known = F.transform(F.filter("_names", earlier), lambda x: x["name"])
+    return detected(units.join(names, "doc_id", "left"), known, spans_of).drop("_names")
 
 
 def known_before(units: DataFrame) -> DataFrame:
@@ -241,29 +283,64 @@ def names_by_context(text: Column) -> Column:
     return F.concat(own(rules.NAME_AFTER_LABEL, "[가-힣]{2,4}"), own(rules.NAME_AFTER_NAME, "[가-힣a-zA-Z]{2,20}"))
 
 
-def lengthened(text: Column, names: Column) -> Column:
-    """Names of two characters with the Hangul character after them, unless it is a particle or title."""
+def lengthened(text: Column, found: Column) -> Column:
+    """Entities, names of two characters among them with the Hangul character after them, unless it is a particle or title."""
 
     def one(x: Column) -> Column:
         after = F.substring(text, x["end"] + 1, F.lit(1))
-        longer = (F.length(strip(x["text"])) == 2) & after.rlike("^[가-힣]$") & ~after.rlike(f"[{rules.NAME_STOPS}]")
-        end = F.when(longer, x["end"] + 1).otherwise(x["end"])
-        return F.struct(x["start"].alias("start"), end.alias("end"), F.concat(x["text"], F.when(longer, after).otherwise("")).alias("text"))
+        longer = (x["label"] == "p_nm") & (F.length(strip(x["text"])) == 2) & after.rlike("^[가-힣]$") & ~after.rlike(f"[{rules.NAME_STOPS}]")
+        return x.withField("end", F.when(longer, x["end"] + 1).otherwise(x["end"])).withField("text", F.when(longer, F.concat(x["text"], after)).otherwise(x["text"]))
+
+    return F.transform(found, one)
+
+
+def name_terms(names: Column) -> Column:
+    """What known names are searched by, each once and in order: the last two characters of longer ones, names of two as they are."""
+    bare = F.filter(F.transform(names, strip), lambda x: F.length(x) >= 2)
+    return F.array_sort(F.array_distinct(F.transform(bare, lambda x: F.right(x, F.lit(2)))))
+
+
+def places_in(text: str, terms: list[str], taken: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
+    """(start, end, term) of all terms in a text, found in one pass by an automaton of them; in order of term, then place.
+
+    Places of one term don't overlap each other. A place that overlaps one of taken, or a place kept before, is left out.
+    """
+    import ahocorasick
+
+    automaton = ahocorasick.Automaton()
+    for k, t in enumerate(terms):
+        automaton.add_word(t, (k, t))
+    automaton.make_automaton()
+    covered = bytearray(len(text) + 1)
+    for a, b in taken:
+        covered[a:b] = b"\1" * len(covered[a:b])
+    out, free = [], [0] * len(terms)  # from where on a term's next place may start
+    for k, start, t in sorted((k, end + 1 - len(t), t) for end, (k, t) in automaton.iter(text)):
+        if start >= free[k]:
+            free[k] = end = start + len(t)
+            if not any(covered[start:end]):
+                covered[start:end] = b"\1" * len(t)
+                out.append((start, end, t))
+    return out
+
 
-    return F.transform(names, one)
+def _with_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = []
+        for text, terms, every in zip(*(batch.column(c) for c in ("text", "_terms", "_every"))):
+            words = terms.as_py() if text.is_valid else None
+            taken = [(x["start"], x["end"]) for x in every.as_py() or ()] if words else []
+            found.append([{"start": a, "end": b, "text": t} for a, b, t in places_in(text.as_py(), words, taken)] if words else [])
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("text", pa.string())]))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], names=[*batch.schema.names, "_again"])
 
 
-def names_repeated(text: Column, names: Column) -> Column:
-    """Further places of known names: the last two characters of longer ones, names of two as they are; places that overlap known or earlier ones are left out."""
-    term = F.transform(names, lambda x: strip(x["text"]))
-    terms = F.array_sort(F.array_distinct(F.transform(F.filter(term, lambda x: F.length(x) >= 2), lambda x: F.right(x, F.lit(2)))))
-    places = F.flatten(F.transform(terms, lambda t: spans(text, t)))  # letters only: a term is its own pattern
+_SPAN = StructType([StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("text", StringType())])
 
-    def step(kept: Column, x: Column) -> Column:
-        clash = F.exists(F.concat(names, kept), lambda y: F.greatest(x["start"], y["start"]) < F.least(x["end"], y["end"]))
-        return F.when(clash, kept).otherwise(F.concat(kept, F.array(x)))
 
-    return F.aggregate(places, F.array().cast(SPANS), step)
+def with_places(rows: DataFrame) -> DataFrame:
+    """rows (text, _terms, _every, ..) with _again: places of the terms in the text that overlap no entity of _every, by places_in."""
+    return rows.mapInArrow(_with_places, StructType([*rows.schema.fields, StructField("_again", ArrayType(_SPAN))]))
 
 
 def names_after_label_blocks(units: DataFrame) -> DataFrame:

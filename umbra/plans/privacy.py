@@ -9,9 +9,8 @@ from ..operators import detect as D
 from ..sources.derived import as_sql, view
 
 _FREE = ("p_em", "p_ip", "p_pp")
-# An engine without look-around sees every separator twice, so that neighbours don't share one.
-_DOUBLED = "regexp_replace({0}, '([^0-9.])', '\\1\\1', 'g')"
-_IPS = f"list_filter(regexp_extract_all({_DOUBLED.format('text')}, '(?:^|[^0-9.])([0-9]{{1,3}}\\.[0-9]{{1,3}}\\.[0-9]{{1,3}}\\.[0-9]{{1,3}})(?:$|[^0-9.])', 1), lambda x: len(list_filter(string_split(x, '.'), lambda o: cast(o as int) > 255)) = 0)"
+# Written out apart from the rules: longer runs of digits are put out of the way first, so that no number is cut.
+_IPS = "list_filter(regexp_extract_all(regexp_replace(text, '[0-9]{4,}', 'x', 'g'), '[0-9]{1,3}(?:\\.[0-9]{1,3}){3}'), lambda x: len(list_filter(string_split(x, '.'), lambda o: cast(o as int) > 255)) = 0)"
 _FOUND = {
     "EM": f"regexp_extract_all(text, '[a-zA-Z0-9][a-zA-Z0-9._+-]*@[a-zA-Z0-9][a-zA-Z0-9.-]*\\.[a-zA-Z]{{2,}}')",
     "IP": _IPS,
@@ -61,12 +60,23 @@ def _masked_documents(spark, d):
 
 _STARRED = f"select doc_id, array_to_string(list_transform(list_zip(string_split_regex(text, '{rules.EMAIL}'), regexp_extract_all(text, '{rules.EMAIL}')), lambda x: concat(x[1], repeat('*', coalesce(len(x[2]), 0)))), '') as text from documents"
 
-_NAMED = ("이름: 철수민 그리고 수민", "성명: 박철\n박철이 왔다 철수", "Name: Kim 은 im", "주소: 서울", "이름은 김영희, 영희 영희")
 
+def _name_units(spark, d):
+    """Units with names in a text and in what a model is said to have found: the text told, where there is one."""
+    at = F.expr("instr(text, told) - 1")
+    span = F.struct(F.lit("p_nm").alias("label"), at.alias("start"), (at + F.length("told")).alias("end"), F.col("told").alias("text"), F.lit(0.8).alias("confidence"))
+    return view(spark, d, "name_units").withColumn("spans", F.when(F.col("told") != "", F.array(span)))
 
-def _names(spark, make):
-    text, rows = F.col("txt"), spark.createDataFrame(list(enumerate(_NAMED)), "id long, txt string")
-    return rows.select("id", F.array_join(F.transform(make(text), lambda x: F.concat_ws(":", x["start"], x["end"], x["text"])), " ").alias("found"))
+
+def _in_units(spark, d):
+    rows = D.detected_in_units(_name_units(spark, d), "spans").select("doc_id", "ord", F.explode("found").alias("x"))
+    return rows.select("doc_id", "ord", F.col("x.label").alias("label"), F.col("x.start").alias("s"), F.col("x.end").alias("e"), F.col("x.text").alias("found"), F.col("x.confidence").alias("confidence"), F.coalesce("x.method", F.lit("")).alias("method"))
+
+
+def _stretched_names(spark, d):
+    """Names of each unit after they were made longer."""
+    rows = _name_units(spark, d).select("doc_id", "ord", F.explode(D.lengthened(F.col("text"), D.united(F.array().cast(D.ENTITIES), D.names_by_context(F.col("text")), F.col("spans")))).alias("x"))
+    return rows.select("doc_id", "ord", F.col("x.start").alias("s"), F.col("x.end").alias("e"), F.col("x.text").alias("found"))
 
 
 def _form_lines(spark, d):
@@ -80,8 +90,8 @@ def _mixed(spark, d, column, found, *more):
 
 
 def _chained(spark, d, step):
-    rows = view(spark, d, "mixed_form").withColumn("txt", F.concat_ws("\n", "mail", "place"))
-    return rows.select("doc_id", F.explode(step(F.col("txt"))).alias("x")).select("doc_id", F.col("x.label").alias("label"), F.col("x.start").alias("s"), F.col("x.end").alias("e"), F.col("x.text").alias("found"))
+    rows = step(view(spark, d, "mixed_form").select("doc_id", F.concat_ws("\n", "mail", "place").alias("text"))).select("doc_id", F.explode("found").alias("x"))
+    return rows.select("doc_id", F.col("x.label").alias("label"), F.col("x.start").alias("s"), F.col("x.end").alias("e"), F.col("x.text").alias("found"))
 
 
 def _known_names(spark, d):
@@ -116,7 +126,7 @@ QUERIES = {
     "pii_address_entities": lambda s, d: _mixed(s, d, "place", _DISTINCT_ADDRESSES),
     "addresses_extended": lambda s, d: _mixed(s, d, "place", lambda t: D.addresses_extended(t, _DISTINCT_ADDRESSES(t))),
     "entities_refined": lambda s, d: _mixed(s, d, "place", lambda t: D.refined(D.addresses_extended(t, _DISTINCT_ADDRESSES(t)))),
-    "pii_detect_all": lambda s, d: _chained(s, d, D.found_in),
+    "pii_detect_all": lambda s, d: _chained(s, d, lambda rows: rows.withColumn("found", D.found_in(F.col("text")))),
     "pii_chain": lambda s, d: _chained(s, d, D.detected),
     "names_known_before": _known_names,
     "flagship_file_scan": _flagship,
@@ -133,8 +143,10 @@ QUERIES = {
     "mask_documents": _masked_documents,
     "mask_lines": lambda s, d: D.mask_lines(view(s, d, "kr_form"), ("p_em", "p_rrn")),
     "names_by_context": lambda s, d: view(s, d, "kr_form").select("doc_id", F.explode(D.names_by_context(F.col("text"))).alias("x")).select("doc_id", F.col("x.start").alias("at"), F.col("x.text").alias("name")),
-    "names_lengthened": lambda s, d: _names(s, lambda t: D.lengthened(t, D.names_by_context(t))),
-    "names_repeated": lambda s, d: _names(s, lambda t: D.names_repeated(t, D.names_by_context(t))),
+    "names_lengthened": _stretched_names,
+    "names_repeated": lambda s, d: _in_units(s, d).where("confidence = 0.9").drop("label", "confidence", "method"),
+    "pii_units": _in_units,
+    "phone_methods": lambda s, d: _in_units(s, d).where("label = 'p_ph'").groupBy("method").agg(F.count("*").alias("n")),
     "names_after_label_blocks": lambda s, d: D.names_after_label_blocks(_form_lines(s, d)),
     "greedy_spans": lambda s, d: D.greedy_spans(view(s, d, "spans_regex")),
     "confidence_filter": lambda s, d: D.confident(view(s, d, "spans_ner")).select("unit", "ord", "label"),
@@ -148,6 +160,26 @@ def _both(places: str) -> str:
     return f"{mails} union all select doc_id, 'p_add', cast(s + len(mail) + 1 as int), cast(e + len(mail) + 1 as int), found from ({places}) join (select doc_id as d, mail from {as_sql('mixed_form')}) on doc_id = d"
 
 
+# Names, phones, addresses of the units with names, told by what each kind of unit is known to hold; places of known names by their last two characters.
+_AT = "cast(strpos(text, {0}) - 1 as int) as s, cast(strpos(text, {0}) - 1 + len({0}) as int) as e, {0} as found"
+_UNIT_ROWS = f"select *, regexp_extract(text, '(?:이름은 |성명: )([가-힣]{{2,4}})', 1) as n from {as_sql('name_units')}"
+_UNIT_NAMES = f"""select doc_id, ord, {_AT.format("x")} from (select *, n as x from ({_UNIT_ROWS}) where n <> '' union all select *, 'Kim' from ({_UNIT_ROWS}) where ord = 3 union all select *, '남궁민' from ({_UNIT_ROWS}) where ord = 4)"""
+_UNIT_PLACES = f"""with u as materialized ({_UNIT_ROWS}), names as materialized ({_UNIT_NAMES}),
+    phones as (select doc_id, ord, text, unnest([concat('010-1234-', 1000 + k % 9000), '02-345-6789', '070-345-6789', concat('0101234', 1000 + k % 9000)]) as x, unnest(['regex-mobile', 'regex-landline', 'regex-general', 'again']) as method from u where ord = 6),
+    ips as (select doc_id, ord, text, unnest(list_filter([concat('10.0.', k % 300, '.7'), concat(k % 9, '.1.2.3'), concat('1.2.3.', k)], lambda x: cast(string_split(x, '.')[3] as int) < 256 and cast(string_split(x, '.')[4] as int) < 256)) as x from u where ord = 5),
+    places as (select doc_id, ord, text, unnest([concat('서울특별시 강남구 테헤란로 ', k % 90 + 1), concat('강남구 테헤란로 ', k % 90 + 1)]) as x from u where ord = 2 union all select doc_id, ord, text, concat('강남구 수민로 ', k % 90 + 1) from u where ord = 7),
+    found as materialized (
+        select doc_id, ord, 'p_nm' as label, s, e, found, case when ord = 4 then 0.8 else 0.85 end::double as confidence, case when ord = 4 then 'koelectra' else 'regex_context' end as method from names
+        union all select doc_id, ord, 'p_ph', {_AT.format("x")}, 1.0, method from phones where method <> 'again'
+        union all select doc_id, ord, 'p_ip', {_AT.format("x")}, 1.0, 'regex' from ips
+        union all select distinct doc_id, ord, 'p_add', {_AT.format("x")}, 1.0, 'regex' from places),
+    terms as (select doc_id, right(found, 2) as term, min(ord) as since from names group by 1, 2),
+    twos as (select doc_id, ord, i as s, i + 1 as e, substr(text, i, 2) as found from (select *, unnest(range(1, len(text))) as i from u)),
+    again as materialized (
+        select t.doc_id, t.ord, cast(t.s - 1 as int) as s, cast(t.e as int) as e, t.found from twos t join terms x on x.doc_id = t.doc_id and x.term = t.found and x.since <= t.ord
+        where not exists (select 1 from found f where f.doc_id = t.doc_id and f.ord = t.ord and f.s < t.e and t.s - 1 < f.e))"""
+
+
 ORACLES = {
     "pii_email_entities": _MAILS,
     "pii_address_entities": f"select doc_id, s, e, found from ({_PLACES})",
@@ -170,8 +202,10 @@ ORACLES = {
     "mask_documents": _STARRED,
     "mask_lines": f"select doc_id, regexp_replace(regexp_replace(text, '[0-9]{{6}}-[1-4][0-9]{{6}}', '**************'), 'user[0-9]+@example\\.com', repeat('*', len(regexp_extract(text, 'user[0-9]+@example\\.com')))) as text from {as_sql('kr_form')}",
     "names_by_context": f"select doc_id, cast(strpos(text, n) - 1 as int) as at, n as name from (select doc_id, text, unnest(regexp_extract_all(text, '(?:이름|성명|성함)[은는이가\\s]*[:\\s]\\s*([가-힣]{{2,4}})(?:[이가은는을를]|\\s|[.,]|$)', 1)) as n from {as_sql('kr_form')})",
-    "names_lengthened": "select * from (values (0, '4:7:철수민'), (1, '4:6:박철'), (2, '6:9:Kim'), (3, ''), (4, '4:7:김영희')) as t(id, found)",
-    "names_repeated": "select * from (values (0, '12:14:수민'), (1, '7:9:박철'), (2, '12:14:im'), (3, ''), (4, '9:11:영희 12:14:영희')) as t(id, found)",
+    "names_lengthened": f"select doc_id, ord, s, e, found from ({_UNIT_NAMES})",
+    "names_repeated": f"{_UNIT_PLACES} select doc_id, ord, s, e, found from again",
+    "pii_units": f"{_UNIT_PLACES} select * from found union all select doc_id, ord, 'p_nm', s, e, found, 0.9::double, '' from again",
+    "phone_methods": f"{_UNIT_PLACES} select method, count(*) as n from found where label = 'p_ph' group by 1",
     "names_after_label_blocks": f"""with u as (select doc_id, unnest(range(len(l))) as ord, unnest(l) as text from (select doc_id, string_split(replace(text, ': ', chr(10)), chr(10)) as l from {as_sql('kr_form')})),
         b as (select *, lag(text) over (partition by doc_id order by ord) as b from u)
         select doc_id, cast(ord as int) as ord, text from b where len(b) < 20 and regexp_matches(b, '성명|이름') and regexp_matches(text, '^[가-힣]{{2,4}}$') and not regexp_matches(text, '성명|생년월일|주소|연락처|이메일|학점|지원분야|경력여부')""",

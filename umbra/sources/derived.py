@@ -21,6 +21,10 @@ VIEWS = {
         when 3 then concat('004', lpad(cast(c_custkey as string), 9, '0')) when 4 then concat('M', lpad(cast(c_custkey as string), 8, '0'))
         when 5 then concat('10.0.', cast(c_custkey % 256 as string), '.7') when 6 then concat('2024-', lpad(cast(1 + c_custkey % 12 as string), 2, '0'), '-15')
         when 7 then case when c_custkey % 2 = 0 then '김*수' else '김철수' end else md5(cast(c_custkey as string)) end as value from {{customer}}""",
+    "name_units": """select floor(k / 8) as doc_id, k % 8 as ord, k, case k % 8 when 0 then concat('성명: ', n, ', 담당') when 1 then concat(g, '가 왔다. ', g, '와 ', n, '의 글') when 2 then concat('이름은 ', n, ' 주소: 서울특별시 강남구 테헤란로 ', k % 90 + 1)
+        when 3 then concat('Name: Kim', k % 10, ' 그리고 수민, 철수') when 4 then concat('담당 남궁민 과장, 궁민과 ', g) when 5 then concat('서버 10.0.', k % 300, '.7. 그리고 ', k % 9, '.1.2.3.4 or 1.2.3.', k) when 6 then concat('전화 010-1234-', 1000 + k % 9000, ', 02-345-6789, 070-345-6789 또는 0101234', 1000 + k % 9000, ' ', g)
+        else concat('강남구 수민로 ', k % 90 + 1, ', 영희를 봤다. 성명: ', n, '.') end as text,
+        case when k % 8 = 4 then '남궁' else '' end as told from (select c_custkey as k, case c_custkey % 5 when 0 then '김철수' when 1 then '이영희' when 2 then '박민수' when 3 then '최수민' else '강희' end as n, case c_custkey % 5 when 0 then '철수' when 1 then '영희' when 2 then '민수' when 3 then '수민' else '강희' end as g from {customer})""",
     "mixed_form": """select c_custkey as doc_id, concat(case c_custkey % 6 when 0 then '메일 ' when 1 then 'E-mail: ' else '' end,
         case c_custkey % 8 when 0 then concat('user', c_custkey, '@example.com') when 1 then concat('a.b', c_custkey, '@examplecom') when 2 then concat('kim', c_custkey, '@naverco.kr')
         when 3 then concat('u', c_custkey, '@com') when 4 then concat('u_', c_custkey, '@hostnet') when 5 then concat('v', c_custkey, '@siteorg, x') when 6 then concat('w', c_custkey, '@mailkr') else 'none @ all' end) as mail,
