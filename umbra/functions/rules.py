@@ -152,3 +152,13 @@ DATE_WORDS = ("시행", "개정", "공포")
 
 # What a video scan reports.
 VIDEO_FOUND, VIDEO_CLEAN = "개인정보가 탐지되었습니다. (얼굴: %d개, 오디오: %d개, 화면 텍스트 PII: %d개)", "개인정보가 탐지되지 않았습니다."
+
+# Dialogues: what stands in for missing parts of a prompt, and answers that need no grounds.
+TABLES_SILENT = ("DB 조회를 수행할 수 없습니다.", "DB 조회 결과 없음")
+TABLES_FAILED = "DB 조회 중 오류가 발생했습니다"
+TABLES_SAY_NOTHING = ("DB 조회를 수행할 수 없습니다", "DB 조회 결과 없음", "DB 조회 중 오류가 발생했습니다")
+TABLES_SAY = "[DB 조회 성공] "
+NO_HISTORY = "대화 이력 없음"
+NO_DATA = ("자료 없음", "찾을 수 없", "정보 없", "보안상의 이유")
+ANSWER_FAILED = "죄송합니다. 답변 생성 중 오류가 발생했습니다."
+WARNING = "⚠️ [답변 품질 경고] "

@@ -172,6 +172,17 @@ def relevance_of(reply: Column) -> Column:
     return F.struct(score.alias("score"), relevant.alias("relevant"))
 
 
+def grounding_of(reply: Column) -> Column:
+    """(score, grounded) of a reply on an answer's grounds: the first line on them with a number as score, or with a yes, decides; null reply: no score."""
+    about = lambda x, what: x.contains("근거") & x.contains(what)
+    scored = lambda x: about(x, "점수") & x.rlike("[0-9]")
+    yes = lambda x: about(x, "여부") & (F.lower(x).contains("yes") | x.contains("예") | x.contains("있") | x.contains("충분"))
+    line = F.get(F.filter(F.split(reply, "\n"), lambda x: scored(x) | yes(x)), F.lit(0))
+    score = F.when(reply.isNotNull(), F.when(scored(line), _number(line)).otherwise(0.0))
+    grounded = F.coalesce((yes(line) & ~scored(line)) | (score >= rules.GROUNDING), F.lit(False))
+    return F.struct(score.alias("score"), grounded.alias("grounded"))
+
+
 def aspects_of(reply: Column) -> Column:
     """(accuracy, completeness, confidence): the number of the last line for each; a line counts for the first aspect it names."""
     lines, out, before = F.split(reply, "\n"), [], []
