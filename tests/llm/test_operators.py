@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 from html.parser import HTMLParser
@@ -14,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from umbra.llm import components as components_module, near_dedup, ppm, queries as Q, substring_dedup, url_filter
+from umbra.llm import components as components_module, extract, near_dedup, ppm, queries as Q, substring_dedup, url_filter
 from umbra.llm.common import held_out
 from umbra.llm.decontaminate import contained_items
 from umbra.llm.extract import main_texts
@@ -516,6 +517,19 @@ class Article(HTMLParser):
         self.blocks[-1] += data if self.inside else ""
 
 
+@pytest.mark.parametrize("tag", ["div", "ul", "span", "div class='menu x'", "li"])
+def test_deep_pages_take_memory_in_proportion(tag):
+    """200,000 nested elements with text in each: a fixed number of bytes for each, whatever the depth."""
+    n = 200_000
+    tracemalloc.start()
+    blocks = extract.read(f"<{tag}>w " * n + "</b>" * n + "<p>end</p>" * 100)
+    text = extract.text_of(blocks, {})
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 600 << 20
+    assert ("menu" in tag) == (blocks == []) == (text == "")
+
+
 def test_main_texts_of_all_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     want = {r.page_id: "\n\n".join(x for x in (" ".join(b.split()) for b in Article(r.html or "").blocks) if x) for r in pages.collect()}

@@ -21,14 +21,17 @@ rows. Winners are broadcast only when counted to be few, else joined by a shuffl
 Character references are decoded, white space inside a block becomes one space, blocks
 are trimmed, empty ones dropped, and the rest joined by an empty line. Null html is empty
 and gives empty text; broken or cut markup is read as far as it goes. A null url has the
-empty host. Further columns are ignored.
+empty host. Further columns are ignored. Paths of more than PATH characters go on from a digest
+of what was, so that a page nested to any depth takes memory and time in proportion to its length.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -67,19 +70,40 @@ NO_DOUBT, DOUBT, SOME_DOUBT = 0, 1, 2  # some: a name that speaks for dropping b
 
 
 class Element:
-    __slots__ = ("tag", "path", "parent", "away", "doubt", "weight", "score")
+    """An open element: what it inherits, and the nearest elements of some kinds from itself upwards, so that no question walks a deep page."""
+
+    __slots__ = ("tag", "path", "parent", "away", "doubt", "weight", "score", "depth", "block", "container", "stop", "doubtful", "sectioned", "chosen", "held")
 
     def __init__(self, tag: str, path: str, parent: "Element | None", away: bool, weight: float, doubt: int = NO_DOUBT):
         self.tag, self.path, self.parent, self.away, self.weight, self.score, self.doubt = tag, path, parent, away, weight, 0.0, doubt
+        self.depth = parent.depth + 1 if parent else 0
+        self.block = self if tag in BLOCK or not parent else parent.block
+        self.container = self if tag in CONTAINER else parent and parent.container
+        self.stop = self if tag == "p" or tag in CONTAINER else parent and parent.stop  # where an open paragraph is looked for no further
+        self.doubtful = self if doubt else parent and parent.doubtful
+        self.sectioned = tag in ("article", "main", "section") or bool(parent and parent.sectioned)
+        self.chosen: bool | None = None
+        self.held = [0, 0, 0]
+
+
+PATH, LABEL = 512, 128  # characters: longer paths and labels go on from a digest of what was
+
+
+def _short(text: str, most: int) -> str:
+    return text if len(text) <= most else "#" + hashlib.blake2b(text.encode(errors="replace"), digest_size=16).hexdigest()
+
+
+def _below(parent: Element, label: str) -> str:
+    return f"{_short(parent.path, PATH)}>{_short(label, LABEL)}" if parent.path else _short(label, LABEL)
 
 
 def _attributes(raw: str) -> dict[str, str]:
     return {k.lower(): entities.unescape(v.strip("\"'")) for k, v in _NAMED.findall(raw)}
 
 
-def _element(tag: str, raw: str, parent: Element | None) -> Element:
+def _element(tag: str, raw: str, parent: Element) -> Element:
     label, weight, doubt = tag, 1.5 if tag in ("article", "main") else 1.0, NO_DOUBT
-    away = tag in AWAY_TAGS or bool(parent and parent.away)
+    away = tag in AWAY_TAGS or parent.away
     if raw.strip():
         a = _attributes(raw)
         names = a.get("class", "").lower()
@@ -97,34 +121,38 @@ def _element(tag: str, raw: str, parent: Element | None) -> Element:
         style = a.get("style", "").replace(" ", "").lower()
         away = away or a.get("role", "").lower() in AWAY_ROLES or "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style
     if tag == "header":
-        above = parent
-        while above and above.tag not in ("article", "main", "section"):
-            above = above.parent
-        away = away or above is None
-    return Element(tag, f"{parent.path}>{label}" if parent else label, parent, away, weight, doubt)
-
-
-def _without_doubtful(blocks: list[tuple[str, int, Element]]) -> list[tuple[str, int, Element]]:
-    """blocks less those in elements of doubtful names, unless these hold most of the prose or look like content."""
-    page, held = 0, {}
-    doubtful = [[e for e in _chain(owner) if e.doubt] for _, _, owner in blocks]
-    for (text, links, _), above in zip(blocks, doubtful):
+        away = away or not parent.sectioned
+    return Element(tag, _below(parent, label), parent, away, weight, doubt)
+
+
+def _without_doubtful(blocks: list[tuple[str, int, Element]], doubtful: list[Element]) -> list[tuple[str, int, Element]]:
+    """blocks less those in elements of doubtful names (given as they were opened), unless these hold most of the prose or look like content."""
+    page = 0
+    for text, links, owner in blocks:
         prose = max(0, len(text) - 2 * links)
         page += prose
-        for e in above:
-            x = held.setdefault(e, [0, 0, 0])
-            x[0] += prose
-            x[1] += links
-            x[2] += len(text)
-    kept = {e for e, (prose, links, n) in held.items() if 2 * prose > page or (e.doubt == SOME_DOUBT and 5 * links <= n)}
-    return [b for b, above in zip(blocks, doubtful) if kept.issuperset(above)]
+        if owner.doubtful:
+            _add(owner.doubtful.held, (prose, links, len(text)))
+    for e in reversed(doubtful):  # inner ones first
+        if e.parent.doubtful:
+            _add(e.parent.doubtful.held, e.held)
+    dropped = set()
+    for e in doubtful:
+        prose, links, n = e.held
+        if not (2 * prose > page or (e.doubt == SOME_DOUBT and 5 * links <= n)) or e.parent.doubtful in dropped:
+            dropped.add(e)
+    return [b for b in blocks if b[2].doubtful not in dropped]
+
+
+def _add(total: list[int], more: Iterable[int]) -> None:
+    total[:] = (a + b for a, b in zip(total, more))
 
 
 def read(page: str) -> list[tuple[str, int, Element]]:
     """The page's blocks outside of dropped elements, in order: text, characters in links, innermost element."""
     root = Element("", "", None, False, 1.0)
-    stack, blocks, text = [root], [], []
-    owner, links, in_link, at, n, doubts = root, 0, 0, 0, len(page), False
+    stack, blocks, text, open_tags, doubtful = [root], [], [], Counter(), []
+    owner, links, in_link, at, n = root, 0, 0, 0, len(page)
 
     def close_block() -> None:
         nonlocal links
@@ -143,14 +171,16 @@ def read(page: str) -> list[tuple[str, int, Element]]:
         if "&" in piece:
             piece = entities.unescape(piece)
         if not text:
-            owner = next(e for e in reversed(stack) if e.tag in BLOCK or e is root)
+            owner = top.block
         text.append(piece)
         if in_link:
             links += len(piece.strip())
 
     def pop_to(k: int) -> None:
         nonlocal in_link
-        in_link -= sum(e.tag == "a" for e in stack[k:])
+        gone = Counter(e.tag for e in stack[k:])
+        in_link -= gone["a"]
+        open_tags.subtract(gone)
         del stack[k:]
 
     while at < n:
@@ -169,9 +199,8 @@ def read(page: str) -> list[tuple[str, int, Element]]:
         if m[1]:
             if tag in BLOCK:
                 close_block()
-            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
-            if k:
-                pop_to(k)
+            if open_tags[tag]:
+                pop_to(next(k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag))
             continue
         if tag == "br":
             add(" ")
@@ -183,10 +212,10 @@ def read(page: str) -> list[tuple[str, int, Element]]:
         if tag in BLOCK:
             close_block()
             if tag in ENDS_PARAGRAPH:
-                k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == "p" or stack[k].tag in CONTAINER), 0)
-                if k and stack[k].tag == "p":
-                    pop_to(k)
-            if tag in SAME_ENDS:
+                stop = stack[-1].stop
+                if stop and stop.tag == "p":
+                    pop_to(stop.depth)
+            if tag in SAME_ENDS and any(open_tags[t] for t in SAME_ENDS[tag]):
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k].tag in STOPS[tag]:
                         break
@@ -195,20 +224,40 @@ def read(page: str) -> list[tuple[str, int, Element]]:
                         break
         if tag in VOID or m[3].endswith("/"):
             continue
-        if stack[-1].away and tag not in BLOCK and tag != "a":  # only its end matters
-            stack.append(Element(tag, stack[-1].path, stack[-1], True, 1.0))
-            continue
-        stack.append(_element(tag, m[3], stack[-1] if stack[-1] is not root else None) if tag in BLOCK or m[3] else Element(tag, stack[-1].path, stack[-1], stack[-1].away or tag in AWAY_TAGS, 1.0))
+        top = stack[-1]
+        if top.away and tag not in BLOCK and tag != "a":  # only its end matters
+            new = Element(tag, top.path, top, True, 1.0)
+        elif tag in BLOCK or m[3]:
+            new = _element(tag, m[3], top)
+        else:
+            new = Element(tag, top.path, top, top.away or tag in AWAY_TAGS, 1.0)
+        stack.append(new)
+        open_tags[tag] += 1
         in_link += tag == "a"
-        doubts = doubts or stack[-1].doubt
+        if new.doubt:
+            doubtful.append(new)
     close_block()
-    return _without_doubtful(blocks) if doubts else blocks
+    return _without_doubtful(blocks, doubtful) if doubtful else blocks
 
 
-def _chain(e: Element | None) -> Iterator[Element]:
-    while e is not None and e.tag:
+def _containers(e: Element | None) -> Iterator[Element]:
+    """The containers around an element, the innermost first."""
+    e = e and e.container
+    while e:
         yield e
+        e = e.parent and e.parent.container
+
+
+def _is_chosen(e: Element, chosen: set[str]) -> bool:
+    """Whether an element or one around it has a chosen path; what is found out is noted on the way."""
+    way = []
+    while e.tag and e.chosen is None and e.path not in chosen:
+        way.append(e)
         e = e.parent
+    found = bool(e.tag) and e.chosen is not False
+    for x in way:
+        x.chosen = found
+    return found
 
 
 def scores(blocks: list[tuple[str, int, Element]]) -> dict[str, float]:
@@ -216,7 +265,7 @@ def scores(blocks: list[tuple[str, int, Element]]) -> dict[str, float]:
     scored: dict[int, Element] = {}
     for text, links, owner in blocks:
         value = max(0, len(text) - 2 * links)
-        for share, e in zip((1.0, 0.5, 0.25), (e for e in _chain(owner) if e.tag in CONTAINER)):
+        for share, e in zip((1.0, 0.5, 0.25), _containers(owner)):
             e.score += share * value * e.weight
             scored[id(e)] = e
     paths: dict[str, float] = {}
@@ -239,7 +288,7 @@ def text_of(blocks: list[tuple[str, int, Element]], votes: dict[str, int]) -> st
     if taken is None or own[taken] < BESIDE * own[best]:
         taken = best
     chosen = {taken} | {p for p, v in votes.items() if _above(p) == _above(taken) and v >= BESIDE * votes.get(taken, v)}
-    return "\n\n".join(t for t, _, owner in blocks if any(e.path in chosen for e in _chain(owner)))
+    return "\n\n".join(t for t, _, owner in blocks if _is_chosen(owner, chosen))
 
 
 def _votes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
