@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..operators import cells as V
 from ..operators import retrieve as R
 from ..sources.derived import view
+from ..sources.shared import folder
 
 
 def _knn(spark, d, k):
@@ -13,6 +17,14 @@ def _knn(spark, d, k):
     return R.nearest(rows.where("id % 100 = 0").select(F.col("id").alias("q_id"), F.col("embedding").alias("q_embedding")), rows, k)
 
 
+def _cells(spark, d, probes):
+    """The index of all vectors, in a folder of its own; probes: as measured, or all cells."""
+    rows = view(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    index = V.build(rows, f"{folder(spark)}/cells-{uuid.uuid4().hex}", 64, 3, 0.9)
+    queries = rows.where("id % 100 = 0").select(F.col("id").alias("q_id"), F.col("embedding").alias("q_embedding"))
+    return index.nearest(queries, 3, len(index.centres) if probes else None)
+
+
 def _text(spark, d, find=R.matching):
     rows = view(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
     first = F.coalesce(F.regexp_extract(F.lower("text"), r"[\p{L}\p{N}_]+", 0), F.lit(""))
@@ -40,6 +52,8 @@ def _filtered(spark, d):
 QUERIES = {
     "knn_top3": lambda s, d: _knn(s, d, 3),
     "knn_filtered": _filtered,
+    "knn_in_cells": lambda s, d: _cells(s, d, False),
+    "knn_all_cells": lambda s, d: _cells(s, d, True),
     "fulltext_match": _text,
     "fulltext_all_words": _passages,
     "fulltext_ranked": lambda s, d: _passages(s, d, R.ranked).withColumn("text_rank", F.round("text_rank", 6)),
@@ -78,6 +92,7 @@ ORACLES = {
     "fulltext_ranked": f"select q_id, id, n_hits, round(text_rank, 6) as text_rank from ({_covers('select item_id as q_id, text as t from benchmark')})",
     "hybrid_whole_texts": f"select q_id, id, round(score, 6) as score, rank from ({_TOP(_hybrid(_covers('select doc_id as q_id, text as t from documents where doc_id % 100 = 0')), 'score', 5)})",
     "knn_top3": _TOP(_PAIRS, "similarity", 3),
+    "knn_all_cells": _TOP(_PAIRS, "similarity", 3),
     "knn_filtered": _TOP(_PAIRS + " and c.label = 1", "similarity", 3),
     "fulltext_match": _MATCH,
     "hybrid_search": _TOP(_hybrid(f"select q_id, id, n_hits * 0.1::double as text_rank from ({_MATCH})"), "score", 5),

@@ -4,15 +4,23 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df from a checkpoint in spark.checkpoint.dir; in one process and without that setting, in a temporary folder."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        path = spark.conf.get("spark.checkpoint.dir", None)
-        if not path and not spark.sparkContext.master.startswith("local"):
+def folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; in one process and without that setting, a temporary folder that it is set to."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(path or f"file://{tempfile.mkdtemp(prefix='umbra-')}")
+        path = f"file://{tempfile.mkdtemp(prefix='umbra-')}"
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df from a checkpoint in the shared folder."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder(df.sparkSession))
     return df.checkpoint()
