@@ -46,6 +46,27 @@ def test_places_of_names_in_one_pass():
         assert D.places_in(text, terms, taken) == kept
 
 
+def test_overlaps_by_a_sweep(spark):
+    rng = random.Random(8)
+    some = lambda n: [(rng.randrange(6), a, a + rng.randrange(0, 12)) for a in (rng.randrange(200) for _ in range(n))]
+    left, right = [*some(400), (None, 1, 5), (1, None, 5), (7, 1, 2)], [*some(60), (None, 0, 9), (2, None, 9), (3, 4, None)]
+    a, b = (spark.createDataFrame(x, "unit long, s int, e int") for x in (left, right))
+    clash = lambda x, y: None not in (*x, *y) and x[0] == y[0] and x[2] > y[1] and y[2] > x[1]
+    assert sorted(map(str, (tuple(r) for r in D.not_overlapping(a.withColumn("_end", F.lit("?")).drop("_end"), b).collect()))) == sorted(str(x) for x in left if not any(clash(x, y) for y in right))
+    kept = []
+    for x in sorted(r for r in left if None not in r):
+        if not any(clash(x, y) for y in kept):
+            kept.append(x)
+    got = sorted(tuple(r) for r in D.greedy_spans(a.where("unit is not null and s is not null")).collect())
+    assert got == sorted(kept)
+
+
+def test_a_unit_with_very_many_spans(spark):
+    hot = spark.range(100_000).selectExpr("1L as unit", "cast(id * 3 as int) as s", "cast(id * 3 + 4 as int) as e")
+    assert D.not_overlapping(hot, hot.where("s % 30 = 0")).count() == 100_000 - 10_000 - 10_000 - 9_999
+    assert D.greedy_spans(hot).count() == 50_000
+
+
 def test_names_known_to_units(spark):
     rows = [(1, 1, "성명: 김철수 님", None), (1, 2, "철수가 왔다", None), (1, 2, None, None), (2, 1, "철수가 왔다", None), (None, 1, "성명: 박민수", None), (None, 2, "민수", None), (1, 0, "철수", None), (3, 1, "남궁민은", [("p_nm", 0, 2, "남궁", 0.9), ("p_nm", 1, 3, "궁민", 0.9)])]
     df = spark.createDataFrame(rows, "doc_id long, ord int, text string, m array<struct<label:string,start:int,end:int,text:string,confidence:double>>")

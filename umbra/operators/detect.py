@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -246,9 +247,17 @@ def confident(spans_: DataFrame) -> DataFrame:
 
 
 def not_overlapping(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Rows of left that overlap no row of right in the same unit."""
-    r = right.select(F.col("unit").alias("_u"), F.col("s").alias("_s"), F.col("e").alias("_e"))
-    return left.join(r, (F.col("unit") == F.col("_u")) & (F.col("e") > F.col("_s")) & (F.col("_e") > F.col("s")), "left_anti")
+    """Rows of left (unit, s, e, ..) that overlap no row of right in the same unit; rows of left with a null unit, start or end overlap none.
+
+    A sweep over each unit, no pairs: a span overlaps another if the largest end among those that start before its own end lies behind its
+    start. One row of each side goes in, one comes out, however many spans a unit has.
+    """
+    sweep = W.partitionBy("_unit").orderBy("_at", "_side").rowsBetween(W.unboundedPreceding, W.currentRow)
+    none = F.lit(None)
+    rows = left.select(F.col("unit").alias("_unit"), F.col("e").alias("_at"), F.lit(0).alias("_side"), none.cast(right.schema["e"].dataType).alias("_end"), F.struct(*left.columns).alias("_row"))
+    other = right.where("unit is not null and s is not null and e is not null").select(F.col("unit").alias("_unit"), F.col("s").alias("_at"), F.lit(1).alias("_side"), F.col("e").alias("_end"), none.cast(rows.schema["_row"].dataType).alias("_row"))
+    swept = rows.unionByName(other).withColumn("_end", F.max("_end").over(sweep)).where("_side = 0")
+    return swept.where(F.col("_unit").isNull() | ~F.coalesce(F.col("_end") > F.col("_row.s"), F.lit(False))).select("_row.*")
 
 
 def bio_spans(tokens: DataFrame) -> DataFrame:
@@ -351,9 +360,16 @@ def names_after_label_blocks(units: DataFrame) -> DataFrame:
     return rows.where(F.col("_label") & bare.rlike("^[가-힣]{2,4}$") & ~bare.rlike("|".join(rules.NOT_NAMES))).select("doc_id", "ord", "text")
 
 
+def _disjoint(spans_: pd.DataFrame) -> pd.DataFrame:
+    kept, end = [], None
+    for i, (s, e) in enumerate(spans_[["s", "e"]].itertuples(index=False)):
+        if end is None or s >= end:
+            kept.append(i)
+            end = e
+    return spans_.iloc[kept]
+
+
 def greedy_spans(spans_: DataFrame) -> DataFrame:
-    """(unit, s, e): by start, spans that overlap none kept before."""
-    ordered = spans_.groupBy("unit").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("x"))  # spans of one unit
-    clash = lambda kept, x: F.exists(kept, lambda y: (x["e"] > y["s"]) & (y["e"] > x["s"]))
-    kept = F.aggregate("x", F.array().cast("array<struct<s:int,e:int>>"), lambda a, x: F.when(clash(a, x), a).otherwise(F.concat(a, F.array(x))))
-    return ordered.select("unit", F.inline(kept))
+    """(unit, s, e): by start, then end, spans that start at or behind the end of the last one kept; spans with a null or an end before their start are left out. Spans of one unit are one task, and one pass."""
+    rows = spans_.select("unit", "s", "e").where("s <= e")
+    return rows.groupBy("unit").applyInPandas(lambda x: _disjoint(x.sort_values(["s", "e"], kind="stable")), rows.schema)
