@@ -261,9 +261,9 @@ def contexts(docs: DataFrame, most: int = rules.CONTEXT_DOCS, chars: int = rules
 
 
 def prompt_columns(columns: DataFrame) -> DataFrame:
-    """(table_name, lines): `- table.column` for each column by position."""
+    """(table_schema, table_name, lines): `- table.column` for each column by position; equal names in two schemas are two tables."""
     line = F.concat(F.lit("- "), F.col("table_name"), F.lit("."), F.col("column_name"))
-    return columns.groupBy("table_name").agg(joined_in_order(F.col("ordinal_position"), line).alias("lines"))
+    return columns.groupBy("table_schema", "table_name").agg(joined_in_order(F.col("ordinal_position"), line).alias("lines"))
 
 
 def instruction(task: str, query: Column) -> Column:

@@ -62,6 +62,7 @@ QUERIES = {
     "reply_text": lambda s, d: _replies(s, d, txt=C.assistant_text),
     "reply_memory": lambda s, d: _replies(s, d, m=C.memory_of).where("m.facts is not null").select("conv_id", "turn", F.array_join("m.facts", ",").alias("facts"), F.array_join(F.col("m.entities")["law"], ",").alias("laws")),
     "reply_relevance": lambda s, d: _replies(s, d, r=C.relevance_of).select("conv_id", "turn", "r.*"),
+    "reply_grounding": lambda s, d: view(s, d, "replies").select("conv_id", "turn", C.grounding_of(F.replace("reply", F.lit("관련성"), F.lit("근거"))).alias("g")).select("conv_id", "turn", "g.*"),
     "reply_aspects": _aspects,
     "reply_data_lines": lambda s, d: _replies(s, d, data=C.data_of, stopped=C.agent_stopped),
     "question_secrets": lambda s, d: view(s, d, "conversations").select("conv_id", "turn", C.asks_for_secrets(F.concat("text", F.expr("case turn % 3 when 0 then ' my PassWord' when 1 then ' 사용자 목록' else '' end"))).alias("refused")),
@@ -69,7 +70,7 @@ QUERIES = {
     "state_reducers": _reducers,
     "memory_merged": _memory,
     "context_texts": _contexts,
-    "prompt_columns": lambda s, d: C.prompt_columns(view(s, d, "catalog_columns")),
+    "prompt_columns": lambda s, d: C.prompt_columns(view(s, d, "catalog_columns")).select("table_name", "lines"),
     "instructed_queries": lambda s, d: view(s, d, "benchmark").select("item_id", C.instruction("Find the law", F.col("text")).alias("query")),
     "pooled_vectors": _pooled,
     "rerank_fallback": lambda s, d: C.reranked(_ranked(s, d)).select("q_id", "rank", "place"),
@@ -94,6 +95,9 @@ ORACLES = {
     "reply_relevance": f"""with f as (select conv_id, turn, list_filter(string_split(reply, chr(10)), lambda x: {_SCORED} or {_YES})[1] as x from {_R}),
         g as (select conv_id, turn, x, case when {_SCORED} then greatest(0, least(1, cast(regexp_extract(x, '[0-9]+\\.?[0-9]*') as double))) else 0 end as score from f)
         select conv_id, turn, cast(score as double) as score, coalesce(score >= 0.6 or ({_YES} and not {_SCORED}), false) as relevant from g""",
+    "reply_grounding": f"""with l as (select conv_id, turn, string_split(replace(reply, '관련성', '근거'), chr(10)) as l from {_R}), f as (select conv_id, turn, list_filter(l, lambda x: contains(x, '근거') and ({_SCORED} or {_YES} or (contains(x, '여부') and contains(x, '충분'))))[1] as x from l),
+        g as (select conv_id, turn, x, case when {_SCORED} then greatest(0, least(1, cast(regexp_extract(x, '[0-9]+\\.?[0-9]*') as double))) else 0 end as score from f)
+        select conv_id, turn, cast(score as double) as score, coalesce(score >= 0.7 or ({_YES} and not {_SCORED}), false) as grounded from g""",
     "reply_aspects": f"select conv_id, turn, {_aspect(_ACC, 'false')} as accuracy, {_aspect(_COM, _ACC)} as completeness, {_aspect(_CON, _ACC + ' or ' + _COM)} as confidence from {_R}",
     "reply_data_lines": f"select conv_id, turn, case (conv_id + turn) % 8 when 7 then concat('ID: 5', chr(10), 'Status ok', chr(10), 'Name b') else reply end as data, contains(lower(reply), 'agent stopped due to iteration limit or time limit') as stopped from {_R}",
     "question_secrets": f"select conv_id, turn, turn % 3 < 2 or regexp_matches(lower(text), '비밀번호|password|pwd|passwd|secret|credential|token|api_key|users 테이블|users table|user 정보|사용자 정보|user list') as refused from conversations",
