@@ -92,7 +92,6 @@ ORACLES = {
         select o_orderkey as file, coalesce(a.n, 0) as n, round(coalesce(a.c, 0.0), 6) as avg_confidence, coalesce(ls.s, '') as labels, coalesce(ms.s, '') as methods from orders left join a on a.unit = o_orderkey left join ls on ls.unit = o_orderkey left join ms on ms.unit = o_orderkey""",
     "transcript_matches": _WANTED,
     "units_with_lists": f"select doc, ord, line as text, len(line) as n from {as_sql('dict_lines')} where ord % 2 = 0",
-    "faces_by_frame": lambda s, d: T.faces_by_frame(view(s, d, "frame_boxes"), (640, 480)),
     "frame_sampling": f"select * from (select id, x, y, least(w, 40 - x) as w, least(h, 30 - y) as h from {_B} where x >= 0 and y >= 0 and w > 0 and h > 0 and frame % 2 = 1) where w > 0 and h > 0",
     "image_conf_gate": f"select id from (select id, min(confidence) over (partition by video, frame) as m from {_B}) where m >= 0.3",
     "text_region_expand": f"select video, cast(f as int) as frame, count(*) as n from (select video, unnest(range(greatest(1, frame - 25), frame + 26)) as f from {_B} where w > 0 and h > 0) group by 1, 2",
