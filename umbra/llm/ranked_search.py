@@ -46,7 +46,7 @@ TERM = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _BREAK = re.compile(rb"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
 CUT = 1 << 22  # bytes of a text whose words are listed at once
 BLOCK_TERMS = 500_000  # words of the items that are worked on together
-LIST_ROWS = 32_768  # postings of one list in a partition
+LIST_ROWS = 8_192  # postings of one list in a partition
 RANGE_POSTINGS = 1_000_000  # postings of the rows of one range
 FEW_ROWS = 1_000_000
 SCALE, SATURATION = 1_000_000_000, 8
