@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import cells as V
+from ..operators import postings as P
 from ..operators import retrieve as R
 from ..sources.derived import view
 from ..sources.shared import folder
@@ -43,6 +44,17 @@ def _passages(spark, d, find=R.matching):
     return find(queries, view(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
+def _stored(spark, d):
+    """The word index of all documents, in a folder of its own."""
+    return P.build(view(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), f"{folder(spark)}/words-{uuid.uuid4().hex}")
+
+
+def _sentences(spark, d):
+    """Each sentence of each benchmark text as a query."""
+    rows = view(spark, d, "benchmark").select("item_id", F.posexplode(F.split("text", r"[.\n]")).alias("k", "q_text"))
+    return rows.select((F.col("item_id") * 10000 + F.col("k")).alias("q_id"), "q_text")
+
+
 def _filtered(spark, d):
     rows = view(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
     queries = rows.where("id % 100 = 0").select(F.col("id").alias("q_id"), F.col("embedding").alias("q_embedding"))
@@ -57,6 +69,8 @@ QUERIES = {
     "fulltext_match": _text,
     "fulltext_all_words": _passages,
     "fulltext_ranked": lambda s, d: _passages(s, d, R.ranked).withColumn("text_rank", F.round("text_rank", 6)),
+    "fulltext_indexed": lambda s, d: _passages(s, d, lambda q, _: _stored(s, d).ranked(q)).withColumn("text_rank", F.round("text_rank", 6)),
+    "fulltext_top": lambda s, d: _stored(s, d).top(_sentences(s, d), 3).withColumn("text_rank", F.round("text_rank", 6)),
     "hybrid_search": lambda s, d: R.hybrid(_knn(s, d, 10), _text(s, d, R.ranked), 5),
     "hybrid_whole_texts": lambda s, d: R.hybrid(_knn(s, d, 10), _whole(s, d), 5).withColumn("score", F.round("score", 6)),
     "dict_context": lambda s, d: R.first_seen(_knn(s, d, 3), "id", "q_id", "rank").select("id", "q_id", "rank"),
@@ -86,10 +100,12 @@ def _covers(queries: str) -> str:
         n as (select q_id, id, count(*) as n_hits from e group by 1, 2) select q_id, id, n_hits, text_rank from r join n using (q_id, id)"""
 
 
+_SENTENCES = "select item_id * 10000 + k as q_id, a[k + 1] as t from (select item_id, string_split_regex(text, '[.\\n]') as a, unnest(range(len(string_split_regex(text, '[.\\n]')))) as k from benchmark)"
 ORACLES = {
     "fulltext_all_words": """with w as (select doc_id as id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') as a from documents), q as (select item_id as q_id, list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) as a from benchmark)
         select q_id, id, cast(len(list_filter(w.a, lambda x: list_contains(q.a, x))) as bigint) as n_hits from w join q on list_has_all(w.a, q.a) where len(q.a) > 0""",
     "fulltext_ranked": f"select q_id, id, n_hits, round(text_rank, 6) as text_rank from ({_covers('select item_id as q_id, text as t from benchmark')})",
+    "fulltext_top": f"select q_id, id, n_hits, round(text_rank, 6) as text_rank, rank from ({_TOP(_covers(_SENTENCES), 'text_rank', 3)})",
     "hybrid_whole_texts": f"select q_id, id, round(score, 6) as score, rank from ({_TOP(_hybrid(_covers('select doc_id as q_id, text as t from documents where doc_id % 100 = 0')), 'score', 5)})",
     "knn_top3": _TOP(_PAIRS, "similarity", 3),
     "knn_all_cells": _TOP(_PAIRS, "similarity", 3),
@@ -99,3 +115,4 @@ ORACLES = {
     "dict_context": f"select id, q_id, rank from (select *, row_number() over (partition by id order by q_id, rank) as f from ({_TOP(_PAIRS, 'similarity', 3)})) where f = 1",
     "citations_distinct": "select distinct concat(p_brand, ' 제', p_partkey % 40, '조') as citation from part where p_partkey % 7 = 0",
 }
+ORACLES["fulltext_indexed"] = ORACLES["fulltext_ranked"]
