@@ -13,8 +13,9 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 
 from ..functions import rules
 from ..functions.text import SPANS, joined_in_order, masked, spans, strip
+from .along import Along, along
 
-
+CHARACTERS = 100_000  # in a piece of a unit of tokens
 SURE_SPANS = "array<struct<start:int,end:int,text:string,confidence:double,method:string>>"
 
 
@@ -261,12 +262,16 @@ def not_overlapping(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def bio_spans(tokens: DataFrame) -> DataFrame:
-    """(unit, s, e, label, confidence) of tagged token runs; one shuffle by unit serves the windows and the grouping."""
-    by = W.partitionBy("unit").orderBy("ord")
-    label, before = F.substring("tag", 3, 100), F.lag("tag").over(by)
-    opens = F.col("tag").startswith("B-") | (F.col("tag").startswith("I-") & (before.isNull() | (before == "O") | (F.substring(before, 3, 100) != label)))
-    rows = tokens.withColumns({"_opens": opens.cast("int"), "label": label})
-    rows = rows.withColumn("_span", F.sum("_opens").over(by)).where("tag <> 'O'")
+    """(unit, s, e, label, confidence) of tagged token runs. Starts don't fall along a unit's tokens, so they cut long units into pieces of CHARACTERS."""
+    label = F.substring("tag", 3, 100)
+
+    def run(rows: DataFrame, way: Along) -> DataFrame:
+        rows = way.before(rows, "_before", F.col("tag"))
+        before = F.col("_before")
+        opens = F.col("tag").startswith("B-") | (F.col("tag").startswith("I-") & (before.isNull() | (before == "O") | (F.substring(before, 3, 100) != F.col("label"))))
+        return way.total(rows, "_span", opens)
+
+    rows = along(tokens.withColumn("label", label), "unit", ["ord"], run, CHARACTERS, "s").where("tag <> 'O'")
     return rows.groupBy("unit", "_span").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.first("label").alias("label"), F.avg("prob").alias("confidence")).drop("_span")
 
 

@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.text import joined_in_order, strip
+from .along import Along, along
+
+PAGES = 200  # in a piece of a law
 
 
 def blocks(docs: DataFrame, per_page: int = 20) -> DataFrame:
@@ -56,22 +59,27 @@ def page_texts(rows: DataFrame) -> DataFrame:
 def soft_breaks(lines: DataFrame, doc: str = "doc_id") -> DataFrame:
     """(doc, part, text): lines joined where a break was only one of layout; lines: doc, ord, line.
 
-    A line goes on unless it or the one before is blank, it begins a structural unit, or the one before ends a sentence.
+    A line goes on unless it or the one before is blank, it begins a structural unit, or the one before ends a sentence. A null line is a blank one.
     """
-    by = W.partitionBy(doc).orderBy("ord")
-    line, before = strip(F.col("line")), F.lag(strip(F.col("line"))).over(by)
-    fresh = before.isNull() | (line == "") | (before == "") | line.rlike(rules.STRUCTURE) | before.rlike(rules.SENTENCE_END)
     edge = r"[A-Za-z0-9가-힣]"
-    glue = F.when(F.col("_fresh"), "").when(before.rlike(f"{edge}$") & line.rlike(f"^{edge}"), " ").otherwise("")
-    rows = lines.withColumn("_fresh", fresh).withColumn("_text", F.concat(glue, line)).withColumn("part", F.sum(F.col("_fresh").cast("int")).over(by))
+
+    def run(rows: DataFrame, way: Along) -> DataFrame:
+        rows = way.before(rows, "_before", F.col("_line"))
+        line, before = F.col("_line"), F.col("_before")
+        fresh = before.isNull() | (line == "") | (before == "") | line.rlike(rules.STRUCTURE) | before.rlike(rules.SENTENCE_END)
+        glue = F.when(F.col("_fresh"), "").when(before.rlike(f"{edge}$") & line.rlike(f"^{edge}"), " ").otherwise("")
+        rows = rows.withColumn("_fresh", fresh).withColumn("_text", F.concat(glue, line))
+        return way.total(rows, "part", F.col("_fresh")).select(doc, "ord", "part", "_text")
+
+    rows = along(lines.select(doc, "ord", F.coalesce(strip(F.col("line")), F.lit("")).alias("_line")), doc, ["ord"], run)
     return rows.groupBy(doc, "part").agg(joined_in_order(F.col("ord"), F.col("_text"), "").alias("text"))
 
 
 def article_chunks(lines: DataFrame, doc: str = "doc") -> DataFrame:
     """(doc, chunk, article, n_lines, text): lines of each article; lines before the first article are dropped."""
-    by = W.partitionBy(doc).orderBy("ord")
     head = F.regexp_extract("line", rules.ARTICLE, 0)
-    rows = lines.withColumn("_a", F.when(head != "", F.regexp_replace(head, r"\s", ""))).withColumn("chunk", F.count("_a").over(by)).where("chunk > 0")
+    rows = lines.select(doc, "ord", "line", F.when(head != "", F.regexp_replace(head, r"\s", "")).alias("_a"))
+    rows = along(rows, doc, ["ord"], lambda x, way: way.total(x, "chunk", F.col("_a").isNotNull())).where("chunk > 0")
     return rows.groupBy(doc, "chunk").agg(F.max("_a").alias("article"), F.count("*").alias("n_lines"), joined_in_order(F.col("ord"), F.col("line")).alias("text"))
 
 
@@ -171,11 +179,11 @@ def law_chunks(pages: DataFrame, least: float = rules.CHUNKS_A_PAGE) -> DataFram
     lines are dropped. Documents with fewer chunks than least for each page, null and empty ones among them, are cut by fixed_chunks instead.
     Lines are numbered within a document; pages of equal number are read as one.
     """
-    by = W.partitionBy("doc_id").orderBy("page", "_k")
     lines = pages.select("doc_id", "page", F.posexplode(F.split("text", r"\R|[\x1c-\x1e]")).alias("_k", "line")).withColumn("line", strip(F.col("line"))).where("line <> ''")
     mark = law_mark(F.col("line"))
     rows = lines.withColumns({"_head": F.when(mark["kind"] == "article", mark["mark"]), "_mark": mark.isNotNull()})
-    rows = rows.withColumns({"_part": F.count("_head").over(by), "_begun": F.max("_mark").over(by)}).where("_begun")
+    run = lambda x, way: way.most(way.total(x, "_part", F.col("_head").isNotNull()), "_begun", F.col("_mark"))
+    rows = along(rows, "doc_id", ["page", "_k"], run, PAGES).where("_begun")
     shown = joined_in_order(F.struct("page", "_k"), law_line(F.col("line")))
     chunks = rows.groupBy("doc_id", "_part").agg(F.max("_head").alias("article"), F.min("page").alias("page"), shown.alias("text"))
     counts = pages.groupBy("doc_id").agg(F.count("*").alias("_pages")).join(chunks.groupBy("doc_id").agg(F.count("*").alias("_chunks")), "doc_id", "left")
