@@ -32,9 +32,20 @@ def issues_per_server(issues: DataFrame, servers: DataFrame, key: str) -> DataFr
 
 
 def encryption_summary(values: DataFrame, key: str, value: str, plain: Column, first: int = 10) -> DataFrame:
-    """One row: non-null values, encrypted ones, status and the first keys of plain ones, ordered as numbers."""
-    rows = values.where(F.col(value).isNotNull()).select(F.col(key).alias("k"), plain.alias("p"))
-    counts = rows.agg(F.count("*").alias("total_records"), F.count_if(~F.col("p")).alias("encrypted_records"))
-    keys = rows.where("p").orderBy("k").limit(first).agg(F.array_join(F.array_sort(F.collect_list("k")).cast("array<string>"), ",").alias("first_keys"))
-    status = F.when(F.col("total_records") == 0, "판단불가").when(F.col("encrypted_records") < F.col("total_records"), "안되어있음").otherwise("되어있음")
-    return counts.join(F.broadcast(keys)).withColumn("status", status)  # one row each
+    """One row: non-null values, encrypted ones, status and the first keys of plain ones.
+
+    Keys are ordered as numbers or, where they are texts, as texts; whole numbers are shown without fraction. Plain rows whose key is
+    missing (null, not a number) name no key and don't make a column unencrypted.
+    """
+    rows = values.where(F.col(value).isNotNull()).select(F.col(key).alias("k"), F.coalesce(plain, F.lit(False)).alias("p"))
+    named = F.col("k").isNotNull()
+    if values.schema[key].dataType.typeName() in ("float", "double"):
+        named &= ~F.isnan("k")
+    shown = F.col("k").cast("string")
+    if values.schema[key].dataType.typeName() in ("float", "double", "decimal"):
+        shown = F.when(F.col("k") == F.floor("k"), F.floor("k").cast("string")).otherwise(shown)
+    counts = rows.agg(F.count("*").alias("total_records"), F.count_if(~F.col("p")).alias("encrypted_records"), F.count_if(F.col("p") & named).alias("_named"))
+    some = rows.where(F.col("p") & named).orderBy("k").limit(first).select(F.struct("k", shown.alias("s")).alias("x"))
+    keys = some.agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["s"]), ",").alias("first_keys"))
+    status = F.when(F.col("total_records") == 0, "판단불가").when(F.col("_named") > 0, "안되어있음").otherwise("되어있음")
+    return counts.join(F.broadcast(keys)).withColumn("status", status).drop("_named")  # one row each

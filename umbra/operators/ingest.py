@@ -26,8 +26,13 @@ def blocks(docs: DataFrame, per_page: int = 20) -> DataFrame:
     return body.unionByName(head)
 
 
+def _inside(height: float, top: float, bottom: float) -> Column:
+    return F.coalesce((F.col("y1") > top * height) & (F.col("y0") < bottom * height), F.lit(False))
+
+
 def without_margins(rows: DataFrame, height: float, top: float = rules.TOP_SHARE, bottom: float = rules.BOTTOM_SHARE) -> DataFrame:
-    return rows.where((F.col("y1") > top * height) & (F.col("y0") < bottom * height))
+    """Blocks that lie in neither margin of their page; blocks without a place count as margin."""
+    return rows.where(_inside(height, top, bottom))
 
 
 def normalized(text: Column) -> Column:
@@ -37,10 +42,15 @@ def normalized(text: Column) -> Column:
     return strip(F.lower(F.regexp_replace(t, r"(?i)^(page\s*)?[0-9]+\s*(of\s*[0-9]+)?$", "")))
 
 
-def repeated(rows: DataFrame, share: float = rules.REPEAT_SHARE, longest: int = 80) -> DataFrame:
-    """(doc_id, norm) of short texts on a large share of a document's pages."""
-    pages = rows.groupBy("doc_id").agg(F.greatest(F.lit(2), F.floor(F.max("page") * share)).alias("least"))
-    seen = rows.select("doc_id", "page", normalized(F.col("text")).alias("norm")).where((F.col("norm") != "") & (F.length("norm") <= longest))
+def _least_pages(pages: Column, share: float) -> Column:
+    return F.greatest(F.lit(2), F.floor(pages * share)).cast("long")
+
+
+def repeated(rows: DataFrame, share: float = rules.REPEAT_SHARE, longest: int = rules.REPEAT_LONGEST) -> DataFrame:
+    """(doc_id, norm) of short texts, other than beginnings of structural units, on a large share of a document's pages that have blocks."""
+    pages = rows.groupBy("doc_id").agg(_least_pages(F.count_distinct("page"), share).alias("least"))
+    loose = rows.where(~strip(F.col("text")).rlike(rules.STRUCTURE)).select("doc_id", "page", normalized(F.col("text")).alias("norm"))
+    seen = loose.where((F.col("norm") != "") & (F.length("norm") <= longest))
     counts = seen.distinct().groupBy("doc_id", "norm").agg(F.count("*").alias("n"))
     return counts.join(pages, "doc_id").where("n >= least").select("doc_id", "norm")
 
@@ -52,6 +62,26 @@ def without_repeated(rows: DataFrame) -> DataFrame:
     return norm.join(loose, away, "left_anti").drop("norm")
 
 
+def without_noise(rows: DataFrame, height: float, top: float = rules.TOP_SHARE, bottom: float = rules.BOTTOM_SHARE) -> DataFrame:
+    """Blocks outside of the margins whose text isn't repeated among those."""
+    return without_repeated(without_margins(rows, height, top, bottom))
+
+
+def noise_counters(rows: DataFrame, height: float, top: float = rules.TOP_SHARE, bottom: float = rules.BOTTOM_SHARE, share: float = rules.REPEAT_SHARE) -> DataFrame:
+    """(doc_id and seven counters) of what without_noise removes from each document, removed blocks and repeated texts both.
+
+    total_pages and repeated_threshold_pages count pages of all blocks. Blocks that stay are counted by their text, so those that are
+    alike meet the repeated texts as one row. Documents are those with blocks; null is one of them and has no repeated texts.
+    """
+    inside = _inside(height, top, bottom)
+    raw = rows.groupBy("doc_id").agg(F.count_distinct("page").alias("total_pages"), F.count("*").alias("raw_blocks"), F.count_if(~inside).alias("removed_by_position"), F.count_if(inside).alias("kept_after_position"))
+    kept = without_margins(rows, height, top, bottom)
+    alike = kept.where(~strip(F.col("text")).rlike(rules.STRUCTURE)).groupBy("doc_id", normalized(F.col("text")).alias("norm")).agg(F.count("*").alias("n"))
+    gone = repeated(kept, share).join(alike, ["doc_id", "norm"]).groupBy("doc_id").agg(F.count("*").alias("repeated_text_count"), F.sum("n").alias("_gone"))
+    counts = raw.join(gone, "doc_id", "left").fillna(0, ["repeated_text_count", "_gone"])
+    return counts.withColumns({"kept_after_repeat": F.col("kept_after_position") - F.col("_gone"), "repeated_threshold_pages": _least_pages(F.col("total_pages"), share)}).drop("_gone")
+
+
 def page_texts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id", "page").agg(joined_in_order(F.col("ord"), F.col("text")).alias("text"))
 

@@ -61,6 +61,20 @@ def intervals(words: DataFrame, length_ms: int) -> DataFrame:
     return rows.withColumn("quiet_ms", F.greatest(F.lit(0), F.col("start_ms") - before)).select("audio", "ord", "start_ms", "end_ms", "quiet_ms")
 
 
+def untouched(words: DataFrame, files: DataFrame, length_ms: int) -> DataFrame:
+    """(audio, from_ms, to_ms): the stretches of files (audio) without a tone, each from the end of the tone before; the last one reaches to the end. Files without words are one stretch."""
+    tones = intervals(words, length_ms)
+    before = tones.where("quiet_ms > 0").select("audio", (F.col("start_ms") - F.col("quiet_ms")).alias("from_ms"), F.col("start_ms").alias("to_ms"))
+    last = words.select("audio", "ord", "start_time").join(tones, ["audio", "ord"]).groupBy("audio").agg(F.max_by("end_ms", F.struct("start_time", "ord")).alias("from_ms"))
+    ends = files.select("audio").distinct().join(last, "audio", "left").select("audio", F.coalesce("from_ms", F.lit(0)).alias("from_ms"), F.lit(length_ms).alias("to_ms"))
+    return before.unionByName(ends.where("from_ms < to_ms"))
+
+
+def codes_listed(rollup: DataFrame) -> DataFrame:
+    """(file, codes) of rows of media_rollup: an array of (code, total_count, masked_count), codes ascending."""
+    return rollup.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("code", "total_count", "masked_count"))).alias("codes"))
+
+
 def _tracks(group: pd.DataFrame) -> pd.DataFrame:
     last: dict[int, tuple[int, int, int, int, int]] = {}  # tracks that can go on
     ids, total = [], 0

@@ -54,3 +54,8 @@ ORACLES = {
     "col_encryption_summary": f"""with v as (select * from {as_sql('col_values')} where value is not null), f as (select k from v where kind <> 8 order by k limit 10)
         select (select count(*) from v) as total_records, (select count(*) from v where kind = 8) as encrypted_records, (select string_agg(cast(k as string), ',' order by k) from f) as first_keys, '안되어있음' as status""",
 }
+
+_TEXT_KEYS = as_sql("col_values")
+QUERIES["col_encryption_text_keys"] = lambda s, d: G.encryption_summary(view(s, d, "col_values").selectExpr("case when k % 11 > 0 then concat('c', k) end as k", "value", "kind"), "k", "value", F.col("kind") != 8)
+ORACLES["col_encryption_text_keys"] = f"""select count(*) as total_records, count(*) filter (kind = 8) as encrypted_records, (select string_agg(c, ',' order by c) from (select concat('c', k) as c from {_TEXT_KEYS} where value is not null and kind <> 8 and k % 11 > 0 order by c limit 10)) as first_keys,
+    '안되어있음' as status from {_TEXT_KEYS} where value is not null"""

@@ -52,7 +52,7 @@ ORACLES = {
     "page_text": f"select doc_id, page, string_agg(text, chr(10) order by ord) as text from {_BLOCKS} group by 1, 2",
     "header_footer": f"select doc_id, cast(ord as int) as ord from {_BLOCKS} where y1 > 0.08 * 22 and y0 < 0.92 * 22",
     "repeat_noise_removal": f"""with b as (select *, {_NORM} as norm from {_BLOCKS}), p as (select doc_id, greatest(2, floor(max(page) * 0.35)) as least from b group by 1),
-        r as (select doc_id, norm from b join p using (doc_id) where norm <> '' and len(norm) <= 80 group by 1, 2, least having count(distinct page) >= least)
+        r as (select doc_id, norm from b join p using (doc_id) where norm <> '' and len(norm) <= 100 group by 1, 2, least having count(distinct page) >= least)
         select doc_id, count(*) as n from b where not exists (select 1 from r where r.doc_id = b.doc_id and r.norm = b.norm) or regexp_matches(text, '{_STRUCTURE}') group by 1""",
     "soft_linebreak": f"""with l as (select doc_id, k as ord, {_TRIM('text')} as line from ({_LINES})), b as (select *, lag(line) over (partition by doc_id order by ord) as before from l),
         f as (select *, before is null or line = '' or before = '' or regexp_matches(line, '{_STRUCTURE}') or regexp_matches(before, '[.!?」’)\\]}}]$') as fresh from b),
@@ -81,6 +81,13 @@ QUERIES |= {
     "law_chunks": lambda s, d: I.law_chunks(view(s, d, "law_sheets")),
     "text_lines": lambda s, d: I.text_lines(view(s, d, "documents")),
 }
+QUERIES["noise_counters"] = lambda s, d: I.noise_counters(_blocks(s, d), _HEIGHT)
+ORACLES["noise_counters"] = f"""with b as (select *, {_NORM} as norm, y1 <= 0.08 * 22 or y0 >= 0.92 * 22 as margin, regexp_matches({_TRIM('text')}, '{_STRUCTURE}') as unit from {_BLOCKS}),
+    p as (select doc_id, greatest(2, floor(count(distinct page) * 0.35)) as least from b where not margin group by 1),
+    r as (select doc_id, norm from b join p using (doc_id) where not margin and not unit and norm <> '' and len(norm) <= 100 group by 1, 2, least having count(distinct page) >= least),
+    x as (select b.*, r.norm is not null as again from b left join r on r.doc_id = b.doc_id and r.norm = b.norm and not unit and not margin)
+    select doc_id, count(distinct page) as total_pages, count(*) as raw_blocks, count(*) filter (margin) as removed_by_position, count(*) filter (not margin) as kept_after_position, count(distinct norm) filter (again) as repeated_text_count,
+        count(*) filter (not margin and not again) as kept_after_repeat, cast(greatest(2, floor(count(distinct page) * 0.35)) as bigint) as repeated_threshold_pages from x group by 1"""
 _DATES = " union all ".join(f"select doc, unnest(regexp_extract_all(text, '{w}([0-9]{{4}}[.\\s][0-9]{{1,2}}[.\\s][0-9]{{1,2}})', 1)) as x from {as_sql('law_pages')}" for w in ("시행.*?", "개정.*?", "공포.*?", ""))
 _SHEETS = as_sql("law_sheets")
 _THIN = "doc_id in (select doc_id from p left join (select doc_id, count(*) as n from g group by 1) using (doc_id) group by doc_id, n having coalesce(n, 0) < 0.5 * count(*))"

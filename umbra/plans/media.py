@@ -104,3 +104,15 @@ ORACLES = {
         h as (select audio, ord, start_time, greatest(0, least(s, {_LENGTH})) as start_ms, greatest(greatest(0, least(s, {_LENGTH})) + 50, least(e, {_LENGTH})) as end_ms from g)
         select audio, ord, start_ms, end_ms, greatest(0, start_ms - coalesce(lag(end_ms) over (partition by audio order by start_time, ord), 0)) as quiet_ms from h""",
 }
+
+QUERIES |= {
+    "audio_untouched": lambda s, d: M.untouched(view(s, d, "word_times"), view(s, d, "word_times"), _LENGTH),
+    "media_codes": lambda s, d: M.codes_listed(QUERIES["media_rollup"](s, d)).select("file", F.array_join(F.transform("codes", lambda x: F.concat_ws(":", x["code"], x["total_count"], x["masked_count"])), ",").alias("codes")),
+}
+ORACLES |= {
+    "audio_untouched": f"""with t as materialized (select audio, ord, start_time, start_ms, end_ms, quiet_ms from ({ORACLES['audio_intervals']}) join (select audio, ord, start_time from {as_sql('word_times')}) using (audio, ord))
+        select audio, start_ms - quiet_ms as from_ms, start_ms as to_ms from t where quiet_ms > 0 union all
+        select audio, end_ms, {_LENGTH} from (select *, row_number() over (partition by audio order by start_time desc, ord desc) as r from t) where r = 1 and end_ms < {_LENGTH}
+        union all select distinct audio, 0, {_LENGTH} from {as_sql('word_times')} where audio not in (select audio from t)""",
+    "media_codes": f"select file, string_agg(concat(code, ':', total_count, ':', masked_count), ',' order by code) as codes from ({ORACLES['media_rollup']}) group by 1",
+}

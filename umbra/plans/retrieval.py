@@ -116,3 +116,13 @@ ORACLES = {
     "citations_distinct": "select distinct concat(p_brand, ' 제', p_partkey % 40, '조') as citation from part where p_partkey % 7 = 0",
 }
 ORACLES["fulltext_indexed"] = ORACLES["fulltext_ranked"]
+
+
+def _sources(spark, d):
+    """The ten nearest, in the order of their ids, some of unknown similarity."""
+    rows = _knn(spark, d, 10).selectExpr("q_id", "id", "case when id % 7 > 0 then similarity end as similarity")
+    return R.by_similarity(rows.selectExpr("*", "cast(id as int) as rank")).select("q_id", "id", "place")
+
+
+QUERIES["sources_by_similarity"] = _sources
+ORACLES["sources_by_similarity"] = f"select q_id, id, cast(row_number() over (partition by q_id order by case when id % 7 > 0 then similarity else 0 end desc, id) as int) as place from ({_TOP(_PAIRS, 'similarity', 10)})"
