@@ -107,3 +107,10 @@ def secret(stored: Column, key: str) -> Column:
 
 def supported_dbms(spark) -> DataFrame:
     return spark.createDataFrame(list(rules.DBMS.items()), "id string, name string")
+
+
+def connections_by_dbms(connections: DataFrame, dbms: str = "dbms") -> DataFrame:
+    """(id, name, n) of every supported system, with how many connections name it at the start, in any case; connections are counted by that name before the join."""
+    first = F.lower(F.regexp_extract(dbms, r"^\s*([A-Za-z]+)", 1))
+    counts = connections.groupBy(first.alias("id")).agg(F.count("*").alias("n"))
+    return supported_dbms(connections.sparkSession).join(counts, "id", "left").fillna(0, ["n"])

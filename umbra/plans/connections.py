@@ -55,7 +55,7 @@ QUERIES = {
     "sample_status": _status,
     "base64_round_trip": _uploads,
     "stored_secrets": _secrets,
-    "supported_dbms": lambda s, d: C.supported_dbms(s),
+    "supported_dbms": lambda s, d: C.connections_by_dbms(view(s, d, "requested_tables")),
 }
 
 _INFO = f"""select c.id, host, coalesce(nullif(port, 0), 9000) as port, rtrim(trim(coalesce(default_path, '')), '/') as default_path, coalesce(nullif(t.name, ''), 'WebDAV') as server_type_name, path
@@ -81,5 +81,5 @@ ORACLES = {
     "sample_status": f"select kind, case when count(value) = 0 then '판단불가' when kind <> 8 then '안되어있음' else '되어있음' end as status from (select unnest(range(11)) as kind) left join {as_sql('col_values')} using (kind) group by kind",
     "base64_round_trip": "select doc_id, doc_id % 3 = 0 or 4 * ceil(octet_length(encode(text)) / 3.0) > 1000 as encoded, text from documents",
     "stored_secrets": "select s_suppkey, s_name as secret, s_name as unencrypted from supplier",
-    "supported_dbms": "select * from (values ('postgresql', 'PostgreSQL'), ('mysql', 'MySQL'), ('oracle', 'Oracle')) as t(id, name)",
+    "supported_dbms": f"select t.id, t.name, count(r.dbms) as n from (values ('postgresql', 'PostgreSQL'), ('mysql', 'MySQL'), ('oracle', 'Oracle')) as t(id, name) left join {as_sql('requested_tables')} r on lower(r.dbms) like t.id || '%' group by 1, 2",
 }

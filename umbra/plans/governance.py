@@ -7,17 +7,6 @@ from pyspark.sql import functions as F
 from ..operators import govern as G
 from ..sources.derived import as_sql, view
 
-_STATEMENTS = (
-    "SELECT a FROM files", "SELECT a -- drop\nFROM files", "select /* delete */ name from t", "drop table x", "SELECT * FROM users u", "select id from t join users on 1=1",
-    "SELECT password FROM c", "select created_at from files", "  select token_count from t", "with q as (select 1) select * from q", "select users.id from t", "select name from c where exec = 1",
-)
-_RESULTS = ("name: a\npassword: x1", "token = abc\nrows 3", "the users table", "secret column is there\nok", "API-KEY: zz", "user_id 5\nplain")
-
-
-def _literals(texts: tuple[str, ...]) -> str:
-    return "(values " + ", ".join(f"({i}, '{t}')" for i, t in enumerate(texts)).replace("\n", "' || chr(10) || '") + ") as v(id, txt)"
-
-
 def _joined(text: str, names: tuple[str, ...]):
     """The same statement for Spark, over views of the inputs, and as a stand-alone one."""
     return (lambda spark, d: spark.sql(text, **{n: view(spark, d, n) for n in names}), text.format(**{n: as_sql(n) for n in names}))
@@ -34,8 +23,8 @@ QUERIES = {
     **{k: v[0] for k, v in _SAME.items()},
     "gov_issues_per_server": lambda s, d: G.issues_per_server(view(s, d, "db_pii_issues"), view(s, d, "db_server_connections"), "db_server_connection_id"),
     "gov_file_issues_per_server": lambda s, d: G.issues_per_server(view(s, d, "file_pii_issues"), view(s, d, "file_server_connections"), "file_server_connection_id"),
-    "sql_guard": lambda s, d: s.sql(f"select * from {_literals(_STATEMENTS)}").select("id", G.is_safe(F.col("txt")).alias("safe")),
-    "result_scrub": lambda s, d: s.sql(f"select * from {_literals(_RESULTS)}").select("id", G.scrubbed(F.col("txt")).alias("txt")),
+    "sql_guard": lambda s, d: view(s, d, "statements").select("id", G.is_safe(F.col("txt")).alias("safe")),
+    "result_scrub": lambda s, d: view(s, d, "results").select("id", G.scrubbed(F.col("txt")).alias("txt")),
     "col_encryption_summary": lambda s, d: G.encryption_summary(view(s, d, "col_values"), "k", "value", F.col("kind") != 8),
 }
 
@@ -48,9 +37,9 @@ ORACLES = {
     "gov_issues_per_server": f"select connection_name, count(i.id) as n_issues from {as_sql('db_pii_issues')} i join {as_sql('db_server_connections')} c on i.db_server_connection_id = c.id where issue_status = 'ACTIVE' group by 1",
     "gov_file_issues_per_server": f"select connection_name, count(i.id) as n_issues from {as_sql('file_pii_issues')} i join {as_sql('file_server_connections')} c on i.file_server_connection_id = c.id where issue_status = 'ACTIVE' group by 1",
     "sql_guard": f"""select id, regexp_matches(c, '^\\s*select') and not regexp_matches(c, '\\b({_WRITE})\\b') and not regexp_matches(c, '\\b(from|join)\\s+users\\b|\\busers\\.') and not regexp_matches(c, 'select\\s+.*?\\b({_SECRET})\\b') as safe
-        from (select id, regexp_replace(regexp_replace(lower(txt), '--[^\\n]*', '', 'g'), '(?s)/\\*.*?\\*/', '', 'g') as c from {_literals(_STATEMENTS)})""",
+        from (select id, regexp_replace(regexp_replace(lower(txt), '--[^\\n]*', '', 'g'), '(?s)/\\*.*?\\*/', '', 'g') as c from {as_sql('statements')})""",
     "result_scrub": f"""select id, case when regexp_matches(txt, '(?i)\\busers\\b') then '보안상의 이유로 해당 정보는 제공할 수 없습니다.' else array_to_string(list_filter(string_split(regexp_replace(txt, '{_VALUED}\\s*[^\\n]+', '[민감한 정보는 보호됩니다]', 'gi'), chr(10)),
-        lambda x: not regexp_matches(lower(x), '{_SECRET}') or regexp_matches(lower(x), '{_VALUED}')), chr(10)) end as txt from {_literals(_RESULTS)}""",
+        lambda x: not regexp_matches(lower(x), '{_SECRET}') or regexp_matches(lower(x), '{_VALUED}')), chr(10)) end as txt from {as_sql('results')}""",
     "col_encryption_summary": f"""with v as (select * from {as_sql('col_values')} where value is not null), f as (select k from v where kind <> 8 order by k limit 10)
         select (select count(*) from v) as total_records, (select count(*) from v where kind = 8) as encrypted_records, (select string_agg(cast(k as string), ',' order by k) from f) as first_keys, '안되어있음' as status""",
 }

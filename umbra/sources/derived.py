@@ -62,6 +62,19 @@ VIEWS = {
     "frame_boxes": "select event_id as id, user_id % 20 as video, event_type as label, cast(event_id % 300 + 1 as int) as frame, cast(user_id % 50 as int) - 2 as x, cast(user_id % 31 as int) as y, cast(10 + floor(value) % 40 as int) as w, cast(floor(value) % 25 as int) as h, (event_id % 100) / 100.0 as confidence from {events}",
     "word_times": "select user_id as audio, event_id as ord, event_type as word, cast(event_id % 5000 as double) / 10 as start_time, cast(event_id % 5000 as double) / 10 + floor(value) / 100 as end_time from {events}",
     "dict_lines": "select n_regionkey as doc, n_nationkey * 10 + k as ord, case k when 0 then substr(regexp_replace(upper(n_name), '[^A-Z]+', ''), 1, 10) when 1 then concat('항목', cast(n_nationkey as string)) when 2 then n_name when 3 then concat('설명 ', cast(n_nationkey % 3 as string)) when 4 then 'Y' when 5 then '비고' else case when n_nationkey = 17 then '3.1 끝' else 'ABC' end end as line from {nation} cross join (select 0 as k union all select 1 union all select 2 union all select 3 union all select 4 union all select 5 union all select 6) as ks where k < 5 or (k = 5 and n_nationkey % 4 = 0) or (k = 6 and n_nationkey % 5 = 2) union all select r_regionkey, k - 10, case k when 1 then '영문약어' when 2 then '한글명' when 3 then '영문풀네임' when 4 then '설명' else 'PI여부' end from {region} cross join (select 1 as k union all select 2 union all select 3 union all select 4 union all select 5) as hs",
+    "questions": """select conv_id, turn, (conv_id * 3 + turn) % 12 as form, case (conv_id * 3 + turn) % 12 when 0 then concat('DB 말고 파일서버 이슈 ', turn) when 1 then concat('파일 말고 DB서버 현황 ', conv_id) when 2 then concat('어떤 법령을 위반하는지 파일 ', turn, ' 기준으로')
+        when 3 then concat('어떤  규정이 있나요 ', conv_id) when 4 then concat('제', conv_id % 99 + 1, '조 내용') when 5 then concat(turn + 1, '조는?') when 6 then concat('파일서버 이슈 개수 ', conv_id) when 7 then concat('DB서버 ', conv_id, ' 관련 규정')
+        when 8 then '개인정보 보호 지침' when 9 then concat('매출 통계 ', conv_id) when 10 then concat('COUNT Rows ', turn) else concat('안녕하세요 ', conv_id) end as text from {conversations}""",
+    "statements": """select p_partkey as id, case p_partkey % 14 when 0 then concat('SELECT ', p_name, ' FROM files') when 1 then concat('SELECT a -- drop ', p_name, chr(10), 'FROM files') when 2 then concat('select /* delete', chr(10), p_type, ' */ name from t') when 3 then concat('drop table ', p_brand)
+        when 4 then 'SELECT * FROM users u' when 5 then concat('select id from t join  users on 1=', p_size) when 6 then concat('SELECT ', p_name, ', Password FROM c') when 7 then 'select created_at, updated from files' when 8 then concat('  select token_count from t', p_size) when 9 then 'with q as (select 1) select * from q'
+        when 10 then concat('select users.id from t where a = ', p_size) when 11 then concat('select name from c where exec = ', p_size) when 12 then concat('select a', chr(10), 'token from t', p_size) else p_name end as txt from {part}""",
+    "results": """select c_custkey as id, case c_custkey % 7 when 0 then concat('name: ', c_name, chr(10), 'password: ', c_mktsegment) when 1 then concat('Token = ', c_mktsegment, chr(10), 'rows ', c_custkey) when 2 then concat('the Users table', chr(10), c_name) when 3 then concat('secret column is there', chr(10), c_name)
+        when 4 then concat('API-KEY: ', c_mktsegment, chr(10), chr(10), 'api_key') when 5 then concat('user_id ', c_custkey, chr(10), 'plain') else c_name end as txt from {customer}""",
+    "marked_answers": """select p_partkey as id, p_partkey % 8 as form, p_name as a, p_type as b, case p_partkey % 8 when 0 then concat('**', p_name, '** 와 *', p_type, '*') when 1 then concat('## ', p_name, chr(10), '본문 `', p_type, '`') when 2 then concat('[', p_name, '](http://x/', p_partkey, ') ~~', p_type, '~~')
+        when 3 then concat('__', p_name, '__ _', p_type, '_') when 4 then concat('그대로 2 * ', p_size) when 5 then '' when 6 then concat(chr(10), ' ', p_name, '  ') else concat(p_name, ' #', p_size) end as txt, p_size as n from {part}""",
+    "kind_replies": """select s_suppkey as id, s_suppkey % 6 as form, case s_suppkey % 6 when 0 then concat('Vector_Search 입니다 ', s_suppkey) when 1 then concat('type: db_query. ', s_suppkey) when 2 then 'both_or general' when 3 then concat('x', s_suppkey, 'db_queryx') when 4 then concat('모름 ', s_suppkey) else concat('BOTH, not general ', s_suppkey) end as txt from {supplier}""",
+    "label_replies": """select p_partkey as id, p_partkey % 5 as form, p_size as n, case p_partkey % 5 when 0 then concat('결과: ```json [{{"tableName": "t', p_size, '", "columnName": "c", "piiType": "NM"}}] ``` 끝') when 1 then concat('[{{"tableName": "a", "columnName": "b"}}, {{"tableName": "u", "columnName": "d', p_size, '", "piiType": "PH"}}, {{"tableName": "v", "columnName": "", "piiType": "EM", "more": 1}}] 끝')
+        when 2 then concat('없음 ', p_size) when 3 then '[깨짐' else '[]' end as txt from {part}""",
     "law_lines": "select p_brand as doc, p_partkey as ord, case p_partkey % 7 when 0 then concat('제', cast(p_partkey % 40 as string), '조(', p_type, ')') when 1 then concat('① ', p_name) when 2 then '제1항' when 3 then concat('1. ', p_name) when 4 then concat('가. ', p_name) when 5 then concat(p_name, '.') else p_name end as line from {part}",
 }
 
