@@ -140,7 +140,10 @@ def test_laws_without_articles(spark):
     pages = spark.createDataFrame(rows, "doc_id long, page int, text string")
     got = sorted((r.doc_id, r.chunk, r.article, r.page, r.text) for r in I.law_chunks(pages).collect())
     whole = ("word " * 20) + "\n\n제1조"
-    assert got == [(1, 1, "제1조", 1, "제1조 a\n① b\n1.\n가. c\n제 2 항\nplain"), (4, 1, None, 1, "나. only\nmore"), (4, 2, "제2조", 1, "제2조"), (5, 1, None, 1, whole)]
+    assert got == [(1, 1, "제1조", 1, "제1조 a\n① b\n1.\n가. c\n제 2 항\nplain"), (4, 1, None, 1, "나. only\nmore"), (4, 2, "제2조", 1, "제2조"), (5, 1, "청크 1", 1, whole)]
+    paths = spark.createDataFrame([(1, "/a/first law.pdf"), (4, "http://x/y.pdf"), (4, "http://x/y.pdf"), (9, "z.pdf")], "doc_id long, path string")
+    about = sorted((r.doc_id, r.chunk, r.title, r.effective_date) for r in I.law_pieces(pages, paths).collect())
+    assert about == [(1, 1, "first law", None), (4, 1, "http://x/y.pdf", None), (4, 2, "http://x/y.pdf", None), (5, 1, None, None)]
     assert I.law_chunks(pages.limit(0)).count() == 0
 
 

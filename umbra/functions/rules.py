@@ -84,6 +84,7 @@ ARTICLE = r"^제\s*[0-9]+\s*조(\s*의\s*[0-9]+)?"
 SENTENCE_END = r"[.!?」’)\]}]$|[다함됨임]\.$"
 TOP_SHARE, BOTTOM_SHARE, REPEAT_SHARE = 0.08, 0.92, 0.35
 REPEAT_LONGEST = 100
+PIECE_LABEL = "청크 %d"
 
 # Account numbers: bank codes, digits of the accounts of a bank, leading digits of accounts.
 BANK_CODES = "001 002 003 004 005 006 007 010 011 012 020 021 022 023 024 025 026 027 031 032 034 035 037 039 045 048 050 054 055 057 060 064 071 081 083 088 089 090 092 209 218 230 240 243 247 261 262 263 264 265 266 267 269 270 278 279 280 287 290 291 292".split()

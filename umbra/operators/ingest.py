@@ -206,7 +206,8 @@ def law_chunks(pages: DataFrame, least: float = rules.CHUNKS_A_PAGE) -> DataFram
     """(doc_id, chunk, article, page, text) of the pages (doc_id, page, text) of laws: one chunk for each article, from the page it begins on.
 
     Marked lines before the first article, and what follows them, are a chunk without article; lines before any mark and blank
-    lines are dropped. Documents with fewer chunks than least for each page, null and empty ones among them, are cut by fixed_chunks instead.
+    lines are dropped. Documents with fewer chunks than least for each page, null and empty ones among them, are cut by fixed_chunks instead, whose chunks are
+    labelled with their number in place of an article.
     Lines are numbered within a document; pages of equal number are read as one.
     """
     lines = pages.select("doc_id", "page", F.posexplode(F.split("text", r"\R|[\x1c-\x1e]")).alias("_k", "line")).withColumn("line", strip(F.col("line"))).where("line <> ''")
@@ -221,7 +222,17 @@ def law_chunks(pages: DataFrame, least: float = rules.CHUNKS_A_PAGE) -> DataFram
     number = F.row_number().over(W.partitionBy("doc_id").orderBy("_part"))
     articles = chunks.join(thin, "doc_id", "left_anti").select("doc_id", number.alias("chunk"), "article", "page", "text")
     fixed = fixed_chunks(pages.join(thin, "doc_id", "left_semi"))
-    return articles.unionByName(fixed.select("doc_id", "chunk", F.lit(None).cast("string").alias("article"), "page", "text"))
+    return articles.unionByName(fixed.select("doc_id", "chunk", F.format_string(rules.PIECE_LABEL, "chunk").alias("article"), "page", "text"))
+
+
+def law_pieces(pages: DataFrame, paths: DataFrame, least: float = rules.CHUNKS_A_PAGE) -> DataFrame:
+    """The rows of law_chunks with the (title, law_name, effective_date) of their document, from its path (doc_id, path) and the text of its first page.
+
+    Documents are met by id; pieces of a document without a path, or without an id, have no metadata.
+    """
+    first = pages.groupBy("doc_id").agg(F.min_by("text", "page").alias("_head"))
+    about = paths.dropDuplicates(["doc_id"]).join(first, "doc_id").select("doc_id", law_metadata(F.col("path"), F.coalesce("_head", F.lit(""))).alias("_m"))
+    return law_chunks(pages, least).join(about, "doc_id", "left").select("doc_id", "chunk", "article", "page", "text", "_m.*")
 
 
 def law_metadata(path: Column, text: Column) -> Column:

@@ -98,7 +98,7 @@ ORACLES |= {
         t as (select *, {_TRIM('substr(line, len(mark) + 1)')} as rest from c where begun),
         g as materialized (select doc_id, part, nullif(max(regexp_replace(head, '\\s', '', 'g')), '') as article, min(page) as page, string_agg(case when mark = '' or rest = '' then line else regexp_replace(mark, '\\s', '', 'g') || ' ' || rest end, chr(10) order by page, k) as text from t group by 1, 2)
         select doc_id, cast(row_number() over (partition by doc_id order by part) as int) as chunk, article, page, text from g where not {_THIN}
-        union all select doc_id, chunk, null, page, text from ({_fixed(f"select doc_id, page, text from {_SHEETS}")}) where {_THIN}""",
+        union all select doc_id, chunk, concat('청크 ', chunk), page, text from ({_fixed(f"select doc_id, page, text from {_SHEETS}")}) where {_THIN}""",
     "law_marks": f"""select doc, ord, case when ord % 7 = 0 then 'article' when ord % 7 in (1, 2) then 'paragraph' when ord % 7 = 3 then 'item' else 'subitem' end as kind,
         case ord % 7 when 0 then concat('제', ord % 40, '조') when 1 then '제1항' when 2 then '제1항' when 3 then '제1호' else '가목' end as mark from {as_sql('law_lines')} where ord % 7 < 5""",
     "law_metadata": f"""with x as (select doc, string_split(regexp_replace(x, '\\s', '.', 'g'), '.') as p from ({_DATES})), v as (select doc, max(concat(p[1], '-', lpad(p[2], 2, '0'), '-', lpad(p[3], 2, '0'))) as e from x where cast(p[1] as int) between 1900 and 2100 and cast(p[2] as int) between 1 and 12 and cast(p[3] as int) between 1 and 31 group by 1),
@@ -106,3 +106,11 @@ ORACLES |= {
         select doc, title, case doc % 4 when 0 then '개인정보 보호법' when 1 then '정보통신 규정' when 2 then title else '가법' end as law_name, e as effective_date from t left join v using (doc)""",
     "text_lines": "select doc_id, cast(k as int) as line_ord, regexp_replace(l[k + 1], '^\\s+|\\s+$', '', 'g') as text from (select doc_id, string_split(text, chr(10)) as l, unnest(range(len(string_split(text, chr(10))))) as k from documents) where regexp_matches(l[k + 1], '\\S')",
 }
+
+
+def _law_pieces(s, d):
+    return I.law_pieces(view(s, d, "law_sheets"), view(s, d, "part").selectExpr("p_partkey as doc_id", "concat('/laws/', p_brand, '.pdf') as path"))
+
+
+QUERIES["law_pieces"] = _law_pieces
+ORACLES["law_pieces"] = f"""with c as ({ORACLES["law_chunks"]}) select c.*, p_brand as title, p_brand as law_name, null::varchar as effective_date from c left join (select p_partkey, p_brand from part) on p_partkey = doc_id"""
