@@ -67,6 +67,14 @@ def test_a_unit_with_very_many_spans(spark):
     assert D.greedy_spans(hot).count() == 50_000
 
 
+def test_greedy_spans_take_no_call_for_each_unit(spark):
+    rows = [(u, s, s + 3) for u in [None, *range(300)] for s in (0, 2, 3, 9)] + [(1, None, 4), (1, 4, None), (2, 8, 7)]
+    kept = D.greedy_spans(spark.createDataFrame(rows, "unit long, s int, e int"))
+    assert sorted((-1 if r.unit is None else r.unit, r.s, r.e) for r in kept.collect()) == [(u, s, s + 3) for u in range(-1, 300) for s in (0, 3, 9)]
+    plan = kept._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan
+
+
 def test_names_known_to_units(spark):
     rows = [(1, 1, "성명: 김철수 님", None), (1, 2, "철수가 왔다", None), (1, 2, None, None), (2, 1, "철수가 왔다", None), (None, 1, "성명: 박민수", None), (None, 2, "민수", None), (1, 0, "철수", None), (3, 1, "남궁민은", [("p_nm", 0, 2, "남궁", 0.9), ("p_nm", 1, 3, "궁민", 0.9)])]
     df = spark.createDataFrame(rows, "doc_id long, ord int, text string, m array<struct<label:string,start:int,end:int,text:string,confidence:double>>")
