@@ -39,6 +39,13 @@ def test_many_queries_meet_slices_of_cells(spark, tmp_path, monkeypatch):
     assert V.recall(index.nearest(queries, 3), R.nearest(queries, rows, 3)) >= 0.9
 
 
+def test_cells_are_met_by_products_and_not_by_pairs(spark, tmp_path):
+    rows = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
+    index = V.build(rows, str(tmp_path / "cells"), 8, 3, 0.9)
+    plan = index.nearest(asked(rows, [0, 100]), 3, 3)._jdf.queryExecution().toString()
+    assert index.count == rows.count() and "cogroup" in plan.lower() and "BroadcastHashJoin" not in plan
+
+
 def test_vectors_without_direction(spark, tmp_path):
     odd = [(1, None), (2, [0.0, 0.0]), (3, [float("nan"), 1.0]), (4, [1.0, None]), (5, [1.0]), (6, []), (7, [1.0, 0.0]), (7, [1.0, 0.0]), (8, [0.0, -2.0]), (9, [0.1, 0.1])]
     rows = spark.createDataFrame(odd, KIND)

@@ -13,7 +13,7 @@ which is looked into only when all cells are. An empty corpus has one cell.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,7 @@ from . import retrieve as R
 
 TRAIN_ROWS, TURNS = 20_000, 12
 PROBE_ROWS = 200  # queries with which the number of probes is measured
-SLICES = 16  # of a cell, for queries that are too many for a broadcast
+SLICE_ROWS = 80_000  # rows in a slice of all cells, so at most as many in a slice of one
 
 
 def _directions(column: pa.Array, width: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -85,12 +85,13 @@ def in_cells(rows: DataFrame, centres: np.ndarray, column: str, probes: int = 1)
 
 @dataclass(frozen=True)
 class Cells:
-    """A stored index: the folder of its rows (id, embedding) by cell, its centres, and the probes that it is asked with."""
+    """A stored index: the folder of its rows (id, embedding) by cell, its centres, the probes that it is asked with, and the number of its rows."""
 
     path: str
     schema: StructType
     centres: np.ndarray
     probes: int
+    count: int
 
     def rows(self, spark: SparkSession) -> DataFrame:
         return spark.read.schema(self.schema).parquet(self.path)
@@ -103,12 +104,11 @@ class Cells:
         if probes == len(self.centres):
             return R.nearest(queries, rows.select("id", "embedding"), k)
         asked = in_cells(queries.select("q_id", "q_embedding"), self.centres, "q_embedding", probes)
-        if queries.count() <= R.QUERY_ROWS:
-            met = rows.join(F.broadcast(asked), "cell")
-        else:
-            part = F.pmod(F.xxhash64("id"), F.lit(SLICES))
-            met = rows.withColumn("_slice", part).join(asked.withColumn("_slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SLICES - 1).cast("long")))), ["cell", "_slice"])
-        return R.top(met.select("q_id", "id", R.similarity(F.col("embedding"), F.col("q_embedding")).alias("similarity")), "similarity", k)
+        slices = -(-self.count // SLICE_ROWS) or 1
+        turns = -(-queries.count() // R.QUERY_ROWS) or 1
+        rows = R.each_part(R.dealt(rows.where("cell >= 0"), "id", "_slice", slices), "_turn", turns)
+        asked = R.each_part(R.dealt(asked, "q_id", "_turn", turns), "_slice", slices)
+        return R.best_in_groups(rows, asked, ["cell", "_slice", "_turn"], k)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> float:
@@ -123,11 +123,11 @@ def build(corpus: DataFrame, path: str, cells: int, k: int = 10, least: float =
     centres = trained(corpus, cells)
     placed = in_cells(corpus.select("id", "embedding"), centres, "embedding")
     placed.write.mode("overwrite").partitionBy("cell").parquet(path)
-    index = Cells(path, placed.schema, centres, 1)
+    index = Cells(path, placed.schema, centres, 1, corpus.sparkSession.read.schema(placed.schema).parquet(path).count())
     rows = index.rows(corpus.sparkSession)
     some = rows.where("cell >= 0").orderBy(F.xxhash64("id")).limit(PROBE_ROWS).select(F.col("id").alias("q_id"), F.col("embedding").alias("q_embedding"))
     some, exact = cut(some), cut(R.nearest(some, rows.select("id", "embedding"), k))
     probes = 1
     while probes < len(centres) and recall(index.nearest(some, k, probes), exact) < least:
         probes = min(2 * probes, len(centres))
-    return Cells(path, placed.schema, centres, probes)
+    return replace(index, probes=probes)
