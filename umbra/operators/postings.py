@@ -50,12 +50,12 @@ def _slices(corpus: DataFrame, slice_rows: int, first: int) -> tuple[Column, int
 
 
 def _blocks(corpus: DataFrame, of: Column, parts: int) -> DataFrame:
-    """(word, slice, most, postings, part): one row for each word of a slice. The one shuffle that makes blocks also deals them out to their files."""
+    """(word, slice, most, rows, postings, part): one row for each word of a slice. The one shuffle that makes blocks also deals them out to their files."""
     hits = corpus.select("id", of.alias("slice"), F.posexplode(words(F.col("text"))).alias("_at", "word"))
     rows = hits.groupBy("word", "slice", "id").agg(F.collect_list("_at").alias("ats"))
     rows = rows.withColumns({"part": _part("word", parts), "_spread": F.col("slice") % SPREAD}).repartition("part", "_spread")
-    made = rows.groupBy("part", "_spread", "word", "slice").agg(F.max(F.size("ats")).alias("most"), F.collect_list(F.struct("id", "ats")).alias("postings"))
-    return made.sortWithinPartitions("part", "word", "slice").select("word", "slice", "most", "postings", "part")
+    made = rows.groupBy("part", "_spread", "word", "slice").agg(F.max(F.size("ats")).alias("most"), F.count("*").alias("rows"), F.collect_list(F.struct("id", "ats")).alias("postings"))
+    return made.sortWithinPartitions("part", "word", "slice").select("word", "slice", "most", "rows", "postings", "part")
 
 
 @dataclass(frozen=True)
@@ -90,15 +90,24 @@ class WordIndex:
         return met.where("_n = _all").select("q_id", "slice", (covers * R.COVER + 1e-9).alias("bound"))
 
     def _met(self, asked: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
-        """As retrieve's: rows that hold all words of a query, with the places of each word; in the slices of pairs (q_id, slice) only."""
-        wanted, keys = asked, ["part", "word"]
+        """As retrieve's: rows that hold all words of a query, with the places of each word; in the slices of pairs (q_id, slice) only.
+
+        Of the words of a query the one with the fewest rows (in a slice) gives its candidates; places of the others are read for candidates alone.
+        """
+        blocks, keys, near = self.blocks(asked.sparkSession), ["part", "word"], ["q_id", "_all"]
+        wanted = asked
         if pairs is not None:
-            wanted, keys = asked.join(pairs, "q_id"), ["part", "word", "slice"]
-        wanted = F.broadcast(wanted) if wanted.count() <= R.WORD_ROWS else wanted
-        hits = self.blocks(asked.sparkSession).drop("most").join(wanted, keys).select("q_id", "_all", "_word", F.explode("postings").alias("p"))
-        rows = hits.groupBy("q_id", "_all", F.col("p.id").alias("id"))
-        met = rows.agg(F.count("*").alias("_met"), F.sum(F.size("p.ats").cast("long")).alias("n_hits"), F.collect_list(F.struct("_word", F.col("p.ats").alias("_ats"))).alias("_found"))
-        return met.where("_met = _all")
+            wanted, keys, near = asked.join(pairs, "q_id"), [*keys, "slice"], [*near, "slice"]
+        sizes = blocks.groupBy(*keys).agg(F.sum("rows").alias("_rows"))
+        rarest = wanted.join(sizes, keys, "left").groupBy(*near).agg(F.min_by(F.struct("part", "word"), "_rows").alias("_key"), F.count("_rows").alias("_known"))
+        rarest = cut(rarest.where("_known = _all").select("q_id", *near[2:], "_key.*"))
+        live = wanted.join(rarest.select("q_id", *near[2:]), ["q_id", *near[2:]], "left_semi")
+        candidates = blocks.join(R.few(rarest), keys).select("q_id", F.explode("postings.id").alias("id"))
+        candidates = cut(candidates.distinct())
+        ids = R.few(candidates.select(F.col("id").alias("_id")).distinct())
+        postings = blocks.join(R.few(live.select(*keys).distinct()), keys, "left_semi").select("word", F.explode("postings").alias("p")).select("word", "p.id", F.col("p.ats").alias("_ats"))
+        hits = postings.join(ids, F.col("id").eqNullSafe(F.col("_id")), "left_semi")
+        return R.of_candidates(candidates, asked, hits, "q_id")
 
     def matching(self, queries: DataFrame) -> DataFrame:
         """(q_id, id, n_hits): the rows of retrieve.matching; q_id names one query."""
