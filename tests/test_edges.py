@@ -162,6 +162,17 @@ def test_cover_density(spark):
     assert got == {(1, 1): (4, 0.183333), (1, 3): (3, 0.1), (1, 4): (2, 0.1), (2, 1): (2, 0.2), (2, 3): (2, 0.2), (2, 4): (1, 0.1), (3, 4): (3, 0.1)}
 
 
+def test_common_words_cost_no_pairs_of_query_and_text(spark):
+    """Queries with the same words are one class, and only rows with a query's rarest word are candidates."""
+    docs = spark.createDataFrame([(i, f"the of and w{i} the") for i in range(50)] + [(50, "the of and w3")], "id long, text string")
+    asked = spark.createDataFrame([(q, f"The of and w{q % 5}") for q in range(20)] + [(20, "nowhere the"), (21, "the")], "q_id long, q_text string")
+    members, words_ = R._classes(asked)
+    assert members.count() == 22 and words_.select("_class").distinct().count() == 7
+    assert R._met(words_.where("_all > 1"), docs).count() == 6
+    assert sorted((r.q_id, r.id, r.n_hits) for r in R.matching(asked, docs).where("q_id < 21").collect()) == sorted([(q, q % 5, 5) for q in range(20)] + [(q, 50, 4) for q in range(20) if q % 5 == 3])
+    assert R.ranked(asked, docs, 2).where("q_id = 21").count() == 2 and R.ranked(asked, docs).where("q_id = 21").count() == 51
+
+
 def test_laws_without_articles(spark):
     rows = [(1, 1, "head\n 제 1 조 a\r\n①b\n1.\n가.  c"), (1, 2, "제 2 항\n\n plain"), (2, 1, None), (3, 1, ""), (4, 1, "나. only\nmore\n제2조"), (5, 1, "word " * 20), (5, 2, "제1조"), (5, 3, None), (6, 1, "no mark")]
     pages = spark.createDataFrame(rows, "doc_id long, page int, text string")
@@ -174,6 +185,34 @@ def test_laws_without_articles(spark):
     assert I.law_chunks(pages.limit(0)).count() == 0
 
 
+def test_fixed_chunks_of_pages_as_they_come(spark):
+    """Equal to cutting the whole text, with no pairs of chunks and pages."""
+    rng = random.Random(9)
+    docs = {d: [(p, rng.choice([None, "", " \n", "\u3000 ", "x", "word " * rng.randrange(400), "".join(rng.choices("ab. \n", k=rng.randrange(3000)))])) for p in range(1, rng.randrange(2, 14))] for d in range(40)}
+    want = []
+    for d, pages in docs.items():
+        text, begun, end = "\n\n".join(t for _, t in pages if t is not None).strip(), [], 0
+        for p, t in pages:
+            if t is not None:
+                begun.append((end, p))
+                end += len(t) + 2
+        start, n = 0, 0
+        while start < len(text):
+            end = min(start + 800, len(text))
+            if end < len(text):
+                end += next((k + 1 for k, c in enumerate(text[end : end + 100]) if c in ".。\n!?"), 0)
+            piece = text[start:end].strip()
+            if len(piece) < 50:
+                start += 800
+                continue
+            n += 1
+            want.append((d, n, start, max(p for a, p in begun if a <= start), piece))
+            start = end - 150 if end - 150 > start else end
+    got = I.fixed_chunks(spark.createDataFrame([(d, p, t) for d, pages in docs.items() for p, t in pages], "doc_id long, page int, text string"))
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 100
+    assert "Join" not in got._jdf.queryExecution().toString()
+
+
 def test_tracks_over_gaps(spark):
     """Numbers go on behind a gap, and equal those of one pass that remembers all tracks."""
     rnd = random.Random(5)

@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 from functools import reduce
 from operator import and_
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import IntegerType, StringType, StructType
 
 from ..functions import rules
 from ..functions.text import joined_in_order, strip
 from .along import Along, along
 
 PAGES = 200  # in a piece of a law
+_SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"  # what strip cuts
 
 
 def blocks(docs: DataFrame, per_page: int = 20) -> DataFrame:
@@ -113,40 +117,80 @@ def article_chunks(lines: DataFrame, doc: str = "doc") -> DataFrame:
     return rows.groupBy(doc, "chunk").agg(F.max("_a").alias("article"), F.count("*").alias("n_lines"), joined_in_order(F.col("ord"), F.col("line")).alias("text"))
 
 
-def _cut(text: str) -> list[tuple[int, str]]:
-    """(start, chunk): pieces of CHUNK characters, drawn out to the next sentence end near by, that overlap; short ones are left out."""
-    out, start, n = [], 0, len(text)
-    while start < n:
-        end = min(start + rules.CHUNK, n)
-        if end < n:
-            reach = text[end : end + rules.CHUNK_REACH]
-            end += next((k + 1 for k, c in enumerate(reach) if c in rules.CHUNK_ENDS), 0)
-        piece = text[start:end].strip()
-        if len(piece) < rules.CHUNK_LEAST:
-            start += rules.CHUNK
-            continue
-        out.append((start, piece))
-        start = end - rules.CHUNK_OVERLAP if end - rules.CHUNK_OVERLAP > start else end
-    return out
-
-
-def _cut_all(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for f in frames:
-        rows = [(doc, k + 1, start, chunk) for doc, text in zip(f["doc_id"], f["text"]) for k, (start, chunk) in enumerate(_cut(text))]
-        yield pd.DataFrame(rows, columns=["doc_id", "chunk", "start", "text"])
+class _Cutter:
+    """Cuts the joined pages of one document as they come: pieces of CHUNK characters, drawn out to the next sentence end near by, that overlap; short ones are left out. Only the text from the next start on is held."""
+
+    def __init__(self, doc):
+        self.doc, self.held, self.blank, self.start, self.n = doc, "", "", 0, 0  # blank: white space that may be the end of the text
+        self.end, self.places, self.page, self.empty = 0, deque(), None, True
+
+    def add(self, page, text: str) -> Iterator[tuple]:
+        self.places.append((self.end, page))
+        self.end += len(text) + 2
+        text = self.blank + text if self.empty else f"{self.blank}\n\n{text}"
+        if self.start == 0 and not self.held:
+            text = text.lstrip(_SPACES)
+        self.empty = False
+        bare = text.rstrip(_SPACES)
+        self.held, self.blank = (self.held + bare, text[len(bare) :]) if bare else (self.held, text)
+        return self._pieces(rules.CHUNK + rules.CHUNK_REACH + 1)
+
+    def last(self) -> Iterator[tuple]:
+        return self._pieces(1)
+
+    def _pieces(self, least: int) -> Iterator[tuple]:
+        held, at = self.held, 0  # at: the next start's place in what is held
+        while len(held) - at >= least:
+            end = min(at + rules.CHUNK, len(held))
+            if end < len(held):
+                reach = held[end : end + rules.CHUNK_REACH]
+                end += next((k + 1 for k, c in enumerate(reach) if c in rules.CHUNK_ENDS), 0)
+            piece = held[at:end].strip()
+            if len(piece) < rules.CHUNK_LEAST:
+                at += rules.CHUNK
+                continue
+            self.n += 1
+            start = self.start + at
+            while self.places and self.places[0][0] <= start:
+                page = self.places.popleft()[1]
+                self.page = self.page if page is None else page
+            yield self.doc, self.n, start, self.page, piece
+            at = end - rules.CHUNK_OVERLAP if end - rules.CHUNK_OVERLAP > at else end
+        self.held, self.start = held[at:], self.start + at
+
+
+def _cut_all(schema: pa.Schema):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter = None
+        for batch in batches:
+            rows = []
+            for doc, page, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if cutter is None or doc != cutter.doc:
+                    rows.extend(cutter.last() if cutter else ())
+                    cutter = _Cutter(doc)
+                rows.extend(cutter.add(page, text))
+            yield _batch(rows, schema)
+        yield _batch(list(cutter.last()) if cutter else [], schema)
+
+    return run
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else ([] for _ in schema)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
 def fixed_chunks(pages: DataFrame) -> DataFrame:
     """(doc_id, chunk, start, page, text) of the joined pages (doc_id, page, text) of each document.
 
     A chunk's page is the last one that begins at or before its start; pages are placed before blanks at the ends of the whole text are cut.
+    One pass over the sorted pages, of which a task holds what the next chunk needs; pages without a text are none.
     """
-    by = W.partitionBy("doc_id").orderBy("page")
-    places = pages.select("doc_id", "page", (F.sum(F.length("text") + 2).over(by) - F.length("text") - 2).alias("_from"))
-    whole = pages.groupBy("doc_id").agg(strip(joined_in_order(F.col("page"), F.col("text"), "\n\n")).alias("text"))
-    chunks = whole.mapInPandas(_cut_all, f"doc_id {pages.schema['doc_id'].dataType.simpleString()}, chunk int, start int, text string")
-    at = chunks.join(places, "doc_id").where("_from <= start").groupBy("doc_id", "chunk", "start", "text").agg(F.max("page").alias("page"))
-    return at.select("doc_id", "chunk", "start", "page", "text")
+    rows = pages.select("doc_id", "page", "text").where("doc_id is not null and text is not null")
+    kind = lambda c: pages.schema[c].dataType
+    schema = StructType().add("doc_id", kind("doc_id")).add("chunk", IntegerType()).add("start", IntegerType()).add("page", kind("page")).add("text", StringType())
+    kinds = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in schema])
+    return rows.repartition("doc_id").sortWithinPartitions("doc_id", "page", "text").mapInArrow(_cut_all(kinds), schema)
 
 
 def dictionary_entries(lines: DataFrame) -> DataFrame:
