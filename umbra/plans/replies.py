@@ -44,8 +44,8 @@ def _memory(s, d):
 
 def _contexts(s, d):
     by = W.partitionBy("doc").orderBy("ord")
-    docs = view(s, d, "law_lines").select(F.col("doc").alias("q_id"), F.row_number().over(by).alias("rank"), F.when(F.col("ord") % 2 == 0, F.col("doc")).alias("law"), F.col("ord").cast("string").alias("article"), F.repeat("line", 60).alias("content"))
-    return C.contexts(docs)
+    ranked = view(s, d, "law_lines").withColumn("rank", F.row_number().over(by))  # contents are made of the ranked rows: of those that are kept
+    return C.contexts(ranked.select(F.col("doc").alias("q_id"), "rank", F.when(F.col("ord") % 2 == 0, F.col("doc")).alias("law"), F.col("ord").cast("string").alias("article"), F.repeat("line", 60).alias("content")))
 
 
 def _pooled(s, d):
