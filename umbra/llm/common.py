@@ -68,6 +68,16 @@ def arrow_map(df: DataFrame, schema: str, f: Callable[[list[pa.RecordBatch]], It
     return df.mapInArrow(f, schema, barrier)
 
 
+def tidy(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """f, for mapInArrow; at a task's end memory that Arrow holds unused goes back to the system, as workers stay for later tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(batches)
+        pa.default_memory_pool().release_unused()
+
+    return run
+
+
 def spans(texts: list[bytes], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Index ranges of texts holding about limit bytes each; one long text is a range of its own."""
     return spans_of(map(len, texts), limit)

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, list_array, mix, shingle_sets, spans, texts_of, grams, written, SHINGLE
+from .common import Words, list_array, mix, shingle_sets, spans, texts_of, tidy, grams, written, SHINGLE
 
 PERMUTATIONS = 64
 LEAST_CLASS = 16
@@ -131,7 +131,7 @@ def _search(table: np.ndarray, classes: list[tuple[int, int]]):
 def contained_items(docs: DataFrame, benchmark: DataFrame, percent: int = 75) -> DataFrame:
     """(doc_id, item_id, n_shingles, n_shared, containment) for each pair with 100 * n_shared >= percent * n_shingles."""
     spark = docs.sparkSession
-    items = benchmark.select("item_id", F.col("text").cast("string").alias("text")).mapInArrow(_items, f"item_id {benchmark.schema['item_id'].dataType.simpleString()}, size long, shingles array<long>, keys array<long>")
+    items = benchmark.select("item_id", F.col("text").cast("string").alias("text")).mapInArrow(tidy(_items), f"item_id {benchmark.schema['item_id'].dataType.simpleString()}, size long, shingles array<long>, keys array<long>")
     items = written(items.dropDuplicates(["item_id", "shingles"]))
     table = np.zeros(1 << TABLE_BITS, dtype=np.uint8)
     sketches = written(_sketches(items, percent))
@@ -146,7 +146,7 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, percent: int = 75) ->
         return _search(*shared.value)(batches)
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    met = written(docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(search, f"doc_id {id_type}, text_hash long, hits array<long>, keys array<long>"))
+    met = written(docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(tidy(search), f"doc_id {id_type}, text_hash long, hits array<long>, keys array<long>"))
     texts = met.dropDuplicates(["text_hash"])
     marks = items.select("item_id", F.explode("keys").alias("key")).union(sketches)
     candidates = texts.select("text_hash", F.explode("keys").alias("key")).join(marks, "key").select("text_hash", "item_id").distinct()

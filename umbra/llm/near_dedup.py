@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, fixed_binary, list_array, mix, shingle_sets, small_or_shuffled, spans, texts_of, written
+from .common import Words, fixed_binary, list_array, mix, shingle_sets, small_or_shuffled, spans, texts_of, tidy, written
 from .components import components
 
 PERMUTATIONS, ROWS = 36, 3
@@ -152,8 +152,11 @@ def _link(percent: int):
             node = g["node"].to_numpy()
             sets = [np.frombuffer(s, dtype=np.uint64) for s in g["shingles"]]
             size = np.array([len(s) for s in sets], dtype=np.int64)
-            both = intersections(sets).astype(np.int64)
-            near = 100 * both >= percent * (size[:, None] + size[None, :] - both)
+            both = intersections(sets)
+            near = np.empty(both.shape, dtype=bool)
+            for i in range(0, len(sets), 64):
+                some = both[i : i + 64].astype(np.int64)
+                near[i : i + 64] = 100 * some >= percent * (size[i : i + 64, None] + size[None, :] - some)
             for x, y in _forest(near):
                 us.append(node[x])
                 vs.append(node[y])
@@ -225,7 +228,7 @@ def linked(rows: DataFrame, group: str, large: bool, tasks: int, link: Callable[
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): see the module's text. docs: doc_id long, text string."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketch = written(docs.mapInArrow(_sketch, "doc_id long, n_shingles long, low long, high long, sig binary, bands array<long>"))
+    sketch = written(docs.mapInArrow(tidy(_sketch), "doc_id long, n_shingles long, low long, high long, sig binary, bands array<long>"))
     known = sketch.where("doc_id is not null and n_shingles > 0")
     classes = known.groupBy("n_shingles", "low", "high").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.any_value("sig").alias("sig"), F.any_value("bands").alias("bands"))
     classes = written(classes)
@@ -237,7 +240,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     met = met.withColumn("blocks", F.ceil(F.col("n") / BLOCK))
     families = written(linked(met, "bucket", not full.where(F.col("n") > BLOCK).isEmpty(), rows // TASK_ROWS + 1, _tie).select("node", F.col("component").alias("family")))
 
-    sized = docs.join(small_or_shuffled(families, FAMILY_ROWS), F.col("doc_id") == F.col("node")).select("node", "family", "text").mapInArrow(_sets, "node long, family long, n long, shingles binary")
+    sized = docs.join(small_or_shuffled(families, FAMILY_ROWS), F.col("doc_id") == F.col("node")).select("node", "family", "text").mapInArrow(tidy(_sets), "node long, family long, n long, shingles binary")
     sized = written(sized.dropDuplicates(["node", "n", "shingles"]))
     total = written(sized.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks")))
     same = linked(sized.join(total, "family"), "family", not total.where("blocks > 1").isEmpty(), families.count() * BANDS // TASK_ROWS + 1, _link(percent))

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import spans_of
+from .common import spans_of, tidy
 
 LENGTH = 1024
 END_ID = 2
@@ -43,6 +43,7 @@ _LINE_SPACE = rf"{_SPACE}\n|\n{_SPACE}|\n$|^\n"
 _PLAIN = re.compile(r" ?\S+")
 TOGETHER = 8  # words encoded as lines of one text
 LOT_CHARS = 16 << 20  # text whose distinct words are encoded at once
+LAID_WORDS = 1 << 17  # words whose ids are laid out at once
 
 
 class Encoder:
@@ -89,16 +90,20 @@ class Encoder:
             flat = np.insert(flat, np.repeat(before, counts[odd]), np.concatenate(own))
         return flat, counts
 
-    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts (string, no nulls) end to end, each with end_id after it, and where each text's begin."""
+    def encode(self, texts: pa.Array, end_id: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(a, b, ids, first) for ranges of texts (string, no nulls): ids of texts a to b end to end, each with end_id after it, and where each text's begin.
+
+        Words are encoded once for all texts; their ids are laid out for LAID_WORDS words at once, so that arrays of a place for each id are small.
+        """
         n = len(texts)
         uncut = pc.match_substring_regex(texts, _UNCUT)
         lines = pc.if_else(pc.match_substring_regex(texts, _LINE_SPACE), texts, pc.replace_substring(texts, "\n", " \0 "))
         cut = pc.split_pattern(pc.if_else(uncut, "", lines), " ")
         first = np.asarray(cut.offsets).astype(np.int64)
         coded = cut.values.dictionary_encode()
+        del lines, cut
         known = coded.dictionary.to_pylist()
-        code = np.asarray(coded.indices).astype(np.int64)
+        code = np.asarray(coded.indices)
         mark = known.index("\0") if "\0" in known else -1
         leads = np.zeros(len(code), bool)  # words without a space before them
         leads[first[:-1]] = True
@@ -108,7 +113,7 @@ class Encoder:
         used = np.zeros(2 * len(known), bool)
         used[key] = True
         at = np.flatnonzero(used)
-        place = np.cumsum(used) - 1
+        place = np.cumsum(used, dtype=np.int32) - np.int32(1)
         word = ["\n" if i >> 1 == mark else known[i >> 1] if i & 1 else " " + known[i >> 1] for i in at.tolist()]
         whole = np.flatnonzero(np.asarray(uncut))
         flat, counts = self.words(word)
@@ -117,12 +122,14 @@ class Encoder:
         counts = np.concatenate([counts, [len(x) for x in own], [1]]).astype(np.int64)
         code = place[key]
         code[first[:-1][whole]] = len(word) + np.arange(len(whole))
-        code = np.insert(code, first[1:], len(counts) - 1)
-        size = counts[code]
-        total = np.concatenate(([0], np.cumsum(size)))
-        begin = (np.cumsum(counts) - counts)[code]
-        ids = flat[np.repeat(begin - total[:-1], size) + np.arange(total[-1])]
-        return ids, total[np.concatenate((first[:-1] + np.arange(n), [len(code)]))]
+        begin = np.cumsum(counts) - counts
+        del coded, known, word, key, leads
+        for a, b in spans_of(np.diff(first), LAID_WORDS):
+            here = np.insert(code[first[a] : first[b]], first[a + 1 : b + 1] - first[a], len(counts) - 1)
+            size = counts[here]
+            total = np.concatenate(([0], np.cumsum(size)))
+            ids = flat[np.repeat(begin[here] - total[:-1], size) + np.arange(total[-1])]
+            yield a, b, ids, total[np.append(first[a:b] - first[a] + np.arange(b - a), len(here))]
 
 
 def pack(sizes: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
@@ -178,19 +185,19 @@ def _packed(path: str, length: int, end_id: int):
             kind = batch.schema.field("doc_id").type
             texts, names = pc.fill_null(batch.column("text"), ""), batch.column("doc_id").to_pylist()
             for a, b in spans_of(np.asarray(pc.binary_length(texts)), LOT_CHARS):
-                every, first = encoder.encode(texts.slice(a, b - a), end_id)
-                for name, x, y in zip(names[a:b], first[:-1].tolist(), first[1:].tolist()):
-                    n = y - x
-                    head = n % length or length
-                    for p, s in enumerate([0, *range(head, n, length)]):
-                        e = head if p == 0 else s + length
-                        ids.append(name)
-                        pieces.append(p)
-                        starts.append(s)
-                        blobs.append(every[x + s : x + e].tobytes())
-                    held += n
-                    if len(blobs) >= LOT or held >= LOT_IDS:
-                        yield lot()
+                for c, d, every, first in encoder.encode(texts.slice(a, b - a), end_id):
+                    for name, x, y in zip(names[a + c : a + d], first[:-1].tolist(), first[1:].tolist()):
+                        n = y - x
+                        head = n % length or length
+                        for p, s in enumerate([0, *range(head, n, length)]):
+                            e = head if p == 0 else s + length
+                            ids.append(name)
+                            pieces.append(p)
+                            starts.append(s)
+                            blobs.append(every[x + s : x + e].tobytes())
+                        held += n
+                        if len(blobs) >= LOT or held >= LOT_IDS:
+                            yield lot()
         if blobs:
             yield lot()
 
@@ -204,4 +211,4 @@ def packed(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int =
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_packed(tokenizer, length, end_id), f"doc_id {kind}, piece int, start long, length long, ids binary, sequence_id long, offset long")
+    return rows.mapInArrow(tidy(_packed(tokenizer, length, end_id)), f"doc_id {kind}, piece int, start long, length long, ids binary, sequence_id long, offset long")

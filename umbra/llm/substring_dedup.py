@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, _power_tables, forget, grams, mix, spans, texts_of, written
+from .common import Words, _power_tables, forget, grams, mix, spans, spans_of, texts_of, tidy, written
 from .fm_index import FmIndex
 
 WINDOW, GRAM = 20, 5
@@ -44,6 +44,7 @@ RUN = 16  # windows of a passage
 TABLE_BITS = 27
 SHARD_WORDS = 500_000
 LOT_BYTES = 32 << 20  # text whose equal passages a task adds up
+SENT_BYTES = 4 << 20  # words of passages that are made into rows at once
 HOT_LEAST, HOT_MOST = 20_000, 1_000_000  # a name is hot beyond so many windows' runs; at most so many names are
 
 
@@ -115,10 +116,10 @@ def _suspects(shared, hot_only: bool | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, hot = shared.value
         bits, shift = np.frombuffer(table, np.uint8), np.uint64(64 - TABLE_BITS)
-        held: list[tuple[tuple[bytes, np.ndarray, np.ndarray], dict[str, np.ndarray]]] = []
+        held: list[tuple[bytes, dict[str, np.ndarray]]] = []
         size = 0
 
-        def lot() -> pa.RecordBatch:
+        def lot() -> Iterator[pa.RecordBatch]:
             nonlocal size
             every = {k: np.concatenate([f[k] for _, f in held]) for k in held[0][1]}
             part = np.repeat(np.arange(len(held)), [len(f["route"]) for _, f in held])
@@ -131,13 +132,17 @@ def _suspects(shared, hot_only: bool | None):
                 every, part = {k: v[keep] for k, v in every.items()}, part[keep]
             names = ["route", "content", "doc_id", "mark", "start", "windows"]
             arrays = [pa.array(every["route"].view(np.int64)), pa.array(every["content"].view(np.int64)), pa.array(every["doc_id"]), pa.array(every["mark"]), pa.array(every["start"] - every["zero"]), pa.array(every["windows"])]
-            if hot_only is not None:
-                words = [held[p][0] for p in part.tolist()]
-                blobs = [data[start[a] : end[b]] for (data, start, end), a, b in zip(words, every["start"].tolist(), (every["start"] + every["windows"] + WINDOW - 2).tolist())]
-                arrays, names = [*arrays, pa.array(copies), pa.array(blobs, pa.binary())], [*names, "copies", "words"]
+            data = [d for d, _ in held]
             held.clear()
             size = 0
-            return pa.RecordBatch.from_arrays(arrays, names=names)
+            if hot_only is None:
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
+                return
+            names += ["copies", "words"]
+            low, high = every["low"], every["high"]
+            for a, b in spans_of((high - low).tolist(), SENT_BYTES):
+                blobs = [data[p][x:y] for p, x, y in zip(part[a:b].tolist(), low[a:b].tolist(), high[a:b].tolist())]
+                yield pa.RecordBatch.from_arrays([*(x.slice(a, b - a) for x in arrays), pa.array(copies[a:b]), pa.array(blobs, pa.binary())], names=names)
 
         for batch in batches:
             texts = texts_of(batch)
@@ -151,13 +156,16 @@ def _suspects(shared, hot_only: bool | None):
                 keep = np.flatnonzero(met)
                 if not len(keep):
                     continue
-                text = p.text[keep]
-                held.append(((p.words.data, p.words.start.astype(np.int32), p.words.end.astype(np.int32)) if hot_only is not None and len(p.words.data) < 1 << 31 else (p.words.data, p.words.start, p.words.end), {"route": p.route[keep], "content": p.content()[keep], "doc_id": ids[a + text].astype(np.int64), "mark": marks[a + text].astype(np.int32), "start": p.start[keep], "windows": p.count[keep].astype(np.int32), "zero": p.words.first[text]}))
+                text, start, count = p.text[keep], p.start[keep], p.count[keep]
+                found = {"route": p.route[keep], "content": p.content()[keep], "doc_id": ids[a + text].astype(np.int64), "mark": marks[a + text].astype(np.int32), "start": start, "windows": count.astype(np.int32), "zero": p.words.first[text]}
+                if hot_only is not None:
+                    found |= {"low": p.words.start[start], "high": p.words.end[start + count + WINDOW - 2]}  # the passage's bytes
+                held.append((p.words.data if hot_only is not None else b"", found))
                 size += len(p.words.data)
                 if size >= (LOT_BYTES if hot_only is not None else 1 << 20):
-                    yield lot()
+                    yield from lot()
         if held:
-            yield lot()
+            yield from lot()
 
     return run
 
@@ -219,7 +227,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     known = docs.where("doc_id is not null").select("doc_id", "mark", "text")
-    names = known.select("text").mapInArrow(_names, "name long, n long").groupBy("name").agg(F.sum("n").alias("n")).where("n > 1")
+    names = known.select("text").mapInArrow(tidy(_names), "name long, n long").groupBy("name").agg(F.sum("n").alias("n")).where("n > 1")
     names = written(names)
     slot = F.shiftrightunsigned("name", 64 - TABLE_BITS)
     total = names.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -235,16 +243,16 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
     columns = "route long, content long, doc_id long, mark int, start long, windows int"
     shards = int(total) * (WINDOW + RUN // 2) // SHARD_WORDS + 1
-    rows = known.mapInArrow(_suspects(shared, False), f"{columns}, copies long, words binary")
+    rows = known.mapInArrow(tidy(_suspects(shared, False)), f"{columns}, copies long, words binary")
     if len(hot):
-        often_met = known.mapInArrow(_suspects(shared, True), f"{columns}, copies long, words binary").groupBy("route", "content")
+        often_met = known.mapInArrow(tidy(_suspects(shared, True)), f"{columns}, copies long, words binary").groupBy("route", "content")
         summed = often_met.agg(F.min(F.struct("doc_id", "start", "mark")).alias("p"), F.sum("copies").alias("copies"), F.any_value("windows").alias("windows"), F.any_value("words").alias("words"))
         rows = rows.unionByName(summed.select("route", "content", "p.*", "copies", "windows", "words"))
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("route"), F.lit(shards))).repartition(shards // 4 + 1, "shard")
     firsts = rows.groupBy("shard").applyInPandas(_search, "route long, content long, doc_id long, start long, bits long")
 
     firsts = firsts.select("route", "content", F.col("doc_id").alias("_doc"), F.col("start").alias("_start"), "bits")
-    met = known.mapInArrow(_suspects(shared, None), columns).join(firsts, ["route", "content"])
+    met = known.mapInArrow(tidy(_suspects(shared, None)), columns).join(firsts, ["route", "content"])
     first = (F.col("doc_id") == F.col("_doc")) & (F.col("start") == F.col("_start"))
     every = F.expr("shiftleft(1L, windows) - 1")
     met = met.select("doc_id", "mark", "start", F.when(first, F.col("bits")).otherwise(every).alias("bits")).where("bits != 0")
@@ -259,4 +267,4 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     found = repeated_spans(known.select("doc_id", "mark", "text"))
     joined = known.join(found, ["doc_id", "mark"], "left").select("row", "text", "found")
     kinds = T.StructType([joined.schema["row"], *(T.StructField(n, k) for n, k in (("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_text", T.StringType())))])
-    return joined.mapInArrow(_kept, kinds).select("row.*", "n_words", "n_removed", "kept_text")
+    return joined.mapInArrow(tidy(_kept), kinds).select("row.*", "n_words", "n_removed", "kept_text")
