@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from umbra.llm.common import small_or_shuffled, written
+from umbra.llm.common import gathered, small_or_shuffled, written
 from umbra.llm.decontaminate import contained_items
 from umbra.llm.near_dedup import near_duplicates
 from umbra.llm.packing import packed
@@ -24,7 +24,7 @@ ID_ROWS = 2_000_000  # dropped keys up to this count are broadcast (16 MB)
 def _without(docs: DataFrame, keys: DataFrame, key: Column) -> DataFrame:
     """docs less the rows whose key is among those of a one-column table; rows with a null key stay."""
     gone = keys.toDF("_gone").where("_gone is not null").distinct()
-    gone = small_or_shuffled(written(gone), ID_ROWS)
+    gone = small_or_shuffled(written(gathered(gone, docs.count(), ID_ROWS // 40)), ID_ROWS)
     own = docs.select(F.struct(*docs.columns).alias("row"), key.alias("key"))
     return own.join(gone, F.col("key") == F.col("_gone"), "left_anti").select("row.*")
 

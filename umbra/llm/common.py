@@ -200,6 +200,11 @@ def small_or_shuffled(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def gathered(df: DataFrame, rows: int, each: int) -> DataFrame:
+    """df, which comes out of a shuffle, in tasks of about so many of its rows; never in more than the shuffle has, nor in fewer than there are cores."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, rows // each + 1))
+
+
 def lowest(df: DataFrame, rows: int, column: str = "_hash") -> DataFrame:
     """The rows with the lowest values of a column of 64-bit hashes: about twice as many as asked for, all if there are fewer.
 

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, fixed_binary, list_array, mix, shingle_sets, small_or_shuffled, spans, texts_of, tidy, written
+from .common import Words, fixed_binary, gathered, list_array, mix, shingle_sets, small_or_shuffled, spans, texts_of, tidy, written
 from .components import components
 
 PERMUTATIONS, ROWS = 36, 3
@@ -47,6 +47,8 @@ BLOCK = 1024  # classes of one block
 BLOCK_SHINGLES = 400_000
 FAMILY_ROWS = 2_000_000  # members of families up to this count are broadcast (16 bytes each); beyond, texts are shuffled
 GROUP_ROWS = 1_000_000  # large groups with several components up to this count are broadcast (24 bytes each)
+FOUND_ROWS = 200_000  # nodes with their components, or buckets with their sizes, up to this count are broadcast (16 bytes each)
+NAMED_ROWS = 100_000  # classes with their components up to this count are broadcast (32 bytes each)
 TASK_ROWS = 5_000  # rows of small groups that share a task
 
 _rng = np.random.default_rng(77)
@@ -183,32 +185,32 @@ def _numbers(n: Column, first: int = 0) -> Column:
     return F.explode(F.sequence(F.lit(first).cast("long"), n.cast("long") - 1))
 
 
-def first_turn(rows: DataFrame, group: str, tasks: int) -> DataFrame:
+def first_turn(small: DataFrame, large: DataFrame, group: str, tasks: int) -> DataFrame:
     """Adds column task: small groups share tasks; of a group of several blocks each block meets the first one.
 
-    rows has columns blocks (of its group) and node; no task gets more than two blocks of a group.
+    The rows of large groups have columns blocks (of its group) and node; no task gets more than two blocks of a group.
     """
-    block = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    small = rows.where("blocks <= 1").withColumn("task", _task(F.pmod(F.xxhash64(group), F.lit(max(1, tasks))), F.lit(-1), F.lit(-1)))
-    large = rows.where("blocks > 1").withColumn("_b", block)
+    small = small.withColumn("task", _task(F.pmod(F.xxhash64(group), F.lit(max(1, tasks))), F.lit(-1), F.lit(-1)))
+    large = large.withColumn("_b", F.pmod(F.xxhash64("node"), F.col("blocks")))
     leaders = large.where("_b = 0").withColumn("_o", _numbers(F.col("blocks"), 1))
     others = large.where("_b > 0").withColumn("_o", F.col("_b"))
     large = leaders.unionByName(others).withColumn("task", _task(F.col(group), F.lit(0), F.col("_o"))).drop("_b", "_o")
     return small.unionByName(large)
 
 
-def second_turn(rows: DataFrame, group: str, found: DataFrame) -> DataFrame:
+def second_turn(large: DataFrame, group: str, found: DataFrame, rows: int) -> DataFrame | None:
     """Adds column task: the members of large groups outside of their group's main component meet all of the group's.
 
-    found: (node, component) after the first turn. Groups of one component give no rows.
+    found: (node, component) after the first turn. Groups of one component give no rows; None if all are.
     """
-    large = rows.where("blocks > 1")
-    parts = large.select(group, "node").distinct().join(found, "node", "left").withColumn("part", F.coalesce("component", "node"))
-    sizes = parts.groupBy(group, "part").agg(F.count("*").alias("n"))
-    main = sizes.groupBy(group).agg(F.max_by("part", F.struct("n", "part")).alias("main"), (F.sum("n") - F.max("n")).alias("rest")).where("rest > 0")
-    main = written(main.withColumn("rests", F.ceil(F.col("rest") / BLOCK)))
-    parts = parts.join(small_or_shuffled(main, GROUP_ROWS), group).select(group, "node", "rests", (F.col("part") != F.col("main")).alias("out"))
-    open_rows = large.join(parts, [group, "node"])
+    found = small_or_shuffled(found, FOUND_ROWS)
+    part = F.coalesce("component", "node")
+    sizes = gathered(large.select(group, "node").distinct(), rows, TASK_ROWS).join(found, "node", "left").withColumn("part", part).groupBy(group, "part").agg(F.count("*").alias("n"))
+    main = gathered(sizes, rows, TASK_ROWS).groupBy(group).agg(F.max_by("part", F.struct("n", "part")).alias("main"), (F.sum("n") - F.max("n")).alias("rest")).where("rest > 0")
+    main = written(gathered(main.withColumn("rests", F.ceil(F.col("rest") / BLOCK)), rows, TASK_ROWS))
+    if main.isEmpty():
+        return None
+    open_rows = large.join(small_or_shuffled(main.drop("rest"), GROUP_ROWS), group).join(found, "node", "left").withColumn("out", part != F.col("main")).drop("component", "main")
     every = open_rows.withColumn("_i", _numbers(F.col("rests"))).withColumn("_j", F.pmod(F.xxhash64("node"), F.col("blocks")))
     rest = open_rows.where("out").withColumn("_i", F.pmod(F.xxhash64("node", F.lit(1)), F.col("rests"))).withColumn("_j", _numbers(F.col("blocks")))
     return every.unionByName(rest).withColumn("task", _task(F.col(group), F.col("_i"), F.col("_j"))).drop("rests", "out", "_i", "_j")
@@ -216,13 +218,22 @@ def second_turn(rows: DataFrame, group: str, found: DataFrame) -> DataFrame:
 
 def linked(rows: DataFrame, group: str, large: bool, tasks: int, link: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
     """(node, component) by the links that a function finds among rows (node, blocks, ...) of equal group; large: some have several blocks."""
-    links = first_turn(rows, group, tasks).groupBy("task").applyInPandas(link, "u long, v long")
-    found = components(links)
+    about = tasks * TASK_ROWS
+
+    def links(dealt: DataFrame) -> DataFrame:
+        return gathered(dealt.groupBy("task").applyInPandas(link, "u long, v long"), about, TASK_ROWS // 4)
+
+    small, many = rows.where("blocks <= 1"), rows.where("blocks > 1")
+    if large:
+        many = written(many)
+    found = components(links(first_turn(small, many, group, tasks)), about)
     if not large:
         return found
     found = written(found)
-    more = second_turn(rows, group, found).groupBy("task").applyInPandas(link, "u long, v long")
-    return components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
+    more = second_turn(many, group, found, about)
+    if more is None:
+        return found
+    return components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(links(more)), about)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -230,24 +241,30 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketch = written(docs.mapInArrow(tidy(_sketch), "doc_id long, n_shingles long, low long, high long, sig binary, bands array<long>"))
     known = sketch.where("doc_id is not null and n_shingles > 0")
+    n = known.count()
     classes = known.groupBy("n_shingles", "low", "high").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.any_value("sig").alias("sig"), F.any_value("bands").alias("bands"))
-    classes = written(classes)
+    classes = written(gathered(classes, n, TASK_ROWS))
 
     banded = classes.select("node", F.explode("bands").alias("bucket"))
-    full = written(banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
-    rows = full.agg(F.sum("n")).first()[0] or 0
-    met = banded.join(full, "bucket").join(classes.select("node", "sig"), "node")
-    met = met.withColumn("blocks", F.ceil(F.col("n") / BLOCK))
-    families = written(linked(met, "bucket", not full.where(F.col("n") > BLOCK).isEmpty(), rows // TASK_ROWS + 1, _tie).select("node", F.col("component").alias("family")))
+    full = written(gathered(banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), BANDS * n, 10 * TASK_ROWS))
+    buckets, rows, most = full.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    if buckets <= FOUND_ROWS:
+        met = classes.select("node", F.explode("bands").alias("bucket"), "sig").join(F.broadcast(full), "bucket")
+    else:
+        met = banded.join(full, "bucket").join(classes.select("node", "sig"), "node")
+    met = met.withColumn("blocks", F.ceil(F.col("n") / BLOCK)).select("node", "bucket", "sig", "blocks")
+    families = linked(met, "bucket", most > BLOCK, rows // TASK_ROWS + 1, _tie).select("node", F.col("component").alias("family"))
+    families = written(gathered(families, rows, TASK_ROWS))
+    members = families.count()
 
     sized = docs.join(small_or_shuffled(families, FAMILY_ROWS), F.col("doc_id") == F.col("node")).select("node", "family", "text").mapInArrow(tidy(_sets), "node long, family long, n long, shingles binary")
-    sized = written(sized.dropDuplicates(["node", "n", "shingles"]))
-    total = written(sized.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks")))
-    same = linked(sized.join(total, "family"), "family", not total.where("blocks > 1").isEmpty(), families.count() * BANDS // TASK_ROWS + 1, _link(percent))
+    sized = written(gathered(sized.dropDuplicates(["node", "n", "shingles"]), members, TASK_ROWS // 10))
+    total = written(gathered(sized.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks")), members, TASK_ROWS))
+    same = linked(sized.join(small_or_shuffled(total, FOUND_ROWS), "family"), "family", not total.where("blocks > 1").isEmpty(), members * BANDS // TASK_ROWS + 1, _link(percent))
 
     # Only classes of several copies or with links need a look-up; all others stand for themselves.
-    named = classes.join(same, "node", "left").where("copies > 1 or component is not null")
-    named = named.select("n_shingles", "low", "high", F.coalesce("component", "node").alias("component"))
-    out = sketch.select("doc_id", "n_shingles", "low", "high").join(named, ["n_shingles", "low", "high"], "left")
+    named = classes.join(small_or_shuffled(same, FOUND_ROWS), "node", "left").where("copies > 1 or component is not null")
+    named = written(named.select("n_shingles", "low", "high", F.coalesce("component", "node").alias("component")))
+    out = sketch.select("doc_id", "n_shingles", "low", "high").join(small_or_shuffled(named, NAMED_ROWS), ["n_shingles", "low", "high"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
