@@ -36,12 +36,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, _power_tables, forget, grams, mix, spans, spans_of, texts_of, tidy, written
+from .common import Words, _power_tables, forget, gathered, grams, mix, spans, spans_of, texts_of, tidy, written
 from .fm_index import FmIndex
 
 WINDOW, GRAM = 20, 5
 RUN = 16  # windows of a passage
 TABLE_BITS = 27
+TABLE_BLOCKS = 1 << TABLE_BITS - 15  # of 4 KB
 SHARD_WORDS = 500_000
 LOT_BYTES = 32 << 20  # text whose equal passages a task adds up
 SENT_BYTES = 4 << 20  # words of passages that are made into rows at once
@@ -233,11 +234,12 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     total = names.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     blocks = names.groupBy(F.shiftright(slot, 15).alias("k")).agg(F.bitmap_construct_agg(slot.bitwiseAND(F.lit(32767).cast("long"))).alias("bits"))
     table = bytearray(1 << (TABLE_BITS - 3))
-    for k, bits in blocks.toLocalIterator():  # at most 4096 blocks of 4 KB
+    for k, bits in gathered(blocks, TABLE_BLOCKS, TABLE_BLOCKS // 8).toLocalIterator():  # each partition is a job of its own
         table[k * 4096 : k * 4096 + len(bits)] = bits
     often = max(HOT_LEAST, total // HOT_MOST)
     hot = np.sort(np.array([r[0] for r in names.where(F.col("n") > often).select("name").collect()], np.int64).view(np.uint64))  # fewer than HOT_MOST names
-    shared = spark.sparkContext.broadcast((bytes(table), hot))
+    shared = spark.sparkContext.broadcast((table, hot))
+    del table  # it is in a file now
 
     forget(names)
 
