@@ -78,3 +78,47 @@ def test_empty_corpus_and_no_queries(spark, tmp_path):
     assert index.top(spark.createDataFrame(QUERIES, QUERY), 3).count() == 0
     full = P.build(spark.createDataFrame([(1, "aa")], TEXT), str(tmp_path / "one"))
     assert full.ranked(spark.createDataFrame([], QUERY)).count() == 0 and full.free == 1
+
+
+def test_words_are_shuffled_in_blocks_and_texts_once(spark, tmp_path):
+    """Before, each word of each text was a row of two shuffles when the index was built, and again when it was read."""
+    rows = [(i, " ".join(f"w{(i * 7 + j) % 40}" for j in range(40))) for i in range(600)]
+    corpus, queries = spark.createDataFrame(rows, TEXT), spark.createDataFrame([(q, f"w{q} w{q + 1} w{q + 2}") for q in range(20)], QUERY)
+    tracker = spark.sparkContext._jsc.sc().statusStore()
+    stages = lambda: tracker.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    written = lambda: sum(s.shuffleWriteRecords() for i in range(stages().size()) for s in [stages().apply(i)])
+    before = written()
+    index = P.build(corpus, str(tmp_path / "words"), slice_rows=100, parts=4)
+    built = written()
+    assert built - before < 4 * len(rows)
+    best = index.top(queries, 3)
+    assert written() - built < 8 * len(rows)
+    assert found(best, "q_id", "id", "text_rank", "rank") == found(R.top(R.ranked(queries, corpus), "text_rank", 3), "q_id", "id", "text_rank", "rank")
+
+
+def test_rows_of_one_id_are_one_row_whatever_their_lengths(spark, tmp_path):
+    """Before, rows of an id that lay in two slices were lost."""
+    odd = [(7001, "aa x"), (7001, "bb cc " * 40), (7001, None), (None, "gg"), (None, "ff " * 30), (7002, "dd " * 9)]
+    rows = spark.createDataFrame(corpus(300, 8) + odd, TEXT)
+    queries = spark.createDataFrame([*QUERIES, (10, "x cc"), (11, "ff gg")], QUERY)
+    index, text = P.build(rows, str(tmp_path / "words"), slice_rows=30, parts=3), R.ranked(queries, rows)
+    key = lambda df: sorted((r.q_id, -1 if r.id is None else r.id, r.n_hits, r.text_rank) for r in df.collect())
+    assert key(index.ranked(queries)) == key(text) and text.where("id = 7001 and q_id = 10").count() == 1
+    assert key(index.top(queries, 400)) == key(text)
+
+
+def test_many_queries_read_a_slice_in_turns_and_without_a_broadcast_of_slices(spark, tmp_path, monkeypatch):
+    rows, queries = spark.createDataFrame(corpus(500, 9), TEXT), spark.createDataFrame(QUERIES, QUERY)
+    index = P.build(rows, str(tmp_path / "words"), slice_rows=50, parts=3)
+    want = found(R.top(R.ranked(queries, rows), "text_rank", 4), "q_id", "id", "n_hits", "text_rank", "rank")
+    monkeypatch.setattr(P, "TURN_QUERIES", 2)
+    assert found(index.top(queries, 4), "q_id", "id", "n_hits", "text_rank", "rank") == want
+    monkeypatch.setattr(P, "READ_SLICES", 0)
+    assert found(index.top(queries, 4), "q_id", "id", "n_hits", "text_rank", "rank") == want
+
+
+def test_long_rows_have_slices_of_fewer_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(P, "SLICE_CHARS", 20_000)
+    rows = spark.createDataFrame([(i, "aa bb " * (500 if i % 2 else 1)) for i in range(200)], TEXT)
+    blocks = P.build(rows, str(tmp_path / "words"), parts=2).blocks(spark).where("word = 'aa'").collect()
+    assert sum(b.rows for b in blocks) == 200 and max(b.rows for b in blocks if b.most == 500) < 30 and max(b.rows for b in blocks if b.most == 1) == 100
