@@ -122,3 +122,9 @@ def test_long_rows_have_slices_of_fewer_rows(spark, tmp_path, monkeypatch):
     rows = spark.createDataFrame([(i, "aa bb " * (500 if i % 2 else 1)) for i in range(200)], TEXT)
     blocks = P.build(rows, str(tmp_path / "words"), parts=2).blocks(spark).where("word = 'aa'").collect()
     assert sum(b.rows for b in blocks) == 200 and max(b.rows for b in blocks if b.most == 500) < 30 and max(b.rows for b in blocks if b.most == 1) == 100
+
+
+def test_tasks_get_slices_in_turn(spark):
+    rows = spark.range(300).withColumn("key", P._task(spark, "id", 13)).repartition(13, "key")
+    each = rows.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(each) == 13 and max(r["count"] for r in each) == 24

@@ -95,14 +95,22 @@ def _blocks_of(kinds: pa.Schema):
     return run
 
 
+def _task(spark: SparkSession, number: str, tasks: int) -> Column:
+    """A key for each number, so that a shuffle by it into so many partitions gives the numbers to them in turn; by their hash some would get many."""
+    n = F.pmod(F.hash("id"), F.lit(tasks))
+    keys = dict(spark.range(64 * tasks).groupBy(n.alias("n")).agg(F.min("id")).collect())
+    return F.element_at(F.lit([keys.get(i, i) for i in range(tasks)]).cast("array<long>"), (F.col(number) % tasks + 1).cast("int"))
+
+
 def _blocks(corpus: DataFrame, of: Column, parts: int, slices: int) -> DataFrame:
     """(word, slice, most, rows, postings, part): one row for each word of a slice. Texts are shuffled once, by slice; a task makes the blocks of one slice after the other."""
     chars = corpus.agg(F.sum(F.length("text").cast("long"))).head()[0] or 0
     tasks = max(-(-chars // TASK_CHARS), min(slices, max(24, 3 * corpus.sparkSession.sparkContext.defaultParallelism)), 1)
-    rows = _in_slices(corpus, of).repartition(tasks, "slice").sortWithinPartitions("slice").select("id", "slice", words(F.col("text")).alias("words"))
+    rows = _in_slices(corpus, of).withColumn("_task", _task(corpus.sparkSession, "slice", tasks)).repartition(tasks, "_task")
+    rows = rows.sortWithinPartitions("_task", "slice").select("_task", "id", "slice", words(F.col("text")).alias("words"))
     posting = StructType([corpus.schema["id"], StructField("ats", ArrayType(IntegerType()))])
     schema = StructType([StructField("word", StringType()), StructField("slice", LongType()), StructField("most", IntegerType()), StructField("rows", LongType()), StructField("postings", ArrayType(posting))])
-    made = rows.groupBy("slice").applyInArrow(_blocks_of(_kinds(schema)), schema)
+    made = rows.groupBy("_task", "slice").applyInArrow(_blocks_of(_kinds(schema)), schema)
     return made.withColumn("part", _part("word", parts)).sortWithinPartitions("part", "word", "slice")
 
 
